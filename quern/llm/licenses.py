@@ -144,8 +144,13 @@ class Scanner:
             # more than (1 - share) of its positions, the rarest in this text
             rare = sorted(range(n), key=lambda q: (len(places[own[q]]), q))[: int((1 - self.share) * n + 1e-9) + 1]
             slack = n // 4 + 1
-            for start in sorted({p - q for q in rare for p in places[own[q]]}):
+            # a region that covers the template has that word at most so far from its place
+            shift = slack + int((1 - self.share) * n) + 1
+            found_at = {p - q for q in rare for p in places[own[q]]}
+            for start in sorted({p + d for p in found_at for d in range(-shift, shift + 1)}):
                 lo, hi = max(0, start - slack), min(len(words), start + n + slack)
+                if hi <= lo:
+                    continue
                 pairs = patience(own, words[lo:hi])
                 if len(pairs) < self.share * n:
                     continue

@@ -269,10 +269,8 @@ def detect(docs: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("likely"), span))).alias("wide"),
     )
     apart = lambda y: F.forall("base", lambda x: (x["end"] <= y["start"]) | (x["start"] >= y["end"]))
-    counts = [
-        F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}")
-        for k, kind in enumerate(KINDS)
-    ]
+    of_kind = lambda k: F.filter("base", lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     added = F.when(F.size("wide") > 0, F.filter("wide", apart)).otherwise(F.col("wide"))
     return of_row.select(
         "row_id", "doc_id", "key", *counts, "base", F.sort_array(F.concat("base", added)).alias("spans")

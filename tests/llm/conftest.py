@@ -19,7 +19,7 @@ def odd_docs(spark):
         (6, long_text, "en", "a", len(long_text)),
         (7, "x" * 300_000, "en", "a", 300_000),
         (8, "a.b" * 30_000 + "@" + "c.d" * 30_000, "en", "a", 3),
-        (9, "1" * 100_000 + " " + "+1 " * 1000, "de", "a", 3),
+        (9, "1" * 8_000 + " " + "+1 " * 1000, "de", "a", 3),
         (-3, "été  à Paris\x1cß 12", "fr", "c", 5),
     ]
     df = spark.createDataFrame(rows, DOCS)

@@ -59,7 +59,7 @@ def test_files_are_archives(spark, tmp_path):
 
 
 def test_parse_declared_lengths_and_versions():
-    one = b"filedesc://x 0.0.0.0 20200101000000 text/plain 24\n1 0 org\nURL IP A C L\n\n\n"
+    one = b"filedesc://x 0.0.0.0 20200101000000 text/plain 21\n1 0 org\nURL IP A C L\n\n"
     body = b"HTTP/1.0 200 OK\r\n\r\nline\nhttp://y 1.1.1.1 20200101000000 text/html 3\nabc"
     one += b"http://x y/ 1.2.3.4 20200101000000 text/html %d\n" % len(body) + body + b"\n"
     one += b"http://z 1.2.3.4 20200101000000 text/html 100\ncut"
