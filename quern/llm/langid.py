@@ -122,7 +122,7 @@ def predict(docs: DataFrame, model: Model, *kept: Column, batch: int = 256) -> D
     """
     rows = docs.select(*kept, F.col("text").alias("__text"))
     names = rows.columns[:-1]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.zeros((batch, BUCKETS), dtype=np.float32)
@@ -143,4 +143,4 @@ def predict(docs: DataFrame, model: Model, *kept: Column, batch: int = 256) -> D
                 [*names, "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import gapless_rank, staged
 
 SHARDS = 8
-ROUNDS = 4
+ROUNDS = 6
 #: Groups of more than this share of a quota are dealt out to parts.
 PART_SHARE = 0.5
 #: Classes in which a shard's incoming moves are admitted.
@@ -32,14 +32,19 @@ def _by_shard(shard: Column, values: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), shard + 1)
 
 
-def _round(state: DataFrame, quotas: list[int]) -> DataFrame:
-    """One round of moves. state: part (group, salt), first, now (shards), n."""
+def _round(state: DataFrame, quotas: list[int], swap: bool) -> DataFrame:
+    """One round of moves. state: part (group, salt), first, now (shards), n.
+
+    With ``swap``, what wishes to leave a shard counts as room in it. Should fewer leave than wished, the
+    last step evicts what stands above a quota.
+    """
     load = {r["now"]: r["n"] for r in state.groupBy("now").agg(F.sum("n").alias("n")).collect()}
     room = [q - load.get(s, 0) for s, q in enumerate(quotas)]
     part = ["group", "salt"]
     votes = state.groupBy(*part, "now").agg(F.sum("n").alias("votes"))
     total = staged(votes.groupBy(*part).agg(F.sum("votes").alias("members")), "totals")
-    able = votes.join(total, part).where((F.col("members") - F.col("votes")) <= _by_shard(F.col("now"), room))
+    fits = [max(q, r) for q, r in zip(quotas, room, strict=True)] if swap else room
+    able = votes.join(total, part).where((F.col("members") - F.col("votes")) <= _by_shard(F.col("now"), fits))
     best = able.groupBy(*part).agg(
         F.max_by("now", F.struct("votes", -F.col("now"))).alias("target"),
         F.max_by(F.col("members") - F.col("votes"), F.struct("votes", -F.col("now"))).alias("moving"),
@@ -48,6 +53,10 @@ def _round(state: DataFrame, quotas: list[int]) -> DataFrame:
     wish = staged(
         best.where("moving > 0").withColumn("class", F.pmod(F.xxhash64(*part), F.lit(CLASSES)).cast("int")), "wishes"
     )
+    if swap:
+        leaving = state.join(wish, part).where("now != target").groupBy("now").agg(F.sum("n").alias("n")).collect()
+        for r in leaving:
+            room[r["now"]] += r["n"]
     upto = Window.partitionBy("target").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
     classes = (
         wish.groupBy("target", "class").agg(F.sum("moving").alias("moving"))
@@ -89,12 +98,16 @@ def propagate(
     state = staged(
         linked.groupBy("group", "salt", "first").agg(F.count(F.lit(1)).alias("n")).withColumn("now", F.col("first")), "state"
     )
-    for _ in range(rounds):
-        before, state = state, _round(state, quotas)
+    swap = True
+    for k in range(rounds):
+        swap = swap and k < rounds // 2
+        before, state = state, _round(state, quotas, swap)
         if state.agg(F.sum(F.xxhash64("group", "salt", "first", "now") % 1000003)).first() == before.agg(
             F.sum(F.xxhash64("group", "salt", "first", "now") % 1000003)
         ).first():
-            break
+            if not swap:
+                break
+            swap = False
     placed = staged(linked.join(state.drop("n"), ["group", "salt", "first"]), "placed")
     # whatever stands above a shard's quota is free again, in whole parts as far as possible
     ranked = staged(

@@ -49,7 +49,7 @@ def test_linked_groups(spark, kind):
         shares = Counter(r.shard for r in rows if r.group == 0)
         assert len(shares) <= 7 and sum(sorted(shares.values())[-4:]) > 0.8 * sum(shares.values())
     else:
-        assert cut([r for r in rows if r.group is not None]) < 0.1 * n
+        assert cut([r for r in rows if r.group is not None]) < (0.25 if kind == "all linked" else 0.02) * n
 
 
 def test_odd_rows(odd_docs, no_docs):
