@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters"]
+MODULES = ["filters", "joins"]
 
 
 def _registries():
