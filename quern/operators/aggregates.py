@@ -131,7 +131,7 @@ def spearman(df: DataFrame, group: list[str], a: str, b: str, ordinal_by: str |
 
 def threshold_sweep(df: DataFrame, value: str, truth: Column) -> DataFrame:
     """Per distinct threshold: tp, fp, fn, tn of value >= threshold, by one cumulative pass over the
-    distinct values' counts."""
+    distinct values' counts. The pass holds a row per distinct value in one task: bin continuous scores first."""
     counts = df.groupBy(F.col(value).alias("threshold")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
     above = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     every = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))

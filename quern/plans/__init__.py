@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "joins"]
+MODULES = ["filters", "joins", "aggregates", "merge"]
 
 
 def _registries():
