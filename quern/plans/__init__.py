@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "joins", "aggregates", "merge"]
+MODULES = ["filters", "joins", "aggregates", "merge", "text"]
 
 
 def _registries():

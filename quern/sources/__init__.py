@@ -1 +1,138 @@
+"""Sources and sinks: fixed-schema JSON lines, tolerant logs, typed CSV, product feeds, pages."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of a fixed schema; a line that doesn't fit is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, torn lines): lines that are no JSON of the schema are set aside, not dropped."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", schema).alias("x"), F.try_parse_json("value").isNotNull().alias("ok"))
+    return parsed.where("ok").select("x.*"), parsed.where("NOT ok").select("value")
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    df.write.json(path)
+
+
+def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text: nothing is inferred."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def read_csv_typed(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Typed columns; an empty cell is NULL."""
+    return spark.read.schema(schema).option("header", True).option("nullValue", "").option("multiLine", True).option("escape", '"').csv(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Arrays joined by semicolons, booleans in lower case (as Spark writes them)."""
+    kinds = dict(df.dtypes)
+    cells = [F.array_join(c, ";").alias(c) if kinds[c].startswith("array") else F.col(c) for c in df.columns]
+    df.select(*cells).write.option("header", True).option("escape", '"').csv(path)
+
+
+def find_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Paths below a snapshot with a file name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+    return files.select("path", "length")
+
+
+def read_products(spark: SparkSession, path: str, product: str) -> DataFrame:
+    """Products of feeds {"products": [...]}, with their file; the first of equal handles in a file stays."""
+    schema = f"products array<struct<{product}>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.input_file_name().alias("file"), F.posexplode("products").alias("pos", "p"))
+    rest = rows.groupBy("file", F.col("p.handle").alias("handle")).agg(F.min_by("p", "pos").alias("p"))
+    return rest.select("file", "p.*")
+
+
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(key, parent, level, name) of a three-level tree of JSON objects."""
+    raw = spark.read.text(path, wholetext=True)
+    tree = raw.select(F.from_json("value", "map<string,map<string,array<string>>>").alias("t"))
+    one = tree.select(F.explode("t").alias("a", "t2"))
+    two = one.select("a", F.explode("t2").alias("b", "leaves"))
+    three = two.select("a", "b", F.explode("leaves").alias("c"))
+    path2, path3 = F.concat_ws(">", "a", "b"), F.concat_ws(">", "a", "b", "c")
+    return (
+        one.select(F.col("a").alias("key"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("level"), F.col("a").alias("name"))
+        .unionByName(two.select(path2.alias("key"), F.col("a").alias("parent"), F.lit(2).alias("level"), F.col("b").alias("name")))
+        .unionByName(three.select(path3.alias("key"), path2.alias("parent"), F.lit(3).alias("level"), F.col("c").alias("name")))
+        .distinct()
+    )
+
+
+def data_dictionary(df: DataFrame) -> DataFrame:
+    """Numbered definitions of a table's columns."""
+    spec = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields, 1)]
+    return df.sparkSession.createDataFrame(spec, "position int, column string, type string, nullable boolean")
+
+
+def log_objects(line: Column) -> Column:
+    """The text from a line's first { to its last }, NULL without one."""
+    return F.nullif(F.regexp_extract(line, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+class _Facts(HTMLParser):
+    """Label-value pairs of th/td and dt/dd, title and headings, in the order of the page."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.label, self.tag, self.text = [], None, None, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("th", "td", "dt", "dd", "title", "h1"):
+            self._close()
+            self.tag, self.text = tag, []
+
+    def handle_endtag(self, tag):
+        if tag == self.tag:
+            self._close()
+
+    def handle_data(self, data):
+        if self.tag:
+            self.text.append(data)
+
+    def _close(self):
+        value = " ".join("".join(self.text).split())
+        if self.tag in ("title", "h1") and value:
+            self.found.append((self.tag, value))
+        elif self.tag in ("th", "dt"):
+            self.label = value
+        elif self.tag in ("td", "dd"):
+            if self.label and value:
+                self.found.append((self.label, value))
+            self.label = None
+        self.tag, self.text = None, []
+
+
+def page_facts(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, field, value): each page's facts, the first value of a field wins. A NULL page has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, text in zip(batch["k"], batch["h"], strict=True):
+                parser = _Facts()
+                parser.feed(text or "")
+                parser.close()
+                first = {}
+                for field, value in parser.found:
+                    first.setdefault(field.lower(), value)
+                rows += [(k, f, v) for f, v in first.items()]
+            yield pd.DataFrame(rows, columns=["k", "field", "value"])
+
+    kind = pages.schema[key].dataType.simpleString()
+    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, field string, value string")
+    return out.withColumnRenamed("k", key)
