@@ -51,14 +51,14 @@ def without_twins(df: DataFrame, group: str, key: Column, swap: Column) -> DataF
 def contained_names(inputs: DataFrame, text: str, input_key: str, names: DataFrame, name: str, name_key: str, least: int) -> DataFrame:
     """(input, name): the name all of whose tokens are in the input's text, if it alone has the most of
     at least ``least``. Joined on single tokens, so only names that share one meet an input."""
-    a = inputs.select(input_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("t"))
-    b = names.select(name_key, F.array_distinct(tokens(F.col(name))).alias("own"))
-    b = b.select(name_key, F.size("own").alias("n"), F.explode("own").alias("t")).where(F.col("n") >= least)
-    whole = a.join(b, "t").groupBy(input_key, name_key, "n").agg(F.count(F.lit(1)).alias("hit")).where("hit = n")
+    a = inputs.select(input_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("__t"))
+    b = names.select(name_key, F.array_distinct(tokens(F.col(name))).alias("__own"))
+    b = b.select(name_key, F.size("__own").alias("__n"), F.explode("__own").alias("__t")).where(F.col("__n") >= least)
+    whole = a.join(b, "__t").groupBy(input_key, name_key, "__n").agg(F.count(F.lit(1)).alias("__hit")).where("__hit = __n")
     best = whole.groupBy(input_key).agg(
-        F.max("n").alias("n"), F.max_by(name_key, F.struct("n", name_key)).alias(name_key), F.sort_array(F.collect_list("n"), False).alias("ns")
+        F.max("__n").alias("shared"), F.max_by(name_key, F.struct("__n", name_key)).alias(name_key), F.sort_array(F.collect_list("__n"), False).alias("__ns")
     )
-    return best.where("size(ns) = 1 OR ns[0] > ns[1]").select(input_key, name_key, F.col("n").alias("shared"))
+    return best.where("size(__ns) = 1 OR __ns[0] > __ns[1]").select(input_key, name_key, "shared")
 
 
 def disable_siblings(df: DataFrame, base: Column, over: Column, flag: str) -> DataFrame:

@@ -97,7 +97,7 @@ class _Facts(HTMLParser):
             self.tag, self.text = tag, []
 
     def handle_endtag(self, tag):
-        if tag == self.tag:
+        if tag in (self.tag, "tr", "dl", "table"):
             self._close()
 
     def handle_data(self, data):
@@ -127,6 +127,7 @@ def page_facts(pages: DataFrame, key: str, html: str) -> DataFrame:
                 parser = _Facts()
                 parser.feed(text or "")
                 parser.close()
+                parser._close()
                 first = {}
                 for field, value in parser.found:
                     first.setdefault(field.lower(), value)
