@@ -8,14 +8,14 @@ from .base import Registry
 
 registry = Registry()
 query = registry.add
-ONE = F.lit(1)
+
 
 
 @query("""SELECT p_brand, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (p_size > 25) AS BIGINT) AS large, CAST(count(*) FILTER (p_type = 'PROMO') AS BIGINT) AS promo,
     CAST(count(DISTINCT p_name) AS BIGINT) AS names FROM part GROUP BY p_brand""")
 def coverage_counts(t):
     return t("part").groupBy("p_brand").agg(
-        F.count(ONE).alias("n"), F.count_if(F.col("p_size") > 25).alias("large"), F.count_if(F.col("p_type") == "PROMO").alias("promo"), F.countDistinct("p_name").alias("names")
+        F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("large"), F.count_if(F.col("p_type") == "PROMO").alias("promo"), F.countDistinct("p_name").alias("names")
     )
 
 
@@ -53,14 +53,14 @@ def daily_budget(t):
 
 @query("SELECT p_brand, p_type, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY p_brand) AS DOUBLE), 6) AS share FROM part GROUP BY 1, 2")
 def category_vector(t):
-    n = t("part").groupBy("p_brand", "p_type").agg(F.count(ONE).alias("n"))
+    n = t("part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
     return n.select("p_brand", "p_type", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("p_brand")), 6).alias("share"))
 
 
 @query("""SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest, CAST(count(*) AS BIGINT) AS turns FROM conversations GROUP BY conv_id""")
 def concat_by_parent(t):
     rows = t("conversations").select("conv_id", "turn", "text")
-    n = rows.groupBy("conv_id").agg(F.count(ONE).alias("turns"))
+    n = rows.groupBy("conv_id").agg(F.count("*").alias("turns"))
     return A.concat_ordered(rows, ["conv_id"], "turn", "text").join(n, "conv_id").select("conv_id", F.md5("text").alias("digest"), "turns")
 
 
@@ -75,7 +75,7 @@ def median_fallback(t):
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def latency_percentiles(t):
     return t("events").groupBy("event_type").agg(
-        F.count(ONE).alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95")
+        F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95")
     )
 
 
@@ -101,7 +101,7 @@ def panel_means(t):
 def quality_summary(t):
     good, safe = F.col("quality") == 1, F.col("toxic") == 0
     return t("labels").join(t("documents").select("doc_id", "lang", "n_chars"), "doc_id").groupBy("lang").agg(
-        F.count(ONE).alias("n"), F.count_if(good).alias("good"), F.count_if(safe).alias("safe"), F.round(F.avg((good & safe).cast("int")), 6).alias("both_rate"),
+        F.count("*").alias("n"), F.count_if(good).alias("good"), F.count_if(safe).alias("safe"), F.round(F.avg((good & safe).cast("int")), 6).alias("both_rate"),
         F.round(F.avg((good == safe).cast("int")), 6).alias("agree"), F.round(F.percentile("n_chars", F.lit(0.95)), 4).alias("p95"),
     )
 
@@ -183,7 +183,7 @@ def tag_vote_lift(t):
     """Tags over-represented among each brand's large parts."""
     tags = _tags(t).select("p_partkey", "tag").distinct()
     voters = t("part").where("p_size > 40").select(F.col("p_brand").alias("query"), "p_partkey")
-    votes = voters.join(tags, "p_partkey").join(voters.groupBy("query").agg(F.count(ONE).alias("c")), "query")
+    votes = voters.join(tags, "p_partkey").join(voters.groupBy("query").agg(F.count("*").alias("c")), "query")
     rates = A.base_rates(_tags(t), "p_partkey", "tag")
     return A.vote_tags(votes, "query", "tag", F.col("c"), rates, 0.1, 1.1).select("query", "tag", F.round("share", 6).alias("share"), "rank")
 
@@ -192,7 +192,7 @@ def tag_vote_lift(t):
     SELECT a.p_brand, round(sum(a.n * b.n) / (ma.len * mb.len), 6) AS cosine FROM v a JOIN v b ON a.p_type = b.p_type AND b.p_brand = 'Brand#1' JOIN m ma ON ma.p_brand = a.p_brand JOIN m mb ON mb.p_brand = 'Brand#1' GROUP BY a.p_brand, ma.len, mb.len""")
 def sparse_cosine(t):
     """Each brand's type profile against one brand's."""
-    n = t("part").groupBy("p_brand", "p_type").agg(F.count(ONE).cast("double").alias("n"))
+    n = t("part").groupBy("p_brand", "p_type").agg(F.count("*").cast("double").alias("n"))
     maps = n.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "n"))).alias("m"))
     one = maps.where("p_brand = 'Brand#1'").select(F.col("m").alias("other"))
     return maps.crossJoin(F.broadcast(one)).select("p_brand", F.round(V.sparse_cosine(F.col("m"), F.col("other")), 6).alias("cosine"))
@@ -269,7 +269,7 @@ def paired_metrics(t):
     """Two models and a constant on the rows that both answer."""
     rows = _pred(t).where("pred IS NOT NULL AND truth IS NOT NULL").withColumn("other", 1 + F.col("p_size") % 4)
     mae = lambda c: F.round(F.avg(F.abs(c - F.col("truth"))), 6)
-    return rows.groupBy("p_type").agg(F.count(ONE).alias("n"), mae(F.col("pred")).alias("mae_a"), mae(F.col("other")).alias("mae_b"), mae(F.lit(3)).alias("mae_constant"))
+    return rows.groupBy("p_type").agg(F.count("*").alias("n"), mae(F.col("pred")).alias("mae_a"), mae(F.col("other")).alias("mae_b"), mae(F.lit(3)).alias("mae_constant"))
 
 
 @query(f"""WITH {PRED_SQL}, m AS (SELECT p_brand, avg(pred) - avg(truth) AS shift FROM p WHERE pred IS NOT NULL AND truth IS NOT NULL GROUP BY 1)
@@ -280,7 +280,7 @@ def recentered_agreement(t):
     shift = _pred(t).where(both).groupBy("p_brand").agg((F.avg("pred") - F.avg("truth")).alias("shift"))
     rows = _pred(t).where("truth IS NOT NULL").join(shift, "p_brand")
     return rows.groupBy("p_brand").agg(
-        F.count(ONE).alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("shift") - F.col("truth"))), 6).alias("mae"), (F.round(F.avg(F.col("pred").isNotNull().cast("int")), 6) >= 0.9).alias("go")
+        F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("shift") - F.col("truth"))), 6).alias("mae"), (F.round(F.avg(F.col("pred").isNotNull().cast("int")), 6) >= 0.9).alias("go")
     )
 
 
@@ -336,5 +336,5 @@ def calibration_levels(t):
     SELECT CAST(count(*) AS BIGINT) AS stores, CAST(count(*) FILTER (hit > 0) AS BIGINT) AS with_any, round(sum(hit) / CAST(sum(n) AS DOUBLE), 6) AS rate FROM s""")
 def scan_yield(t):
     """How many sources mention a word at all, and the share of documents that do."""
-    s = t("documents").groupBy("source").agg(F.count(ONE).alias("n"), F.count_if(F.col("text").ilike("%license%")).alias("hit"))
-    return s.agg(F.count(ONE).alias("stores"), F.count_if(F.col("hit") > 0).alias("with_any"), F.round(F.sum("hit") / F.sum("n"), 6).alias("rate"))
+    s = t("documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("text").ilike("%license%")).alias("hit"))
+    return s.agg(F.count("*").alias("stores"), F.count_if(F.col("hit") > 0).alias("with_any"), F.round(F.sum("hit") / F.sum("n"), 6).alias("rate"))

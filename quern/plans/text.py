@@ -10,7 +10,7 @@ from .base import Registry
 
 registry = Registry()
 query = registry.add
-ONE = F.lit(1)
+
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM documents)
@@ -19,13 +19,13 @@ def token_tagger(t):
     """Words tagged by their endings, counted by document: exploded, no Python."""
     w = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("t"))
     tag = F.when(F.col("t").endswith("ing"), "ing").when(F.col("t").endswith("tion"), "tion").when(F.col("t").endswith("es"), "es")
-    return w.select("doc_id", tag.alias("tag")).where("tag IS NOT NULL").groupBy("doc_id", "tag").agg(F.count(ONE).alias("n"))
+    return w.select("doc_id", tag.alias("tag")).where("tag IS NOT NULL").groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id, array_to_string(list_distinct_sorted, ',') AS tags FROM (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '(thereof|there|with|from|avec|para)', 1))) AS list_distinct_sorted FROM documents)""")
 def prose_tagger(t):
     """Vocabulary words as written, the longest at each place."""
-    found = F.regexp_extract_all(F.lower("text"), F.lit("(thereof|there|with|from|avec|para)"), ONE)
+    found = F.regexp_extract_all(F.lower("text"), F.lit("(thereof|there|with|from|avec|para)"), F.lit(1))
     return t("documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("tags"))
 
 
@@ -59,9 +59,9 @@ def weak_labels(t):
     SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (a <> b) AS BIGINT) AS changed, CAST(sum(b - a) AS BIGINT) AS gained FROM x GROUP BY lang""")
 def before_after_diff(t):
     """What a longer vocabulary adds, by language."""
-    tags = lambda p: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({p})"), ONE))
+    tags = lambda p: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({p})"), F.lit(1)))
     gained = F.size(F.array_except(tags("with|from|avec|von"), tags("with|from")))
-    return t("documents").select("lang", gained.alias("g")).groupBy("lang").agg(F.count(ONE).alias("n"), F.count_if(F.col("g") > 0).alias("changed"), F.sum("g").alias("gained"))
+    return t("documents").select("lang", gained.alias("g")).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("g") > 0).alias("changed"), F.sum("g").alias("gained"))
 
 
 @query("""WITH g AS (SELECT source, count(*) AS n, count(*) FILTER (text ILIKE '%with%') AS r FROM documents GROUP BY source),
@@ -69,11 +69,11 @@ def before_after_diff(t):
     SELECT CAST(count(*) AS BIGINT) AS halves, round(min(share), 6) AS low, round(max(share), 6) AS high FROM x""")
 def group_halves(t):
     """The readable share over halves of the groups: counted by group once, then combined."""
-    g = t("documents").groupBy("source").agg(F.count(ONE).alias("n"), F.count_if(F.col("text").ilike("%with%")).alias("r"))
+    g = t("documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("text").ilike("%with%")).alias("r"))
     number = F.substring("source", 4, 9).cast("long")
     rows = g.select("n", "r", number.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("h")).where("shiftright(b, h) & 1 = 0")
     halves = rows.groupBy("h").agg((F.sum("r") / F.sum("n")).alias("share"))
-    return halves.agg(F.count(ONE).alias("halves"), F.round(F.min("share"), 6).alias("low"), F.round(F.max("share"), 6).alias("high"))
+    return halves.agg(F.count("*").alias("halves"), F.round(F.min("share"), 6).alias("low"), F.round(F.max("share"), 6).alias("high"))
 
 
 @query(None)
@@ -154,7 +154,7 @@ LOG_SQL = "l AS (SELECT event_id, event_type AS evt, CAST(floor(value) AS BIGINT
 
 @query(f"WITH {LOG_SQL} SELECT evt, CAST(count(*) AS BIGINT) AS n, CAST(sum(ms) AS BIGINT) AS ms FROM l GROUP BY evt")
 def log_parse(t):
-    return parsed_logs(_lines(t)).groupBy("evt").agg(F.count(ONE).alias("n"), F.sum(F.col("fields")["ms"].cast("long")).alias("ms"))
+    return parsed_logs(_lines(t)).groupBy("evt").agg(F.count("*").alias("n"), F.sum(F.col("fields")["ms"].cast("long")).alias("ms"))
 
 
 @query(f"""WITH {LOG_SQL} SELECT CAST(count(*) AS BIGINT) AS requests, round(count(*) FILTER (evt = 'error') / CAST(count(*) AS DOUBLE), 6) AS error_rate, round(count(*) FILTER (evt = 'purchase') / CAST(nullif(count(*) FILTER (evt = 'view'), 0) AS DOUBLE), 6) AS buys_per_view,
@@ -162,7 +162,7 @@ def log_parse(t):
 def log_kpis(t):
     evt, ms = F.col("evt"), F.col("fields")["ms"].cast("double")
     return parsed_logs(_lines(t)).agg(
-        F.count(ONE).alias("requests"), F.round(F.count_if(evt == "error") / F.count(ONE), 6).alias("error_rate"),
+        F.count("*").alias("requests"), F.round(F.count_if(evt == "error") / F.count("*"), 6).alias("error_rate"),
         F.round(F.count_if(evt == "purchase") / F.nullif(F.count_if(evt == "view"), F.lit(0)), 6).alias("buys_per_view"),
         F.round(F.percentile(ms, F.lit(0.5)), 4).alias("p50"), F.round(F.percentile(ms, F.lit(0.95)), 4).alias("p95"),
     )
