@@ -99,3 +99,43 @@ def like_escaped(query: str) -> str:
 def tokens(text: Column) -> Column:
     """Lower-cased words of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != "")
+
+
+def amount(text: Column) -> tuple[Column, Column]:
+    """(number, unit) of a text such as "355 ml"."""
+    found = r"([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]+)"
+    return number(F.nullif(F.regexp_extract(text, found, 1), F.lit(""))), F.nullif(F.lower(F.regexp_extract(text, found, 2)), F.lit(""))
+
+
+def per_serving(value: Column, basis: Column, serving: Column) -> Column:
+    """A value given per basis amount, scaled to a serving; NULL without a basis."""
+    return value * serving / F.nullif(basis, F.lit(0))
+
+
+def grams(text: Column) -> Column:
+    """A weight in grams; kilograms are converted."""
+    n, unit = amount(text)
+    return F.when(unit == "kg", n * 1000).when(unit == "g", n)
+
+
+def price(text: Column) -> Column:
+    """The first number of a price text, separators of thousands left out."""
+    return F.regexp_replace(F.nullif(F.regexp_extract(text, r"([0-9][0-9,]*)", 1), F.lit("")), ",", "").try_cast("long")
+
+
+def match_name(text: Column) -> Column:
+    """A name for matching: lower case, without brackets' contents, blanks and punctuation."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"\([^)]*\)|\[[^\]]*\]", ""), r"[\s\p{Punct}]+", "")
+
+
+def slug(name: Column, known: dict[str, str], prefix: str) -> Column:
+    """A known name's key, or a prefix and the name's hash."""
+    pairs = [F.lit(x) for kv in known.items() for x in kv]
+    listed = F.create_map(*pairs)[name] if pairs else F.lit(None).cast("string")
+    return F.coalesce(listed, F.concat(F.lit(prefix), F.substring(F.sha1(name), 1, 8)))
+
+
+def is_note_list(text: Column, most: int = 24) -> Column:
+    """Whether a text is a list of short notes and no prose."""
+    parts = F.split(text, ",")
+    return (F.size(parts) > 1) & ~text.contains(".") & F.forall(parts, lambda p: F.length(F.trim(p)).between(1, most))

@@ -95,3 +95,47 @@ def profile_fold(events: DataFrame, user: str, order: list[str], rating: str, va
     begin = F.struct(F.lit(start).alias("p"), F.lit(0.0).alias("n"))
     step = lambda a, e: F.struct(profile_step(a["p"], a["n"], e["r"], e["v"]).alias("p"), (a["n"] + 1).alias("n"))
     return events.groupBy(user).agg(F.aggregate(listed, begin, step).alias("x")).select(user, F.col("x.p").alias("preference"), F.col("x.n").cast("long").alias("events"))
+
+
+def subset_errors(df: DataFrame, features: list[str], target: str, subsets: dict[str, list[str]], alpha: float) -> dict[str, float]:
+    """In-sample mean squared error of ridge on each subset of the features, from one Gram: no further pass."""
+    cells = gram(df, features, target).collect()
+    value = {(c["i"], c["j"]): c["s"] for c in cells} | {(c["j"], c["i"]): c["s"] for c in cells}
+    out = {}
+    for name, chosen in subsets.items():
+        w = solve(cells, chosen, alpha)
+        fit = sum(a * b * value[(i, j)] for i, a in w.items() for j, b in w.items())
+        cross = sum(a * value[(i, "y")] for i, a in w.items())
+        out[name] = (value[("y", "y")] - 2 * cross + fit) / value[("1", "1")]
+    return out
+
+
+def boosted_importances(df: DataFrame, features: list[str], target: str, trees: int = 10, depth: int = 3, seed: int = 42) -> DataFrame:
+    """(feature, importance) of a gradient-boosted regression. Rows with a NULL are left out."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(df.select(*features, F.col(target).alias("__y")).dropna())
+    model = GBTRegressor(featuresCol="__x", labelCol="__y", maxIter=trees, maxDepth=depth, seed=seed).fit(rows)
+    return df.sparkSession.createDataFrame(list(zip(features, map(float, model.featureImportances.toArray()), strict=True)), "feature string, importance double")
+
+
+def tag_models(df: DataFrame, features: list[str], tags: str, least: int, threshold: float = 0.5) -> DataFrame:
+    """(tag, n, precision, recall): one logistic regression for every tag with at least ``least`` rows.
+
+    The tags are a vocabulary, so the loop over them is short; each fit is a Spark job over all rows.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = VectorAssembler(inputCols=features, outputCol="__x").transform(df.dropna(subset=features)).select("__x", tags)
+    counts = rows.select(F.explode(F.array_distinct(tags)).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    out = []
+    for r in counts.orderBy("tag").collect():
+        labelled = rows.select("__x", F.array_contains(tags, r["tag"]).cast("double").alias("__y"))
+        scored = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=0.01).fit(labelled).transform(labelled)
+        said = vector_to_array("probability")[1] >= threshold
+        c = scored.agg(F.count_if(said & (F.col("__y") == 1)).alias("tp"), F.count_if(said).alias("said")).first()
+        out.append((r["tag"], r["n"], c["tp"] / c["said"] if c["said"] else 0.0, c["tp"] / r["n"]))
+    return df.sparkSession.createDataFrame(out, "tag string, n long, precision double, recall double")

@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from .. import sources as S
 from ..functions import text as T
-from ..operators import learning as L
+from ..operators import learning as L, tagger as G
 from ..streaming import parsed_logs
 from .base import Registry
 
@@ -174,3 +174,41 @@ def dynamic_counters(t):
     counters = F.map_filter("fields", lambda k, v: k.startswith("fb_"))
     rows = parsed_logs(_lines(t)).select("evt", F.explode(counters).alias("counter", "v"))
     return rows.groupBy("evt", "counter").agg(F.sum(F.col("v").cast("long")).alias("total"))
+
+
+@query(None)
+def dictionary_tagger(t):
+    """Vocabulary terms of every document, as whole words, longer ones first."""
+    terms = ["with", "from", "that", "this", "avec", "pour", "nicht", "para", "that the", "of the"]
+    return G.tag_text(t("documents"), "doc_id", "text", G.WholeWords(terms, {"con": "with"})).select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(None)
+def lexicon_scores(t):
+    """The summed weights of lexicon words, damped after a negation."""
+    lexicon = {"and": 1.0, "with": 2.0, "for": -1.0}
+    scored = G.score_text(t("benchmark"), "item_id", "text", lambda text: G.weighted_hits(text, lexicon, ("the",)))
+    return scored.withColumn("score", F.round("score", 6))
+
+
+@query(None)
+def boosted_baseline(t):
+    """Feature importances of a boosted regression of the price."""
+    rows = t("part").select(F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 10).cast("double").alias("digit"), "p_retailprice")
+    return L.boosted_importances(rows, ["size", "digit"], "p_retailprice").withColumn("importance", F.round("importance", 6))
+
+
+@query(None)
+def tag_models(t):
+    """A logistic model for each of the items' frequent words."""
+    rows = t("part").select(F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), F.slice(F.split("p_name", " "), 1, 1).alias("tags"))
+    return L.tag_models(rows, ["size", "price"], "tags", 30)
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS rn FROM orders)
+    SELECT o_orderkey, CAST(1.0 AS DOUBLE) AS similarity FROM c WHERE rn <= 50""")
+def fallback_pool(t):
+    """The first fifty rows of every class, all as near: neighbours for rows without a vector."""
+    w = Window.partitionBy("o_orderpriority", "o_orderstatus").orderBy("o_orderkey")
+    rows = t("orders").select("o_orderkey", F.row_number().over(w).alias("rn")).where("rn <= 50")
+    return rows.select("o_orderkey", F.lit(1.0).alias("similarity"))

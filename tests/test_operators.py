@@ -140,3 +140,33 @@ def test_results_do_not_depend_on_partitions(spark, sf):
     for n in (1, 7):
         got = values(R.top_k(part.repartition(n), ["p_brand"], [F.col("p_size").desc(), F.col("p_partkey")], 2), "p_brand", "p_partkey")
         assert got == values(R.top_k(part, ["p_brand"], [F.col("p_size").desc(), F.col("p_partkey")], 2), "p_brand", "p_partkey")
+
+
+def test_whole_word_tagger():
+    from quern.operators.tagger import Substrings, WholeWords, lexicon_mean, weighted_hits
+
+    tag = WholeWords(["berry", "black berry", "lemon", "tea"], {"citrus": "lemon"})
+    assert tag("Black berry and berries, citrus teas; steam") == ["black berry", "lemon", "tea"]
+    assert tag("berry then black berry") == ["black berry"]
+    assert tag(None) == [] and tag("blackberry") == []
+    assert Substrings(["rose", "fig", "t"], ["primrose"])("primrose jam, figs; T / x") == ["fig", "t"]
+    assert lexicon_mean("very sweet and sweet", {"sweet": 3.0, "very sweet": 5.0}) == 4.0
+    assert lexicon_mean("dry", {"sweet": 3.0}) is None
+    assert abs(weighted_hits("sweet, not sweet", {"sweet": 2.0}) - 2.3) < 1e-12
+
+
+def test_amounts_and_names(spark):
+    r = spark.range(1).select(
+        T.grams(F.lit("1.5 kg")).alias("a"), T.grams(F.lit("200g")).alias("b"), T.grams(F.lit("2 l")).alias("c"), T.price(F.lit("KRW 12,500")).alias("d"),
+        T.match_name(F.lit("Iced Latte (L) - Big")).alias("e"), T.slug(F.lit("x"), {"x": "kx"}, "k-").alias("f"), T.slug(F.lit("y"), {"x": "kx"}, "k-").alias("g"),
+        T.is_note_list(F.lit("a, b, c")).alias("h"), T.is_note_list(F.lit("A sentence, with a period.")).alias("i"), T.per_serving(F.lit(10.0), F.lit(0.0), F.lit(2.0)).alias("j"),
+    ).first()
+    assert (r.a, r.b, r.c, r.d, r.e, r.f, r.h, r.i, r.j) == (1500.0, 200.0, None, 12500, "icedlattebig", "kx", True, False, None)
+    assert r.g.startswith("k-") and len(r.g) == 10
+
+
+def test_subsets_from_one_gram(spark):
+    rows = [(float(i), float(i % 3), 2.0 * i) for i in range(12)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    e = L.subset_errors(df, ["a", "b"], "y", {"all": ["a", "b"], "a": ["a"], "b": ["b"]}, 0.0)
+    assert abs(e["all"]) < 1e-8 and abs(e["a"]) < 1e-8 < e["b"]
