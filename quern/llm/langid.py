@@ -10,11 +10,11 @@ their ids; scoring reads every whole text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKETS = 1 << 13
@@ -23,7 +23,7 @@ PER_LANGUAGE, LANDMARKS = 400, 40
 MAX_LANGUAGES = 64
 RIDGE = 1e-2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SHIFT = np.uint32(32 - 13)
 
 
