@@ -137,3 +137,32 @@ def threshold_sweep(df: DataFrame, value: str, truth: Column) -> DataFrame:
     every = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     swept = counts.withColumn("tp", F.sum("pos").over(above)).withColumn("fp", F.sum("neg").over(above)).crossJoin(F.broadcast(every))
     return swept.select("threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("n") - F.col("fp")).alias("tn"))
+
+
+def weighted_stats(df: DataFrame, query: str, similarity: str, values: list[str], floor: float = 0.01, least: int = 3) -> DataFrame:
+    """Per query: each value's similarity-weighted mean and population deviation, and a confidence.
+
+    Weights are at least ``floor``; NULL values are left out, and fewer than ``least`` give NULL. The
+    confidence comes from the mean of the deviations: high up to 0.7, medium up to 1.2, else low. Each
+    value takes its sums of w, w*v and w*v*v about its group's first value in one aggregation.
+    """
+    w = F.greatest(F.col(similarity), F.lit(floor))
+    shifts = df.groupBy(query).agg(*[F.first(v, ignorenulls=True).alias(f"__s_{v}") for v in values])
+    rows = df.join(shifts, query).withColumn("__w", w)
+    sums = []
+    for v in values:
+        d = F.col(v) - F.col(f"__s_{v}")
+        has = F.when(F.col(v).isNotNull(), F.col("__w"))
+        sums += [F.sum(has).alias(f"__w_{v}"), F.sum(has * d).alias(f"__a_{v}"), F.sum(has * d * d).alias(f"__b_{v}"), F.count(v).alias(f"__n_{v}"), F.first(f"__s_{v}").alias(f"__o_{v}")]
+    out = rows.groupBy(query).agg(*sums)
+    columns = [F.col(query)]
+    for v in values:
+        enough = F.col(f"__n_{v}") >= least
+        mean = F.col(f"__a_{v}") / F.col(f"__w_{v}")
+        spread = F.sqrt(F.greatest(F.col(f"__b_{v}") / F.col(f"__w_{v}") - mean * mean, F.lit(0.0)))
+        columns += [F.when(enough, F.col(f"__o_{v}") + mean).alias(v), F.when(enough, spread).alias(f"{v}_std")]
+    stats = out.select(*columns)
+    known = F.array_compact(F.array(*[F.col(f"{v}_std") for v in values]))
+    average = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
+    level = F.when(average <= 0.7, "high").when(average <= 1.2, "medium").otherwise("low")
+    return stats.withColumn("confidence", level)

@@ -1,8 +1,8 @@
 """Queries: joins and nearest neighbours."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from ..operators import joins as J
+from ..operators import aggregates as A, joins as J
 from .base import Registry
 
 registry = Registry()
@@ -185,9 +185,7 @@ def weighted_neighbor_stats(t):
     """Similarity-weighted mean and deviation of the neighbours' labels."""
     v = t("embeddings").select("vec_id", "embedding", "label")
     near = J.knn(v.where("vec_id % 100 = 0"), v.drop("label"), key="vec_id", vector="embedding", k=10)
-    rows = near.join(v.select(F.col("vec_id").alias("neighbor"), F.col("label").cast("double").alias("v")), "neighbor").withColumn("w", F.greatest("similarity", F.lit(0.01)))
-    rows = rows.withColumn("mean", F.sum(F.col("w") * F.col("v")).over(Window.partitionBy("query")) / F.sum("w").over(Window.partitionBy("query")))
-    d = F.col("v") - F.col("mean")
-    return rows.groupBy("query").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.first("mean"), 6).alias("mean"), F.round(F.sqrt(F.sum(F.col("w") * d * d) / F.sum("w")), 6).alias("std")
-    )
+    rows = near.join(v.select(F.col("vec_id").alias("neighbor"), F.col("label").cast("double").alias("v")), "neighbor")
+    n = rows.groupBy("query").agg(F.count("*").alias("n"))
+    stats = A.weighted_stats(rows, "query", "similarity", ["v"]).join(n, "query")
+    return stats.select("query", "n", F.round("v", 6).alias("mean"), F.round("v_std", 6).alias("std"))

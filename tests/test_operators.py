@@ -170,3 +170,12 @@ def test_subsets_from_one_gram(spark):
     df = spark.createDataFrame(rows, "a double, b double, y double")
     e = L.subset_errors(df, ["a", "b"], "y", {"all": ["a", "b"], "a": ["a"], "b": ["b"]}, 0.0)
     assert abs(e["all"]) < 1e-8 and abs(e["a"]) < 1e-8 < e["b"]
+
+
+def test_weighted_neighbours(spark):
+    rows = [("q", 0.9, 4.0, 2.0, None), ("q", 0.8, 4.0, 2.0, 1.0), ("q", 0.7, 5.0, 2.0, None), ("q", 0.6, 4.0, 3.0, 1.0), ("r", 0.9, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "q string, s double, acidity double, body double, sweetness double")
+    got = {r.q: r for r in A.weighted_stats(df, "q", "s", ["acidity", "body", "sweetness"]).collect()}
+    assert round(got["q"].acidity, 2) == 4.23 and round(got["q"].body, 2) == 2.2
+    assert got["q"].sweetness is None and got["q"].confidence == "high"
+    assert (got["r"].acidity, got["r"].confidence) == (None, "low")
