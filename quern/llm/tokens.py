@@ -13,8 +13,9 @@ import functools
 import numpy as np
 import regex
 
-#: Entries after which a worker forgets its memo: bounds its memory, never the result.
-MEMO_ENTRIES = 1_500_000
+#: Entries of each memo: bounds a worker's memory, never the result. The frequent words come first, so a
+#: full memo keeps what it has.
+MEMO_ENTRIES = 300_000
 
 
 #: What the tokenizer splits lower-cased text into.
@@ -42,15 +43,12 @@ class ChunkIds(dict):
         self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-            self.pieces.clear()
         text = chunk.decode("utf-8", "replace")
         if PLAIN.fullmatch(text):
             ids = b"".join([self.piece(p) for p in PIECE.findall(text.lower())])
         else:
             ids = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(chunk) <= 64:
+        if len(chunk) <= 64 and len(self) < MEMO_ENTRIES:
             self[chunk] = ids
         return ids
 
@@ -59,7 +57,7 @@ class ChunkIds(dict):
         if ids is None:
             spelled = "".join([self.letters[x] for x in piece.encode("utf-8")])
             ids = _packed([t.id for t in self.model.tokenize(spelled)])
-            if len(piece) <= 64:
+            if len(piece) <= 64 and len(self.pieces) < MEMO_ENTRIES:
                 self.pieces[piece] = ids
         return ids
 
