@@ -110,9 +110,9 @@ def propagate(
             swap = False
     placed = staged(linked.join(state.drop("n"), ["group", "salt", "first"]), "placed")
     # whatever stands above a shard's quota is free again, in whole parts as far as possible
-    ranked = staged(
-        gapless_rank(placed, ["now"], ["group", "salt", "doc_id"], "slot", F.xxhash64("group", "salt")), "ranked"
-    )
+    # a large part lies in 16 buckets that follow each other
+    bucket = F.pmod(F.xxhash64("group", "salt"), F.lit(64)) * 16 + F.pmod(F.xxhash64("doc_id"), F.lit(16))
+    ranked = staged(gapless_rank(placed, ["now"], ["group", "salt", "doc_id"], "slot", bucket), "ranked")
     keeps = F.col("slot") < _by_shard(F.col("now"), quotas)
     kept = ranked.where(keeps).withColumn("shard", F.col("now"))
     columns = [*nodes.columns, "shard", "slot"]
