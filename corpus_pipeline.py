@@ -24,7 +24,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = staged(simhash.near_duplicates(docs).select("doc_id", "component_id"), "groups")
     first = staged(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "first")
-    kept = docs.join(first.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # most documents stay, so the ids grow with the table: a merge join at every size, never a broadcast
+    ids = first.withColumnRenamed("doc_id", "__id").hint("merge")
+    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     if first.where("n > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id"])
