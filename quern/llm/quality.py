@@ -237,22 +237,27 @@ def judged(
     rows are judged each, an empty table gives no rows. To carry columns that are named as a measure is
     an error Spark reports.
     """
-    rows = references(docs, common).orderBy("lang", "class", "word").limit(MAX_LANGUAGES * (common + CLASSES + 1)).collect()
+    told = staged(references(docs, common), "references")
+    largest = told.where("class is not null").groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES)
+    rows = told.join(F.broadcast(largest.select("lang")), "lang").collect()  # MAX_LANGUAGES x (common + CLASSES + 1) at most
     judge = Judge(_tables(rows, MAX_LANGUAGES), max_char, max_word, max_share)
     kept = docs.columns if carry else ["doc_id"]
     extra = len(kept)
-    picked = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("__text"), F.col("lang").cast("string").alias("__lang"))
+    # carried columns cross to Python once, also the text and the language
+    read = [F.col(f"`{c}`") for c in kept] + ([] if carry else [F.col("text"), F.col("lang")])
+    picked = docs.select(*read)
+    text_at, lang_at = (kept.index("text"), kept.index("lang")) if carry else (extra, extra + 1)
     measures = [x.split()[0] for x in MEASURES.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
         for batch in batches:
             out = []
-            for text, lang in zip(batch.column(extra).to_pylist(), batch.column(extra + 1).to_pylist(), strict=True):
+            for text, lang in zip(batch.column(text_at).to_pylist(), batch.column(lang_at).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8")
                 words = raw.split()
                 base = basics(raw, words)
-                by_char, by_word, fine = (None, None, False) if base[5] else judge(raw, words, lang)
+                by_char, by_word, fine = (None, None, False) if base[5] else judge(raw, words, None if lang is None else str(lang))
                 out.append((*base, by_char, by_word, fine and not base[5]))
             columns = list(zip(*out, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays(
