@@ -5,8 +5,11 @@ increasing subsequence of these anchors is kept, and the gaps between them are a
 more words are unique. Coverage is the share of the template's words that are matched.
 
 Regions are found without a scan per template: an alignment that covers ``share`` of a template's words
-matches at least one of any set of more than (1 - share) of its words, so regions around every occurrence
-of so many of its rarest words in the text miss none.
+matches at least one of any set of more than (1 - share) of its words, so regions start around every occurrence
+of so many of its rarest words in the text. Each grows beyond its outermost matched words while that adds
+matches, so words may be inserted in any number of places. A gap between two matched words is only crossed up to
+the length of a first region (n + 2 * (n // 4 + 1) words, n in the template): words farther apart are
+taken for different passages.
 """
 
 from __future__ import annotations
@@ -114,6 +117,41 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def grown(a: list[str], b: list[str], lo: int, hi: int, reach: int) -> list[tuple[int, int]]:
+    """Matches of ``a`` in b[lo:hi] and in what lies up to ``reach`` words beyond them, for as long as
+    that adds some; positions count from the start of ``b``."""
+
+    def aligned(lo: int, hi: int, i: int = 0, k: int = len(a)) -> list[tuple[int, int]]:
+        return [(i + x, lo + y) for x, y in patience(a[i:k], b[lo:hi])]
+
+    pairs = aligned(lo, hi)
+    while pairs and len(pairs) < len(a):
+        (i, first), (k, last) = pairs[0], pairs[-1]
+        left, right = max(0, first - reach), min(len(b), last + 1 + reach)
+        wider = aligned(left, first, 0, i) + pairs + aligned(last + 1, right, k + 1)
+        if len(wider) == len(pairs):
+            # a wider region repeats more words, which then are no anchors: each side is tried alone too
+            wider = max((aligned(x, y) for x, y in ((left, last + 1), (first, right), (left, right))), key=len)
+        if len(wider) <= len(pairs):
+            # the template's next words may stand there without being unique in its rest
+            wider = list(pairs)
+            if i and a[i - 1] in b[left:first]:
+                wider.insert(0, (i - 1, first - 1 - b[left:first][::-1].index(a[i - 1])))
+            if k + 1 < len(a) and a[k + 1] in b[last + 1 : right]:
+                wider.append((k + 1, b.index(a[k + 1], last + 1, right)))
+        if len(wider) <= len(pairs):
+            break
+        pairs = wider
+    # words that a wide region took far from the rest may stand nearer, too
+    while pairs:
+        first, end = pairs[0][1], pairs[-1][1] + 1
+        closer = max((aligned(first + 1, end), aligned(first, end - 1)), key=len)
+        if len(closer) < len(pairs):
+            break
+        pairs = closer
+    return pairs
+
+
 class Scanner:
     """Finds the template that covers a text's best region."""
 
@@ -151,12 +189,12 @@ class Scanner:
                 lo, hi = max(0, start - slack), min(len(words), start + n + slack)
                 if hi <= lo:
                     continue
-                pairs = patience(own, words[lo:hi])
+                pairs = grown(own, words, lo, hi, n + 2 * slack)
                 if len(pairs) < self.share * n:
                     continue
-                found = (len(pairs) / n, n, -(lo + pairs[0][1]))
+                found = (len(pairs) / n, n, -pairs[0][1])
                 if best is None or found > best[0]:
-                    best = (found, (name, len(pairs) / n, len(pairs), lo + pairs[0][1], lo + pairs[-1][1] + 1))
+                    best = (found, (name, len(pairs) / n, len(pairs), pairs[0][1], pairs[-1][1] + 1))
         return best[1] if best else None
 
 

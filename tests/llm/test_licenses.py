@@ -66,6 +66,23 @@ def test_scan_equals_sliding_over_all_regions():
     assert hits > 30
 
 
+def test_notices_with_inserted_words():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.SHARE)
+    text = "Licensed under the Apache License (hereinafter called the License for short), Version 2.0"
+    assert scanner(text) == ("apache-2.0", 1.0, 7, 0, 13)
+    rng = random.Random(4)
+    for name, template in licenses.TEMPLATES.items():
+        own = licenses.words_of(template)
+        for _ in range(3):
+            words = [f"x{rng.random()}".replace(".", "") for _ in range(rng.randint(0, 300))]
+            for w in own:
+                words += [w, *(f"y{k}" for k in range(rng.choice([0, 0, 0, len(own)])))]
+            words += ["z"] * rng.randint(0, 300)
+            whole = licenses.patience(own, words)
+            assert len(whole) == len(own)
+            assert scanner(" ".join(words))[:3] == (name, 1.0, len(own))
+
+
 def test_documents(spark, sf, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
