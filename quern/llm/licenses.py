@@ -15,7 +15,7 @@ taken for different passages.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SHARE = 0.8
+FIELDS = ["license", "coverage", "matched_words", "start_word", "end_word"]
 
 #: Notices as their licences publish them (fixed texts).
 TEMPLATES = {
@@ -125,7 +126,7 @@ def grown(a: list[str], b: list[str], lo: int, hi: int, reach: int) -> list[tupl
         return [(i + x, lo + y) for x, y in patience(a[i:k], b[lo:hi])]
 
     pairs = aligned(lo, hi)
-    while pairs and len(pairs) < len(a):
+    while reach and pairs and len(pairs) < len(a):
         (i, first), (k, last) = pairs[0], pairs[-1]
         left, right = max(0, first - reach), min(len(b), last + 1 + reach)
         wider = aligned(left, first, 0, i) + pairs + aligned(last + 1, right, k + 1)
@@ -152,8 +153,17 @@ def grown(a: list[str], b: list[str], lo: int, hi: int, reach: int) -> list[tupl
     return pairs
 
 
+def _order(x: tuple) -> tuple:
+    # matched over coverage is the template's length
+    return -x[1], -round(x[2] / x[1]), x[3], x[0], x[4]
+
+
+def best_of(notices: list[tuple]) -> tuple | None:
+    return min(notices, key=_order, default=None)
+
+
 class Scanner:
-    """Finds the template that covers a text's best region."""
+    """Finds the regions of a text that cover templates."""
 
     def __init__(self, templates: dict[str, str], share: float):
         self.share = share
@@ -164,17 +174,42 @@ class Scanner:
                 self.of_word[w].add(name)
 
     def __call__(self, text: str) -> tuple | None:
-        """(name, coverage, matched, first word, last word + 1) of the best template, or None.
+        """The best of ``notices``: most coverage, then the longer template, the earlier place, the name."""
+        return best_of(self.notices(text))
 
-        More coverage is better, then the longer template, the earlier place, the name.
+    def notices(self, text: str) -> list[tuple]:
+        """(name, coverage, matched, first word, last word + 1) of the text's notices, in its order.
+
+        Of regions that overlap the better one stays, and one that had to grow never takes another notice's
+        words: it only replaces a smaller region of its own. What lies between is scanned again.
         """
         words = words_of(text)
+        out, todo = [], [(0, len(words))]
+        while todo:
+            lo, hi = todo.pop()
+            chosen: list[tuple] = []
+            near, wide = self._regions(words[lo:hi])
+            for x in sorted(near, key=_order) + sorted(wide - near, key=_order):
+                first = bisect_right(chosen, x[3], key=lambda y: y[4])
+                last = bisect_left(chosen, x[4], key=lambda y: y[3])
+                same = last - first == 1 and chosen[first][0] == x[0] and chosen[first][2] < x[2]
+                if first == last or same and x in wide and x[3] <= chosen[first][3] and chosen[first][4] <= x[4]:
+                    chosen[first:last] = [x]
+            chosen = [(*x[:3], lo + x[3], lo + x[4]) for x in chosen]
+            out += chosen
+            if chosen:
+                edges = [lo, *(p for x in chosen for p in x[3:5]), hi]
+                todo += [(x, y) for x, y in zip(edges[::2], edges[1::2], strict=True) if x < y]
+        return sorted(out, key=lambda x: x[3])
+
+    def _regions(self, words: list[str]) -> tuple[set[tuple], set[tuple]]:
+        """First regions and grown ones that cover a template to the share; they may overlap."""
         places: dict[str, list[int]] = defaultdict(list)
         known = self.of_word
         for i, w in enumerate(words):
             if w in known:
                 places[w].append(i)
-        best = None
+        near, wide = set(), set()
         for name, own in self.templates.items():
             n = len(own)
             if sum(w in places for w in own) < self.share * n:
@@ -189,20 +224,19 @@ class Scanner:
                 lo, hi = max(0, start - slack), min(len(words), start + n + slack)
                 if hi <= lo:
                     continue
-                pairs = grown(own, words, lo, hi, n + 2 * slack)
-                if len(pairs) < self.share * n:
-                    continue
-                found = (len(pairs) / n, n, -pairs[0][1])
-                if best is None or found > best[0]:
-                    best = (found, (name, len(pairs) / n, len(pairs), pairs[0][1], pairs[-1][1] + 1))
-        return best[1] if best else None
+                for reach, out in ((0, near), (n + 2 * slack, wide)):
+                    pairs = grown(own, words, lo, hi, reach)
+                    if len(pairs) >= self.share * n:
+                        out.add((name, len(pairs) / n, len(pairs), pairs[0][1], pairs[-1][1] + 1))
+        return near, wide
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float = SHARE) -> DataFrame:
-    """doc_id, license, coverage, matched_words, start_word, end_word of every row of ``docs``.
+    """doc_id, license, coverage, matched_words, start_word, end_word, notices of every row of ``docs``.
 
-    license is NULL and coverage 0 where no template is covered to ``share``, as for NULL and empty
-    texts. Word offsets count the text's words (letters and digits, case ignored), the end exclusive.
+    notices are all regions that cover a template to ``share`` and don't overlap, in the text's order, each with
+    the same five fields; the columns before are the best of them. license is NULL, coverage 0 and notices empty
+    where no template is covered so far, as for NULL and empty texts. Word offsets count the text's words (letters and digits, case ignored), the end exclusive.
     NULL doc_ids stay, repeated rows are scanned each, other columns are ignored, an empty table gives no
     rows. The templates are part of the program and go with the tasks.
     """
@@ -210,15 +244,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen, share)
-        kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+        fields = list(zip(FIELDS, [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()], strict=True))
         for batch in batches:
-            found = [scanner(t) if t else None for t in batch.column(1).to_pylist()]
-            columns = list(zip(*(x or (None, 0.0, 0, None, None) for x in found), strict=True)) or [[]] * 5
+            found = [scanner.notices(t) if t else [] for t in batch.column(1).to_pylist()]
+            columns = list(zip(*(best_of(x) or (None, 0.0, 0, None, None) for x in found), strict=True)) or [[]] * 5
+            listed = [[dict(zip(FIELDS, x, strict=True)) for x in xs] for xs in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
-                ["doc_id", "license", "coverage", "matched_words", "start_word", "end_word"],
+                [
+                    batch.column(0),
+                    *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)),
+                    pa.array(listed, pa.list_(pa.struct(fields))),
+                ],
+                ["doc_id", *FIELDS, "notices"],
             )
 
+    each = "license string, coverage double, matched_words long, start_word long, end_word long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, license string, coverage double, matched_words long, start_word long, end_word long"
+        run, f"doc_id long, {each}, notices array<struct<{each}>>"
     )

@@ -80,7 +80,24 @@ def test_notices_with_inserted_words():
             words += ["z"] * rng.randint(0, 300)
             whole = licenses.patience(own, words)
             assert len(whole) == len(own)
-            assert scanner(" ".join(words))[:3] == (name, 1.0, len(own))
+            alone = licenses.Scanner({name: template}, licenses.SHARE)
+            assert alone(" ".join(words))[:3] == (name, 1.0, len(own))
+
+
+def test_all_notices_of_a_text(spark):
+    header = licenses.TEMPLATES["apache-2.0-header"].replace("writing", "ink").replace("CONDITIONS", "TERMS")
+    header = header.replace("Licensed under the Apache License", "Licensed by the Apache License")
+    parts = [("cc-by-4.0", licenses.TEMPLATES["cc-by-4.0"]), ("apache-2.0-header", header)]
+    parts += [(k, licenses.TEMPLATES[k]) for k in ("mit", "mit", "cc-by-nc-4.0", "gpl-header")]
+    between = " some other words of the work "
+    docs = spark.createDataFrame(
+        [(1, between.join(x for _, x in parts)), (2, "none"), (3, parts[0][1])], "doc_id long, text string"
+    )
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [x.license for x in got[1].notices] == [k for k, _ in parts]
+    assert all(x.end_word <= y.start_word for x, y in zip(got[1].notices, got[1].notices[1:], strict=False))
+    assert got[1].license == "gpl-header" and got[2].notices == [] and got[2].license is None
+    assert [tuple(x) for x in got[3].notices] == [tuple(got[3])[1:6]] == [("cc-by-4.0", 1.0, 5, 0, 5)]
 
 
 def test_documents(spark, sf, odd_docs, no_docs):
