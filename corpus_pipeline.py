@@ -18,18 +18,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group (operator 9).
+    """One row of each near-duplicate group (operator 9): that with the smallest id, NULL last.
 
-    Where that id is repeated, or NULL in a whole group, one of its rows stays.
+    Rows are told apart by id and text, so groups may share an id or have none.
     """
-    groups = staged(simhash.near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    first = staged(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "first")
-    # most documents stay, so the ids grow with the table: a merge join at every size, never a broadcast
-    ids = first.withColumnRenamed("doc_id", "__id").hint("merge")
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    if first.where("n > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    # most documents stay, so the keys grow with the table: a merge join at every size, never a broadcast
+    kept = staged(simhash.one_of_each(docs), "kept").withColumnRenamed("key", "__kept").hint("merge")
+    keyed = docs.withColumn("__key", simhash.row_key())
+    return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,9 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import staged
+from .common import null_safe_key, staged
 from .components import connected_components
 
 SEED = 42
@@ -46,15 +46,22 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+def row_key() -> Column:
+    """Tells rows by doc_id and text: ids may be NULL or repeated."""
+    return null_safe_key(F.col("doc_id").cast("long"), F.col("text"))
+
+
+def fingerprints(docs: DataFrame, width: int = 3, keyed: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every row, and its ``row_key`` if ``keyed``."""
+    names = ["doc_id", "key"] if keyed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in batch.column(0).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    own = [F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key")][: len(names)]
+    return docs.select("text", *own).mapInArrow(run, "doc_id long, key binary, fp long" if keyed else "doc_id long, fp long")
 
 
 def _halves(fps: DataFrame) -> DataFrame:
@@ -183,3 +190,15 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return own.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
+    """The ``row_key`` (key) of one row of each group of ``near_duplicates``: that with the smallest doc_id
+    (NULL last), then key. Rows alike in doc_id and text share a key."""
+    own = staged(fingerprints(docs, width, keyed=True), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    distinct = staged(own.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    links = staged(fingerprint_links(distinct), "links")
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    rooted = distinct.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.key")

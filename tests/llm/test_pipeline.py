@@ -40,6 +40,16 @@ def test_near_duplicates_keep_one_of_repeated_rows(spark, odd_docs):
     assert sorted(x for x in ids if x is not None) == [-3, 1, 3, 6, 7, 8, 9]
 
 
+def test_near_duplicates_of_rows_without_or_with_repeated_ids(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i * i}" for i in range(40)) for x in "abcdef")
+    fps = [brute_fingerprint(x) for x in (a, b, c, d, e, f)]
+    assert len(set(brute_components(fps))) == 6
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, c), (6, c), (1, e), (1, f), (0, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=lambda r: r[1]) == [(None, a), (None, b), (5, c), (5, d), (0, e), (1, f)]
+
+
 def test_all_stages_on_odd_rows(spark, odd_docs, sf):
     docs = odd_docs
     for _, stage in corpus_pipeline.STAGES[1:]:
