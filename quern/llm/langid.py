@@ -4,8 +4,10 @@ k(x, y) is the cosine of two texts' blended spectra: which byte n-grams of lengt
 hashed into ``BUCKETS`` buckets. Landmark texts give Nyström features, and one ridge regression per
 language is fitted to them, one versus the rest. A batch of texts is scored by three matrix products.
 
-The classifier is fitted on at most about ``per_language`` labelled texts a language, chosen by a hash of
-their ids; scoring reads every whole text.
+Every language is learned. The classifier is fitted on at most about ``per_language`` labelled texts of each and
+about ``sample_rows`` in all (but ``LEAST_ROWS`` a language), chosen by a hash of their ids; the regressions'
+normal equations are summed by Spark, so what reaches the driver is the landmarks, a fixed number of Gram
+matrices and one vector a language. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -15,14 +17,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .common import staged
 
 BUCKETS = 1 << 13
-PER_LANGUAGE, LANDMARKS = 400, 40
-#: Languages at most; rarer ones are not learned.
-MAX_LANGUAGES = 64
+#: Texts of a language, texts in all, and texts of a language however many there are.
+PER_LANGUAGE, SAMPLE_ROWS, LEAST_ROWS = 400, 25_600, 8
+#: Landmarks in all, dealt to the languages in turn.
+LANDMARKS = 320
 RIDGE = 1e-2
 UNKNOWN = "und"
+#: Tasks that sum the normal equations: so many Gram matrices reach the driver.
+SUMMING_TASKS = 16
 _LETTER = regex.compile(r"\p{L}")
 _SHIFT = np.uint32(32 - 13)
 
@@ -38,36 +45,56 @@ def spectrum(text: bytes, out: np.ndarray) -> None:
             out[((grams + np.uint32(n << 24)) * np.uint32(2654435761)) >> _SHIFT] = 1
 
 
-def _kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosines of the rows of two presence matrices."""
     size = np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None] * np.sqrt(np.maximum(y.sum(axis=1), 1))[None, :]
     return (x @ y.T) / size
 
 
-class Model:
-    """Landmarks, their whitening and the regressions' weights."""
-
-    def __init__(self, x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
-        self.langs = sorted(set(langs))
-        labels = np.array([self.langs.index(v) for v in langs], dtype=int)
-        chosen = np.concatenate([np.flatnonzero(labels == k)[:landmarks] for k in range(len(self.langs))]) if len(langs) else np.array([], dtype=int)
-        self.marks = x[chosen].astype(np.float32)
-        values, vectors = np.linalg.eigh(_kernel(self.marks, self.marks).astype(np.float64)) if len(chosen) else (np.zeros(0), np.zeros((0, 0)))
+def unpacked(bits: list[bytes]) -> np.ndarray:
+    """Presence matrix of packed spectra."""
+    rows = [np.unpackbits(np.frombuffer(b, dtype=np.uint8)) for b in bits]
+    return np.array(rows, dtype=np.float32).reshape(len(rows), BUCKETS)
+
+
+class Nystroem:
+    """Features of a text: its kernel with the landmarks, whitened, at unit length, and a constant."""
+
+    def __init__(self, marks: np.ndarray):
+        self.marks = marks.astype(np.float32)
+        values, vectors = np.linalg.eigh(kernel(self.marks, self.marks).astype(np.float64)) if len(marks) else (np.zeros(0), np.zeros((0, 0)))
         kept = values > 1e-6
         self.whiten = (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)
-        z = self.features(x)
-        share = np.bincount(labels, minlength=len(self.langs)) if len(langs) else np.ones(0)
-        weight = (1 / share[labels])[:, None] if len(langs) else np.ones((0, 1))
-        y = np.where(labels[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
-        gram = z.T @ (z * weight) + ridge * np.eye(z.shape[1])
-        self.weights = np.linalg.solve(gram, z.T @ (y * weight)).astype(np.float32)
-
-    def features(self, x: np.ndarray) -> np.ndarray:
-        """Unit Nyström features of the rows of a presence matrix, and a constant."""
-        z = _kernel(x.astype(np.float32), self.marks) @ self.whiten
+
+    def __getstate__(self) -> tuple:
+        return np.packbits(self.marks.astype(np.uint8), axis=1), self.whiten
+
+    def __setstate__(self, state: tuple) -> None:
+        self.marks = np.unpackbits(state[0], axis=1).astype(np.float32).reshape(len(state[0]), BUCKETS)
+        self.whiten = state[1]
+
+    @property
+    def size(self) -> int:
+        return self.whiten.shape[1] + 1
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        z = kernel(x.astype(np.float32), self.marks) @ self.whiten
         z = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
         return np.concatenate([z, np.ones((len(z), 1), dtype=z.dtype)], axis=1)
 
+
+class Model:
+    """The features and one regression per language.
+
+    ``means`` are the languages' mean features. With each language weighing the same, the right side
+    of a language's normal equations is twice its mean less the sum of all means.
+    """
+
+    def __init__(self, features: Nystroem, langs: list[str], gram: np.ndarray, means: np.ndarray, ridge: float = RIDGE):
+        self.features, self.langs = features, langs
+        right = 2 * means - means.sum(axis=0, keepdims=True)
+        self.weights = np.linalg.solve(gram + ridge * np.eye(features.size), right.T).astype(np.float32)
+
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of each row's language, and its margin as a score from 0 to 1."""
         scores = self.features(x) @ self.weights
@@ -76,9 +103,9 @@ class Model:
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, bits): the spectra of each text and of two short pieces of it."""
+    """(lang, bits, ones): the spectra of each text and of two short pieces of it."""
     for batch in batches:
-        langs, bits = [], []
+        langs, bits, ones = [], [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not text or not _LETTER.search(text):
                 continue
@@ -89,36 +116,77 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spectrum(piece.encode("utf-8"), row)
                 langs.append(lang)
                 bits.append(np.packbits(row).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(bits, pa.binary())], ["lang", "bits"])
+                ones.append(int(row.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(bits, pa.binary()), pa.array(ones, pa.int32())], ["lang", "bits", "ones"])
 
 
-def learn(docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
-    """Fit on ``docs`` (doc_id, text, ``lang``): about ``per_language`` rows a language, by hash of the id.
+def _summed(features: Nystroem):
+    """Sums over rows (lang, bits, weight), sorted by lang: each language's weighted features, and under a NULL
+    language the weighted Gram matrix."""
 
-    Rows without an id, text, letter or language are not learned from. Bounded: the driver receives at
-    most about 3 x per_language x MAX_LANGUAGES spectra of BUCKETS bits.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = np.zeros((features.size, features.size))
+        lang, mean, any_row = None, np.zeros(features.size), False
+        done: list[tuple[str | None, bytes]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            any_row = True
+            langs = batch.column(0).to_pylist()
+            z = features(unpacked(batch.column(1).to_pylist())).astype(np.float64)
+            weighted = z * batch.column(2).to_numpy(zero_copy_only=False)[:, None]
+            gram += z.T @ weighted
+            for k, row in zip(langs, weighted, strict=True):
+                if k != lang:
+                    if lang is not None:
+                        done.append((lang, mean.tobytes()))
+                    lang, mean = k, np.zeros(features.size)
+                mean = mean + row
+        if any_row:
+            done += [(lang, mean.tobytes()), (None, gram.tobytes())]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.string()), pa.array([v for _, v in done], pa.binary())], ["lang", "sums"])
+
+    return run
+
+
+def learn(
+    docs: DataFrame, lang: str = "lang", per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, landmarks: int = LANDMARKS
+) -> Model:
+    """Fit on ``docs`` (doc_id, text, ``lang``): every language, a bounded sample of each by hash of the id.
+
+    Rows without an id, text, letter or language are not learned from. Landmarks are the richest spectra
+    of the languages in turn, ``landmarks`` in all.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), "doc_id", "text").where("lang is not null and doc_id is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
+    counts = staged(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    many = counts.count()
+    each = max(LEAST_ROWS, min(per_language, sample_rows // max(many, 1)))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for r in counts:
-        upto = int((1 << 30) * min(1.0, per_language / r["count"]))
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (place < upto))
-    sample = rows.where(chosen).select("lang", "text").mapInArrow(_training, "lang string, bits binary")
-    got = sample.limit(2 * 3 * per_language * MAX_LANGUAGES).collect()
-    got.sort(key=lambda r: (r["lang"], bytes(r["bits"])))
-    x = np.array([np.unpackbits(np.frombuffer(bytes(r["bits"]), dtype=np.uint8)) for r in got], dtype=np.float32).reshape(len(got), BUCKETS)
-    # the landmarks of a language are its first rows: richest spectra first
-    order = sorted(range(len(got)), key=lambda i: (got[i]["lang"], -int(x[i].sum()), bytes(got[i]["bits"])))
-    return Model(x[order], [got[i]["lang"] for i in order], landmarks)
+    upto = F.least(F.lit(1.0), each / F.col("n")) * (1 << 30)
+    chosen = rows.join(counts, "lang").where(place < upto).select("lang", "text")
+    sample = staged(chosen.mapInArrow(_training, "lang string, bits binary, ones int"), "sample")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("ones"), "bits"))
+    marks = sample.withColumn("turn", turn).orderBy("turn", "lang").limit(landmarks).select("bits").collect()
+    features = Nystroem(unpacked([bytes(r["bits"]) for r in marks]))
+    sizes = sample.groupBy("lang").agg((1 / F.count(F.lit(1))).alias("weight"))
+    weighed = sample.join(sizes, "lang").select("lang", "bits", "weight")
+    dealt = weighed.repartition(SUMMING_TASKS, "lang").sortWithinPartitions("lang", "bits")
+    langs, means, gram = [], [], np.zeros((features.size, features.size))
+    for r in sorted(dealt.mapInArrow(_summed(features), "lang string, sums binary").collect(), key=lambda r: (r["lang"] is None, r["lang"] or "", bytes(r["sums"]))):
+        sums = np.frombuffer(bytes(r["sums"]))
+        if r["lang"] is None:
+            gram += sums.reshape(gram.shape)
+        else:
+            langs.append(r["lang"])
+            means.append(sums)
+    return Model(features, langs, gram, np.array(means).reshape(len(langs), features.size))
 
 
 def predict(docs: DataFrame, model: Model, *kept: Column, batch: int = 256) -> DataFrame:
     """lang_pred and score of every row of ``docs`` (text), with the columns ``kept``.
 
     A NULL text or one without a letter is ``und`` with score 0, as is every text if nothing was
-    learned. The model is bounded by its parameters and goes with the tasks.
+    learned. The model goes with the tasks: the landmarks, and a vector for each language.
     """
     rows = docs.select(*kept, F.col("text").alias("__text"))
     names = rows.columns[:-1]

@@ -26,8 +26,8 @@ MIN_CHARS, MIN_COMPARED = 200, 100
 #: From so many words, the shares of common words as a whole are compared.
 MIN_POOLED = 40
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MAX_SHARE_DISTANCE = 0.29, 0.25, 0.16
-#: Languages with references at most; the rest is compared as rows without a language are.
-MAX_LANGUAGES = 256
+#: Languages whose references a pass over the texts holds; more languages take more passes.
+PASS_LANGUAGES = 1000
 #: Distinct words a task holds before it passes its counts on.
 HELD_WORDS = 200_000
 
@@ -156,14 +156,16 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
     return counts.where("class is not null").unionByName(top).unionByName(total)
 
 
-def _tables(rows: list, languages: int) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
+Tables = dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]
+
+
+def _tables(rows: list) -> Tables:
     """lang -> class histogram, index of its common words, histogram of these and all others."""
     by: dict[str, list] = defaultdict(list)
     for r in rows:
         by[r["lang"]].append(r)
-    size = {k: sum(r["n"] for r in v if r["class"] is not None) for k, v in by.items()}
     out = {}
-    for lang in sorted(by, key=lambda k: (-size[k], k))[:languages]:
+    for lang in sorted(by):
         classes = np.zeros(CLASSES)
         words = sorted(((bytes(r["word"]), r["n"]) for r in by[lang] if r["word"] is not None), key=lambda x: (-x[1], x[0]))
         total = sum(r["n"] for r in by[lang] if r["word"] is None and r["class"] is None)
@@ -176,13 +178,22 @@ def _tables(rows: list, languages: int) -> dict[str, tuple[np.ndarray, dict[byte
     return out
 
 
+Verdict = tuple[float | None, float | None, bool]
+#: Nothing to compare with: kept.
+UNJUDGED: Verdict = (None, None, True)
+
+
+def _nearness(x: Verdict) -> tuple[bool, float]:
+    return not x[2], (x[0] or 0) + (x[1] or 0)
+
+
 class Judge:
     """Scores texts against language references."""
 
     def __init__(self, tables: dict, max_char: float, max_word: float, max_share: float):
         self.tables, self.max_char, self.max_word, self.max_share = tables, max_char, max_word, max_share
 
-    def distances(self, raw: bytes, words: list[bytes], lang: str) -> tuple[float | None, float | None, bool]:
+    def distances(self, raw: bytes, words: list[bytes], lang: str) -> Verdict:
         """Distance of classes and of words (None: guarded), and whether both are within bounds."""
         classes, index, common = self.tables[lang]
         own = class_counts(raw)
@@ -200,12 +211,12 @@ class Judge:
         fine = near and (by_char is None or by_char <= self.max_char)
         return by_char, by_word, bool(fine)
 
-    def __call__(self, raw: bytes, words: list[bytes], lang: str | None) -> tuple[float | None, float | None, bool]:
+    def __call__(self, raw: bytes, words: list[bytes], lang: str | None) -> Verdict:
+        """The text against its language's reference or, without a language, the nearest of all."""
         lowered = [w.lower() for w in words] if not raw.islower() else words
-        if lang in self.tables:
+        if lang is not None:
             return self.distances(raw, lowered, lang)
-        every = [self.distances(raw, lowered, x) for x in self.tables]
-        return min(every, key=lambda x: (not x[2], (x[0] or 0) + (x[1] or 0)), default=(None, None, True))
+        return min((self.distances(raw, lowered, x) for x in self.tables), key=_nearness, default=UNJUDGED)
 
 
 def _chance(bins: int, n: int) -> float:
@@ -222,48 +233,100 @@ MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
     " base_failed boolean, char_distance double, word_distance double, kept boolean"
 )
+MEASURE_NAMES = [x.split()[0] for x in MEASURES.split(",")]
+_KINDS = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
+
+
+def _blocks(docs: DataFrame, common: int) -> list[Tables]:
+    """The references of all languages, ``PASS_LANGUAGES`` to a block."""
+    told = staged(references(docs, common), "references")
+    names = [r["lang"] for r in told.where("class is not null").select("lang").distinct().orderBy("lang").collect()]
+    out = []
+    for at in range(0, len(names), PASS_LANGUAGES):
+        part = names[at : at + PASS_LANGUAGES]
+        of_block = told if len(names) <= PASS_LANGUAGES else told.where(F.col("lang").between(part[0], part[-1]))
+        out.append(_tables(of_block.collect()))
+    return [tables for tables in out if tables]
+
+
+def _measured(docs: DataFrame, kept: list[str], names: list[str], blocks: list[Tables], bounds: tuple[float, float, float]) -> DataFrame:
+    """The columns ``kept`` of ``docs`` and the measures under ``names``: one pass for each block of languages.
+
+    Inside, columns have numbers for names, so that carried ones may be called anything.
+
+    A labelled text is judged in its language's block. One without a reference takes the nearest of all, so
+    it goes through every block with the nearest so far; the first pass measures, and blocks that follow only
+    look again at texts that are still open.
+    """
+    extra = len(kept)
+    at = {c: i for i, c in enumerate(kept)}
+    known = [set(b) for b in blocks]
+    of_block = lambda lang: next((i for i, k in enumerate(known) if lang in k), None)
+
+    def passed(rows: DataFrame, turn: int, tables: Tables) -> DataFrame:
+        judge = Judge(tables, *bounds)
+        text_at, lang_at = (at["text"], at["lang"]) if "text" in at and "lang" in at else (extra, extra + 1)
+        first = len(rows.columns) - (0 if turn == 0 else len(names))
+        columns_out = [*rows.columns[:first], *MEASURE_NAMES]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                before = list(zip(*(batch.column(first + i).to_pylist() for i in range(len(names))), strict=True)) if turn else None
+                out = []
+                for i, (text, lang) in enumerate(zip(batch.column(text_at).to_pylist(), batch.column(lang_at).to_pylist(), strict=True)):
+                    raw = (text or "").encode("utf-8")
+                    words = raw.split()
+                    own = None if lang is None else of_block(str(lang))
+                    said = before[i] if before else (*basics(raw, words), *UNJUDGED)
+                    if not said[5] and (own is None or own == turn):
+                        verdict = judge(raw, words, None if own is None else str(lang)) if tables else UNJUDGED
+                        if turn and own is None:
+                            verdict = min((said[6], said[7], said[8]), verdict, key=_nearness)
+                        said = (*said[:6], *verdict)
+                    out.append(said)
+                columns = list(zip(*out, strict=True)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i) for i in range(first)), *(pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True))],
+                    columns_out,
+                )
+
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:first]]
+        return rows.mapInArrow(run, ", ".join([*fields, MEASURES]))
+
+    # carried columns cross to Python once, also the text and the language
+    read = [F.col(f"`{c}`") for c in kept]
+    if "text" not in at or "lang" not in at:
+        read += [F.col("text"), F.col("lang")]
+    rows = docs.select(*read).toDF(*[f"c{i}" for i in range(len(read))])
+    for turn, tables in enumerate(blocks or [{}]):
+        rows = passed(rows, turn, tables)
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(kept)]
+    measures = [F.col(m).alias(n) for m, n in zip(MEASURE_NAMES[:8], names, strict=False)]
+    return rows.select(*own, *measures, (F.col("kept") & ~F.col("base_failed")).alias(names[8]))
 
 
 def judged(
-    docs: DataFrame, *, carry: bool = False, common: int = COMMON_WORDS,
-    max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
-    max_share: float = MAX_SHARE_DISTANCE,
+    docs: DataFrame, *, common: int = COMMON_WORDS,
+    max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, max_share: float = MAX_SHARE_DISTANCE,
 ) -> DataFrame:
-    """The measures of every row of ``docs`` (doc_id, text, lang), with doc_id or, to ``carry``, all columns.
+    """doc_id and the measures of every row of ``docs`` (doc_id, text, lang).
 
     A NULL text is empty and so fails the length rule. A row without a language, or of one that has no
-    reference, is kept if any language's reference is near enough (and if there is none at all). The
-    references have at most ``MAX_LANGUAGES`` x (common + 15) rows and are sent with the tasks. Repeated
-    rows are judged each, an empty table gives no rows. To carry columns that are named as a measure is
-    an error Spark reports.
+    reference, is kept if any language's reference is near enough (and if there is none at all). There are
+    common + 15 reference rows a language, which go with the tasks in blocks of ``PASS_LANGUAGES``. Repeated
+    rows are judged each, an empty table gives no rows, other columns are ignored.
     """
-    told = staged(references(docs, common), "references")
-    largest = told.where("class is not null").groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(MAX_LANGUAGES)
-    rows = told.join(F.broadcast(largest.select("lang")), "lang").collect()  # MAX_LANGUAGES x (common + CLASSES + 1) at most
-    judge = Judge(_tables(rows, MAX_LANGUAGES), max_char, max_word, max_share)
-    kept = docs.columns if carry else ["doc_id"]
-    extra = len(kept)
-    # carried columns cross to Python once, also the text and the language
-    read = [F.col(f"`{c}`") for c in kept] + ([] if carry else [F.col("text"), F.col("lang")])
-    picked = docs.select(*read)
-    text_at, lang_at = (kept.index("text"), kept.index("lang")) if carry else (extra, extra + 1)
-    measures = [x.split()[0] for x in MEASURES.split(",")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-        for batch in batches:
-            out = []
-            for text, lang in zip(batch.column(text_at).to_pylist(), batch.column(lang_at).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8")
-                words = raw.split()
-                base = basics(raw, words)
-                by_char, by_word, fine = (None, None, False) if base[5] else judge(raw, words, None if lang is None else str(lang))
-                out.append((*base, by_char, by_word, fine and not base[5]))
-            columns = list(zip(*out, strict=True)) or [[]] * 9
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(extra)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
-                [*kept, *measures],
-            )
+    return _measured(docs, ["doc_id"], MEASURE_NAMES, _blocks(docs, common), (max_char, max_word, max_share))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in kept]).schema.fields)
-    return picked.mapInArrow(run, f"{fields}, {MEASURES}")
+
+def accepted(
+    docs: DataFrame, *, common: int = COMMON_WORDS,
+    max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, max_share: float = MAX_SHARE_DISTANCE,
+) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns, whatever these are named."""
+    prefix = "_"
+    while any(f"{prefix}{n}" in docs.columns for n in MEASURE_NAMES):
+        prefix += "_"
+    names = [f"{prefix}{n}" for n in MEASURE_NAMES]
+    rows = _measured(docs, docs.columns, names, _blocks(docs, common), (max_char, max_word, max_share))
+    return rows.where(F.col(f"`{names[8]}`")).select(*[F.col(f"`{c}`") for c in docs.columns])

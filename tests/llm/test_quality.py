@@ -65,7 +65,18 @@ def test_odd_rows(odd_docs, no_docs):
     got = rows_of(quality.judged(odd_docs))
     want = sorted((str(r.doc_id), brute(r.text)) for r in odd_docs.collect())
     assert sorted((str(d), m) for d, m, _ in got) == want
-    carried = quality.judged(odd_docs, carry=True)
-    assert carried.columns[: len(odd_docs.columns)] == odd_docs.columns
-    assert carried.count() == odd_docs.count()
-    assert quality.judged(no_docs).count() == 0
+    clashing = odd_docs.selectExpr("*", "'x' AS n_words", "false AS kept", "1 AS `_kept`", "2 AS `a.b`")
+    assert sorted(map(str, quality.accepted(clashing).drop("a").collect())) == sorted(
+        str(r) for r in clashing.collect() if (r.doc_id, brute(r.text)) in {(d, m) for d, m, k in got if k}
+    )
+    assert quality.accepted(clashing).columns == clashing.columns
+    assert quality.judged(no_docs).count() == 0 and quality.accepted(no_docs).count() == 0
+
+
+def test_many_languages_take_passes(docs, monkeypatch):
+    """Blocks of one language give what one block of all gives, labelled or not."""
+    mixed = docs.selectExpr("doc_id", "text", "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'zz' ELSE lang END AS lang")
+    rows = lambda: sorted(map(str, quality.judged(mixed).collect()))
+    once = rows()
+    monkeypatch.setattr(quality, "PASS_LANGUAGES", 1)
+    assert rows() == once
