@@ -14,7 +14,7 @@ from quern.llm.common import staged
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near their language's distributions (operator 5)."""
-    return quality.judged(docs, carry=True).where("kept").select(*docs.columns)
+    return quality.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
