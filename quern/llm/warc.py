@@ -6,8 +6,8 @@ types, digests, revisits), ``write_warc`` and ``read_warc`` store and parse thos
 
 Archives are written by Spark's text writer with the format's own record separator, through its commit
 protocol: a task that is run again leaves no second copy. They are read as binary files, a file a
-row; a task holds one file as it is stored and unzips it record by record. ``write_*`` make one file a
-partition.
+row; a task holds one file as it is stored (under 2 GB, Spark's bound of a binary cell) and unzips it record
+by record. ``write_*`` make one file, of one gzip member, a partition.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ import io
 import re
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import staged
+
 #: Payloads shorter than this are always stored whole.
 REVISIT_BYTES = 100
 #: The header lines of both ARC versions (fixed by the format).
@@ -99,43 +103,72 @@ def _write(records: DataFrame, path: str, separator: str) -> None:
     text.write.option("lineSep", separator).option("compression", "gzip").text(path)
 
 
-def parse_arc(stream: BinaryIO) -> Iterator[tuple[str, dict[str, str], bytes]]:
+def arc_header(line: bytes, names: list[str]) -> tuple[dict[str, str], int] | None:
+    """The fields of a header line and the length it declares; None if it is no header line.
+
+    Fields are counted from the right, so blanks in a URL do no harm.
+    """
+    words = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
+    if len(words) < len(names) or not re.fullmatch(r"[0-9]+", words[-1]):
+        return None
+    rest = len(words) - len(names) + 1
+    return dict(zip(names, [" ".join(words[:rest]), *words[rest:]], strict=True)), int(words[-1])
+
+
+def parse_arc(stream: BinaryIO, on_bad: str = "raise") -> Iterator[tuple[str, dict[str, str] | None, bytes]]:
     """(version, header fields, block) of each record of an ARC file but its first, the description.
 
     The description's first line tells the version, and so what a header line's fields are. Blocks
     are taken by their declared length, whatever they contain; a file cut short ends with its last
-    whole record. Fields are counted from the right, so blanks in a URL do no harm.
+    whole record. Where a header line should be and is not, ``on_bad="raise"`` stops with an error, and "keep" gives
+    the line with None for its fields and goes on with the next line that is a header with a date.
     """
-    version = "1"
+    version, lost = "1", False
     while line := stream.readline():
         if not line.strip(b"\r\n"):
             continue
-        words = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
-        if not words[-1].isdigit():
-            return
-        length = int(words[-1])
+        described = line.startswith(b"filedesc:")
+        # a description's header has its own version's fields, which only its block tells
+        read = (arc_header(line, ARC_FIELDS["2"]) or arc_header(line, ARC_FIELDS["1"])) if described else arc_header(line, ARC_FIELDS[version])
+        if read is not None and lost and not re.fullmatch(r"[0-9]{12,14}", read[0]["date"]):
+            read = None
+        if read is None:
+            if not line.endswith(b"\n"):
+                return  # the file ends inside a header line
+            if on_bad == "raise":
+                raise ValueError(f"not an ARC header line: {line[:80]!r}")
+            lost = True
+            yield version, None, line
+            continue
+        lost = False
+        head, length = read
         block = stream.read(length)
         if len(block) < length:
             return
-        if words[0].startswith("filedesc:"):
+        if described:
             version = block[:1].decode("ascii", "replace")
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version!r}")
             continue
-        names = ARC_FIELDS[version]
-        url = " ".join(words[: len(words) - len(names) + 1])
-        yield version, dict(zip(names, [url, *words[len(words) - len(names) + 1 :]], strict=True)), block
+        yield version, head, block
+
 
+def read_arc(spark: SparkSession, path: str, on_bad: str = "raise") -> DataFrame:
+    """The records of ARC files, plain or gzip: version, header fields, HTTP header and payload.
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC files, plain or gzip: version, header fields, HTTP header and payload."""
+    ``on_bad``: "raise" stops at a line that should be a header and is none; "keep" gives each such line
+    as a row without fields (NULL url), the line as its payload.
+    """
     schema = pa.schema([(n, pa.binary() if n in ("http_header", "payload") else pa.string()) for n in [x.split()[0] for x in ARC_SCHEMA.split(", ")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    for version, head, block in parse_arc(_plain(batch.column(0)[i].as_py())):
+                    for version, head, block in parse_arc(_plain(batch.column(0)[i].as_py()), on_bad):
+                        if head is None:
+                            yield version, None, None, None, None, b"", block
+                            continue
                         header, payload = _http(block)
                         yield version, head["url"], head["ip"], head["date"], head["mime"], header, payload
 
@@ -159,42 +192,44 @@ def _http(block: bytes) -> tuple[bytes, bytes]:
 
 
 def to_warc(records: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """The WARC records equivalent to parsed ARC ``records``.
-
-    Identifiers are name-based UUIDs of URL, date, page id and digest, dates are ISO 8601, digests are
-    SHA-256 of the payload. Of records with equal payloads of at least ``revisit_bytes`` bytes, the one
-    with the smallest page id is a response and the rest are revisits of it. Rows that share that
-    smallest id, and rows of a group in which no page has an id, are all responses; a row without an id
-    in a group with one is a revisit.
+    """The WARC records equivalent to parsed ARC ``records``; lines that are no record (NULL url) are left out.
+
+    Identifiers are name-based UUIDs of URL, date, page id and digest (so records alike in all of these
+    share one), dates are ISO 8601, digests are SHA-256 of the payload. A record with an HTTP header is a response,
+    one without (a DNS answer, a plain file) a resource. Of records with equal payloads of at least
+    ``revisit_bytes`` bytes, the one with the smallest page id stays so and the rest are revisits of it. Rows
+    that share that smallest id, and rows of a group in which no page has an id, all stay; a row
+    without an id in a group with one is a revisit.
     """
     page_id = F.regexp_extract(F.col("http_header").cast("string"), r"(?im)^X-Page-Id: *(-?[0-9]+)", 1)
     named = (
-        records.withColumn("page_id", F.nullif(page_id, F.lit("")).cast("long"))
+        records.where("url IS NOT NULL")
+        .withColumn("page_id", F.nullif(page_id, F.lit("")).cast("long"))
         .withColumn("digest", F.sha2("payload", 256))
         .withColumn("payload_bytes", F.octet_length("payload").cast("long"))
         .withColumn("warc_date", F.regexp_replace("arc_date", r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z"))
     )
-    from .common import staged
-
     # only payloads that occur more than once: the rest has no row here
     first = staged(
         named.where(F.col("payload_bytes") >= revisit_bytes)
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first_id"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and first_id is not null")
-        .drop("n"),
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "warc_date", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1 and first is not null")
+        .select("digest", F.col("first.page_id").alias("first_id"), F.col("first.warc_date").alias("first_date"), F.col("first.url").alias("first_url")),
         "first",
     )
-    name = lambda url, page: F.concat_ws(" ", url, "warc_date", F.coalesce(page.cast("string"), F.lit("-")), "digest")
+    name = lambda url, date, page: F.concat_ws(" ", url, date, F.coalesce(page.cast("string"), F.lit("-")), "digest")
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")) & (F.col("payload_bytes") >= revisit_bytes)
+    whole = F.when(F.octet_length("http_header") > 0, "response").otherwise("resource")
     return (
         named.join(first, "digest", "left")
-        .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
+        .withColumn("record_type", F.when(revisit, "revisit").otherwise(whole))
         .select(
             "record_type", "url", "warc_date", "mime", "http_header", "digest", "payload_bytes",
-            name("url", F.col("page_id")).alias("name"),
-            F.when(revisit, name("first_url", F.col("first_id"))).alias("refers_name"),
+            name("url", "warc_date", F.col("page_id")).alias("name"),
+            F.when(revisit, name("first_url", "first_date", F.col("first_id"))).alias("refers_name"),
             F.when(revisit, F.col("first_url")).alias("refers_url"),
+            F.when(revisit, F.col("first_date")).alias("refers_date"),
             F.when(revisit, F.col("first_id")).alias("refers_page"),
             F.when(~revisit, F.col("payload")).alias("payload"),
         )
@@ -207,7 +242,16 @@ def write_warc(records: DataFrame, path: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             info = b"software: quern\r\nformat: WARC File Format 1.0\r\n"
-            yield (f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, 'warcinfo')}>\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info,)
+            part = TaskContext.get().partitionId()
+            head = [
+                "WARC/1.0",
+                "WARC-Type: warcinfo",
+                f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, f'warcinfo {path} {part}')}>",
+                f"WARC-Date: {datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}",
+                "Content-Type: application/warc-fields",
+                f"Content-Length: {len(info)}",
+            ]
+            yield ("\r\n".join(head).encode() + b"\r\n\r\n" + info,)
             for batch in batches:
                 for r in batch.to_pylist():
                     block = r["http_header"] + (r["payload"] or b"")
@@ -227,7 +271,7 @@ def write_warc(records: DataFrame, path: str) -> None:
                             f"WARC-Profile: {PROFILE}",
                             f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(NAMESPACE, r['refers_name'])}>",
                             f"WARC-Refers-To-Target-URI: {r['refers_url']}",
-                            f"WARC-Refers-To-Date: {r['warc_date']}",
+                            f"WARC-Refers-To-Date: {r['refers_date']}",
                             f"X-Refers-To-Page-Id: {r['refers_page']}",
                         ]
                     head += [f"Content-Length: {len(block)}"]
@@ -269,7 +313,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                             raise ValueError(f"block digest of {head['WARC-Record-ID']}")
                         header, payload = _http(block)
                         digest, size = head["WARC-Payload-Digest"][7:], int(head["X-Payload-Length"])
-                        if kind == "response":
+                        if kind != "revisit":
                             digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
                             if digest != head["WARC-Payload-Digest"][7:]:
                                 raise ValueError(f"payload digest of {head['WARC-Record-ID']}")
@@ -278,7 +322,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         yield (
                             head["WARC-Record-ID"], kind, head["WARC-Target-URI"], head["WARC-Date"],
                             int(page[1]) if page else None, digest, size, head.get("WARC-Refers-To"),
-                            int(refers) if refers else None, payload if kind == "response" else None,
+                            int(refers) if refers else None, payload if kind != "revisit" else None,
                         )
 
         return _batches(rows(), schema)

@@ -65,6 +65,8 @@ def test_parse_declared_lengths_and_versions():
     one += b"http://z 1.2.3.4 20200101000000 text/html 100\ncut"
     got = list(warc.parse_arc(io.BytesIO(one)))
     assert [(v, h["url"], b) for v, h, b in got] == [("1", "http://x y/", body)]
+    torn = one[: one.index(b"http://z") + 12]
+    assert len(list(warc.parse_arc(io.BytesIO(torn)))) == 1
     two = b"filedesc://x 0.0.0.0 20200101000000 text/plain 200 - - 0 f 8\n2 0 org\n\n"
     two += b"http://x 1.2.3.4 20200101000000 text/html 404 sum loc 77 f.arc 5\nHello\n"
     ((version, head, block),) = warc.parse_arc(io.BytesIO(two))
@@ -75,3 +77,55 @@ def test_parse_declared_lengths_and_versions():
 
 def test_empty_table(spark):
     assert convert(spark, odd_pages(spark).limit(0), "1")[0] == []
+
+
+def arc_of(*records):
+    out = b"filedesc://x 0.0.0.0 20200101000000 text/plain 8\n1 0 org\n\n"
+    for head, block in records:
+        out += head + (b" %d\n" % len(block) if block is not None else b"\n") + (block or b"") + b"\n"
+    return out
+
+
+def test_bad_header_lines_are_told(spark, tmp_path):
+    good = [(b"http://%d 1.2.3.4 20200101000000 text/html" % i, b"HTTP/1.0 200 OK\r\n\r\nbody %d" % i) for i in range(5)]
+    data = arc_of(good[0], (b"http://bad 1.2.3.4 20200101000000 text/html many", None), *good[1:])
+    with pytest.raises(ValueError, match="not an ARC header"):
+        list(warc.parse_arc(io.BytesIO(data)))
+    got = list(warc.parse_arc(io.BytesIO(data), "keep"))
+    assert [h["url"] for _, h, _ in got if h] == [f"http://{i}" for i in range(5)]
+    assert [b for _, h, b in got if h is None] == [b"http://bad 1.2.3.4 20200101000000 text/html many\n"]
+    (tmp_path / "a.arc").write_bytes(data)
+    rows = warc.read_arc(spark, str(tmp_path), "keep")
+    assert rows.where("url IS NULL").count() == 1 and warc.to_warc(rows).count() == 5
+
+
+def test_links_resolve_across_dates_and_types(spark, tmp_path):
+    http = lambda page, body: b"HTTP/1.0 200 OK\r\nX-Page-Id: %d\r\n\r\n" % page + body
+    body = b"the same page, met in two years " * 9
+    data = arc_of(
+        (b"http://b 1.2.3.4 20250203040506 text/html", http(2, body)),
+        (b"http://a 1.2.3.4 20240102030405 text/html", http(1, body)),
+        (b"dns:a.example 1.2.3.4 20240102030405 text/dns", b"20240102030405\na.example. 1 IN A 1.2.3.4"),
+    )
+    (tmp_path / "a.arc").write_bytes(data)
+    out = scratch(spark, "warc")
+    warc.write_warc(warc.to_warc(warc.read_arc(spark, str(tmp_path))), out)
+    got = {r.target_uri: r for r in warc.read_warc(spark, out).collect()}
+    assert {u: (r.record_type, r.warc_date) for u, r in got.items()} == {
+        "http://b": ("revisit", "2025-02-03T04:05:06Z"), "http://a": ("response", "2024-01-02T03:04:05Z"),
+        "dns:a.example": ("resource", "2024-01-02T03:04:05Z"),
+    }
+    assert got["http://b"].refers_to_id == got["http://a"].record_id and got["http://b"].refers_to == 1
+    assert got["dns:a.example"].payload.endswith(b"1.2.3.4")
+
+
+def test_each_file_has_its_own_description(spark):
+    import glob
+
+    _, out = convert(spark, odd_pages(spark).repartition(3), "1")
+    ids = []
+    for path in glob.glob(out.removeprefix("file:") + "/part-*"):
+        head, _ = next(warc.parse_warc(io.BytesIO(gzip.open(path).read())))
+        assert head["WARC-Date"].endswith("Z")
+        ids.append(head["WARC-Record-ID"])
+    assert len(set(ids)) == len(ids) > 1
