@@ -9,7 +9,8 @@ matches at least one of any set of more than (1 - share) of its words, so region
 of so many of its rarest words in the text. Each grows beyond its outermost matched words while that adds
 matches, so words may be inserted in any number of places. A gap between two matched words is only crossed up to
 the length of a first region (n + 2 * (n // 4 + 1) words, n in the template): words farther apart are
-taken for different passages.
+taken for different passages. A region counts only if it matches the words that tell the licence from its kin
+(its version, NC, SA, ND, Lesser) and holds none of its kin's.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,45 +27,164 @@ from pyspark.sql import DataFrame, functions as F
 SHARE = 0.8
 FIELDS = ["license", "coverage", "matched_words", "start_word", "end_word"]
 
-#: Notices as their licences publish them (fixed texts).
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "apache-2.0-header": (
+
+@dataclass(frozen=True)
+class Template:
+    """A licence's text. A region of a document is only that licence if it matches the words ``needs``, and holds
+    none of ``bars``: versions, and what tells one member of a family from another."""
+
+    license: str
+    text: str
+    needs: tuple[str, ...] = ()
+    bars: tuple[str, ...] = ()
+
+
+def _creative_commons() -> list[Template]:
+    """The notices of all six licences in all versions."""
+    parts = {"nc": "NonCommercial", "nd": "NoDerivatives", "sa": "ShareAlike"}
+    out = []
+    for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+        number = version.removesuffix(".0")
+        for own in ((), ("nc",), ("nd",), ("sa",), ("nc", "nd"), ("nc", "sa")):
+            name = "-".join(["by", *own])
+            short, long = [p for p in parts if p not in own], [parts[p].lower() for p in parts if p not in own]
+            bars = tuple(short + long)
+            code = f"CC {name.upper()} {version}"
+            full = f"Creative Commons {'-'.join(['Attribution', *(parts[p] for p in own)])} {version}"
+            for text, needs in ((code, ("cc", "by", *own, number)), (full, ("commons", "attribution", *(parts[p].lower() for p in own), number))):
+                out.append(Template(f"cc-{name}-{version}", text, needs, bars))
+                out.append(Template(f"cc-{name}-{version}", f"Licensed under {text}", needs, bars))
+                out.append(Template(f"cc-{name}-{version}", f"This work is licensed under a {text} International License", needs, bars))
+    return out
+
+
+def _gnu() -> list[Template]:
+    """The notices of the GNU licences in their versions."""
+    out = []
+    for name, kind, versions in (("gpl", "", "123"), ("lgpl", "Lesser", "23"), ("lgpl", "Library", "2"), ("agpl", "Affero", "3")):
+        others = tuple(k.lower() for k in ("Lesser", "Library", "Affero") if k != kind)
+        spelled = f"GNU {kind} General Public License".replace("  ", " ")
+        for v in [*versions, *(["2.1"] if kind == "Lesser" else [])]:
+            own = ("public", v, *([kind.lower()] if kind else []))
+            licence = f"{name}-{v if '.' in v else v + '.0'}"
+            for text in (
+                f"{spelled}, version {v}",
+                f"This work is licensed under the {spelled}, version {v}",
+                f"This program is free software: you can redistribute it and/or modify it under the terms of the {spelled}"
+                f" as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.",
+                f"This program is free software; you can redistribute it and/or modify it under the terms of the {spelled}"
+                f" as published by the Free Software Foundation; version {v} of the License.",
+            ):
+                out.append(Template(licence, text, own, others))
+            out.append(Template(licence, f"GNU {kind} GPL, version {v}".replace("  ", " "), ("gpl", v, *([kind.lower()] if kind else [])), others))
+    return out
+
+
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+    " documentation files (the \"Software\"), to deal in the Software without restriction, including without"
+    " limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of"
+    " the Software, and to permit persons to whom the Software is furnished to do so, subject to the following"
+    " conditions"
+)
+_ISC_GRANT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+    " provided that the above copyright notice and this permission notice appear in all copies."
+)
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided"
+    " that the following conditions are met"
+)
+_BSD_TWO = (
+    " Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"
+    " in the documentation and/or other materials provided with the distribution."
+)
+_BSD_THIRD = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+    " derived from this software without specific prior written permission."
+)
+_BSD_END = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,"
+    " BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT"
+    " SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL"
+    " DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS"
+    " INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE"
+    " OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+#: Notices, and whole texts where they are short, as their licences publish them (fixed texts).
+TEMPLATES = [
+    Template("apache-2.0", "Apache License, Version 2.0", ("apache", "2")),
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache", "2")),
+    Template(
+        "apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in"
         " compliance with the License. You may obtain a copy of the License at"
         " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,"
         " software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR"
-        " CONDITIONS OF ANY KIND, either express or implied."
+        " CONDITIONS OF ANY KIND, either express or implied.",
+        ("apache", "2"),
+    ),
+    Template("apache-1.1", "Apache License, Version 1.1", ("apache", "1.1")),
+    Template("apache-1.1", "Apache Software License, Version 1.1", ("apache", "1.1")),
+    Template("bsd", _BSD_HEAD, ("redistribution", "binary")),
+    Template("bsd", "Released under the BSD License", ("bsd",)),
+    Template("bsd-2-clause", _BSD_HEAD + _BSD_TWO + _BSD_END, ("redistribution", "reproduce"), ("endorse",)),
+    Template("bsd-3-clause", _BSD_HEAD + _BSD_TWO + _BSD_THIRD + _BSD_END, ("redistribution", "reproduce", "endorse")),
+    *_creative_commons(),
+    Template("cc0-1.0", "CC0 1.0 Universal", ("cc0", "1")),
+    *_gnu(),
+    Template("isc", _ISC_GRANT, ("fee", "permission")),
+    Template(
+        "isc",
+        _ISC_GRANT + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL"
+        " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR"
+        " CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,"
+        " NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        ("fee", "permission"),
     ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided"
-        " that the following conditions are met"
+    Template("mit", "Released under the MIT License", ("mit",)),
+    Template("mit", "Licensed under the MIT License", ("mit",)),
+    Template("mit", _MIT_GRANT, ("permission", "sublicense")),
+    Template(
+        "mit",
+        _MIT_GRANT + ": The above copyright notice and this permission notice shall be included in all copies or substantial portions of the"
+        " Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE"
+        " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT"
+        " HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT"
+        " OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        ("permission", "sublicense"),
     ),
-    "cc-by-4.0": "Licensed under CC BY 4.0",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "gpl-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
-        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
-        " option) any later version."
+    Template("mpl-1.1", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1", ("mozilla", "1.1")),
+    Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla", "2")),
+    Template(
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,"
+        " sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or"
+        " non-commercial, and by any means.",
+        ("unencumbered",),
     ),
-    "mit": "Released under the MIT License",
-    "mit-permission": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
-        " documentation files (the \"Software\"), to deal in the Software without restriction, including without"
-        " limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of"
-        " the Software, and to permit persons to whom the Software is furnished to do so, subject to the following"
-        " conditions"
+    Template(
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any"
+        " damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including"
+        " commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+        ("redistribute", "alter"),
     ),
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
+]
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+_VERSION = re.compile(r"v?([0-9]+)(?:\.0)?|v([0-9]+(?:\.[0-9]+)+)")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words in lower case; a version is spelled alike however it is written: 2.0, 2, v2 and v2.0 are "2"."""
+    out = []
+    for word in _WORD.findall(text.lower()):
+        version = _VERSION.fullmatch(word) if word[0] in "v0123456789" else None
+        out.append((version[1] or version[2]) if version else word)
+    return out
 
 
 def increasing(positions: list[int]) -> list[int]:
@@ -154,8 +275,7 @@ def grown(a: list[str], b: list[str], lo: int, hi: int, reach: int) -> list[tupl
 
 
 def _order(x: tuple) -> tuple:
-    # matched over coverage is the template's length
-    return -x[1], -round(x[2] / x[1]), x[3], x[0], x[4]
+    return -x[2], -x[1], x[3], x[0], x[4]
 
 
 def best_of(notices: list[tuple]) -> tuple | None:
@@ -165,16 +285,13 @@ def best_of(notices: list[tuple]) -> tuple | None:
 class Scanner:
     """Finds the regions of a text that cover templates."""
 
-    def __init__(self, templates: dict[str, str], share: float):
+    def __init__(self, templates: list[Template], share: float = SHARE):
         self.share = share
-        self.templates = {k: w for k, v in templates.items() if (w := words_of(v))}
-        self.of_word = defaultdict(set)
-        for name, words in self.templates.items():
-            for w in words:
-                self.of_word[w].add(name)
+        self.templates = [(t, w) for t in templates if (w := words_of(t.text))]
+        self.known = {w for _, own in self.templates for w in own} | {w for t in templates for w in (*t.needs, *t.bars)}
 
     def __call__(self, text: str) -> tuple | None:
-        """The best of ``notices``: most coverage, then the longer template, the earlier place, the name."""
+        """The best of ``notices``: most words matched, then most coverage, the earlier place, the name."""
         return best_of(self.notices(text))
 
     def notices(self, text: str) -> list[tuple]:
@@ -205,37 +322,47 @@ class Scanner:
     def _regions(self, words: list[str]) -> tuple[set[tuple], set[tuple]]:
         """First regions and grown ones that cover a template to the share; they may overlap."""
         places: dict[str, list[int]] = defaultdict(list)
-        known = self.of_word
+        known = self.known
         for i, w in enumerate(words):
             if w in known:
                 places[w].append(i)
         near, wide = set(), set()
-        for name, own in self.templates.items():
+        for template, own in self.templates:
             n = len(own)
-            if sum(w in places for w in own) < self.share * n:
+            if not all(w in places for w in template.needs) or sum(w in places for w in own) < self.share * n:
                 continue
             # more than (1 - share) of its positions, the rarest in this text
             rare = sorted(range(n), key=lambda q: (len(places[own[q]]), q))[: int((1 - self.share) * n + 1e-9) + 1]
             slack = n // 4 + 1
             # a region that covers the template has that word at most so far from its place
             shift = slack + int((1 - self.share) * n) + 1
-            found_at = {p - q for q in rare for p in places[own[q]]}
-            for start in sorted({p + d for p in found_at for d in range(-shift, shift + 1)}):
-                lo, hi = max(0, start - slack), min(len(words), start + n + slack)
+            # starts so near to each other see the same words of a long template
+            step = max(1, slack // 8)
+            found_at = {(p - q) // step for q in rare for p in places[own[q]]}
+            reached = -(-shift // step)
+            for start in sorted({p + d for p in found_at for d in range(-reached, reached + 1)}):
+                lo, hi = max(0, start * step - slack), min(len(words), start * step + n + slack + step)
                 if hi <= lo:
                     continue
                 for reach, out in ((0, near), (n + 2 * slack, wide)):
                     pairs = grown(own, words, lo, hi, reach)
-                    if len(pairs) >= self.share * n:
-                        out.add((name, len(pairs) / n, len(pairs), pairs[0][1], pairs[-1][1] + 1))
+                    if len(pairs) >= self.share * n and self._told(template, own, words, pairs):
+                        out.add((template.license, len(pairs) / n, len(pairs), pairs[0][1], pairs[-1][1] + 1))
         return near, wide
 
+    @staticmethod
+    def _told(template: Template, own: list[str], words: list[str], pairs: list[tuple[int, int]]) -> bool:
+        """Whether the matched words are what tells this licence from its kin."""
+        matched = {own[i] for i, _ in pairs}
+        region = words[pairs[0][1] : pairs[-1][1] + 1]
+        return matched.issuperset(template.needs) and not any(w in region for w in template.bars)
+
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, share: float = SHARE) -> DataFrame:
+def scan(docs: DataFrame, templates: list[Template] | None = None, share: float = SHARE) -> DataFrame:
     """doc_id, license, coverage, matched_words, start_word, end_word, notices of every row of ``docs``.
 
     notices are all regions that cover a template to ``share`` and don't overlap, in the text's order, each with
-    the same five fields; the columns before are the best of them. license is NULL, coverage 0 and notices empty
+    the same five fields (license: the name of the template's licence, with its version); the columns before are the best of them. license is NULL, coverage 0 and notices empty
     where no template is covered so far, as for NULL and empty texts. Word offsets count the text's words (letters and digits, case ignored), the end exclusive.
     NULL doc_ids stay, repeated rows are scanned each, other columns are ignored, an empty table gives no
     rows. The templates are part of the program and go with the tasks.
