@@ -11,14 +11,21 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Paths made by this process, in order.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is missing, as in tests on one machine, a temporary folder is made and
+    On a cluster the setting must be there. In local mode, as in tests, a temporary folder takes its place and is
     kept in the session's setting.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -26,7 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
+    _made.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +46,33 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in the order of paths, for ``discard``."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Delete what was made since ``since``, except the path made last: for when that was derived from the rest."""
+    for path in _made[since:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _made[since:-1]
+
+
+def sized(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A broadcast hint if the rows, a staged table's, are measured to take fewer than ``most`` bytes."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            size = size + 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array<string>":
+            size = size + 16 + F.coalesce(F.octet_length(F.array_join(c, " ")) + 16 * F.size(c), F.lit(0))
+        else:
+            size = size + 16
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII strings take the fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -1,10 +1,12 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-The windows of the test items are phrases. Their terms are counted over all training texts; the index
+The training texts are split into words once, into a staged table that counts, postings and lengths are taken
+from. The windows of the test items are phrases. Their terms are counted over all training texts; the index
 stores, for each phrase's two rarest terms, a posting per occurrence (term, document, position). The lists
 of a phrase's two terms are shifted by the terms' offsets in the item and intersected, starting from
 the rarest; what is left is compared word for word with the words stored beside the rarest term's
-posting. Terms that are in no phrase never enter the index.
+posting. The same lists give the proximity matches. Terms that are no phrase's rarest never enter the index, so an
+index serves the item set its terms were chosen for; the table of words serves every set.
 
 Documents are told apart by doc_id and a hash of their text, so copies do not meet in one list.
 """
@@ -13,23 +15,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ascii_lower, null_safe_key, staged
+from .common import ascii_lower, null_safe_key, sized, staged
 
 WINDOW = 13
-#: Tables of test terms with at most so many rows are broadcast; larger ones are joined by shuffles.
-BROADCAST_ROWS = 200_000
-#: Splits texts into words while A-Z still stand.
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: How far from its place in the phrase the second rarest term may stand in a proximity match.
+SLOP = 8
+#: Tables of test terms and phrases below so many bytes are broadcast; larger ones are joined by shuffles.
+BROADCAST_BYTES = 64 << 20
+#: Splits lower-cased texts into words.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """The words of a text, case kept; NULL has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS, -1), "")
+    """The words of a text, A-Z in lower case; NULL has none."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1), "")
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """A broadcast hint if the table is small enough to send to every executor."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def tokenised(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n_words, w (the words) of every row of ``docs``, staged: the texts are split once."""
+    key = null_safe_key(F.col("doc_id"), F.col("text"))
+    split = docs.select("doc_id", key.alias("key"), words(F.col("text")).alias("w"))
+    return staged(split.select("doc_id", "key", F.size("w").cast("long").alias("n_words"), "w"), "words")
 
 
 def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -39,35 +45,29 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
     their windows; repeated rows count once; an item without words has none.
     """
     own = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w"))
-    own = own.where(F.size("w") > 0).withColumn("w", F.transform("w", ascii_lower)).distinct()
+    own = own.where(F.size("w") > 0).distinct()
     last = F.greatest(F.size("w") - window, F.lit(0))
     return own.select(
         F.xxhash64("item", "w").alias("text_of"), "item", F.explode(F.sequence(F.lit(0), last)).alias("at"), "w"
     ).select("text_of", "item", "at", F.slice("w", F.col("at") + 1, F.lit(window)).alias("phrase"))
 
 
-def _tokens(docs: DataFrame, *kept: Column) -> DataFrame:
-    """A row per word of every document: term, pos and the kept columns."""
-    split = docs.select(*kept, words(F.col("text")).alias("w"))
-    return split.select(*split.columns, F.posexplode("w").alias("pos", "term")).withColumn("term", ascii_lower(F.col("term")))
-
-
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Occurrences in all texts of each of ``terms`` (term)."""
-    found = _tokens(docs.select("text")).select("term").join(sized(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Occurrences in all tokenised ``texts`` of each of ``terms`` (term)."""
+    found = texts.select(F.explode("w").alias("term")).join(sized(terms, BROADCAST_BYTES), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def rare_terms(items: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def rare_terms(items: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """Each phrase with its two rarest terms: (item, phrase, first, q1, second, q2).
 
     q1 and q2 are the terms' offsets in the phrase. A phrase of one word only has no second term.
     """
     own = staged(phrases(items, window), "phrases")
     distinct = own.select(F.explode("phrase").alias("term")).distinct()
-    counts = staged(term_counts(docs, staged(distinct, "terms")), "counts")
+    counts = staged(term_counts(texts, staged(distinct, "terms")), "counts")
     placed = own.select("text_of", "item", "at", "phrase", F.posexplode("phrase").alias("q", "term"))
-    by_count = placed.join(sized(counts), "term").groupBy("text_of", "item", "at").agg(
+    by_count = placed.join(sized(counts, BROADCAST_BYTES), "term").groupBy("text_of", "item", "at").agg(
         F.first("phrase").alias("phrase"), F.slice(F.sort_array(F.collect_list(F.struct("n", "term", "q"))), 1, WINDOW).alias("order")
     )
     first = F.col("order")[0]
@@ -77,57 +77,57 @@ def rare_terms(items: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def positional_index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
+def positional_index(texts: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     """Postings of ``terms`` (term, wide): term, key, pos and, where ``wide``, the words around it.
 
     ``around`` holds the words from pos - reach to pos + reach, ``left`` how many of them precede it.
     """
-    key = null_safe_key(F.col("doc_id"), F.col("text"))
     left = F.least(F.col("pos"), F.lit(reach))
     around = F.slice("w", F.col("pos") - left + 1, left + reach + 1)
-    return _tokens(docs, key.alias("key")).join(sized(terms), "term").select(
+    placed = texts.select("key", "w", F.posexplode("w").alias("pos", "term"))
+    return placed.join(sized(terms, BROADCAST_BYTES), "term").select(
         "term", "key", "pos", left.alias("left"), F.when(F.col("wide"), around).alias("around")
     )
 
 
-def _index(docs: DataFrame, rare: DataFrame, window: int) -> DataFrame:
+def index_of(texts: DataFrame, rare: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The staged postings of the phrases' two rarest terms (``rare_terms``)."""
     terms = (
         rare.select(F.col("first").alias("term"), F.lit(True).alias("wide"))
         .unionByName(rare.where("second is not null").select(F.col("second").alias("term"), F.lit(False).alias("wide")))
         .groupBy("term")
         .agg(F.max("wide").alias("wide"))
     )
-    return staged(positional_index(docs, staged(terms, "indexed"), window - 1), "postings")
+    return staged(positional_index(texts, staged(terms, "indexed"), window - 1), "postings")
 
 
-def _lists(index: DataFrame, rare: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The shifted lists of the phrases' first and second terms: (item, phrase, key, start, ...)."""
+def shifted_lists(index: DataFrame, rare: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists of the phrases' first and second terms, shifted to where the phrase would start:
+    (item, phrase_id, phrase, key, start, q1, left, around, second) and (phrase_id, key, start)."""
     spelled = rare.withColumn("phrase_id", F.xxhash64("phrase"))
     ones = staged(spelled.select("item", "phrase_id", "phrase", "first", "q1", "second"), "firsts")
     twos = staged(spelled.where("second is not null").select("phrase_id", "second", "q2").distinct(), "seconds")
-    lists1 = index.where("around is not null").join(sized(ones), F.col("term") == F.col("first"))
-    lists2 = index.join(sized(twos), F.col("term") == F.col("second"))
+    lists1 = index.where("around is not null").join(sized(ones, BROADCAST_BYTES), F.col("term") == F.col("first"))
+    lists2 = index.join(sized(twos, BROADCAST_BYTES), F.col("term") == F.col("second"))
     return (
         lists1.select("item", "phrase_id", "phrase", "key", (F.col("pos") - F.col("q1")).alias("start"), "q1", "left", "around", "second"),
         lists2.select("phrase_id", "key", (F.col("pos") - F.col("q2")).alias("start")),
     )
 
 
-def exact_matches(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """(item, key, start, size): where in which document each phrase stands."""
-    one, two = _lists(index, rare)
+def exact_matches(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(item, key, start, size): where in which document each phrase of ``shifted_lists`` stands."""
     on = ["phrase_id", "key", "start"]
     met = one.where("second is not null").join(two, on, "left_semi")
     alone = one.where("second is null").select(met.columns)
     at = F.col("left") - F.col("q1") + 1
-    here = F.transform(F.slice("around", F.greatest(at, F.lit(1)), F.size("phrase")), ascii_lower)
+    here = F.slice("around", F.greatest(at, F.lit(1)), F.size("phrase"))
     return met.unionByName(alone).where(at >= 1).where(here == F.col("phrase")).select("item", "key", "start", F.size("phrase").alias("size"))
 
 
-def proximity_matches(index: DataFrame, rare: DataFrame, slop: int = 8) -> DataFrame:
-    """(item, key): documents in which a phrase's two rarest terms stand within ``slop`` words of
-    where the phrase has them, in either direction. Contains every exact match of two or more terms."""
-    one, two = _lists(index, rare)
+def proximity_matches(one: DataFrame, two: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(item, key): documents in which two of a phrase's terms, its rarest, stand within ``slop`` words of where
+    the phrase has them, in either direction. Contains every exact match of two or more terms."""
     step = slop + 1
     one = one.where("second is not null").select("item", "phrase_id", "key", "start")
     near = one.withColumn("cell", F.explode(F.array(*[F.floor(F.col("start") / step) + F.lit(d) for d in (-1, 0, 1)])))
@@ -139,9 +139,8 @@ def proximity_matches(index: DataFrame, rare: DataFrame, slop: int = 8) -> DataF
     return met.select("item", "key").distinct()
 
 
-def _hits(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """Per document with a match: n_hit and the matched items."""
-    found = exact_matches(index, rare)
+def _hits(one: DataFrame, two: DataFrame, slop: int) -> DataFrame:
+    """Per document with a match: n_hit, the matched items and n_near, the items matched in proximity."""
     # overlapping windows of one document come out of few items: merge its intervals in order
     spans = F.sort_array(F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("size")).alias("end"))))
     covered = F.aggregate(
@@ -153,30 +152,30 @@ def _hits(index: DataFrame, rare: DataFrame) -> DataFrame:
         ),
         lambda a: a["n"].cast("long"),
     )
-    return found.groupBy("key").agg(spans.alias("spans"), F.sort_array(F.collect_set("item")).alias("items")).select(
-        "key", covered.alias("n_hit"), "items"
-    )
+    exact = exact_matches(one, two).groupBy("key").agg(spans.alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    near = proximity_matches(one, two, slop).groupBy("key").agg(F.count(F.lit(1)).alias("n_near"))
+    return exact.select("key", covered.alias("n_hit"), "items").join(near, "key", "full")
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """Per document: doc_id, key, n_words, n_hit, n_items, items, contaminated.
+def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, share: int = 20, slop: int = SLOP) -> DataFrame:
+    """Per document: doc_id, key, n_words, n_hit, n_items, items, contaminated, n_near.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. A word is hit if it lies in an occurrence of
-    a ``window`` of an item; a document is contaminated if at least 1 / ``share`` of its words are hit. A NULL
-    text has no words, a NULL item_id is listed as "", repeated documents are reported each, repeated
-    items count once, other columns are ignored. Without items nothing is hit; an empty table of documents
-    gives no rows.
+    a ``window`` of an item; a document is contaminated if at least 1 / ``share`` of its words are hit. n_near
+    counts the items with a proximity match, which doesn't contaminate. A NULL text has no words, a NULL item_id
+    is listed as "", repeated documents are reported each, repeated items count once, other columns are ignored.
+    Without items nothing is hit; an empty table of documents gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rare = staged(rare_terms(items, docs, window), "rare")
-    hits = staged(_hits(_index(docs, rare, window), rare), "hits")
-    own = docs.select("doc_id", null_safe_key(F.col("doc_id"), F.col("text")).alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = own.join(hits, "key", "left")
+    texts = tokenised(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rare = staged(rare_terms(items, texts, window), "rare")
+    one, two = shifted_lists(index_of(texts, rare, window), rare)
+    hits = staged(_hits(one, two, slop), "hits")
+    out = texts.select("doc_id", "key", "n_words").join(hits, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "key", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"),
-        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
     )
 
 

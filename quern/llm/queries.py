@@ -60,7 +60,7 @@ def op6_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFram
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near"
     )
 
 
@@ -120,9 +120,11 @@ ORACLE_SQL: dict[str, str] = {
             SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
             FROM benchmark
-        ), windows AS (
-            SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(list_slice(w, p, p + least(len(w), 13) - 1), ' ') AS phrase
+        ), parts AS (
+            SELECT DISTINCT item, list_slice(w, p, p + least(len(w), 13) - 1) AS v
             FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS p FROM i WHERE len(w) > 0)
+        ), windows AS (
+            SELECT item, len(v) AS k, array_to_string(v, ' ') AS phrase FROM parts
         ), grams AS (
             SELECT doc_id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS phrase
             FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p
@@ -134,10 +136,28 @@ ORACLE_SQL: dict[str, str] = {
         ), items AS (
             SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
             FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+        ), tokens AS (
+            SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d
+        ), counts AS (
+            SELECT term, count(*) AS n FROM tokens GROUP BY term
+        ), placed AS (
+            SELECT item, v, unnest(v) AS term, unnest(range(len(v))) AS q FROM parts
+        ), ranked AS (
+            SELECT item, v, placed.term, q, row_number() OVER (PARTITION BY item, v ORDER BY coalesce(n, 0), placed.term, q) AS r
+            FROM placed LEFT JOIN counts USING (term)
+        ), ones AS (
+            SELECT item, v, term, q FROM ranked WHERE r = 1
+        ), twos AS (
+            SELECT o.item, o.v, o.term AS first, o.q AS q1, arg_min(x.term, x.r) AS second, arg_min(x.q, x.r) AS q2
+            FROM ones o JOIN ranked x ON x.item = o.item AND x.v = o.v AND x.term <> o.term GROUP BY ALL
+        ), near AS (
+            SELECT a.doc_id, count(DISTINCT t.item) AS n_near
+            FROM twos t JOIN tokens a ON a.term = t.first JOIN tokens b ON b.doc_id = a.doc_id AND b.term = t.second
+            WHERE abs((a.pos - t.q1) - (b.pos - t.q2)) <= 8 GROUP BY a.doc_id
         )
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
-               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
 }

@@ -157,10 +157,12 @@ def pack_vectors(
     offset. A NULL or empty text is the end id alone; a NULL doc_id stays NULL; repeated rows are packed
     each; other columns are ignored. Over an empty table the result is empty.
 
-    ``max_loss`` below ``max_tokens`` needs at least one loss-bearing token of room per sequence.
+    ``max_loss`` is ``max_tokens`` if it isn't given. Limits below one are an error.
     """
     path = tokenizer or tokens.default_path()
-    limit = max_loss or max_tokens
+    limit = max_tokens if max_loss is None else max_loss
+    if min(max_tokens, max_segments, limit) < 1:
+        raise ValueError("each limit of a sequence must be at least 1")
     masked = "loss_from" in rows.columns
     rows = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -59,7 +59,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 
 def test_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     docs, items = tables(spark)
     assert rows_of(decontaminate.contamination(docs, items)) == brute(DOCS, ITEMS)
 
@@ -68,12 +68,15 @@ def test_proximity(spark):
     items = spark.createDataFrame([(1, "red apple"), (2, "green leaf tree")], "item_id long, text string")
     texts = ["red apple", "red x x apple", "red " + "x " * 20 + "apple", "apple red", "tree leaf green", "green only"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rare = decontaminate.staged(decontaminate.rare_terms(items, docs), "rare")
-    index = decontaminate._index(docs, rare, 13)
-    keys = {bytes(r.key): r.doc_id for r in decontaminate.contamination(docs, items).select("doc_id", "key").collect()}
-    near = sorted((r.item, keys[bytes(r.key)]) for r in decontaminate.proximity_matches(index, rare, 4).collect())
+    texts = decontaminate.tokenised(docs)
+    rare = decontaminate.staged(decontaminate.rare_terms(items, texts), "rare")
+    one, two = decontaminate.shifted_lists(decontaminate.index_of(texts, rare), rare)
+    told = {r.doc_id: (bytes(r.key), r.n_near) for r in decontaminate.contamination(docs, items, slop=4).collect()}
+    assert {k: n for k, (_, n) in told.items()} == {0: 1, 1: 1, 2: 0, 3: 1, 4: 1, 5: 0}
+    keys = {k: d for d, (k, _) in told.items()}
+    near = sorted((r.item, keys[bytes(r.key)]) for r in decontaminate.proximity_matches(one, two, 4).collect())
     assert near == [("1", 0), ("1", 1), ("1", 3), ("2", 4)]
-    exact = sorted((r.item, keys[bytes(r.key)], r.start) for r in decontaminate.exact_matches(index, rare).collect())
+    exact = sorted((r.item, keys[bytes(r.key)], r.start) for r in decontaminate.exact_matches(one, two).collect())
     assert exact == [("1", 0, 0)]
 
 
@@ -82,3 +85,19 @@ def test_clean(spark):
     bad = [r.contaminated for r in decontaminate.contamination(docs, items).collect()]
     left = decontaminate.clean(docs, items)
     assert left.columns == docs.columns and left.count() == bad.count(False)
+
+
+def test_sql_of_the_query(spark, sf):
+    """The registered SQL, with its proximity counts, on the smallest tables."""
+    import duckdb
+
+    from quern.llm import queries
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        got = queries.QUERIES[name](spark, sf)
+        columns = sorted(got.columns)
+        want = c.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
