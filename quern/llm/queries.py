@@ -71,6 +71,20 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over all turns of the conversations: only the assistant's turns bear loss, 1024 tokens a sequence at most.
+
+    A turn is an item, so that a conversation of any length is never in one task.
+    """
+    turns = table(spark, sf_dir, "conversations").select(
+        F.struct("conv_id", "turn").alias("doc_id"), "text", F.when(F.col("role") != "assistant", F.lit(2**31 - 1)).alias("loss_from")
+    )
+    pieces = vector_packing.pack_vectors(turns, max_loss=1024)
+    return pieces.select(
+        "doc_id.conv_id", "doc_id.turn", "start", "length", F.crc32("ids").alias("ids_crc32"), "loss_tokens", "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -93,7 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_arc_to_warc, op2_bfd_packing, op3_weak_supervision_pii, op4_license_patience, op5_distribution_quality,
         op6_balanced_label_propagation, op7_positional_index, op8_vector_packing, op9_simhash_ball,
-        op10_string_kernel_language, pipeline,
+        op10_string_kernel_language, conversation_packing, pipeline,
     )
 }
 

@@ -26,17 +26,14 @@ from . import tokens
 #: A pool is packed when it holds so many items or tokens: bounds a task's memory.
 POOL_ITEMS, POOL_TOKENS = 2048, 1 << 20
 
-PIECE_SCHEMA = (
-    "doc_id long, start long, length long, ids binary, loss_tokens long, doc_tokens long,"
-    " sequence_id long, offset long"
-)
+PIECE_FIELDS = ["doc_id", "start", "length", "ids", "loss_tokens", "doc_tokens", "sequence_id", "offset"]
 
 
 @dataclass(slots=True)
 class Item:
     """A document's ids from ``start`` on; ``loss`` is a cumulative count of loss-bearing tokens."""
 
-    doc_id: int | None
+    doc_id: object
     ids: np.ndarray
     loss: np.ndarray | None
     total: int
@@ -149,7 +146,7 @@ def pack_vectors(
     tokenizer: str | None = None,
     end_id: int = 2,
 ) -> DataFrame:
-    """Pack ``rows`` (doc_id, text and optionally loss_from) into sequences; a row per piece.
+    """Pack ``rows`` (doc_id, text and optionally loss_from) into sequences; a row per piece. doc_id may have any type.
 
     Ids are the text's (``tokenizer``, no special tokens) and then ``end_id``. ``loss_from`` (int) is the
     number of leading tokens that bear no loss, as a prompt's; without it every token bears loss.
@@ -165,7 +162,7 @@ def pack_vectors(
         raise ValueError("each limit of a sequence must be at least 1")
     masked = "loss_from" in rows.columns
     rows = rows.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        "doc_id",
         "text",
         (F.col("loss_from").cast("int") if masked else F.lit(None).cast("int")).alias("loss_from"),
     )
@@ -177,7 +174,7 @@ def pack_vectors(
         memo = tokens.chunk_ids(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         packer = Packer(max_tokens, max_segments, limit)
-        out, size, k = [], 0, 0
+        out, size, k, key = [], 0, 0, None
 
         def emit(sequences):
             nonlocal size, k
@@ -198,12 +195,11 @@ def pack_vectors(
             columns = list(zip(*[(i.doc_id, s, n, p, b, i.total, q, o) for i, s, n, p, b, q, o in out], strict=True))
             out.clear()
             size = 0
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in PIECE_SCHEMA.split(",")]
-            )
+            kinds = [key, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], PIECE_FIELDS)
 
         for batch in batches:
+            key = batch.schema.field(0).type
             for doc_id, text, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ids = np.frombuffer(tokens.encode(memo, text) + end, dtype="<u4")
                 loss = None
@@ -214,4 +210,6 @@ def pack_vectors(
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, PIECE_SCHEMA)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long"
+    return rows.mapInArrow(run, schema)

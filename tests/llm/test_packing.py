@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -86,6 +87,82 @@ def test_op8_digest(spark, sf):
         assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
 
 
+def brute_vectors(items, max_tokens, max_segments, max_loss):
+    """Sequences of (doc, start, length) by the dot-product rule, with plain lists and exact fractions.
+
+    items: (doc, list of 0/1 for loss-bearing tokens), each shorter than a sequence.
+    """
+    pool = [[doc, 0, marks] for doc, marks in items]
+    out = []
+    while pool:
+        placed, room, slots, loss_room = [], max_tokens, max_segments, max_loss
+        while room and slots and pool:
+            def worth(x):
+                return (Fraction(len(x[2]) * room, max_tokens**2) + Fraction(slots, max_segments**2)
+                        + Fraction(sum(x[2]) * loss_room, max_loss**2))
+
+            fits = [x for x in pool if len(x[2]) <= room and sum(x[2]) <= loss_room]
+            x = max(fits or pool, key=worth)
+            n = 0
+            while n < min(room, len(x[2])) and sum(x[2][: n + 1]) <= loss_room:
+                n += 1
+            if not n:
+                break
+            placed.append((x[0], x[1], x[2][:n]))
+            room, slots, loss_room = room - n, slots - 1, loss_room - sum(x[2][:n])
+            if n < len(x[2]):
+                pool[pool.index(x)] = [x[0], x[1] + n, x[2][n:]]
+            else:
+                pool.remove(x)
+        total = sum(len(m) for _, _, m in placed)
+        over = 0 if total == max_tokens else total - 2 ** (total.bit_length() - 1)
+        while over:
+            doc, start, marks = placed.pop()
+            k = min(over, len(marks))
+            pool.append([doc, start + len(marks) - k, marks[len(marks) - k :]])
+            if len(marks) > k:
+                placed.append((doc, start, marks[:-k]))
+            over -= k
+        out.append([(doc, start, len(marks)) for doc, start, marks in placed])
+    return out
+
+
+def test_vector_packing_equals_brute_force():
+    rng = np.random.default_rng(8)
+    for case in range(60):
+        limits = [(64, 4, 64), (64, 9, 20), (32, 3, 8)][case % 3]
+        items = []
+        for doc in range(int(rng.integers(1, 25))):
+            n = int(rng.integers(1, limits[0]))
+            items.append((doc, [int(i >= rng.integers(0, n + 1)) for i in range(n)] if case % 2 else [1] * n))
+        packer = vector_packing.Packer(*limits)
+        for doc, marks in items:
+            loss = np.concatenate([[0], np.cumsum(marks)])
+            packer.pool.append(vector_packing.Item(doc, np.zeros(len(marks), "<u4"), loss, len(marks)))
+            packer.tokens += len(marks)
+        got = [[(i.doc_id, s, n) for i, s, n in q] for q in packer.pack()]
+        assert got == brute_vectors(items, *limits)
+
+
+def test_conversations_mask_prompts(spark, sf):
+    from quern.llm.queries import conversation_packing
+
+    turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    got = conversation_packing(spark, sf).collect()
+    loss, tokens_of = defaultdict(int), defaultdict(int)
+    by_sequence = defaultdict(list)
+    for p in got:
+        tokens_of[(p.conv_id, p.turn)] += p.length
+        loss[(p.conv_id, p.turn)] += p.loss_tokens
+        by_sequence[p.sequence_id].append(p)
+    assert tokens_of.keys() == turns.keys()
+    for k, r in turns.items():
+        n = len(ids_of(r.text))
+        assert tokens_of[k] == n and loss[k] == (n if r.role == "assistant" else 0)
+    assert all(sum(p.loss_tokens for p in s) <= 1024 and sum(p.length for p in s) <= 4096 for s in by_sequence.values())
+    assert max(sum(p.loss_tokens for p in s) for s in by_sequence.values()) > 1000
+
+
 def brute_best_fit(lengths, length):
     rows = []
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):

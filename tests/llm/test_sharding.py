@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -52,6 +53,44 @@ def test_linked_groups(spark, kind):
         assert cut([r for r in rows if r.group is not None]) < (0.25 if kind == "all linked" else 0.02) * n
 
 
+def least_cut(sizes, quotas):
+    """The fewest rows outside their group's main shard that any placement under the quotas has, by search."""
+    best = [sum(sizes)]
+
+    def place(k, room, cut):
+        if cut >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = cut
+            return
+        for s in sorted(range(len(room)), key=lambda s: -room[s]):
+            kept = min(sizes[k], room[s])
+            # what doesn't fit its main shard goes wherever there is room: in the largest rooms left
+            left, rest = list(room), sizes[k] - kept
+            left[s] -= kept
+            for o in sorted(range(len(left)), key=lambda o: -left[o]):
+                moved = min(rest, left[o])
+                left[o], rest = left[o] - moved, rest - moved
+            place(k + 1, left, cut + sizes[k] - kept)
+
+    place(0, list(quotas), 0)
+    return best[0]
+
+
+def test_cut_is_near_the_least(spark):
+    """Small tables on which the least cut can be searched: propagation stays within a tenth of the rows of it."""
+    rng = random.Random(6)
+    for case in range(3):
+        sizes = sorted((rng.randint(2, 9) for _ in range(9)), reverse=True)
+        linked = sum(sizes)
+        rows = [(i, k) for k, n in enumerate(sizes) for i in range(1000 * k, 1000 * k + n)] + [(90_000 + i, None) for i in range(linked)]
+        nodes = staged(spark.createDataFrame(rows, "doc_id long, group long"), "nodes")
+        got = sharding.propagate(nodes, shards=3, part_share=1.0).collect()
+        check(got, 3)
+        quotas = [len(rows) // 3 + (s < len(rows) % 3) for s in range(3)]
+        assert cut([r for r in got if r.group is not None]) <= least_cut(sizes, quotas) + 0.1 * len(rows)
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = sharding.shard_documents(odd_docs).collect()
     assert len(rows) == odd_docs.count()
