@@ -32,3 +32,16 @@ def sparse_cosine(a: Column, b: Column) -> Column:
         F.map_keys(a), F.lit(0.0), lambda s, k: s + F.coalesce(F.try_element_at(a, k) * F.try_element_at(b, k), F.lit(0.0))
     )
     return shared / F.nullif(length(a) * length(b), F.lit(0.0))
+
+
+def category_shares(tags: Column, categories: Column) -> Column:
+    """A map from category to its share of the tags that have one. ``categories`` maps tags, in lower case, to categories."""
+    known = F.array_compact(F.transform(tags, lambda t: F.try_element_at(categories, F.lower(t))))
+    names = F.array_distinct(known)
+    share = lambda c: F.size(F.filter(known, lambda x: x == c)) / F.size(known)
+    return F.map_from_arrays(names, F.transform(names, share))
+
+
+def merged_maps(base: Column, extra: Column) -> Column:
+    """Both maps' entries; the base's value stays where both have a key."""
+    return F.map_from_entries(F.concat(F.map_entries(base), F.filter(F.map_entries(extra), lambda e: ~F.map_contains_key(base, e["key"]))))

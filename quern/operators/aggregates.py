@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranking import average_ranks, exact_percentiles, running_counts
+
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, missing): the share of NULLs and empty arrays of each column, in one pass."""
@@ -74,10 +76,18 @@ def concat_ordered(df: DataFrame, keys: list[str], order: str, text: str, separa
     return df.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x[text]), separator).alias(text))
 
 
-def fingerprint(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """SHA-1 of each key's sorted values: equal sets have equal ones, in any order."""
-    listed = F.transform(F.sort_array(F.collect_set(value)), lambda x: x.cast("string"))
-    return df.groupBy(*keys).agg(F.sha1(F.array_join(listed, ",")).alias("fingerprint"))
+def fingerprint(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
+    """A digest of each key's distinct values: equal sets have equal ones, in any order.
+
+    Two levels, so that no row holds a whole set: SHA-1 of the sorted values of every bucket (by the value's MD5),
+    then SHA-1 of the bucket digests in the order of the buckets. NULL values are left out.
+    """
+    text = F.col(value).cast("string")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, text.alias("__v")).distinct()
+    bucket = F.pmod(F.conv(F.substring(F.md5("__v"), 1, 4), 16, 10).cast("int"), F.lit(buckets))
+    parts = rows.groupBy(*keys, bucket.alias("__b")).agg(F.sha1(F.array_join(F.sort_array(F.collect_list("__v")), ",")).alias("__d"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("__b", "__d"))), lambda x: x["__d"])
+    return parts.groupBy(*keys).agg(F.sha1(F.array_join(ordered, ",")).alias("fingerprint"))
 
 
 def median_or(df: DataFrame, fine: list[str], coarse: list[str], value: str) -> DataFrame:
@@ -112,31 +122,31 @@ def agreement(pred: Column, truth: Column) -> list[Column]:
     ]
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
-    """Ranks with ties at their mean, from the counts of distinct values."""
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return df.join(counts.select(*group, value, (F.sum("__n").over(upto) - (F.col("__n") - 1) / 2).alias(out)), [*group, value])
-
-
 def spearman(df: DataFrame, group: list[str], a: str, b: str, ordinal_by: str | None = None) -> DataFrame:
-    """Rank correlation by group; ties at their mean or, with ``ordinal_by``, in that order."""
+    """Rank correlation by group, of rows with both values; ties at their mean or, with ``ordinal_by``, in that order."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     if ordinal_by:
         rank = lambda c: F.row_number().over(Window.partitionBy(*group).orderBy(c, ordinal_by))
-        ranked = df.withColumn("__a", rank(a)).withColumn("__b", rank(b))
+        ranked = rows.withColumn("__a", rank(a)).withColumn("__b", rank(b))
     else:
-        ranked = average_ranks(average_ranks(df, group, a, "__a"), group, b, "__b")
-    return ranked.groupBy(*group).agg(F.round(F.corr("__a", "__b"), 6).alias("rho"), F.count(F.lit(1)).alias("n"))
+        ranked = average_ranks(average_ranks(rows, group, a, "__a"), group, b, "__b")
+    # NULL where one side doesn't vary
+    rho = F.covar_pop("__a", "__b") / F.nullif(F.stddev_pop("__a") * F.stddev_pop("__b"), F.lit(0.0))
+    return ranked.groupBy(*group).agg(F.round(rho, 6).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def threshold_sweep(df: DataFrame, value: str, truth: Column) -> DataFrame:
-    """Per distinct threshold: tp, fp, fn, tn of value >= threshold, by one cumulative pass over the
-    distinct values' counts. The pass holds a row per distinct value in one task: bin continuous scores first."""
-    counts = df.groupBy(F.col(value).alias("threshold")).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
-    above = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    every = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    swept = counts.withColumn("tp", F.sum("pos").over(above)).withColumn("fp", F.sum("neg").over(above)).crossJoin(F.broadcast(every))
-    return swept.select("threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("n") - F.col("fp")).alias("tn"))
+    """Per distinct threshold: tp, fp, fn, tn of value >= threshold, from running counts of the distinct values."""
+    c = running_counts(df, [], value, {"pos": F.count_if(truth), "neg": F.count_if(~truth)})
+    tp, fp = F.col("all_pos") - F.col("upto_pos") + F.col("pos"), F.col("all_neg") - F.col("upto_neg") + F.col("neg")
+    return c.select(F.col(value).alias("threshold"), tp.alias("tp"), fp.alias("fp"), (F.col("all_pos") - tp).alias("fn"), (F.col("all_neg") - fp).alias("tn"))
+
+
+def best_threshold(swept: DataFrame) -> DataFrame:
+    """The threshold of ``threshold_sweep`` with the best accuracy, the lowest of equal ones."""
+    accuracy = (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    best = swept.withColumn("accuracy", accuracy).agg(F.max(F.struct("accuracy", (-F.col("threshold")).alias("t"), "tp", "fp", "fn", "tn")).alias("b"))
+    return best.select((-F.col("b.t")).alias("threshold"), "b.accuracy", "b.tp", "b.fp", "b.fn", "b.tn")
 
 
 def weighted_stats(df: DataFrame, query: str, similarity: str, values: list[str], floor: float = 0.01, least: int = 3) -> DataFrame:
@@ -166,3 +176,92 @@ def weighted_stats(df: DataFrame, query: str, similarity: str, values: list[str]
     average = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
     level = F.when(average <= 0.7, "high").when(average <= 1.2, "medium").otherwise("low")
     return stats.withColumn("confidence", level)
+
+
+def source_report(df: DataFrame, source: str, failed: Column) -> DataFrame:
+    """(source, n, failed): rows of each source, and those that failed."""
+    return df.groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(failed, F.lit(False))).alias("failed"))
+
+
+def ratio_check(df: DataFrame, group: list[str], ratio: str) -> DataFrame:
+    """(group, median_ratio, within_10, within_25, coverage) of a ratio that should be one; NULL is no match."""
+    off = F.abs(F.col(ratio) - 1)
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
+    rates = df.groupBy(*group).agg(share(off <= 0.1).alias("within_10"), share(off <= 0.25).alias("within_25"), share(F.col(ratio).isNotNull()).alias("coverage"))
+    medians = exact_percentiles(df, group, ratio, {"median_ratio": 0.5})
+    return rates.join(medians, group, "left").select(*group, F.round("median_ratio", 6).alias("median_ratio"), "within_10", "within_25", "coverage")
+
+
+def panel_means(df: DataFrame, keys: list[str], means: dict[str, str], note: str, order: str, out: str) -> DataFrame:
+    """Each key's means and its distinct notes in the order they were first seen, joined by semicolons."""
+    averages = df.groupBy(*keys).agg(*[F.round(F.avg(c), 6).alias(n) for n, c in means.items()])
+    first = df.where(F.col(note).isNotNull()).groupBy(*keys, note).agg(F.min(order).alias("__at"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("__at", note))), lambda x: x[note])
+    return averages.join(first.groupBy(*keys).agg(F.array_join(listed, ";").alias(out)), keys, "left")
+
+
+def f1_thresholds(df: DataFrame, tags: list[str], score: str, truth: Column, grid: list[float]) -> DataFrame:
+    """(tags, threshold, f1): of a grid the threshold with the best F1 for each tag, the lowest of equal ones."""
+    rows = df.withColumn("__truth", truth).withColumn("threshold", F.explode(F.array(*[F.lit(g) for g in grid])))
+    over = F.col(score) >= F.col("threshold")
+    c = rows.groupBy(*tags, "threshold").agg(
+        F.count_if(F.col("__truth") & over).alias("tp"), F.count_if(~F.col("__truth") & over).alias("fp"), F.count_if(F.col("__truth") & ~over).alias("fn")
+    )
+    f1 = 2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0))
+    best = c.withColumn("f1", f1).groupBy(*tags).agg(F.max(F.struct("f1", (-F.col("threshold")).alias("t"))).alias("b"))
+    return best.select(*tags, (-F.col("b.t")).alias("threshold"), "b.f1")
+
+
+def annotators(df: DataFrame, group: list[str], first: Column, second: Column) -> DataFrame:
+    """Agreement of two annotators by group: which side has no value, ordinal agreement, precision, recall and F1 of the
+    first with the second as truth."""
+    same = F.coalesce(first == second, F.lit(False))
+    hit, said, told = F.count_if(same), F.count(first), F.count(second)
+    rows = df.groupBy(*group).agg(
+        F.count_if(first.isNull() & second.isNotNull()).alias("only_second"), F.count_if(first.isNotNull() & second.isNull()).alias("only_first"),
+        F.count_if(first.isNull() & second.isNull()).alias("neither"), *agreement(first, second), hit.alias("__tp"), (said - hit).alias("__fp"), (told - hit).alias("__fn"),
+    )
+    return rows.select("*", *prf(F.col("__tp"), F.col("__fp"), F.col("__fn"))).drop("__tp", "__fp", "__fn")
+
+
+def calibration(
+    df: DataFrame, bucket: list[str], pred: str, truth: str, high: float = 0.75, medium: float = 0.55, rho: float = 0.3, least: int = 10
+) -> DataFrame:
+    """(bucket, n, within_1, rho, level): a confidence level from residuals. High also needs rank information; a bucket of
+    fewer than ``least`` rows is low."""
+    rows = df.where(F.col(pred).isNotNull() & F.col(truth).isNotNull())
+    near = rows.groupBy(*bucket).agg(F.avg((F.abs(F.col(pred) - F.col(truth)) <= 1).cast("int")).alias("w"))
+    both = near.join(spearman(rows, bucket, pred, truth), bucket)
+    order = F.coalesce("rho", F.lit(0.0))
+    level = (
+        F.when(F.col("n") < least, "low").when((F.col("w") >= high) & (order >= rho), "high").when((F.col("w") >= medium) & (order > 0), "medium").otherwise("low")
+    )
+    return both.select(*bucket, "n", F.round("w", 6).alias("within_1"), "rho", level.alias("level"))
+
+
+def ordinal_correlation(df: DataFrame, group: list[str], name: str, order: list[str], value: str) -> DataFrame:
+    """Rank correlation of ``value`` with the place of a name in ``order``; other names are left out."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(name))
+    return spearman(df.withColumn("__place", F.nullif(place, F.lit(0))), group, "__place", value)
+
+
+def inventory(df: DataFrame, group: list[str], value: str, kind: str) -> DataFrame:
+    """(group, n, known, kinds): rows, rows with a value, the sorted distinct kinds (a vocabulary, so few)."""
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("known"), F.array_sort(F.collect_set(kind)).alias("kinds"))
+
+
+def readable_share(df: DataFrame, group: list[str], tokens: Column, vocabulary: DataFrame, key: str) -> DataFrame:
+    """(group, share): rows of which a vocabulary (term) reads at least one token, over all rows."""
+    known = df.select(key, F.explode(F.array_distinct(tokens)).alias("term")).join(F.broadcast(vocabulary), "term").select(key).distinct().withColumn("__read", F.lit(1))
+    return df.join(known, key, "left").groupBy(*group).agg(F.avg(F.coalesce("__read", F.lit(0))).alias("share"))
+
+
+def term_groups(df: DataFrame, group: str, tokens: Column, vocabulary: DataFrame) -> DataFrame:
+    """(term, groups): the sorted groups in which each vocabulary term occurs."""
+    found = df.select(group, F.explode(tokens).alias("term")).join(F.broadcast(vocabulary), "term").distinct()
+    return found.groupBy("term").agg(F.array_sort(F.collect_set(group)).alias("groups"))
+
+
+def weighted_support(df: DataFrame, key: list[str], similarity: str, value: str, floor: float = 0.01) -> DataFrame:
+    """(key, support): the neighbours' similarities, at least ``floor`` each, summed where they have a value."""
+    return df.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.greatest(F.col(similarity), F.lit(floor)))), F.lit(0.0)).alias("support"))

@@ -49,16 +49,27 @@ def without_twins(df: DataFrame, group: str, key: Column, swap: Column) -> DataF
 
 
 def contained_names(inputs: DataFrame, text: str, input_key: str, names: DataFrame, name: str, name_key: str, least: int) -> DataFrame:
-    """(input, name): the name all of whose tokens are in the input's text, if it alone has the most of
-    at least ``least``. Joined on single tokens, so only names that share one meet an input."""
-    a = inputs.select(input_key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("__t"))
-    b = names.select(name_key, F.array_distinct(tokens(F.col(name))).alias("__own"))
-    b = b.select(name_key, F.size("__own").alias("__n"), F.explode("__own").alias("__t")).where(F.col("__n") >= least)
-    whole = a.join(b, "__t").groupBy(input_key, name_key, "__n").agg(F.count(F.lit(1)).alias("__hit")).where("__hit = __n")
-    best = whole.groupBy(input_key).agg(
-        F.max("__n").alias("shared"), F.max_by(name_key, F.struct("__n", name_key)).alias(name_key), F.sort_array(F.collect_list("__n"), False).alias("__ns")
+    """(input, name, shared): the name all of whose tokens are in the input's text, if it alone has the most of
+    at least ``least``.
+
+    A name meets the inputs that hold its rarest token (counted over the inputs), never those that share a
+    frequent one; the rest of its tokens is compared there.
+    """
+    a = inputs.select(input_key, F.array_distinct(tokens(F.col(text))).alias("__have"))
+    b = names.select(name_key, F.array_distinct(tokens(F.col(name))).alias("__own")).where(F.size("__own") >= least)
+    wanted = b.select(name_key, F.explode("__own").alias("__t"))
+    counts = a.select(F.explode("__have").alias("__t")).join(wanted.select("__t").distinct(), "__t").groupBy("__t").agg(F.count(F.lit(1)).alias("__n"))
+    # a token no input has rules its name out
+    rarest = wanted.join(counts, "__t", "left").groupBy(name_key).agg(
+        F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__t").alias("t"))).alias("__r")
     )
-    return best.where("size(__ns) = 1 OR __ns[0] > __ns[1]").select(input_key, name_key, "shared")
+    probe = b.join(rarest.where("__r.n > 0").select(name_key, F.col("__r.t").alias("__t")), name_key)
+    holders = a.select(input_key, F.explode("__have").alias("__t")).join(probe.select("__t", name_key), "__t").select(input_key, name_key)
+    whole = holders.join(a, input_key).join(b, name_key).where(F.size(F.array_except("__own", "__have")) == 0)
+    found = whole.select(input_key, name_key, F.size("__own").alias("shared")).distinct()
+    best = found.groupBy(input_key, "shared").agg(F.count(F.lit(1)).alias("__ties"), F.min(name_key).alias(name_key))
+    top = best.groupBy(input_key).agg(F.max(F.struct("shared", "__ties", name_key)).alias("__b"))
+    return top.where("__b.__ties = 1").select(input_key, f"__b.{name_key}", "__b.shared")
 
 
 def disable_siblings(df: DataFrame, base: Column, over: Column, flag: str) -> DataFrame:
@@ -116,22 +127,30 @@ def knn(
 def jaccard_neighbors(df: DataFrame, key: str, group: str, features: Column, k: int) -> DataFrame:
     """The ``k`` rows of other groups with the largest feature overlap, by Jaccard, ties by key.
 
-    Pairs meet on a shared feature. Rows with equal feature sets meet once, as one set, and are expanded
-    within the top-k only: a set's own candidates are its ``k`` + 1 smallest keys of each group.
+    The answer depends on a row's feature set and group alone, so distinct sets are compared (where they share a
+    feature), not rows. A set offers at most 2k members: with no more than k of a group, the first 2k hold the
+    first k outside any one group. The same holds for the candidates of a set, which are ranked once for all
+    groups; rows are expanded last.
     """
-    rows = df.select(key, group, F.array_sort(F.array_distinct(features)).alias("f")).where("size(f) > 0")
-    sets = rows.groupBy("f").agg(F.min(key).alias("s"))
-    of = rows.join(sets, "f").select(key, group, "s")
+    rows = df.select(F.col(key).alias("query"), F.col(group).alias("g"), F.array_sort(F.array_distinct(features)).alias("f")).where("size(f) > 0")
+    sets = rows.groupBy("f").agg(F.min("query").alias("s"))
+    of = rows.join(sets, "f").select("query", "g", "s")
     items = sets.select("s", F.size("f").alias("n"), F.explode("f").alias("x"))
-    a, b = items.alias("a"), items.alias("b")
-    pairs = a.join(b, F.col("a.x") == F.col("b.x")).groupBy(F.col("a.s").alias("s"), F.col("b.s").alias("t"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(
-        F.count(F.lit(1)).alias("c")
+    pairs = items.select("x", "s", "n").join(items.select("x", F.col("s").alias("t"), F.col("n").alias("m")), "x")
+    shared = pairs.groupBy("s", "t", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+    near = shared.select("s", "t", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("similarity"))
+
+    def first(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= most).drop("r")
+
+    by_key = [F.col("query")]
+    members = first(first(of, ["s", "g"], by_key, k), ["s"], by_key, 2 * k).select(
+        F.col("s").alias("t"), F.col("query").alias("neighbor"), F.col("g").alias("other")
     )
-    near = pairs.select("s", "t", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("similarity"))
-    # of a set, each group's first k + 1 members can enter a top-k
-    w = Window.partitionBy("s", group).orderBy(key)
-    members = of.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select(F.col("s").alias("t"), F.col(key).alias("neighbor"), F.col(group).alias("__g"))
-    candidates = of.select(F.col(key).alias("query"), F.col(group).alias("__own"), "s").join(near, "s").join(members, "t")
-    candidates = candidates.where(~F.col("__own").eqNullSafe(F.col("__g")))
-    order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "neighbor")
-    return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "neighbor", "rank", "similarity")
+    order = [F.col("similarity").desc(), F.col("neighbor")]
+    candidates = first(first(near.join(members, "t"), ["s", "other"], order, k), ["s"], order, 2 * k)
+    askers = of.select("s", "g").distinct()
+    ranked = askers.join(candidates, "s").where(~F.col("g").eqNullSafe(F.col("other")))
+    best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("s", "g").orderBy(*order))).where(F.col("rank") <= k)
+    a, b = of.alias("a"), best.alias("b")
+    return a.join(b, (F.col("a.s") == F.col("b.s")) & F.col("a.g").eqNullSafe(F.col("b.g"))).select("query", "neighbor", "rank", "similarity")

@@ -19,12 +19,20 @@ def coverage_counts(t):
     )
 
 
-@query("""WITH x AS (SELECT CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 7 <> 0 THEN source END AS source, text FROM documents)
+@query("""WITH x AS (SELECT CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 7 <> 0 THEN source END AS source, CASE WHEN doc_id % 5 = 0 THEN [] WHEN doc_id % 4 <> 0 THEN [lang] END AS tags FROM documents)
     SELECT 'lang' AS "column", round(avg(CAST(lang IS NULL AS INT)), 6) AS missing FROM x UNION ALL SELECT 'source', round(avg(CAST(source IS NULL AS INT)), 6) FROM x
-    UNION ALL SELECT 'text', round(avg(CAST(text IS NULL AS INT)), 6) FROM x""")
+    UNION ALL SELECT 'tags', round(avg(CAST(tags IS NULL OR len(tags) = 0 AS INT)), 6) FROM x""")
 def missing_rates(t):
-    rows = t("documents").select(F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"), "text")
-    return A.missing_rates(rows, ["lang", "source", "text"]).withColumn("missing", F.round("missing", 6))
+    k = F.col("doc_id")
+    tags = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 4 != 0, F.array("lang"))
+    rows = t("documents").select(F.when(k % 3 != 0, F.col("lang")).alias("lang"), F.when(k % 7 != 0, F.col("source")).alias("source"), tags.alias("tags"))
+    return A.missing_rates(rows, ["lang", "source", "tags"]).withColumn("missing", F.round("missing", 6))
+
+
+@query("""SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (n_chars = 0 OR text IS NULL OR n_chars < 100) AS BIGINT) AS failed FROM documents GROUP BY source""")
+def source_report(t):
+    """Rows and failed rows of each source."""
+    return A.source_report(t("documents"), "source", (F.col("n_chars") == 0) | F.col("text").isNull() | (F.col("n_chars") < 100))
 
 
 TAGS_SQL = "tags AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ') || [p_type]) AS tag FROM part)"
@@ -51,10 +59,14 @@ def daily_budget(t):
     )
 
 
-@query("SELECT p_brand, p_type, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY p_brand) AS DOUBLE), 6) AS share FROM part GROUP BY 1, 2")
+@query("""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ') || [p_type]) AS tag FROM part), k AS (SELECT * FROM (VALUES ('hot', 'warm'), ('red', 'warm'), ('cold', 'cool'), ('promo', 'trade')) v(tag, category)),
+    j AS (SELECT p_partkey, category FROM w JOIN k ON lower(w.tag) = k.tag)
+    SELECT p_partkey, category, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY p_partkey) AS DOUBLE), 6) AS share FROM j GROUP BY 1, 2""")
 def category_vector(t):
-    n = t("part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    return n.select("p_brand", "p_type", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("p_brand")), 6).alias("share"))
+    """The shares of categories among an item's tags; tags without one are ignored."""
+    kinds = F.create_map(*[F.lit(x) for x in ("hot", "warm", "red", "warm", "cold", "cool", "promo", "trade")])
+    tags = F.concat(F.split("p_name", " "), F.array("p_type"))
+    return t("part").select("p_partkey", F.explode(V.category_shares(tags, kinds)).alias("category", "share")).withColumn("share", F.round("share", 6))
 
 
 @query("""SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest, CAST(count(*) AS BIGINT) AS turns FROM conversations GROUP BY conv_id""")
@@ -74,39 +86,54 @@ def median_fallback(t):
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def latency_percentiles(t):
-    return t("events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95")
-    )
+    found = R.exact_percentiles(t("events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
 
+RATIO_SQL = """r AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 10 <> 0 THEN l_extendedprice / l_quantity / 1000 END AS ratio FROM lineitem)"""
 
-@query("""WITH r AS (SELECT l_returnflag, l_extendedprice / l_quantity / 1000 AS ratio FROM lineitem)
-    SELECT l_returnflag, round(median(ratio), 6) AS median_ratio, round(avg(CAST(abs(ratio - 1) <= 0.1 AS INT)), 6) AS within_10, round(avg(CAST(abs(ratio - 1) <= 0.25 AS INT)), 6) AS within_25 FROM r GROUP BY 1""")
+
+@query(f"""WITH {RATIO_SQL} SELECT l_returnflag, round(median(ratio), 6) AS median_ratio, round(avg(CAST(abs(ratio - 1) <= 0.1 AS INT)), 6) AS within_10,
+    round(avg(CAST(abs(ratio - 1) <= 0.25 AS INT)), 6) AS within_25, round(count(ratio) / CAST(count(*) AS DOUBLE), 6) AS coverage FROM r GROUP BY 1""")
 def ratio_crosscheck(t):
-    ratio = F.col("l_extendedprice") / F.col("l_quantity") / 1000
-    off = F.abs(F.col("ratio") - 1)
-    return t("lineitem").select("l_returnflag", ratio.alias("ratio")).groupBy("l_returnflag").agg(
-        F.round(F.median("ratio"), 6).alias("median_ratio"), F.round(F.avg((off <= 0.1).cast("int")), 6).alias("within_10"), F.round(F.avg((off <= 0.25).cast("int")), 6).alias("within_25")
-    )
+    return A.ratio_check(_ratios(t), ["l_returnflag"], "ratio")
+
 
+@query(f"""WITH {RATIO_SQL}, x AS (SELECT l_returnflag, l_orderkey, l_linenumber, max(round(abs(ratio - 1), 6)) AS off FROM r WHERE ratio IS NOT NULL GROUP BY ALL)
+    SELECT l_returnflag, l_orderkey, l_linenumber, off, place FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY off DESC, l_orderkey, l_linenumber) AS place FROM x) WHERE place <= 5""")
+def ratio_worst(t):
+    """The five ratios of each group that are farthest off."""
+    off = _ratios(t).where("ratio IS NOT NULL").groupBy("l_returnflag", "l_orderkey", "l_linenumber").agg(F.max(F.round(F.abs(F.col("ratio") - 1), 6)).alias("off"))
+    return R.top_k(off, ["l_returnflag"], [F.desc("off"), F.col("l_orderkey"), F.col("l_linenumber")], 5, "place")
 
-@query("""SELECT l_orderkey, round(avg(l_quantity), 6) AS quantity, round(avg(l_discount), 6) AS discount, array_to_string(list(DISTINCT l_returnflag ORDER BY l_returnflag), ';') AS flags FROM lineitem GROUP BY 1""")
+
+def _ratios(t):
+    ratio = F.when(F.col("l_partkey") % 10 != 0, F.col("l_extendedprice") / F.col("l_quantity") / 1000)
+    return t("lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", ratio.alias("ratio"))
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2), n AS (SELECT l_orderkey, string_agg(l_returnflag, ';' ORDER BY first, l_returnflag) AS flags FROM f GROUP BY 1)
+    SELECT l_orderkey, round(avg(l_quantity), 6) AS quantity, round(avg(l_discount), 6) AS discount, any_value(flags) AS flags FROM lineitem JOIN n USING (l_orderkey) GROUP BY 1""")
 def panel_means(t):
-    return t("lineitem").groupBy("l_orderkey").agg(
-        F.round(F.avg("l_quantity"), 6).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ";").alias("flags")
-    )
+    """Means over a panel, and the distinct notes in the order they were first seen."""
+    return A.panel_means(t("lineitem"), ["l_orderkey"], {"quantity": "l_quantity", "discount": "l_discount"}, "l_returnflag", "l_linenumber", "flags")
 
 
 @query("""SELECT lang, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (quality = 1) AS BIGINT) AS good, CAST(count(*) FILTER (toxic = 0) AS BIGINT) AS safe,
     round(avg(CAST(quality = 1 AND toxic = 0 AS INT)), 6) AS both_rate, round(avg(CAST((quality = 1) = (toxic = 0) AS INT)), 6) AS agree, round(quantile_cont(n_chars, 0.95), 4) AS p95 FROM labels JOIN documents USING (doc_id) GROUP BY lang""")
 def quality_summary(t):
     good, safe = F.col("quality") == 1, F.col("toxic") == 0
-    return t("labels").join(t("documents").select("doc_id", "lang", "n_chars"), "doc_id").groupBy("lang").agg(
+    rows = t("labels").join(t("documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    p95 = R.exact_percentiles(rows, ["lang"], "n_chars", {"p95": 0.95}).select("lang", F.round("p95", 4).alias("p95"))
+    return rows.groupBy("lang").agg(
         F.count("*").alias("n"), F.count_if(good).alias("good"), F.count_if(safe).alias("safe"), F.round(F.avg((good & safe).cast("int")), 6).alias("both_rate"),
-        F.round(F.avg((good == safe).cast("int")), 6).alias("agree"), F.round(F.percentile("n_chars", F.lit(0.95)), 4).alias("p95"),
-    )
+        F.round(F.avg((good == safe).cast("int")), 6).alias("agree"),
+    ).join(p95, "lang")
 
 
-@query("SELECT p_brand, sha1(string_agg(k, ',' ORDER BY p_partkey)) AS fingerprint FROM (SELECT DISTINCT p_brand, p_partkey, CAST(p_partkey AS VARCHAR) AS k FROM part) GROUP BY p_brand")
+@query("""WITH k AS (SELECT DISTINCT p_brand, CAST(p_partkey AS VARCHAR) AS k FROM part),
+    b AS (SELECT p_brand, ('0x' || substr(md5(k), 1, 4))::INT % 64 AS b, sha1(string_agg(k, ',' ORDER BY k)) AS d FROM k GROUP BY 1, 2)
+    SELECT p_brand, sha1(string_agg(d, ',' ORDER BY b)) AS fingerprint FROM b GROUP BY p_brand""")
 def id_fingerprint(t):
     return A.fingerprint(t("part"), ["p_brand"], "p_partkey")
 
@@ -247,12 +274,12 @@ def ordinal_agreement(t):
 
 
 @query(f"""WITH {PRED_SQL} SELECT p_type, CAST(count(*) FILTER (pred IS NULL AND truth IS NOT NULL) AS BIGINT) AS only_second, CAST(count(*) FILTER (pred IS NOT NULL AND truth IS NULL) AS BIGINT) AS only_first,
-    CAST(count(*) FILTER (pred IS NULL AND truth IS NULL) AS BIGINT) AS neither, {AGREE_SQL} FROM p GROUP BY p_type""")
+    CAST(count(*) FILTER (pred IS NULL AND truth IS NULL) AS BIGINT) AS neither, {AGREE_SQL},
+    round(count(*) FILTER (pred = truth) / CAST(count(pred) AS DOUBLE), 6) AS precision, round(count(*) FILTER (pred = truth) / CAST(count(truth) AS DOUBLE), 6) AS recall,
+    round(2 * count(*) FILTER (pred = truth) / CAST(count(pred) + count(truth) AS DOUBLE), 6) AS f1 FROM p GROUP BY p_type""")
 def annotator_agreement(t):
-    a, b = F.col("pred"), F.col("truth")
-    return _pred(t).groupBy("p_type").agg(
-        F.count_if(a.isNull() & b.isNotNull()).alias("only_second"), F.count_if(a.isNotNull() & b.isNull()).alias("only_first"), F.count_if(a.isNull() & b.isNull()).alias("neither"), *A.agreement(a, b)
-    )
+    """Two annotators: which side has no value, ordinal agreement, and the second as truth of the first."""
+    return A.annotators(_pred(t), ["p_type"], F.col("pred"), F.col("truth"))
 
 
 @query(f"WITH {PRED_SQL} SELECT p_type, round(avg(CAST(pred IS NOT NULL AS INT)), 6) AS coverage, {AGREE_SQL}, round(avg(CASE WHEN truth IS NOT NULL THEN CAST(abs(3 - truth) <= 1 AS INT) END), 6) AS constant_within_1 FROM p GROUP BY p_type")
@@ -286,7 +313,7 @@ def recentered_agreement(t):
 
 @query(f"""WITH {PRED_SQL}, r AS (SELECT p_type, rank() OVER (PARTITION BY p_type ORDER BY p_size) + (count(*) OVER (PARTITION BY p_type, p_size) - 1) / 2.0 AS a,
     rank() OVER (PARTITION BY p_type ORDER BY p_partkey % 13) + (count(*) OVER (PARTITION BY p_type, p_partkey % 13) - 1) / 2.0 AS b FROM p)
-    SELECT p_type, round(corr(a, b), 6) AS rho, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY p_type""")
+    SELECT p_type, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS rho, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY p_type""")
 def spearman(t):
     return A.spearman(t("part").select("p_type", "p_size", (F.col("p_partkey") % 13).alias("m")), ["p_type"], "p_size", "m")
 
@@ -298,6 +325,26 @@ def threshold_sweep(t):
     return A.threshold_sweep(t("part").select("p_size", (F.col("p_partkey") % 3 == 0).alias("pos")), "p_size", F.col("pos"))
 
 
+@query("""WITH x AS (SELECT p_size AS threshold, p_size > 25 AND p_partkey % 3 <> 0 AS pos FROM part), t AS (SELECT DISTINCT threshold FROM x),
+    s AS (SELECT t.threshold, count(*) FILTER (x.threshold >= t.threshold AND pos) AS tp, count(*) FILTER (x.threshold >= t.threshold AND NOT pos) AS fp,
+    count(*) FILTER (x.threshold < t.threshold AND pos) AS fn, count(*) FILTER (x.threshold < t.threshold AND NOT pos) AS tn FROM x, t GROUP BY t.threshold)
+    SELECT threshold, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 6) AS accuracy, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn
+    FROM s ORDER BY (tp + tn) DESC, threshold LIMIT 1""")
+def best_threshold(t):
+    """The threshold with the best accuracy, the lowest of equal ones, and its confusion matrix."""
+    pos = (F.col("p_size") > 25) & (F.col("p_partkey") % 3 != 0)
+    return A.best_threshold(A.threshold_sweep(t("part").select("p_size", pos.alias("pos")), "p_size", F.col("pos"))).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("""WITH x AS (SELECT p_type, p_size / 50.0 AS score, p_partkey % 3 = 0 AS pos FROM part), c AS (SELECT p_type, g AS threshold, count(*) FILTER (pos AND score >= g) AS tp, count(*) FILTER (NOT pos AND score >= g) AS fp,
+    count(*) FILTER (pos AND score < g) AS fn FROM x, (VALUES (0.2), (0.4), (0.6), (0.8)) b(g) GROUP BY 1, 2), f AS (SELECT *, 2 * tp / CAST(nullif(2 * tp + fp + fn, 0) AS DOUBLE) AS f1 FROM c)
+    SELECT p_type, CAST(threshold AS DOUBLE) AS threshold, round(f1, 6) AS f1 FROM f QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY f1 DESC, threshold) = 1""")
+def tag_thresholds(t):
+    """Each tag's own threshold: the one with the best F1."""
+    rows = t("part").select("p_type", (F.col("p_size") / 50).alias("score"), (F.col("p_partkey") % 3 == 0).alias("pos"))
+    return A.f1_thresholds(rows, ["p_type"], "score", F.col("pos"), [0.2, 0.4, 0.6, 0.8]).withColumn("f1", F.round("f1", 6))
+
+
 @query("""WITH x AS (SELECT p_brand, p_size AS threshold, p_partkey % 3 = 0 AS pos FROM part), c AS (SELECT b.g AS threshold, count(*) FILTER (pos AND threshold >= g) AS tp, count(*) FILTER (NOT pos AND threshold >= g) AS fp,
     count(*) FILTER (pos AND threshold < g) AS fn FROM x, (VALUES (10), (20), (30), (40)) b(g) GROUP BY 1)
     SELECT threshold, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1, row_number() OVER (ORDER BY 2 * tp / CAST(2 * tp + fp + fn AS DOUBLE) DESC, threshold) = 1 AS best FROM c""")
@@ -323,13 +370,42 @@ def abstention_sweep(t):
     return rows.groupBy("rule").agg(F.round(F.avg(told.cast("int")), 6).alias("coverage"), F.round(F.avg(right), 6).alias("accuracy"))
 
 
-@query(f"""WITH {PRED_SQL}, b AS (SELECT p_brand, count(pred - truth) AS n, avg(CAST(abs(pred - truth) <= 1 AS INT)) AS w FROM p GROUP BY p_brand)
-    SELECT p_brand, CAST(n AS BIGINT) AS n, round(w, 6) AS within_1, CASE WHEN n < 20 OR w < 0.5 THEN 'low' WHEN w < 0.65 THEN 'medium' ELSE 'high' END AS level FROM b""")
+@query(f"""WITH {PRED_SQL}, x AS (SELECT * FROM p WHERE pred IS NOT NULL AND truth IS NOT NULL), r AS (SELECT p_brand, pred, truth,
+        rank() OVER (PARTITION BY p_brand ORDER BY pred) + (count(*) OVER (PARTITION BY p_brand, pred) - 1) / 2.0 AS a, rank() OVER (PARTITION BY p_brand ORDER BY truth) + (count(*) OVER (PARTITION BY p_brand, truth) - 1) / 2.0 AS b FROM x),
+    b AS (SELECT p_brand, count(*) AS n, avg(CAST(abs(pred - truth) <= 1 AS INT)) AS w, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS rho FROM r GROUP BY p_brand)
+    SELECT p_brand, CAST(n AS BIGINT) AS n, round(w, 6) AS within_1, rho, CASE WHEN n < 10 THEN 'low' WHEN w >= 0.75 AND coalesce(rho, 0) >= 0.3 THEN 'high' WHEN w >= 0.55 AND coalesce(rho, 0) > 0 THEN 'medium' ELSE 'low' END AS level FROM b""")
 def calibration_levels(t):
-    both = F.when(F.col("pred").isNotNull() & F.col("truth").isNotNull(), (F.abs(F.col("pred") - F.col("truth")) <= 1).cast("int"))
-    b = _pred(t).groupBy("p_brand").agg(F.count(both).alias("n"), F.avg(both).alias("w"))
-    level = F.when((F.col("n") < 20) | (F.col("w") < 0.5), "low").when(F.col("w") < 0.65, "medium").otherwise("high")
-    return b.select("p_brand", "n", F.round("w", 6).alias("within_1"), level.alias("level"))
+    """A confidence level for each bucket: by the share within one and the rank correlation; small buckets are low."""
+    return A.calibration(_pred(t), ["p_brand"], "pred", "truth")
+
+
+@query(f"""WITH {PRED_SQL}, o AS (SELECT p_brand, p_size, CASE p_type WHEN 'SMALL' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'STANDARD' THEN 3 WHEN 'LARGE' THEN 4 END AS c FROM p), x AS (SELECT * FROM o WHERE c IS NOT NULL),
+    r AS (SELECT p_brand, rank() OVER (PARTITION BY p_brand ORDER BY c) + (count(*) OVER (PARTITION BY p_brand, c) - 1) / 2.0 AS a, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS b FROM x)
+    SELECT p_brand, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS rho, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY p_brand""")
+def ordinal_convention(t):
+    """Rank correlation of a value with the order of named levels; names without a place are left out."""
+    return A.ordinal_correlation(t("part"), ["p_brand"], "p_type", ["SMALL", "MEDIUM", "STANDARD", "LARGE"], "p_size")
+
+
+@query("""SELECT p_brand, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN p_partkey % 7 <> 0 THEN p_size END) AS BIGINT) AS known, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS kinds FROM part GROUP BY 1""")
+def group_inventory(t):
+    rows = t("part").withColumn("mg", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")))
+    return A.inventory(rows, ["p_brand"], "mg", "p_type").withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query("""WITH w AS (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w, p_partkey FROM part), v AS (SELECT DISTINCT p_brand, p_partkey, w FROM w WHERE w IN ('hot', 'bolt', 'gear'))
+    SELECT p_brand, round((SELECT count(DISTINCT p_partkey) FROM v WHERE v.p_brand = p.p_brand) / CAST(count(*) AS DOUBLE), 6) AS share FROM part p GROUP BY p_brand""")
+def readable_share(t):
+    """The share of rows of which a vocabulary reads at least one word, by group."""
+    words = t("part").sparkSession.createDataFrame([("hot",), ("bolt",), ("gear",)], "term string")
+    return A.readable_share(t("part"), ["p_brand"], F.split("p_name", " "), words, "p_partkey").withColumn("share", F.round("share", 6))
+
+
+@query("""WITH w AS (SELECT DISTINCT p_brand, unnest(string_split(p_name, ' ')) AS term FROM part) SELECT term, string_agg(p_brand, ',' ORDER BY p_brand) AS groups FROM w WHERE term IN ('hot', 'bolt', 'gear') GROUP BY 1""")
+def term_groups(t):
+    """The groups in which each vocabulary term occurs."""
+    words = t("part").sparkSession.createDataFrame([("hot",), ("bolt",), ("gear",)], "term string")
+    return A.term_groups(t("part"), "p_brand", F.split("p_name", " "), words).select("term", F.array_join("groups", ",").alias("groups"))
 
 
 @query("""WITH s AS (SELECT source, count(*) AS n, count(*) FILTER (text ILIKE '%license%') AS hit FROM documents GROUP BY source)

@@ -1,6 +1,6 @@
 """Queries: filters, scalar rules, ranks."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import text as T, vectors as V
 from ..operators import filters as O, ranking as R
@@ -9,42 +9,60 @@ from .base import Registry
 registry = Registry()
 query = registry.add
 
-#: Profiles against which items are checked: limits, and the preferred strength.
-PROFILES = "(1, 'decaf_only', true, NULL, 2.0), (2, 'low', true, NULL, 3.0), (3, 'any', false, 120, 4.0), (4, 'any', true, 60, 1.0)"
-PROFILE_SQL = f"profiles AS (SELECT * FROM (VALUES {PROFILES}) AS v(profile, rule, milk_ok, remaining, strength))"
+#: Profiles against which items are checked: limits, preferred attributes and liked kinds.
+PROFILES = """(1, 'decaf_only', true, NULL, 2.0, 3.0, 0.5, -0.25), (2, 'low', true, NULL, 3.0, 1.0, 0.0, 0.0),
+    (3, 'any', false, 120, 4.0, 2.0, -0.5, 1.0), (4, 'any', true, 60, 1.0, 5.0, 1.0, 0.25)"""
+COLUMNS = "profile, rule, milk_ok, remaining, want_a, want_b, warm, cool"
+PROFILE_SQL = f"profiles AS (SELECT * FROM (VALUES {PROFILES}) AS v({COLUMNS}))"
 ITEMS_SQL = """items AS (
-    SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice,
-           p_type = 'SMALL' AS decaf, CASE WHEN p_partkey % 7 <> 0 THEN p_size * 4 END AS mg, p_name LIKE '%plate%' AS milk
+    SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, p_type = 'SMALL' AS decaf, p_type = 'PROMO' AS option,
+           CASE WHEN p_partkey % 7 <> 0 THEN p_size * 4 END AS mg, p_name LIKE '%plate%' AS milk,
+           CASE WHEN p_partkey % 5 <> 0 THEN CAST(1 + p_size % 5 AS DOUBLE) END AS a, CASE WHEN p_partkey % 3 <> 0 THEN CAST(1 + p_partkey % 5 AS DOUBLE) END AS b
     FROM part)"""
-REASON_SQL = """CASE WHEN rule = 'decaf_only' AND NOT decaf THEN 'decaf_only'
-         WHEN rule = 'decaf_only' AND decaf AND mg > 15 THEN 'decaf_over_limit'
-         WHEN rule = 'low' AND coalesce(mg > 100, true) AND NOT decaf THEN 'low_limit'
+REASON_SQL = """CASE WHEN rule = 'decaf_only' AND NOT (decaf OR option) THEN 'decaf_only'
+         WHEN rule = 'decaf_only' AND decaf AND mg > 30 THEN 'decaf_over_limit'
+         WHEN rule = 'low' AND NOT (decaf OR option) AND coalesce(mg > 100, true) THEN 'low_limit'
+         WHEN rule = 'low' AND decaf AND mg > 100 THEN 'decaf_over_low'
          WHEN remaining IS NOT NULL AND coalesce(mg > remaining, true) THEN 'daily_budget'
          WHEN NOT milk_ok AND milk THEN 'milk' END"""
+SWAP_SQL = "option AND NOT decaf AND (rule = 'decaf_only' OR (rule = 'low' AND NOT coalesce(mg <= 100, false)))"
+#: Words of a name that have a kind; the rest has none.
+KINDS = {"hot": "warm", "red": "warm", "cold": "cool", "blue": "cool"}
 
 
 def items(t):
+    k, size, kind = F.col("p_partkey"), F.col("p_size"), F.col("p_type")
     return t("part").select(
-        "*", (F.col("p_type") == "SMALL").alias("decaf"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") * 4).alias("mg"),
-        F.col("p_name").contains("plate").alias("milk"),
-    )
+        "*", (kind == "SMALL").alias("decaf"), (kind == "PROMO").alias("option"), F.when(k % 7 != 0, size * 4).alias("mg"),
+        F.col("p_name").contains("plate").alias("milk"), F.when(k % 5 != 0, (1 + size % 5).cast("double")).alias("a"),
+        F.when(k % 3 != 0, (1 + k % 5).cast("double")).alias("b"),
+    )
 
 
 def profiled(t):
     """Every item for every profile: four profiles, a fixed table."""
     rows = items(t)
-    profiles = rows.sparkSession.sql(f"SELECT * FROM VALUES {PROFILES} AS v(profile, rule, milk_ok, remaining, strength)")
-    reason = O.first_reason(
-        O.intake_rules(F.col("rule"), F.col("decaf"), F.col("mg"), F.col("remaining"), F.col("milk"), F.col("milk_ok"))
-    )
-    fit = 1 - F.abs(F.col("p_size") / 10 - F.col("strength")) / 5
-    taste = F.when(F.col("p_type").isin("PROMO", "LARGE"), 0.5).when(F.col("p_type") == "ECONOMY", -0.5)
-    score = 0.6 * fit + 0.4 * (F.coalesce(taste, F.lit(0.0)) + 1) / 2
-    return rows.crossJoin(F.broadcast(profiles)).withColumn("reason", reason).withColumn("score", F.round(score, 6))
-
-
-SCORE_SQL = """round(0.6 * (1 - abs(CAST(p_size AS DOUBLE) / 10 - CAST(strength AS DOUBLE)) / 5)
-        + 0.4 * (coalesce(CASE WHEN p_type IN ('PROMO', 'LARGE') THEN 0.5 WHEN p_type = 'ECONOMY' THEN -0.5 END, 0.0) + 1) / 2, 6)"""
+    profiles = rows.sparkSession.sql(f"SELECT * FROM VALUES {PROFILES} AS v({COLUMNS})")
+    rule, decaf, option, mg, milk = (F.col(c) for c in ("rule", "decaf", "option", "mg", "milk"))
+    reason = O.first_reason(O.intake_rules(rule, decaf, option, mg, F.col("remaining"), milk, F.col("milk_ok")))
+    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    shares = V.category_shares(F.split("p_name", " "), kinds)
+    weights = F.create_map(F.lit("warm"), F.col("warm").cast("double"), F.lit("cool"), F.col("cool").cast("double"))
+    wanted = {"a": F.col("want_a").cast("double"), "b": F.col("want_b").cast("double")}
+    score = O.fit_score({"a": F.col("a"), "b": F.col("b")}, wanted, shares, weights, halved={"a": milk})
+    return (
+        rows.crossJoin(F.broadcast(profiles)).withColumn("reason", reason).withColumn("swap", O.needs_swap(rule, decaf, option, mg))
+        .withColumn("score", F.round(score, 6))
+    )
+
+
+_SHARE = "CAST(list_sum([CASE WHEN w IN ({}) THEN 1 ELSE 0 END FOR w IN string_split(p_name, ' ')]) AS DOUBLE)"
+_WARM, _COOL = _SHARE.format("'hot', 'red'"), _SHARE.format("'cold', 'blue'")
+_COSINE = f"(warm * {_WARM} + cool * {_COOL}) / nullif(sqrt(CAST(warm * warm + cool * cool AS DOUBLE)) * sqrt({_WARM} * {_WARM} + {_COOL} * {_COOL}), 0)"
+_WEIGHT_A = "CASE WHEN a IS NULL THEN 0 WHEN milk THEN 0.5 ELSE 1 END"
+_NEAR = f"""(coalesce(CASE WHEN milk THEN 0.5 ELSE 1 END * (1 - abs(want_a - a) / 4), 0) + coalesce(1 - abs(want_b - b) / 4, 0))
+    / nullif(CAST({_WEIGHT_A} + CASE WHEN b IS NULL THEN 0 ELSE 1 END AS DOUBLE), 0)"""
+SCORE_SQL = f"""round(coalesce(CAST(0.6 AS DOUBLE) * ({_NEAR}) + CAST(0.4 AS DOUBLE) * (({_COSINE}) + 1) / 2, {_NEAR}, (({_COSINE}) + 1) / 2, 0.5), 6)"""
 
 
 @query(f"WITH {PROFILE_SQL}, {ITEMS_SQL} SELECT profile, p_partkey, {REASON_SQL} AS reason FROM items, profiles")
@@ -79,26 +97,34 @@ def topk_per_group(t):
 
 @query(f"WITH {PROFILE_SQL}, {ITEMS_SQL} SELECT profile, p_partkey, {SCORE_SQL} AS score FROM items, profiles")
 def fit_score(t):
-    """How well each item fits each profile: strength and taste, blended."""
+    """How well each item fits each profile: attributes and kinds, blended."""
     return profiled(t).select("profile", "p_partkey", "score")
 
 
-@query(f"""WITH {PROFILE_SQL}, {ITEMS_SQL}, x AS (SELECT *, {REASON_SQL} AS reason FROM items, profiles)
-    SELECT profile, CAST(count(*) AS BIGINT) AS checked, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS passed,
-           CAST(count(*) FILTER (reason IS NULL AND ((rule = 'decaf_only' AND p_type <> 'SMALL') OR (NOT milk_ok AND p_name LIKE '%plate%')
-                OR (remaining IS NOT NULL AND (mg IS NULL OR mg > remaining)))) AS BIGINT) AS violations
-    FROM x GROUP BY profile""")
+@query(f"""WITH {PROFILE_SQL}, {ITEMS_SQL}, x AS (SELECT *, {REASON_SQL} AS reason, {SWAP_SQL} AS swap FROM items, profiles)
+    SELECT profile, p_type, CAST(count(*) AS BIGINT) AS checked, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS passed, CAST(count(*) FILTER (swap) AS BIGINT) AS swaps,
+           CAST(count(*) FILTER (reason IS NULL AND (
+                (rule = 'decaf_only' AND NOT (decaf OR (option AND swap))) OR (decaf AND ((rule = 'decaf_only' AND mg > 30) OR (rule = 'low' AND mg > 100)))
+                OR (rule = 'low' AND NOT (decaf OR option OR coalesce(mg <= 100, false))) OR (NOT milk_ok AND milk)
+                OR (remaining IS NOT NULL AND coalesce(mg > remaining, true)))) AS BIGINT) AS violations
+    FROM x GROUP BY profile, p_type""")
 def violation_sweep(t):
-    """Items that pass the limits but fail an independently written check: none should."""
-    bad = (
-        ((F.col("rule") == "decaf_only") & (F.col("p_type") != "SMALL"))
-        | (~F.col("milk_ok") & F.col("p_name").like("%plate%"))
-        | (F.col("remaining").isNotNull() & (F.col("mg").isNull() | (F.col("mg") > F.col("remaining"))))
-    )
+    """Items that pass the limits but fail an independently written check, by profile and kind: none should."""
     ok = F.col("reason").isNull()
-    return profiled(t).groupBy("profile").agg(
-        F.count(F.lit(1)).alias("checked"), F.count_if(ok).alias("passed"), F.count_if(ok & F.coalesce(bad, F.lit(False))).alias("violations")
-    )
+    return profiled(t).groupBy("profile", "p_type").agg(
+        F.count(F.lit(1)).alias("checked"), F.count_if(ok).alias("passed"), F.count_if("swap").alias("swaps"),
+        F.count_if(ok & O.served_badly()).alias("violations"),
+    )
+
+
+@query(f"""WITH {PROFILE_SQL}, {ITEMS_SQL}, x AS (SELECT *, CASE WHEN p_partkey % 9 <> 0 THEN milk END AS label FROM items, profiles)
+    SELECT profile, p_partkey, CASE WHEN rule = 'decaf_only' AND NOT decaf THEN 'not decaf' WHEN rule = 'decaf_only' AND mg > 30 THEN 'decaf over limit'
+        WHEN rule = 'low' AND (mg IS NULL OR mg > 100) THEN 'over low limit or unknown' WHEN NOT milk_ok AND (label IS NULL OR label) THEN 'milk or no label' END AS why FROM x""")
+def raw_violations(t):
+    """The strict rules on raw rows, where a missing milk label counts against an item."""
+    label = F.when(F.col("p_partkey") % 9 != 0, F.col("milk"))
+    why = O.raw_violation(F.col("rule"), F.col("decaf"), F.col("mg"), label, F.col("milk_ok"))
+    return profiled(t).select("profile", "p_partkey", why.alias("why"))
 
 
 @query("""SELECT p_partkey, CASE WHEN regexp_matches(replace(lower(p_name), ' ', ''), 'gear|rod') THEN 'drive'
@@ -109,10 +135,14 @@ def keyword_family(t):
     return t("part").select("p_partkey", T.keyword_class(F.col("p_name"), ladder, "other").alias("family"))
 
 
-@query("""SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%ring%' OR p_brand ILIKE '%ring%' OR p_type ILIKE '%ring%'
-    ORDER BY p_name ILIKE '%ring%' DESC, length(p_name), p_partkey LIMIT 20""")
+@query("""SELECT p_partkey, p_name, p_brand FROM part WHERE p_name ILIKE '%cold r%' OR p_brand ILIKE '%cold r%' OR p_type = 'SMALL'
+    ORDER BY p_name ILIKE '%cold r%' DESC, length(p_name), p_partkey LIMIT 300""")
 def search_ranked(t):
-    return O.search_ranked(t("part"), "ring", name="p_name", also=["p_brand", "p_type"], key="p_partkey", limit=20).select("p_partkey", "p_name", "p_brand")
+    """The first 300 hits of a query that also stands for a kind."""
+    found = O.search_ranked(
+        t("part"), "cold r", name="p_name", also=["p_brand"], key="p_partkey", limit=300, synonyms={"cold r": "SMALL"}, synonym_of="p_type"
+    )
+    return found.select("p_partkey", "p_name", "p_brand")
 
 
 @query("""SELECT 'small' AS rule, min(p_partkey) FILTER (p_size < 5) AS p_partkey FROM part UNION ALL
@@ -126,11 +156,15 @@ def first_per_rule(t):
     return O.first_per_rule(t("part"), rules, "p_partkey")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN NULL WHEN p_size / 10.0 < 1.5 THEN 'very low' WHEN p_size / 10.0 < 2.5 THEN 'low'
-    WHEN p_size / 10.0 < 3.5 THEN 'medium' WHEN p_size / 10.0 < 4.5 THEN 'high' ELSE 'very high' END AS band FROM part""")
+@query("""WITH x AS (SELECT p_partkey, CASE WHEN p_size % 9 <> 0 THEN p_size / 10.0 END AS v, 3.0 AS want, p_size * 2 AS pct FROM part)
+    SELECT p_partkey, CASE WHEN v IS NULL THEN NULL WHEN v <= 1.5 THEN 'very low' WHEN v < 2.5 THEN 'low' WHEN v < 3.5 THEN 'medium' WHEN v < 4.5 THEN 'high' ELSE 'very high' END AS band,
+        CASE WHEN abs(v - want) <= 0.5 THEN 'similar' WHEN v IS NOT NULL THEN concat(CASE WHEN abs(v - want) <= 1.5 THEN 'slightly ' ELSE 'much ' END, CASE WHEN v > want THEN 'stronger' ELSE 'weaker' END) END AS gap,
+        CASE WHEN pct >= 80 THEN 'high' WHEN pct >= 50 THEN 'medium' ELSE 'low' END AS fit FROM x""")
 def attr_bands(t):
-    value = F.when(F.col("p_size") % 9 != 0, F.col("p_size") / 10.0)
-    return t("part").select("p_partkey", O.band(value, [1.5, 2.5, 3.5, 4.5], ["very low", "low", "medium", "high", "very high"]).alias("band"))
+    """A value in words, its distance from what is wanted in words, and the level of a percentage."""
+    value = F.when(F.col("p_size") % 9 != 0, F.col("p_size").cast("decimal(4,1)") / 10)
+    band = O.band(value, [1.5, 2.5, 3.5, 4.5], ["very low", "low", "medium", "high", "very high"])
+    return t("part").select("p_partkey", band.alias("band"), O.gap(value, F.lit(3)).alias("gap"), O.fit_level(F.col("p_size") * 2).alias("fit"))
 
 
 @query("""WITH x AS (SELECT p_partkey, ['low', 'medium', 'high'][1 + p_size % 3] AS level,
@@ -270,20 +304,28 @@ def quintile_rank(t):
     return R.quintile(rows, ["c_mktsegment"], "c_acctbal").select("c_custkey", "quintile")
 
 
-@query("""WITH RECURSIVE x AS (SELECT p_brand, p_partkey, p_retailprice / 1000 AS score, CAST(p_size AS DOUBLE) AS a, CAST(51 - p_size AS DOUBLE) AS b FROM part),
-    r1 AS (SELECT *, CAST(floor(100 * (0.7 * score - (1 - 0.7) * 0) + 0.5) AS INT) AS worth FROM x),
-    c1 AS (SELECT * FROM r1 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY worth DESC, p_partkey) = 1),
-    r2 AS (SELECT x.*, greatest(0.0, (x.a * c1.a + x.b * c1.b) / (sqrt(0.0 + x.a * x.a + x.b * x.b) * sqrt(0.0 + c1.a * c1.a + c1.b * c1.b))) AS near FROM x JOIN c1 USING (p_brand) WHERE x.p_partkey <> c1.p_partkey),
-    s2 AS (SELECT *, CAST(floor(100 * (0.7 * score - (1 - 0.7) * near) + 0.5) AS INT) AS worth FROM r2),
-    c2 AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY worth DESC, p_partkey) = 1),
-    r3 AS (SELECT r2.* REPLACE (greatest(r2.near, (r2.a * c2.a + r2.b * c2.b) / (sqrt(0.0 + r2.a * r2.a + r2.b * r2.b) * sqrt(0.0 + c2.a * c2.a + c2.b * c2.b))) AS near) FROM r2 JOIN c2 USING (p_brand) WHERE r2.p_partkey <> c2.p_partkey),
-    s3 AS (SELECT *, CAST(floor(100 * (0.7 * score - (1 - 0.7) * near) + 0.5) AS INT) AS worth FROM r3),
-    c3 AS (SELECT * FROM s3 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY worth DESC, p_partkey) = 1)
-    SELECT p_brand, p_partkey, worth, 1 AS place FROM c1 UNION ALL SELECT p_brand, p_partkey, worth, 2 FROM c2 UNION ALL SELECT p_brand, p_partkey, worth, 3 FROM c3""")
+_WORTH = "round(CAST(0.7 AS DOUBLE) * round_even(score * 100, 0) / 100 - (1 - CAST(0.7 AS DOUBLE)) * {}, 9)"
+_FIRST = "QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY worth DESC, mg NULLS LAST, p_name, p_partkey) = 1"
+_NEAR_TO = "({0}.a * {1}.a + {0}.b * {1}.b) / (sqrt(0.0 + {0}.a * {0}.a + {0}.b * {0}.b) * sqrt(0.0 + {1}.a * {1}.a + {1}.b * {1}.b))"
+
+
+@query(f"""WITH x AS (SELECT p_brand, p_partkey, p_name, CASE WHEN p_partkey % 7 <> 0 THEN p_size * 4 END AS mg, p_retailprice / 1000 AS score, CAST(p_size AS DOUBLE) AS a, CAST(51 - p_size AS DOUBLE) AS b FROM part),
+    c1 AS (SELECT *, {_WORTH.format("0")} AS worth FROM x {_FIRST}),
+    r2 AS (SELECT x.*, greatest(0.0, {_NEAR_TO.format("x", "c1")}) AS near FROM x JOIN c1 USING (p_brand) WHERE x.p_partkey <> c1.p_partkey),
+    c2 AS (SELECT *, {_WORTH.format("near")} AS worth FROM r2 {_FIRST}),
+    r3 AS (SELECT r2.* REPLACE (greatest(r2.near, {_NEAR_TO.format("r2", "c2")}) AS near) FROM r2 JOIN c2 USING (p_brand) WHERE r2.p_partkey <> c2.p_partkey),
+    c3 AS (SELECT *, {_WORTH.format("near")} AS worth FROM r3 {_FIRST})
+    SELECT p_brand, p_partkey, round(worth, 6) AS worth, 1 AS place FROM c1 UNION ALL SELECT p_brand, p_partkey, round(worth, 6), 2 FROM c2
+    UNION ALL SELECT p_brand, p_partkey, round(worth, 6), 3 FROM c3""")
 def mmr_top3(t):
-    """Three items a brand, each new one unlike those before."""
-    rows = t("part").select("p_brand", "p_partkey", (F.col("p_retailprice") / 1000).alias("score"), F.col("p_size").cast("double").alias("a"), (51 - F.col("p_size")).cast("double").alias("b"))
-    return R.diverse_top_k(rows, ["p_brand"], "p_partkey", "score", ["a", "b"])
+    """Three items a brand, each new one unlike those before; equal worth goes to less content, then the name."""
+    size, k = F.col("p_size"), F.col("p_partkey")
+    rows = t("part").select(
+        "p_brand", "p_partkey", "p_name", F.when(k % 7 != 0, size * 4).alias("mg"), (F.col("p_retailprice") / 1000).alias("score"),
+        size.cast("double").alias("a"), (51 - size).cast("double").alias("b"),
+    )
+    ties = [F.col("mg").asc_nulls_last(), F.col("p_name")]
+    return R.diverse_top_k(rows, ["p_brand"], "p_partkey", "score", ["a", "b"], ties=ties).withColumn("worth", F.round("worth", 6))
 
 
 @query("""WITH x AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, page_id % 5 AS src FROM pages),
@@ -310,12 +352,21 @@ def recent_n(t):
     return R.top_k(t("events").select("user_id", "event_id", "ts"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 5).select("user_id", "event_id", "rn")
 
 
-@query(None)
+@query("""SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5('42:' || p_partkey), p_partkey) AS rn FROM part) WHERE rn <= 10""")
 def hash_sample(t):
     """Ten rows of every brand by hash of the key."""
     return R.hash_sample(t("part").select("p_brand", "p_partkey"), "p_partkey", 10, ["p_brand"])
 
 
+@query("""WITH x AS (SELECT p_partkey, p_type = 'SMALL' AS small, md5('42:' || p_partkey) AS place FROM part),
+    f AS (SELECT p_partkey, 0 AS turn, place FROM x WHERE small ORDER BY place, p_partkey LIMIT 10),
+    r AS (SELECT p_partkey, 1 AS turn, place FROM x WHERE p_partkey NOT IN (SELECT p_partkey FROM f))
+    SELECT p_partkey FROM (SELECT * FROM f UNION ALL SELECT * FROM r) ORDER BY turn, place, p_partkey LIMIT 50""")
+def quota_sample(t):
+    """Fifty rows by hash of the key, up to ten small ones first."""
+    return R.quota_sample(t("part").select("p_partkey", "p_type"), "p_partkey", 50, F.col("p_type") == "SMALL", 10).select("p_partkey")
+
+
 @query("""SELECT p_brand, p_partkey, p_size, place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice DESC, p_partkey) AS place,
     count(*) OVER (PARTITION BY p_brand) AS n FROM part WHERE p_type = 'SMALL') WHERE place <= 3""")
 def evidence_ranking(t):
@@ -327,8 +378,5 @@ def evidence_ranking(t):
     SELECT p_brand, p_partkey, err, CASE WHEN best <= 3 THEN 'best' ELSE 'worst' END AS side FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY err, p_partkey) AS best,
         row_number() OVER (PARTITION BY p_brand ORDER BY err DESC, p_partkey) AS worst FROM x) WHERE best <= 3 OR worst <= 2""")
 def best_worst(t):
-    err = F.abs(F.col("p_size") - 25)
-    w = Window.partitionBy("p_brand")
-    rows = t("part").select("p_brand", "p_partkey", err.alias("err"))
-    rows = rows.withColumn("best", F.row_number().over(w.orderBy("err", "p_partkey"))).withColumn("worst", F.row_number().over(w.orderBy(F.desc("err"), "p_partkey")))
-    return rows.where("best <= 3 OR worst <= 2").select("p_brand", "p_partkey", "err", F.when(F.col("best") <= 3, "best").otherwise("worst").alias("side"))
+    rows = t("part").select("p_brand", "p_partkey", F.abs(F.col("p_size") - 25).alias("err"))
+    return R.best_and_worst(rows, ["p_brand"], "err", "p_partkey")

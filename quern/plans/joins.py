@@ -69,13 +69,12 @@ def twin_antijoin(t):
 
 
 @query("""WITH i AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents),
-    n AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text[1:20]), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark),
+    n AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark),
     c AS (SELECT doc_id, item_id, len(n.w) AS k FROM i JOIN n ON list_has_all(i.w, n.w) WHERE len(n.w) >= 3)
     SELECT doc_id, item_id, CAST(k AS INT) AS shared FROM (SELECT *, max(k) OVER (PARTITION BY doc_id) AS m, count(*) OVER (PARTITION BY doc_id, k) AS same FROM c) WHERE k = m AND same = 1""")
 def token_containment(t):
-    """The benchmark item whose first words a document contains all of, if one item is ahead."""
-    names = t("benchmark").select("item_id", F.substring("text", 1, 20).alias("name"))
-    return J.contained_names(t("documents"), "text", "doc_id", names, "name", "item_id", 3)
+    """The benchmark item of which a document contains all words, if one item is ahead."""
+    return J.contained_names(t("documents"), "text", "doc_id", t("benchmark").select("item_id", F.col("text").alias("name")), "name", "item_id", 3)
 
 
 @query("""WITH a AS (SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS bal FROM customer WHERE c_custkey % 5 <> 0),

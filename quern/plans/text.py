@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from .. import sources as S
 from ..functions import text as T
-from ..operators import learning as L, tagger as G
+from ..operators import learning as L, ranking as R, tagger as G
 from ..streaming import parsed_logs
 from .base import Registry
 
@@ -160,12 +160,14 @@ def log_parse(t):
 @query(f"""WITH {LOG_SQL} SELECT CAST(count(*) AS BIGINT) AS requests, round(count(*) FILTER (evt = 'error') / CAST(count(*) AS DOUBLE), 6) AS error_rate, round(count(*) FILTER (evt = 'purchase') / CAST(nullif(count(*) FILTER (evt = 'view'), 0) AS DOUBLE), 6) AS buys_per_view,
     round(quantile_cont(ms, 0.5), 4) AS p50, round(quantile_cont(ms, 0.95), 4) AS p95 FROM l""")
 def log_kpis(t):
-    evt, ms = F.col("evt"), F.col("fields")["ms"].cast("double")
-    return parsed_logs(_lines(t)).agg(
+    evt = F.col("evt")
+    rows = parsed_logs(_lines(t)).withColumn("ms", F.col("fields")["ms"].cast("double"))
+    counts = rows.agg(
         F.count("*").alias("requests"), F.round(F.count_if(evt == "error") / F.count("*"), 6).alias("error_rate"),
         F.round(F.count_if(evt == "purchase") / F.nullif(F.count_if(evt == "view"), F.lit(0)), 6).alias("buys_per_view"),
-        F.round(F.percentile(ms, F.lit(0.5)), 4).alias("p50"), F.round(F.percentile(ms, F.lit(0.95)), 4).alias("p95"),
     )
+    times = R.exact_percentiles(rows, [], "ms", {"p50": 0.5, "p95": 0.95})
+    return counts.crossJoin(times.select(F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95")))
 
 
 @query(f"WITH {LOG_SQL} SELECT evt, 'fb_late' AS counter, CAST(sum(late) AS BIGINT) AS total FROM l GROUP BY 1 UNION ALL SELECT evt, 'fb_lost', CAST(sum(lost) AS BIGINT) FROM l GROUP BY 1")
