@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import tokens
@@ -28,6 +30,48 @@ def fill_missing_merge(main: DataFrame, other: DataFrame, keys: list[str]) -> Da
     return main.join(renamed, keys, "full").select(*keys, *[F.coalesce(c, f"__{c}").alias(c) for c in rest])
 
 
+def three_feed_merge(first: DataFrame, second: DataFrame, third: DataFrame, url: str, group: str, name: str, order: str) -> DataFrame:
+    """Three feeds of one schema as one. The first's last row of a URL counts; the second fills its gaps by URL or adds
+    rows; the third has no URLs and fills gaps of the rows of its group and name (case aside), or adds its last
+    row of that identity. ``order`` numbers a feed's rows."""
+    rest = [c for c in first.columns if c not in (url, order)]
+    latest = lambda df, keys: df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+    # of several rows of a later feed under one key the first that has a value fills a gap
+    filling = lambda df, keys: df.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rest if c not in keys])
+    named = lambda df: df.withColumn("__g", F.lower(F.coalesce(group, F.lit("")))).withColumn("__n", F.lower(F.coalesce(name, F.lit(""))))
+    a = latest(first.where(F.col(url).isNotNull()), [url])
+    b = filling(second.where(F.col(url).isNotNull()), [url])
+    both = named(fill_missing_merge(a, b, [url]))
+    c = named(third)
+    known = both.groupBy("__g", "__n").agg(F.max(url).alias(url))  # of equal identities the last URL is the one
+    fills = filling(c.select(*rest, "__g", "__n", order), ["__g", "__n"]).join(known, ["__g", "__n"])
+    gaps = fills.select(url, *[F.col(x).alias(f"__fill_{x}") for x in rest])
+    filled = both.join(gaps, url, "left").select(url, *[F.coalesce(x, f"__fill_{x}").alias(x) for x in rest])
+    new = c.join(known, ["__g", "__n"], "left_anti").groupBy("__g", "__n").agg(F.max_by(F.struct(*rest), order).alias("r"))
+    return filled.unionByName(new.select(F.lit(None).cast("string").alias(url), "r.*"))
+
+
+def class_pool(df: DataFrame, queries: DataFrame, classes: list[str], key: str, most: int = 50) -> DataFrame:
+    """(query, neighbor, similarity): for rows without a vector, the first ``most`` keys of their own class, all as near.
+    A query without one of the classes takes any value there; itself is left out."""
+    pool = df.select(F.col(key).alias("neighbor"), *classes)
+    sets = queries.select(*classes).distinct()
+    on = reduce(lambda a, c: a & (F.col(f"s.{c}").isNull() | (F.col(f"s.{c}") == F.col(f"p.{c}"))), classes, F.lit(True))
+    met = F.broadcast(sets.alias("s")).join(pool.alias("p"), on).select(*[F.col(f"s.{c}").alias(c) for c in classes], "neighbor")
+    first = met.withColumn("__r", F.row_number().over(Window.partitionBy(*classes).orderBy("neighbor"))).where(F.col("__r") <= most + 1)
+    q, f = queries.alias("q"), first.alias("f")
+    near = q.join(f, reduce(lambda a, c: a & F.col(f"q.{c}").eqNullSafe(F.col(f"f.{c}")), classes, F.lit(True))).where(F.col(f"q.{key}") != F.col("f.neighbor"))
+    order = Window.partitionBy("query").orderBy("neighbor")
+    out = near.select(F.col(f"q.{key}").alias("query"), F.col("f.neighbor").alias("neighbor"), F.lit(1.0).alias("similarity"))
+    return out.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).drop("__r")
+
+
+def labelled_pairs(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Two labelled sets by key: key, and each column as first_<c> and second_<c>."""
+    right = b.select(key, *[F.col(c).alias(f"second_{c}") for c in columns])
+    return a.select(key, *[F.col(c).alias(f"first_{c}") for c in columns]).join(right, key)
+
+
 def fallback_join(left: DataFrame, right: DataFrame, keys: list[str], preferred: Column, value: str) -> DataFrame:
     """For each left row the right value of the best rank: ``preferred`` (lower is better, NULL: no match)."""
     l, r = left.alias("l"), right.alias("r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def changed(columns: list[str], old: str = "o", new: str = "n") -> Column:
@@ -108,16 +108,87 @@ def union_in_order(feeds: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 
+def protected_keys(*referrers: tuple[DataFrame, str], key: str) -> DataFrame:
+    """The distinct keys that any referring table holds; NULL protects nothing."""
+    parts = [df.select(F.col(c).alias(key)) for df, c in referrers]
+    return reduce(lambda a, b: a.unionByName(b), parts).where(F.col(key).isNotNull()).distinct()
+
+
+def resolve_ids(df: DataFrame, natural: str, dimension: DataFrame, key: str, id_: str, out: str) -> DataFrame:
+    """Add ``out``: the id that the dimension gives a natural key, NULL if it has none. ``dimension`` has a row a key."""
+    return df.join(dimension.select(F.col(key).alias("__key"), F.col(id_).alias(out)), F.col(natural) == F.col("__key"), "left").drop("__key")
+
+
+def merged_labels(hand: DataFrame, derived: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, label): hand-made labels, and derived ones for what they don't cover."""
+    return hand.select(key, label).unionByName(derived.join(hand.select(key), key, "left_anti").select(key, label))
+
+
+def todo(
+    old: DataFrame, new: DataFrame, key: str, fields: list[str], enrichable: list[str], flag: str, text: str, computed: str, listed: str | None = None
+) -> DataFrame:
+    """(key, kind): the rows to compute again, "new" or "changed".
+
+    A row is changed if a source field differs; an enrichable field differs where the new version has a value; the flag
+    comes on; the new version lists something else (``listed``, an array); the text differs, an empty one being
+    none; or nothing was computed for it yet (``computed`` is NULL in the old version).
+    """
+    rows = _sides(old, new, [key]).where("n.__new")
+    o, n = lambda c: F.col(f"o.{c}"), lambda c: F.col(f"n.{c}")
+    given = reduce(lambda a, c: a | (n(c).isNotNull() & ~o(c).eqNullSafe(n(c))), enrichable, F.lit(False))
+    lit = F.coalesce(n(flag), F.lit(False)) & ~F.coalesce(o(flag), F.lit(False))
+    told = ~F.nullif(o(text), F.lit("")).eqNullSafe(F.nullif(n(text), F.lit("")))
+    moved = changed(fields) | given | lit | told | o(computed).isNull()
+    if listed:
+        moved = moved | ((F.size(F.coalesce(n(listed), F.array().cast("array<string>"))) > 0) & ~o(listed).eqNullSafe(n(listed)))
+    kind = F.when(F.col("o.__old").isNull(), "new").when(moved, "changed")
+    return rows.select(n(key).alias(key), kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def removal_gate(old: DataFrame, new: DataFrame, key: str, table: Column, share: float = 0.2) -> DataFrame:
+    """(table, current, removed, fails): tables of which more than ``share`` of the rows would go."""
+    gone = old.select(key, table.alias("table")).join(new.select(key).withColumn("__new", F.lit(True)), key, "left")
+    counts = gone.groupBy("table").agg(F.count(F.lit(1)).alias("current"), F.count_if(F.col("__new").isNull()).alias("removed"))
+    return counts.withColumn("fails", F.col("removed") / F.col("current") > share)
+
+
+def empty_sources(expected: DataFrame, rows: DataFrame, source: str) -> DataFrame:
+    """(source, n, fails): every expected source with its number of rows; one without any must stop a load."""
+    counts = rows.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
+    return expected.select(source).distinct().join(counts, source, "left").select(source, F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("fails"))
+
+
+def metric_gates(metrics: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(name, ok) of measured metrics (name, kind, value, checked, baseline).
+
+    kind "violations": none of more than zero checked. kind "accuracy": at most ``tolerance`` below the baseline; without
+    a baseline any value will do, without a value it fails.
+    """
+    none = (F.col("value") == 0) & (F.col("checked") > 0)
+    near = F.col("value").isNotNull() & F.coalesce(F.col("value") >= F.col("baseline") - tolerance - 1e-9, F.lit(True))
+    return metrics.select("name", F.coalesce(F.when(F.col("kind") == "violations", none).otherwise(near), F.lit(False)).alias("ok"))
+
+
 def publish(df: DataFrame, root: str, version: str, checks: dict[str, Column]) -> str:
-    """Write a new version beside the old ones if it has rows and every row passes every check.
+    """Write a new version beside the old ones, check what was written, and point to it only if it holds.
 
-    Returns the version's path; the caller's table of pointers names the current one, so readers
-    never see half a version.
+    The version's rows go to root/versions/<version> and are read back: none, or one that fails a check, is an error,
+    and the pointer stays where it was. The pointer is a table of its own (root/current), replaced in
+    one commit, so readers see the old version or the new one, never half of one.
     """
-    failed = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()]).first()
+    spark, path = df.sparkSession, f"{root.rstrip('/')}/versions/{version}"
+    df.write.mode("errorifexists").parquet(path)
+    written = spark.read.parquet(path)
+    failed = written.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()]).first()
     bad = {k: failed[k] for k in checks if failed[k]}
     if not failed["n"] or bad:
         raise ValueError(f"not published: {failed['n']} rows, failed checks {bad}")
-    path = f"{root.rstrip('/')}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
+    pointer = spark.createDataFrame([(version,)], "version string").coalesce(1)
+    pointer.write.mode("overwrite").json(f"{root.rstrip('/')}/current")
     return path
+
+
+def current_version(spark: SparkSession, root: str) -> DataFrame:
+    """The version that the pointer names."""
+    version = spark.read.schema("version string").json(f"{root.rstrip('/')}/current").first()["version"]
+    return spark.read.parquet(f"{root.rstrip('/')}/versions/{version}")

@@ -87,6 +87,46 @@ def fill_missing_merge(t):
     return J.fill_missing_merge(a, b, ["k"])
 
 
+_FEEDS = """f AS (SELECT p_partkey AS i, CASE WHEN p_partkey % 4 <> 3 THEN 'u' || (p_partkey % 700) END AS url, p_brand AS g, p_name AS n, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS v, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS w FROM part),
+    a AS (SELECT url, arg_max(g, i) AS g, arg_max(n, i) AS n, arg_max({v: v}, i).v AS v, arg_max({w: w}, i).w AS w FROM f WHERE i % 4 = 0 GROUP BY url),
+    b AS (SELECT url, arg_min(g, i) AS g, arg_min(n, i) AS n, arg_min(v, i) FILTER (v IS NOT NULL) AS v, arg_min(w, i) FILTER (w IS NOT NULL) AS w FROM f WHERE i % 4 IN (1, 2) GROUP BY url),
+    ab AS (SELECT coalesce(a.url, b.url) AS url, coalesce(a.g, b.g) AS g, coalesce(a.n, b.n) AS n, coalesce(a.v, b.v) AS v, coalesce(a.w, b.w) AS w FROM a FULL JOIN b ON a.url = b.url),
+    k AS (SELECT lower(g) AS lg, lower(n) AS ln, max(url) AS url FROM ab GROUP BY 1, 2), c AS (SELECT * FROM f WHERE i % 4 = 3),
+    fills AS (SELECT lower(g) AS lg, lower(n) AS ln, arg_min(v, i) FILTER (v IS NOT NULL) AS v, arg_min(w, i) FILTER (w IS NOT NULL) AS w FROM c GROUP BY 1, 2),
+    gaps AS (SELECT k.url, fills.v, fills.w FROM k JOIN fills ON k.lg = fills.lg AND k.ln = fills.ln),
+    fresh AS (SELECT arg_max(g, i) AS g, arg_max(n, i) AS n, arg_max({v: v}, i).v AS v, arg_max({w: w}, i).w AS w FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.lg = lower(c.g) AND k.ln = lower(c.n)) GROUP BY lower(g), lower(n))"""
+
+
+@query(f"WITH {_FEEDS} SELECT ab.url, g, n, coalesce(ab.v, gaps.v) AS v, coalesce(ab.w, gaps.w) AS w FROM ab LEFT JOIN gaps ON gaps.url = ab.url UNION ALL SELECT NULL, g, n, v, w FROM fresh")
+def three_feed_merge(t):
+    """Feeds merged by URL, and by group and name where there is none."""
+    k = F.col("p_partkey")
+    rows = t("part").select(
+        F.when(k % 4 != 3, F.concat(F.lit("u"), (k % 700).cast("string"))).alias("url"), F.col("p_brand").alias("g"), F.col("p_name").alias("n"),
+        F.when(k % 3 == 0, F.col("p_size")).alias("v"), F.when(k % 2 == 0, F.col("p_type")).alias("w"), k.alias("i"),
+    )
+    return J.three_feed_merge(rows.where("i % 4 = 0"), rows.where("i % 4 IN (1, 2)"), rows.where("i % 4 = 3"), "url", "g", "n", "i")
+
+
+@query("""WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS p, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS s FROM orders), q AS (SELECT * FROM p WHERE o_orderkey % 100 = 0),
+    j AS (SELECT q.o_orderkey AS query, x.o_orderkey AS neighbor FROM q JOIN p x ON (q.p IS NULL OR q.p = x.p) AND (q.s IS NULL OR q.s = x.s) AND q.o_orderkey <> x.o_orderkey)
+    SELECT query, neighbor, CAST(1.0 AS DOUBLE) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY neighbor) AS r FROM j) WHERE r <= 50""")
+def fallback_pool(t):
+    """The first fifty rows of the same class, all as near: neighbours for rows without a vector."""
+    k = F.col("o_orderkey")
+    rows = t("orders").select(k, F.when(k % 7 != 0, F.col("o_orderpriority")).alias("p"), F.when(k % 5 != 0, F.col("o_orderstatus")).alias("s"))
+    return J.class_pool(rows, rows.where("o_orderkey % 100 = 0"), ["p", "s"], "o_orderkey")
+
+
+@query("""SELECT doc_id, a.quality AS first_quality, b.quality AS second_quality, a.toxic AS first_toxic, b.toxic AS second_toxic FROM labels a
+    JOIN (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 1 - quality ELSE quality END AS quality, toxic FROM labels WHERE doc_id % 4 <> 0) b USING (doc_id)""")
+def labelled_pairs(t):
+    """Two annotators' labels of the same documents."""
+    k = F.col("doc_id")
+    other = t("labels").where("doc_id % 4 <> 0").withColumn("quality", F.when(k % 9 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    return J.labelled_pairs(t("labels"), other, "doc_id", ["quality", "toxic"])
+
+
 @query("""WITH x AS (SELECT p_partkey, p_brand || split_part(p_name, ' ', 2) AS b, p_size, p_partkey % 2 = 0 AS flag FROM part)
     SELECT p_partkey, flag AND b NOT IN (SELECT b FROM x WHERE p_size > 48) AS flag FROM x""")
 def sibling_disable(t):
@@ -188,3 +228,27 @@ def weighted_neighbor_stats(t):
     n = rows.groupBy("query").agg(F.count("*").alias("n"))
     stats = A.weighted_stats(rows, "query", "similarity", ["v"]).join(n, "query")
     return stats.select("query", "n", F.round("v", 6).alias("mean"), F.round("v_std", 6).alias("std"))
+
+
+@query(KNN_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbor) AS rank FROM s)
+    SELECT query, round(coalesce(sum(CASE WHEN neighbor % 3 <> 0 THEN greatest(sim, 0.01) END), 0), 6) AS support FROM r WHERE rank <= 10 GROUP BY query""")
+def neighbor_support(t):
+    """How much similarity stands behind a value: the neighbours that have one."""
+    v = t("embeddings").select("vec_id", "embedding")
+    near = J.knn(v.where("vec_id % 100 = 0"), v, key="vec_id", vector="embedding", k=10)
+    rows = near.withColumn("v", F.when(F.col("neighbor") % 3 != 0, 1))
+    return A.weighted_support(rows, ["query"], "similarity", "v").withColumn("support", F.round("support", 6))
+
+
+@query(KNN_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbor) AS rank FROM s), l AS (SELECT vec_id, CAST(label AS DOUBLE) AS a, CASE WHEN vec_id % 3 <> 0 THEN label * 2.0 END AS b FROM u),
+    j AS (SELECT query, greatest(sim, 0.01) AS w, a, b FROM r JOIN l ON l.vec_id = neighbor WHERE rank <= 10),
+    m AS (SELECT query, count(a) >= 3 AS ea, count(b) >= 3 AS eb, sum(w * a) / sum(CASE WHEN a IS NOT NULL THEN w END) AS ma, sum(w * b) / sum(CASE WHEN b IS NOT NULL THEN w END) AS mb FROM j GROUP BY query),
+    d AS (SELECT query, any_value(ea) AS ea, any_value(eb) AS eb, sqrt(sum(w * (a - ma) * (a - ma)) / sum(CASE WHEN a IS NOT NULL THEN w END)) AS sa, sqrt(sum(w * (b - mb) * (b - mb)) / sum(CASE WHEN b IS NOT NULL THEN w END)) AS sb FROM j JOIN m USING (query) GROUP BY query),
+    k AS (SELECT query, list_avg(list_filter([CASE WHEN ea THEN sa END, CASE WHEN eb THEN sb END], lambda x: x IS NOT NULL)) AS spread FROM d)
+    SELECT query, CASE WHEN spread <= 0.7 THEN 'high' WHEN spread <= 1.2 THEN 'medium' ELSE 'low' END AS confidence FROM k""")
+def neighbor_confidence(t):
+    """A confidence from how far the neighbours' values spread."""
+    v = t("embeddings").select("vec_id", "embedding", "label")
+    near = J.knn(v.where("vec_id % 100 = 0"), v.drop("label"), key="vec_id", vector="embedding", k=10)
+    labels = v.select(F.col("vec_id").alias("neighbor"), F.col("label").cast("double").alias("a"), F.when(F.col("vec_id") % 3 != 0, F.col("label") * 2.0).alias("b"))
+    return A.weighted_stats(near.join(labels, "neighbor"), "query", "similarity", ["a", "b"]).select("query", "confidence")

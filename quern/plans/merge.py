@@ -47,11 +47,16 @@ def upsert_merge(t):
 
 
 RETIRE = """CASE WHEN n.k IS NULL AND r.k IS NULL THEN 'delete' WHEN n.k IS NULL AND o.active THEN 'retire' WHEN n.k IS NOT NULL AND NOT o.active THEN 'reactivate' ELSE 'keep' END AS action"""
-REFS = "r AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 400000)"
+REFS = """r AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 400000 UNION SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90
+    UNION SELECT conv_id FROM conversations WHERE turn = 0 UNION SELECT s_suppkey FROM supplier)"""
 
 
 def _refs(t):
-    return t("orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("k"))
+    """Keys that four tables refer to."""
+    return M.protected_keys(
+        (t("orders").where("o_totalprice > 400000"), "o_custkey"), (t("events").where("event_type = 'purchase' AND value > 90"), "user_id"),
+        (t("conversations").where("turn = 0"), "conv_id"), (t("supplier"), "s_suppkey"), key="k",
+    )
 
 
 @query(f"{BOTH}, {REFS} SELECT o.k, {RETIRE} FROM o LEFT JOIN n ON o.k = n.k LEFT JOIN r ON o.k = r.k")
@@ -59,16 +64,35 @@ def retire_missing(t):
     return M.retire_plan(_old(t), _new(t), "k", "active", _refs(t))
 
 
+@query(f"WITH {REFS} SELECT k FROM r")
+def protected_ids(t):
+    return _refs(t)
+
+
 @query(f"{BOTH}, {REFS} SELECT o.k, {RETIRE} FROM o LEFT JOIN n ON o.k = n.k LEFT JOIN r ON o.k = r.k WHERE o.g IN (SELECT g FROM n)")
 def scoped_retire(t):
     new = _new(t)
     return M.retire_plan(M.scoped(_old(t), new, "g"), new, "k", "active", _refs(t))
 
 
-@query("SELECT p_partkey, p_name NOT IN (SELECT p_name FROM part WHERE p_size = 50) AS needs_review FROM part")
+LABELS = """h AS (SELECT DISTINCT p_name AS name, 'hand' AS label FROM part WHERE p_size = 50), d AS (SELECT DISTINCT p_name AS name, 'derived' AS label FROM part WHERE p_size = 49),
+    l AS (SELECT * FROM h UNION ALL SELECT * FROM d WHERE name NOT IN (SELECT name FROM h))"""
+
+
+@query(f"WITH {LABELS} SELECT p_partkey, l.label IS NULL AS needs_review, l.label FROM part LEFT JOIN l ON p_name = name")
 def needs_review(t):
-    labelled = t("part").where("p_size = 50").select("p_name").distinct().withColumn("known", F.lit(True))
-    return t("part").join(labelled, "p_name", "left").select("p_partkey", F.col("known").isNull().alias("needs_review"))
+    """Rows whose name has no label; hand-made labels win over derived ones."""
+    of = lambda size, label: t("part").where(F.col("p_size") == size).select("p_name").distinct().withColumn("label", F.lit(label))
+    labels = M.merged_labels(of(50, "hand"), of(49, "derived"), "p_name", "label")
+    return t("part").join(labels, "p_name", "left").select("p_partkey", F.col("label").isNull().alias("needs_review"), "label")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, max(p_partkey) AS part_id FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10 GROUP BY ALL""")
+def resolved_ids(t):
+    """Ids for natural keys, NULL for what the dimension doesn't know."""
+    dimension = t("part").where("p_size > 10").select("p_partkey", F.col("p_partkey").alias("key"))
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    return M.resolve_ids(lines, "l_partkey", dimension, "key", "p_partkey", "part_id")
 
 
 KIND = """CASE WHEN o.k IS NULL THEN 'new' WHEN n.k IS NULL THEN 'removed' WHEN (o.v IS NULL) <> (n.v IS NULL) OR coalesce(abs(n.v - o.v) > 0.2 * abs(o.v), false) THEN 'flagged'
@@ -80,10 +104,23 @@ def snapshot_diff(t):
     return M.diff(_old(t), _new(t), ["k"], ["s", "v"], "v")
 
 
-@query(f"{BOTH}, d AS (SELECT coalesce(o.k, n.k) AS k, {KIND} AS kind FROM o FULL JOIN n ON o.k = n.k) SELECT k FROM d WHERE kind IN ('new', 'changed', 'flagged')")
+_OLD = "o2 AS (SELECT k, s, v, active AS flag, CASE WHEN k % 6 = 0 THEN '' ELSE s END AS text, CASE WHEN k % 17 <> 0 THEN [s] END AS tags, CASE WHEN k % 19 <> 0 THEN 1 END AS vec FROM o)"
+_NEW = "n2 AS (SELECT k, s, v, k % 3 = 0 AS flag, CASE WHEN k % 6 = 0 THEN NULL ELSE s END AS text, CASE WHEN k % 2 = 0 THEN [s] ELSE [] END AS tags FROM n)"
+
+
+@query(f"""{BOTH}, {_OLD}, {_NEW} SELECT n2.k, CASE WHEN o2.k IS NULL THEN 'new' ELSE 'changed' END AS kind FROM n2 LEFT JOIN o2 ON o2.k = n2.k
+    WHERE o2.k IS NULL OR o2.s IS DISTINCT FROM n2.s OR (n2.v IS NOT NULL AND o2.v IS DISTINCT FROM n2.v) OR (n2.flag AND NOT o2.flag)
+        OR nullif(o2.text, '') IS DISTINCT FROM nullif(n2.text, '') OR (len(n2.tags) > 0 AND o2.tags IS DISTINCT FROM n2.tags) OR o2.vec IS NULL""")
 def diff_todo(t):
-    """What has to be computed again: new and changed rows."""
-    return M.diff(_old(t), _new(t), ["k"], ["s", "v"], "v").where(F.col("kind").isin("new", "changed", "flagged")).select("k")
+    """What has to be computed again. A value the new version lacks is no change: it may have been filled in."""
+    k, s = F.col("k"), F.col("s")
+    old = _old(t).select(
+        "k", "s", "v", F.col("active").alias("flag"), F.when(k % 6 == 0, "").otherwise(s).alias("text"), F.when(k % 17 != 0, F.array(s)).alias("tags"), F.when(k % 19 != 0, 1).alias("vec")
+    )
+    new = _new(t).select(
+        "k", "s", "v", (k % 3 == 0).alias("flag"), F.when(k % 6 != 0, s).alias("text"), F.when(k % 2 == 0, F.array(s)).otherwise(F.array().cast("array<string>")).alias("tags")
+    )
+    return M.todo(old, new, "k", ["s"], ["v"], "flag", "text", "vec", "tags")
 
 
 @query(f"""{BOTH} SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'insert' WHEN n.k IS NULL THEN CASE WHEN o.active THEN 'retire' ELSE 'none' END
@@ -109,6 +146,38 @@ def size_gates(t):
     return M.size_gates(_old(t), _new(t), "g")
 
 
+@query(f"""{BOTH}, x AS (SELECT o.k, o.g % 3 AS "table", n.k IS NULL AS gone FROM o LEFT JOIN n ON o.k = n.k)
+    SELECT CAST("table" AS INT) AS "table", CAST(count(*) AS BIGINT) AS current, CAST(count(*) FILTER (gone) AS BIGINT) AS removed, count(*) FILTER (gone) / CAST(count(*) AS DOUBLE) > 0.2 AS fails FROM x GROUP BY 1""")
+def removal_gates(t):
+    """Tables that would lose more than a fifth of their rows."""
+    return M.removal_gate(_old(t), _new(t), "k", (F.col("g") % 3).cast("int"))
+
+
+@query("""SELECT n_name, CAST(count(s_suppkey) AS BIGINT) AS n, count(s_suppkey) = 0 AS fails FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY 1""")
+def empty_source_guard(t):
+    """Sources that brought nothing."""
+    rows = t("supplier").where("s_acctbal > 5000").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name")
+    return M.empty_sources(t("nation"), rows, "n_name")
+
+
+@query("""WITH m AS (SELECT p_brand AS name, CASE WHEN p_brand < 'Brand#2' THEN 'violations' ELSE 'accuracy' END AS kind, CASE WHEN p_brand < 'Brand#2' THEN CAST(count(*) FILTER (p_size > 50) AS DOUBLE) WHEN p_brand <> 'Brand#3' THEN avg(CAST(p_size > 20 AS INT)) END AS value,
+        count(*) FILTER (p_type <> 'SMALL') AS checked, CASE WHEN p_brand <> 'Brand#4' THEN avg(CAST(p_size > 20 + p_partkey % 3 - 1 AS INT)) + 0.02 END AS baseline FROM part GROUP BY p_brand)
+    SELECT name, coalesce(CASE WHEN kind = 'violations' THEN value = 0 AND checked > 0 ELSE value IS NOT NULL AND coalesce(value >= baseline - 0.02 - 1e-9, true) END, false) AS ok FROM m""")
+def metric_gates(t):
+    """No violations of something checked; accuracy not below its baseline by more than a tolerance."""
+    size, k, brand = F.col("p_size"), F.col("p_partkey"), F.col("p_brand")
+    rate = lambda c: F.avg(c.cast("int"))
+    m = t("part").groupBy(brand.alias("name")).agg(
+        F.count_if(size > 50).cast("double").alias("bad"), rate(size > 20).alias("share"), F.count_if(F.col("p_type") != "SMALL").alias("checked"),
+        (rate(size > 20 + k % 3 - 1) + 0.02).alias("base"),
+    )
+    bad = F.col("name") < "Brand#2"
+    return M.metric_gates(m.select(
+        "name", F.when(bad, "violations").otherwise("accuracy").alias("kind"), F.when(bad, F.col("bad")).when(F.col("name") != "Brand#3", F.col("share")).alias("value"),
+        "checked", F.when(F.col("name") != "Brand#4", F.col("base")).alias("baseline"),
+    ))
+
+
 @query("""WITH m AS (SELECT p_brand, p_type, avg(p_size) AS a, avg(p_size + p_partkey % 3 - 1) AS b FROM part GROUP BY 1, 2)
     SELECT p_brand, bool_or(b - a >= 0.01) AND NOT bool_or(b - a < -0.005) AS promote, CAST(count(*) FILTER (b - a >= 0.01) AS BIGINT) AS better, CAST(count(*) FILTER (b - a < -0.005) AS BIGINT) AS worse FROM m GROUP BY 1""")
 def promotion_rule(t):

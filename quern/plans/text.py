@@ -205,12 +205,3 @@ def tag_models(t):
     """A logistic model for each of the items' frequent words."""
     rows = t("part").select(F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), F.slice(F.split("p_name", " "), 1, 1).alias("tags"))
     return L.tag_models(rows, ["size", "price"], "tags", 30)
-
-
-@query("""WITH c AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS rn FROM orders)
-    SELECT o_orderkey, CAST(1.0 AS DOUBLE) AS similarity FROM c WHERE rn <= 50""")
-def fallback_pool(t):
-    """The first fifty rows of every class, all as near: neighbours for rows without a vector."""
-    w = Window.partitionBy("o_orderpriority", "o_orderstatus").orderBy("o_orderkey")
-    rows = t("orders").select("o_orderkey", F.row_number().over(w).alias("rn")).where("rn <= 50")
-    return rows.select("o_orderkey", F.lit(1.0).alias("similarity"))
