@@ -265,3 +265,21 @@ def term_groups(df: DataFrame, group: str, tokens: Column, vocabulary: DataFrame
 def weighted_support(df: DataFrame, key: list[str], similarity: str, value: str, floor: float = 0.01) -> DataFrame:
     """(key, support): the neighbours' similarities, at least ``floor`` each, summed where they have a value."""
     return df.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.greatest(F.col(similarity), F.lit(floor)))), F.lit(0.0)).alias("support"))
+
+
+def compare_variants(variants: dict[str, DataFrame], key: str, pred: str, truth: str) -> DataFrame:
+    """(variant, n, mae, same_targets): predictions of several variants; whether all were made for the same keys, by fingerprint."""
+    scored = None
+    for name, df in variants.items():
+        one = df.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(pred) - F.col(truth))).alias("mae"))
+        row = one.crossJoin(fingerprint(df, [], key)).select(F.lit(name).alias("variant"), "n", "mae", "fingerprint")
+        scored = row if scored is None else scored.unionByName(row)
+    kinds = scored.agg(F.countDistinct("fingerprint").alias("__k"))
+    return scored.crossJoin(F.broadcast(kinds)).select("variant", "n", "mae", (F.col("__k") == 1).alias("same_targets"))
+
+
+def rescored(saved: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Saved rows with each check's column (and <check>_before) made anew; the first recorded result stays in <check>_before,
+    the new one where nothing was recorded."""
+    kept = {f"{n}_before": F.coalesce(F.col(f"{n}_before"), F.col(n), c) for n, c in checks.items()}
+    return saved.withColumns(kept).withColumns(checks)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .aggregates import prf, spearman
+
 
 def gram(df: DataFrame, features: list[str], target: str, group: str | None = None, weight: str | None = None) -> DataFrame:
     """(group, i, j, s): sums of w * x_i * x_j, with the intercept as feature "1" and the target as "y".
@@ -24,35 +30,226 @@ def gram(df: DataFrame, features: list[str], target: str, group: str | None = No
 
 def solve(cells: list, features: list[str], alpha: float) -> dict[str, float]:
     """Ridge weights (the intercept free) from the cells of ``gram``: at most (features + 2)^2 numbers."""
-    import numpy as np
-
     names = ["1", *features]
     value = {(c["i"], c["j"]): c["s"] for c in cells} | {(c["j"], c["i"]): c["s"] for c in cells}
     a = np.array([[value[(i, j)] for j in names] for i in names]) + alpha * np.diag([0.0] + [1.0] * len(features))
     return dict(zip(names, np.linalg.solve(a, np.array([value[(i, "y")] for i in names])).tolist(), strict=True))
 
 
-def cross_validate(df: DataFrame, features: list[str], target: str, group: str, alphas: list[float]) -> dict[float, float]:
-    """Mean absolute error of leave-one-group-out ridge for each alpha, from one Gram per group.
+@dataclass(frozen=True)
+class Candidate:
+    """A way to fit: the ridge strength, a weight for each kind of label, the kinds whose labels are shifted to the first
+    kind's mean, the features that are used (None: all), and whether groups have offsets."""
+
+    name: str
+    alpha: float
+    kinds: dict[str, float] = field(default_factory=lambda: {"": 1.0})
+    centred: tuple[str, ...] = ()
+    features: tuple[str, ...] | None = None
+    shrink: float | None = None
+
+
+class Grams:
+    """The Gram matrices of a table by group and kind of label: all that fitting needs.
 
-    A group's model comes from the total minus its own cells. Groups are few (they are folds); the
-    errors are computed where the rows are.
+    They come from one aggregation, (features + 2)^2 / 2 numbers a group and kind, and groups are folds, so few. A
+    model without some groups is solved from the sum of the others; nothing is read again.
     """
-    cells = gram(df, features, target, group).collect()
-    total: dict[tuple, float] = {}
-    for c in cells:
-        total[(c["i"], c["j"])] = total.get((c["i"], c["j"]), 0.0) + c["s"]
-    out = {}
-    for alpha in alphas:
-        models = []
-        for g in sorted({c[group] for c in cells}):
-            rest = [{"i": c["i"], "j": c["j"], "s": total[(c["i"], c["j"])] - c["s"]} for c in cells if c[group] == g]
-            models.append((g, *solve(rest, features, alpha).values()))
-        names = [group, *[f"__w{n}" for n in range(len(features) + 1)]]
-        table = df.sparkSession.createDataFrame(models, names)
-        pred = F.col("__w0") + sum((F.col(f"__w{n + 1}") * F.col(f) for n, f in enumerate(features)), F.lit(0.0))
-        out[alpha] = df.join(F.broadcast(table), group).agg(F.avg(F.abs(pred - F.col(target)))).first()[0]
-    return out
+
+    def __init__(self, df: DataFrame, features: list[str], target: str, group: str, kind: str | None = None):
+        self.features = features
+        names = ["1", *features, "y"]
+        at = {n: i for i, n in enumerate(names)}
+        keyed = df.withColumn("__key", F.struct(F.col(group).alias("g"), (F.col(kind) if kind else F.lit("")).alias("k")))
+        self.cells: dict[tuple, np.ndarray] = {}
+        for c in gram(keyed.where(F.col(target).isNotNull()), features, target, "__key").collect():
+            m = self.cells.setdefault((c["__key"]["g"], c["__key"]["k"]), np.zeros((len(names), len(names))))
+            m[at[c["i"]], at[c["j"]]] = m[at[c["j"]], at[c["i"]]] = c["s"]
+        self.groups = sorted({g for g, _ in self.cells})
+
+    def fit(self, how: Candidate, without: tuple = ()) -> list[float] | None:
+        """Intercept and weights (0 for unused features) of a model that saw no group of ``without``; None without rows."""
+        first = next(iter(how.kinds))
+        size = len(self.features) + 2
+        sums = {k: sum((m for (g, kk), m in self.cells.items() if kk == k and g not in without), np.zeros((size, size))) for k in how.kinds}
+        own: dict = {}
+        for (g, k), m in self.cells.items():
+            if k in how.kinds and g not in without:
+                m = m.copy()
+                if k in how.centred and sums[k][0, 0] and sums[first][0, 0]:
+                    shift = sums[k][0, -1] / sums[k][0, 0] - sums[first][0, -1] / sums[first][0, 0]
+                    m[:, -1] = m[:, -1] - shift * m[:, 0]  # the products with y, less shift; y * y is not used
+                own[g] = own.get(g, np.zeros((size, size))) + how.kinds[k] * m
+        total = sum(own.values(), np.zeros((size, size)))
+        if not total[0, 0]:
+            return None
+        used = [0, *(i + 1 for i, f in enumerate(self.features) if how.features is None or f in how.features)]
+        a = total[np.ix_(used, used)] + how.alpha * np.diag([0.0] + [1.0] * (len(used) - 1))
+        right = total[used, -1]
+        w = np.linalg.solve(a, right)
+        if how.shrink is not None:
+            for _ in range(5):  # offsets of the groups, then weights for labels less their offset, in turn
+                offset = {g: (m[0, -1] - m[0, used] @ w) / (m[0, 0] + how.shrink) for g, m in own.items()}
+                w = np.linalg.solve(a, right - sum(offset[g] * m[used, 0] for g, m in own.items()))
+        out = np.zeros(size - 1)
+        out[used] = w
+        return out.tolist()
+
+    def offsets(self, how: Candidate) -> dict:
+        """Each group's shrunken mean residual under the model of all groups."""
+        w = np.array(self.fit(how))
+        return {g: float((m[0, -1] - m[0, :-1] @ w) / (m[0, 0] + how.shrink)) for (g, _), m in sorted(self.cells.items(), key=str)}
+
+
+def predicted(df: DataFrame, features: list[str], weights: str = "weights", low: float = 1.0, high: float = 5.0) -> Column:
+    """The clipped prediction of a row's ``weights`` (intercept first)."""
+    x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features])
+    return clamp(F.aggregate(F.zip_with(F.col(weights), x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), low, high)
+
+
+def held_out(df: DataFrame, grams: Grams, group: str, candidates: list[Candidate], low: float = 1.0, high: float = 5.0) -> DataFrame:
+    """``df`` for each candidate (candidate, pred): every row predicted by a model that saw nothing of its group."""
+    models = [(c.name, g, w) for c in candidates for g in grams.groups if (w := grams.fit(c, (g,))) is not None]
+    table = _models(df, models, group)
+    return df.join(F.broadcast(table), group).withColumn("pred", predicted(df, grams.features, low=low, high=high)).drop("weights")
+
+
+def _models(df: DataFrame, rows: list[tuple], group: str) -> DataFrame:
+    kind = df.schema[group].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"candidate string, `{group}` {kind}, weights array<double>")
+
+
+def chosen_inside(
+    df: DataFrame, grams: Grams, group: str, target: str, candidates: list[Candidate], by: str = "mae", low: float = 1.0, high: float = 5.0
+) -> DataFrame:
+    """(group, candidate): for every held-out group the candidate that is best on the other groups, each of these predicted
+    by models that saw neither it nor the held-out one. ``by``: least "mae", or most "within_1" and then least mae;
+    the earlier of equal candidates. The models number candidates x groups^2; rows are read once for all of them.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    rows = [
+        (i, outer, inner, w)
+        for i, c in enumerate(candidates) for outer in grams.groups for inner in grams.groups
+        if inner != outer and (w := grams.fit(c, (outer, inner))) is not None
+    ]
+    table = df.sparkSession.createDataFrame(rows, f"place int, outer {kind}, `{group}` {kind}, weights array<double>")
+    scored = df.where(F.col(target).isNotNull()).join(F.broadcast(table), group)
+    error = F.abs(predicted(df, grams.features, low=low, high=high) - F.col(target))
+    scores = scored.groupBy("outer", "place").agg(F.round(F.avg(error), 9).alias("mae"), F.round(F.avg((error <= 1).cast("int")), 9).alias("near"))
+    order = F.struct("mae", "place") if by == "mae" else F.struct(-F.col("near"), "mae", "place")
+    best = scores.groupBy(F.col("outer").alias(group)).agg(F.min_by("place", order).alias("place"))
+    names = F.array(*[F.lit(c.name) for c in candidates])
+    return best.select(group, F.element_at(names, F.col("place") + 1).alias("candidate"))
+
+
+def nested(df: DataFrame, features: list[str], target: str, group: str, candidates: list[Candidate], kind: str | None = None, by: str = "mae",
+           low: float = 1.0, high: float = 5.0) -> DataFrame:
+    """``df``'s rows of the first kind with candidate and pred: selection inside, prediction outside. A group's rows have no
+    part in the choice of the candidate that predicts them."""
+    grams = Grams(df, features, target, group, kind)
+    rows = df.where(F.col(kind) == next(iter(candidates[0].kinds))) if kind else df
+    picked = chosen_inside(rows, grams, group, target, candidates, by, low, high)
+    return held_out(rows, grams, group, candidates, low, high).join(F.broadcast(picked), [group, "candidate"])
+
+
+def cross_validate(df: DataFrame, features: list[str], target: str, group: str, alphas: list[float]) -> dict[float, float]:
+    """Mean absolute error of leave-one-group-out ridge for each alpha, from one Gram per group."""
+    grams = Grams(df, features, target, group)
+    ways = [Candidate(str(a), a) for a in alphas]
+    far = float("inf")
+    errors = held_out(df, grams, group, ways, -far, far).groupBy("candidate").agg(F.avg(F.abs(F.col("pred") - F.col(target))).alias("mae"))
+    return {float(r["candidate"]): r["mae"] for r in errors.collect()}
+
+
+def answered(df: DataFrame, rules: dict[str, Column], pred: str, truth: str, keys: list[str]) -> DataFrame:
+    """(keys, rule, coverage, within_1, mae): answers that a rule lets out. A NULL prediction is no answer."""
+    told = {n: F.coalesce(c, F.lit(False)) & F.col(pred).isNotNull() for n, c in rules.items()}
+    rows = df.where(F.col(truth).isNotNull()).withColumn("__rule", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), c.alias("told")) for n, c in told.items()])))
+    error = F.when(F.col("__rule.told"), F.abs(F.col(pred) - F.col(truth)))
+    return rows.groupBy(*keys, F.col("__rule.rule").alias("rule")).agg(
+        F.round(F.avg(F.col("__rule.told").cast("int")), 6).alias("coverage"), F.round(F.avg((error <= 1).cast("int")), 6).alias("within_1"),
+        F.round(F.avg(error), 6).alias("mae"),
+    )
+
+
+def weak_gate(rows: DataFrame, group: str, origin: str, truth: str, weak: str, pool_mean: float) -> DataFrame:
+    """(n, weak_within_1, origin_within_1, rho, beats) of weak labels on the rows that have one and a truth.
+
+    A weak label is centred as training does it: less the pool's mean, plus the mean truth of the other groups. It has
+    to beat the mean truth of the origin's rows in other groups (of all of them, if there are fewer than two).
+    """
+    known = rows.where(F.col(truth).isNotNull())
+    outer = others_mean(known, [group], [], truth).withColumnRenamed("others_mean", "__all")
+    sums = known.groupBy(group, origin).agg(F.sum(truth).alias("__s"), F.count(truth).alias("__n"))
+    w = Window.partitionBy(origin)
+    here = sums.withColumn("__rn", F.sum("__n").over(w) - F.col("__n")).withColumn("__m", (F.sum("__s").over(w) - F.col("__s")) / F.nullif(F.col("__rn"), F.lit(0)))
+    have = known.where(F.col(weak).isNotNull()).join(outer, group).join(here.select(group, origin, "__rn", "__m"), [group, origin], "left")
+    base = F.when(F.col("__rn") >= 2, F.col("__m")).otherwise(F.col("__all"))
+    centred = have.withColumn("__c", F.col(weak) - (F.lit(pool_mean) - F.col("__all"))).withColumn("__base", base)
+    near = lambda c: F.avg((F.abs(F.col(c) - F.col(truth)) <= 1).cast("int"))
+    out = centred.agg(F.count(F.lit(1)).alias("n"), F.round(near("__c"), 6).alias("weak_within_1"), F.round(near("__base"), 6).alias("origin_within_1"))
+    rho = spearman(centred.withColumn("__one", F.lit(1)), ["__one"], "__c", truth).select("rho")
+    return out.crossJoin(F.broadcast(rho)).withColumn("beats", F.col("weak_within_1") > F.col("origin_within_1"))
+
+
+def transfer(rows: DataFrame, weights: list[float], features: list[str], truth: str, store: str, low: float = 1.0, high: float = 5.0) -> DataFrame:
+    """(store, n, mae, within_1, mean_mae, rho): a fitted model on another source's labels, beside that source's mean."""
+    table = rows.where(F.col(truth).isNotNull()).withColumn("weights", F.array(*[F.lit(w) for w in weights]))
+    scored = table.withColumn("pred", predicted(rows, features, low=low, high=high))
+    means = scored.groupBy(store).agg(F.avg(truth).alias("__mean"))
+    error = F.abs(F.col("pred") - F.col(truth))
+    out = scored.join(means, store).groupBy(store).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(error), 6).alias("mae"), F.round(F.avg((error <= 1).cast("int")), 6).alias("within_1"),
+        F.round(F.avg(F.abs(F.col("__mean") - F.col(truth))), 6).alias("mean_mae"),
+    )
+    return out.join(spearman(scored.withColumn("pred", F.round("pred", 6)), [store], "pred", truth).select(store, "rho"), store, "left")
+
+
+def vector_grams(df: DataFrame, vector: str, target: str, fold: str) -> dict:
+    """fold -> Gram matrix of (1, vector, target). Tasks sum products of whole batches; one small matrix a task and fold is
+    shuffled, as rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for k, part in batch.groupby("f"):
+                x = np.column_stack([np.ones(len(part)), np.array(part["v"].tolist(), dtype=float), part["y"].to_numpy(dtype=float)])
+                sums[k] = sums.get(k, 0) + x.T @ x
+        for k, m in sums.items():
+            i, j = np.triu_indices(len(m))
+            yield pd.DataFrame({"f": k, "i": i, "j": j, "s": m[i, j]})
+
+    rows = df.where(F.col(target).isNotNull() & F.col(vector).isNotNull()).select(F.col(fold).cast("long").alias("f"), F.col(vector).alias("v"), F.col(target).cast("double").alias("y"))
+    out: dict = {}
+    for r in rows.mapInPandas(run, "f long, i long, j long, s double").groupBy("f", "i", "j").agg(F.sum("s").alias("s")).collect():
+        out.setdefault(r["f"], {})[(r["i"], r["j"])] = r["s"]
+    full = {}
+    for k, cells in out.items():
+        size = max(i for i, _ in cells) + 1
+        full[k] = np.zeros((size, size))
+        for (i, j), v in cells.items():
+            full[k][i, j] = full[k][j, i] = v
+    return full
+
+
+def vector_ridge(grams: dict, alpha: float, without=None) -> list[float]:
+    """Intercept and weights of a ridge on vectors, from the folds but one."""
+    m = sum(v for k, v in grams.items() if k != without)
+    a = m[:-1, :-1] + alpha * np.diag([0.0] + [1.0] * (len(m) - 2))
+    return np.linalg.solve(a, m[:-1, -1]).tolist()
+
+
+def pick_vector_model(df: DataFrame, vector: str, target: str, fold: str, alphas: list[float]) -> DataFrame:
+    """(alpha, mae, picked): ridge strengths on vectors by their mean absolute error on held-out folds; least wins, the first of
+    equal ones. A very large strength is the mean."""
+    grams = vector_grams(df, vector, target, fold)
+    rows = [(float(a), k, vector_ridge(grams, a, k)) for a in alphas for k in sorted(grams)]
+    table = df.sparkSession.createDataFrame(rows, "alpha double, __f long, w array<double>")
+    scored = df.where(F.col(target).isNotNull()).withColumn("__f", F.col(fold).cast("long")).join(F.broadcast(table), "__f")
+    dot = F.aggregate(F.zip_with(F.slice("w", 2, 1 << 20), F.col(vector), lambda a, b: a * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    mae = scored.groupBy("alpha").agg(F.round(F.avg(F.abs(F.col("w")[0] + dot - F.col(target))), 6).alias("mae"))
+    order = Window.orderBy("mae", "alpha")  # a row per strength
+    return mae.withColumn("picked", F.row_number().over(order) == 1)
 
 
 def others_mean(df: DataFrame, group: list[str], outer: list[str], value: str) -> DataFrame:
@@ -82,60 +279,139 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 
 
-def profile_step(pref: Column, n: Column, rating: Column, value: Column) -> Column:
-    """A preference after one rated event: pulled to what was liked, pushed off what was not, less each time."""
-    s, eta, d = (rating - 3) / 2, 1 / (n + 2), value - pref
-    push = pref - eta * F.abs(s) * F.signum(d) * (1 - F.abs(d) / 2)
-    return clamp(F.when(s > 0, pref + eta * s * d).when((s < 0) & (d != 0) & (F.abs(d) <= 2), push).otherwise(pref), 1.0, 5.0)
-
-
-def profile_fold(events: DataFrame, user: str, order: list[str], rating: str, value: str, start: float = 3.0) -> DataFrame:
-    """(user, preference, events): each user's events folded in order."""
-    listed = F.sort_array(F.collect_list(F.struct(*order, F.col(rating).cast("double").alias("r"), F.col(value).cast("double").alias("v"))))
-    begin = F.struct(F.lit(start).alias("p"), F.lit(0.0).alias("n"))
-    step = lambda a, e: F.struct(profile_step(a["p"], a["n"], e["r"], e["v"]).alias("p"), (a["n"] + 1).alias("n"))
-    return events.groupBy(user).agg(F.aggregate(listed, begin, step).alias("x")).select(user, F.col("x.p").alias("preference"), F.col("x.n").cast("long").alias("events"))
-
-
-def subset_errors(df: DataFrame, features: list[str], target: str, subsets: dict[str, list[str]], alpha: float) -> dict[str, float]:
-    """In-sample mean squared error of ridge on each subset of the features, from one Gram: no further pass."""
-    cells = gram(df, features, target).collect()
-    value = {(c["i"], c["j"]): c["s"] for c in cells} | {(c["j"], c["i"]): c["s"] for c in cells}
-    out = {}
-    for name, chosen in subsets.items():
-        w = solve(cells, chosen, alpha)
-        fit = sum(a * b * value[(i, j)] for i, a in w.items() for j, b in w.items())
-        cross = sum(a * value[(i, "y")] for i, a in w.items())
-        out[name] = (value[("y", "y")] - 2 * cross + fit) / value[("1", "1")]
-    return out
-
-
-def boosted_importances(df: DataFrame, features: list[str], target: str, trees: int = 10, depth: int = 3, seed: int = 42) -> DataFrame:
-    """(feature, importance) of a gradient-boosted regression. Rows with a NULL are left out."""
+def boosted_baseline(df: DataFrame, features: list[str], target: str, fold: Column, trees: int = 10, depth: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(importances, errors) of a gradient-boosted regression: (feature, importance), and (mae, mean_mae) on the rows where
+    ``fold`` holds, which it did not see, beside the mean of what it saw. Rows with a NULL are left out."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(df.select(*features, F.col(target).alias("__y")).dropna())
-    model = GBTRegressor(featuresCol="__x", labelCol="__y", maxIter=trees, maxDepth=depth, seed=seed).fit(rows)
-    return df.sparkSession.createDataFrame(list(zip(features, map(float, model.featureImportances.toArray()), strict=True)), "feature string, importance double")
+    rows = df.select(*features, F.col(target).cast("double").alias("__y"), fold.alias("__test")).dropna()
+    rows = VectorAssembler(inputCols=features, outputCol="__x").transform(rows)
+    seen = rows.where("NOT __test")
+    model = GBTRegressor(featuresCol="__x", labelCol="__y", maxIter=trees, maxDepth=depth, seed=seed).fit(seen)
+    mean = seen.agg(F.avg("__y").alias("__m"))
+    errors = model.transform(rows.where("__test")).crossJoin(F.broadcast(mean)).agg(
+        F.avg(F.abs(F.col("prediction") - F.col("__y"))).alias("mae"), F.avg(F.abs(F.col("__m") - F.col("__y"))).alias("mean_mae")
+    )
+    importance = list(zip(features, map(float, model.featureImportances.toArray()), strict=True))
+    return df.sparkSession.createDataFrame(importance, "feature string, importance double"), errors
 
 
-def tag_models(df: DataFrame, features: list[str], tags: str, least: int, threshold: float = 0.5) -> DataFrame:
-    """(tag, n, precision, recall): one logistic regression for every tag with at least ``least`` rows.
+def tag_scores(df: DataFrame, key: str, features: list[str], tags: str, vocabulary: DataFrame, fold: str, rounds: int = 6, ridge: float = 1.0) -> DataFrame:
+    """(key, fold, tag, has, score): one logistic model for every tag of ``vocabulary`` (tag) and held-out fold, each row scored by
+    the models that did not see its fold.
 
-    The tags are a vocabulary, so the loop over them is short; each fit is a Spark job over all rows.
+    All models are fitted together: a Newton step is one aggregation of (features + 1)^2 / 2 sums by tag and fold over
+    rows x tags x folds, and only the sums reach the driver. Features should be scaled alike.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = VectorAssembler(inputCols=features, outputCol="__x").transform(df.dropna(subset=features)).select("__x", tags)
-    counts = rows.select(F.explode(F.array_distinct(tags)).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    out = []
-    for r in counts.orderBy("tag").collect():
-        labelled = rows.select("__x", F.array_contains(tags, r["tag"]).cast("double").alias("__y"))
-        scored = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=0.01).fit(labelled).transform(labelled)
-        said = vector_to_array("probability")[1] >= threshold
-        c = scored.agg(F.count_if(said & (F.col("__y") == 1)).alias("tp"), F.count_if(said).alias("said")).first()
-        out.append((r["tag"], r["n"], c["tp"] / c["said"] if c["said"] else 0.0, c["tp"] / r["n"]))
-    return df.sparkSession.createDataFrame(out, "tag string, n long, precision double, recall double")
+    names = ["1", *features]
+    size = len(names)
+    rows = df.select(key, F.col(fold).cast("int").alias("fold"), F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x"), F.col(tags).alias("__tags"))
+    pairs = rows.crossJoin(F.broadcast(vocabulary.select("tag"))).select(key, "fold", "x", "tag", F.array_contains("__tags", F.col("tag")).cast("double").alias("y"))
+    folds = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+    told = [r[0] for r in vocabulary.select("tag").distinct().orderBy("tag").collect()]
+    weights = {(t, f): np.zeros(size) for t in told for f in folds}
+    spark = df.sparkSession
+    table = lambda: F.broadcast(spark.createDataFrame([(t, f, w.tolist()) for (t, f), w in weights.items()], "tag string, held int, w array<double>"))
+    score = 1 / (1 + F.exp(-F.aggregate(F.zip_with("w", "x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)))
+    cells = list(combinations_with_replacement(range(size), 2))
+    for _ in range(rounds):
+        p = pairs.join(table(), "tag").where("held != fold").withColumn("p", score)
+        second = [F.sum(F.col("p") * (1 - F.col("p")) * F.col("x")[i] * F.col("x")[j]).alias(f"h{n}") for n, (i, j) in enumerate(cells)]
+        first = [F.sum((F.col("y") - F.col("p")) * F.col("x")[i]).alias(f"g{i}") for i in range(size)]
+        for r in p.groupBy("tag", "held").agg(*second, *first).collect():
+            h = np.zeros((size, size))
+            for n, (i, j) in enumerate(cells):
+                h[i, j] = h[j, i] = r[f"h{n}"]
+            penalty = ridge * np.diag([0.0] + [1.0] * (size - 1))
+            w = weights[(r["tag"], r["held"])]
+            step = np.linalg.solve(h + penalty + 1e-9 * np.eye(size), np.array([r[f"g{i}"] for i in range(size)]) - penalty @ w)
+            weights[(r["tag"], r["held"])] = w + np.clip(step, -4, 4)
+    scored = pairs.join(table(), "tag").where("held = fold")
+    return scored.select(key, "fold", "tag", (F.col("y") == 1).alias("has"), score.alias("score"))
+
+
+def tag_decisions(scored: DataFrame, grid: list[float]) -> DataFrame:
+    """(tag, n, precision, recall, f1) of tags decided by a threshold that each fold takes from the other folds: the one of
+    ``grid`` with the best F1 there."""
+    rows = scored.withColumn("threshold", F.explode(F.array(*[F.lit(g) for g in grid])))
+    over = F.col("score") >= F.col("threshold")
+    counts = rows.groupBy("tag", "fold", "threshold").agg(
+        F.count_if(F.col("has") & over).alias("tp"), F.count_if(~F.col("has") & over).alias("fp"), F.count_if(F.col("has") & ~over).alias("fn")
+    )
+    all_folds = Window.partitionBy("tag", "threshold")  # a row per fold
+    rest = {c: F.sum(c).over(all_folds) - F.col(c) for c in ("tp", "fp", "fn")}
+    f1 = 2 * rest["tp"] / F.nullif(2 * rest["tp"] + rest["fp"] + rest["fn"], F.lit(0))
+    picked = counts.withColumn("f1", F.coalesce(f1, F.lit(0.0))).groupBy("tag", "fold").agg(F.max_by(F.struct("tp", "fp", "fn"), F.struct("f1", -F.col("threshold"))).alias("c"))
+    sums = picked.groupBy("tag").agg(*[F.sum(f"c.{c}").alias(c) for c in ("tp", "fp", "fn")])
+    return sums.select("tag", (F.col("tp") + F.col("fn")).alias("n"), *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def ships(model: DataFrame, vote: DataFrame, key: str, margin: float = 0.05) -> DataFrame:
+    """(key, model_f1, vote_f1, ship): whether a model beats the neighbours' vote by the margin. Both have key and f1; a missing one is 0."""
+    a, b = model.select(key, F.col("f1").alias("model_f1")), vote.select(key, F.col("f1").alias("vote_f1"))
+    both = a.join(b, key, "full").select(key, F.coalesce("model_f1", F.lit(0.0)).alias("model_f1"), F.coalesce("vote_f1", F.lit(0.0)).alias("vote_f1"))
+    return both.withColumn("ship", F.col("model_f1") >= F.col("vote_f1") + margin - 1e-9)
+
+
+def or_others_mean(df: DataFrame, pred: str, truth: str, group: str) -> DataFrame:
+    """Add ``filled``: the prediction or, where there is none, the mean truth of the other groups."""
+    means = others_mean(df, [group], [], truth)
+    return df.join(F.broadcast(means), group).withColumn("filled", F.coalesce(pred, "others_mean")).drop("others_mean")
+
+
+def same_result(name: str, first: DataFrame, second: DataFrame) -> DataFrame:
+    """(run, n, identical): whether two runs gave the same rows, by order-independent checksums of all columns."""
+    columns = sorted(first.columns)
+    digest = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*columns)), F.lit(0)).alias("x"), F.coalesce(F.sum(F.xxhash64(*columns) % 1_000_003), F.lit(0)).alias("s"))
+    a, b = digest(first).alias("a"), digest(second).alias("b")
+    same = (F.col("a.n") == F.col("b.n")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.s") == F.col("b.s"))
+    return a.crossJoin(b).select(F.lit(name).alias("run"), F.col("a.n").alias("n"), same.alias("identical"))
+
+
+def dense(x: np.ndarray, weights: np.ndarray, bias: np.ndarray, activation: str) -> np.ndarray:
+    """One layer of a network: relu, sigmoid or identity."""
+    z = x @ weights + bias
+    return np.maximum(z, 0) if activation == "relu" else 1 / (1 + np.exp(-z)) if activation == "sigmoid" else z
+
+
+def network_tags(df: DataFrame, key: str, vector: str, layers: list[tuple[np.ndarray, np.ndarray, str]], labels: list[str], threshold: float, most: int = 5) -> DataFrame:
+    """(key, tag, p, rank): the labels of at least ``threshold``, the most likely first, ties by label, ``most`` of them. The
+    weights are a model's, so bounded, and go with the tasks; batches are multiplied as matrices."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = np.argsort(np.array(labels))
+        for batch in batches:
+            batch = batch[batch["v"].notna()]
+            x = np.array(batch["v"].tolist(), dtype=float).reshape(len(batch), -1)
+            for w, b, activation in layers:
+                x = dense(x, w, b, activation) if len(x) else x
+            out = []
+            for k, p in zip(batch["k"], x, strict=True):
+                best = [j for j in order[np.argsort(-p[order], kind="stable")] if p[j] >= threshold][:most]
+                out += [(k, labels[j], float(p[j]), i) for i, j in enumerate(best, 1)]
+            yield pd.DataFrame(out, columns=["k", "tag", "p", "rank"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, f"k {kind}, tag string, p double, rank int").withColumnRenamed("k", key)
+
+
+def indicators(value: Column, values: list[str], prefix: str) -> dict[str, Column]:
+    """One 0/1 feature for each listed value; NULL and others have none."""
+    return {f"{prefix}{v}": F.coalesce((value == v).cast("double"), F.lit(0.0)) for v in values}
+
+
+def bands(value: Column, edges: dict[str, tuple[float, float]]) -> dict[str, Column]:
+    """One 0/1 feature for each range, its end exclusive."""
+    return {n: F.coalesce(((value >= a) & (value < b)).cast("double"), F.lit(0.0)) for n, (a, b) in edges.items()}
+
+
+def capped_counts(items: Column, values: list[str], prefix: str, most: int = 3) -> dict[str, Column]:
+    """How often each value is in an array, up to ``most``."""
+    n = lambda v: F.size(F.filter(items, lambda x: x == v))
+    return {f"{prefix}{v}": F.greatest(F.lit(0.0), F.least(F.lit(float(most)), n(v).cast("double"))) for v in values}
+
+
+def centred(value: Column, middle: float = 3.0) -> Column:
+    """A value about the scale's middle, 0 where it is missing."""
+    return F.coalesce(F.round(value - middle, 4), F.lit(0.0))

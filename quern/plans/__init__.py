@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "rules", "joins", "aggregates", "merge", "text"]
+MODULES = ["filters", "rules", "joins", "aggregates", "merge", "text", "evaluation"]
 
 
 def _registries():

@@ -191,17 +191,3 @@ def lexicon_scores(t):
     lexicon = {"and": 1.0, "with": 2.0, "for": -1.0}
     scored = G.score_text(t("benchmark"), "item_id", "text", lambda text: G.weighted_hits(text, lexicon, ("the",)))
     return scored.withColumn("score", F.round("score", 6))
-
-
-@query(None)
-def boosted_baseline(t):
-    """Feature importances of a boosted regression of the price."""
-    rows = t("part").select(F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 10).cast("double").alias("digit"), "p_retailprice")
-    return L.boosted_importances(rows, ["size", "digit"], "p_retailprice").withColumn("importance", F.round("importance", 6))
-
-
-@query(None)
-def tag_models(t):
-    """A logistic model for each of the items' frequent words."""
-    rows = t("part").select(F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"), F.slice(F.split("p_name", " "), 1, 1).alias("tags"))
-    return L.tag_models(rows, ["size", "price"], "tags", 30)
