@@ -50,7 +50,7 @@ def round_half_up(x: Column) -> Column:
 
 def rescale(x: Column, low: float, high: float, to_low: float = 1.0, to_high: float = 5.0) -> Column:
     """A linear change of scale, cut off at its ends."""
-    return F.least(F.lit(to_high), F.greatest(F.lit(to_low), to_low + (x - low) * (to_high - to_low) / (high - low)))
+    return F.when(x.isNotNull(), F.least(F.lit(to_high), F.greatest(F.lit(to_low), to_low + (x - low) * (to_high - to_low) / (high - low))))
 
 
 def path_leaves(text: Column, most: int = 6) -> Column:

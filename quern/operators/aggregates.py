@@ -283,3 +283,17 @@ def rescored(saved: DataFrame, checks: dict[str, Column]) -> DataFrame:
     the new one where nothing was recorded."""
     kept = {f"{n}_before": F.coalesce(F.col(f"{n}_before"), F.col(n), c) for n, c in checks.items()}
     return saved.withColumns(kept).withColumns(checks)
+
+
+def fallback_causes(df: DataFrame, fallback: str, counters: str, cards: str, tokens: str, ms: str, deadline: int, prefix: str = "fb_") -> DataFrame:
+    """(counter, total): why requests fell back. Rows with counters (a map, names with ``prefix``) tell; older rows have none, so as many
+    fallbacks as cards lack a first token are counted as before it, fast errors if the request ended before the deadline, and
+    the rest as after it. Rows without fallbacks say nothing."""
+    rows = df.where(F.col(fallback) > 0)
+    own = F.map_filter(F.coalesce(counters, F.create_map().cast("map<string,bigint>")), lambda k, v: k.startswith(prefix))
+    told = rows.where(F.size(own) > 0).select(F.explode(own).alias("counter", "v")).select(F.regexp_replace("counter", f"^{prefix}", "").alias("counter"), F.col("v").cast("long").alias("v"))
+    before = F.least(F.col(fallback), F.greatest(F.lit(0), F.col(cards) - F.col(tokens)))
+    when = F.concat(F.lit("inferred_before_token_"), F.when(F.coalesce(ms, F.lit(0)) < deadline, "fast_error").otherwise("timeout"))
+    parts = F.array(F.struct(when.alias("counter"), before.cast("long").alias("v")), F.struct(F.lit("inferred_after_token").alias("counter"), (F.col(fallback) - before).cast("long").alias("v")))
+    inferred = rows.where(F.size(own) == 0).select(F.explode(parts).alias("x")).select("x.*").where("v > 0")
+    return told.unionByName(inferred).groupBy("counter").agg(F.sum("v").alias("total"))

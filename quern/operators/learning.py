@@ -276,7 +276,8 @@ def contributions(weights: dict[str, float], features: dict[str, Column], least:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), x))
+    """Within a scale; NULL stays (least and greatest alone would pass over it)."""
+    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
 def boosted_baseline(df: DataFrame, features: list[str], target: str, fold: Column, trees: int = 10, depth: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "rules", "joins", "aggregates", "merge", "text", "evaluation"]
+MODULES = ["filters", "rules", "joins", "aggregates", "merge", "text", "evaluation", "stores"]
 
 
 def _registries():

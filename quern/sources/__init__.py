@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -85,19 +88,22 @@ def log_objects(line: Column) -> Column:
 
 
 class _Facts(HTMLParser):
-    """Label-value pairs of th/td and dt/dd, title and headings, in the order of the page."""
+    """What a page states: products in JSON-LD blocks, title and headings, label-value pairs of th/td and dt/dd, in order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.found, self.label, self.tag, self.text = [], None, None, []
+        self.found, self.products, self.label, self.tag, self.text = [], [], None, None, []
 
     def handle_starttag(self, tag, attrs):
         if tag in ("th", "td", "dt", "dd", "title", "h1"):
             self._close()
             self.tag, self.text = tag, []
+        elif tag == "script" and ("type", "application/ld+json") in attrs:
+            self._close()
+            self.tag, self.text = "ld", []
 
     def handle_endtag(self, tag):
-        if tag in (self.tag, "tr", "dl", "table"):
+        if tag in (self.tag, "tr", "dl", "table") or tag == "script" and self.tag == "ld":
             self._close()
 
     def handle_data(self, data):
@@ -105,20 +111,54 @@ class _Facts(HTMLParser):
             self.text.append(data)
 
     def _close(self):
-        value = " ".join("".join(self.text).split())
-        if self.tag in ("title", "h1") and value:
+        text = "".join(self.text)
+        value = " ".join(text.split())
+        if self.tag == "ld":
+            self._product(text)
+        elif self.tag in ("title", "h1") and value:
             self.found.append((self.tag, value))
         elif self.tag in ("th", "dt"):
-            self.label = value
+            self.label = "".join(value.split())  # a label's blanks don't count
         elif self.tag in ("td", "dd"):
             if self.label and value:
                 self.found.append((self.label, value))
             self.label = None
         self.tag, self.text = None, []
 
-
-def page_facts(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, field, value): each page's facts, the first value of a field wins. A NULL page has none."""
+    def _product(self, text: str) -> None:
+        """Name, description and price of the first product, or of a group and its first variant."""
+        try:
+            block = json.loads(text)
+        except ValueError:
+            return
+        if self.products or not isinstance(block, dict) or block.get("@type") not in ("Product", "ProductGroup"):
+            return
+        variants = block.get("hasVariant") or [{}]
+        source = variants[0] if block["@type"] == "ProductGroup" else block
+        source = source if isinstance(source, dict) else {}
+        offers = source.get("offers")
+        price = offers.get("price") if isinstance(offers, dict) else None
+        name = re.sub(r"<br\s*/?>", " ", str(block.get("name") or ""))
+        told = {"product.name": name, "product.description": source.get("description"), "product.price": price}
+        self.products = [(k, " ".join(html.unescape(str(v)).split())) for k, v in told.items() if v not in (None, "")]
+
+
+def labelled_runs(text: str, labels: dict[str, str], ends: tuple[str, ...] = ()) -> dict[str, str]:
+    """field -> value of runs "label: value" in free text; a run ends at the next label or at one of ``ends``. The first of a field
+    counts."""
+    marks = sorted({*labels, *ends}, key=lambda m: (-len(m), m))
+    places = [(m.start(), m.end(), m[0]) for m in re.finditer("|".join(map(re.escape, marks)), text)]
+    found: dict[str, str] = {}
+    for (_, at, mark), nxt in zip(places, [*places[1:], (len(text), 0, "")], strict=True):
+        if mark in labels:
+            value = re.sub(r"^\s*(?:[A-Za-z][A-Za-z\s]*)?:\s*", "", text[at : nxt[0]]).strip(" :\xa0")
+            if value:
+                found.setdefault(labels[mark], value)
+    return found
+
+
+def page_facts(pages: DataFrame, key: str, html_column: str) -> DataFrame:
+    """(key, field, value): each page's facts, the first value of a field wins; a product's come first. A NULL page has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,11 +169,30 @@ def page_facts(pages: DataFrame, key: str, html: str) -> DataFrame:
                 parser.close()
                 parser._close()
                 first = {}
-                for field, value in parser.found:
-                    first.setdefault(field.lower(), value)
+                for name, value in [*parser.products, *parser.found]:
+                    first.setdefault(name.lower(), value)
                 rows += [(k, f, v) for f, v in first.items()]
             yield pd.DataFrame(rows, columns=["k", "field", "value"])
 
     kind = pages.schema[key].dataType.simpleString()
-    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, field string, value string")
+    out = pages.select(F.col(key).alias("k"), F.col(html_column).alias("h")).mapInPandas(run, f"k {kind}, field string, value string")
+    return out.withColumnRenamed("k", key)
+
+
+def text_runs(df: DataFrame, key: str, text: str, labels: dict[str, str], ends: tuple[str, ...] = ()) -> DataFrame:
+    """(key, field, value): ``labelled_runs`` of a text column."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, f, v) for k, t in zip(batch["k"], batch["t"], strict=True) for f, v in labelled_runs(t or "", labels, ends).items()]
+            yield pd.DataFrame(rows, columns=["k", "field", "value"])
+
+    kind = df.schema[key].dataType.simpleString()
+    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, field string, value string")
     return out.withColumnRenamed("k", key)
+
+
+def wide_rows(df: DataFrame, positions: dict[str, tuple[int, str]]) -> DataFrame:
+    """Columns of a wide table by position, under a name and as a type: what is no number of the type is NULL. The rest is not read."""
+    pick = lambda at, kind: F.nullif(F.trim(F.col(f"`{df.columns[at]}`").cast("string")), F.lit("")).try_cast(kind)
+    return df.select(*[pick(at, kind).alias(name) for name, (at, kind) in positions.items()])

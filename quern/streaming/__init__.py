@@ -1,16 +1,14 @@
-"""Streams with a batch twin each: daily budgets, preference profiles, request statistics.
+"""Streams with a batch twin each: daily budgets, request statistics; preference profiles are in ``operators.profiles``.
 
-Late data: budgets and statistics drop events behind the watermark. Profiles depend on order: a batch's events
-are applied by (ts, event_id), and one that comes later is applied when it comes.
+Late data: budgets and statistics drop events behind the watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.profiles import history_stream  # noqa: F401
+from ..operators.ranking import exact_percentiles
 
 DAY = {"windowDuration": "1 day", "startTime": "15 hours"}  # midnight in Seoul is 15:00 UTC
 
@@ -28,47 +26,25 @@ def daily_intake(events: DataFrame, limit: float, late: str = "1 hour") -> DataF
 
 
 def request_kpis(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """(start, n, errors, error_rate, p50, p95) per window. ``events`` has event_id, ts, failed, ms."""
+    """(start, n, errors, error_rate, fallback_rate, p50, p95) per window. ``events`` has event_id, ts, failed, ms, cards and
+    fallbacks (numbers; fallback_rate is NULL without cards). Percentiles are approximate, to 1 in 10,000 ranks:
+    ``window_percentiles`` has the exact ones of a batch."""
     rows = events.withWatermark("ts", late)
     rows = rows.dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else rows.dropDuplicates(["event_id"])
     out = rows.groupBy(F.window("ts", width).alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("failed")).alias("errors"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("failed")).alias("errors"), F.sum("cards").alias("cards"), F.sum("fallbacks").alias("fallbacks"),
         F.percentile_approx("ms", 0.5).alias("p50"), F.percentile_approx("ms", 0.95).alias("p95"),
     )
-    return out.select(F.col("w.start").alias("start"), "n", "errors", (F.col("errors") / F.col("n")).alias("error_rate"), "p50", "p95")
-
-
-def _step(pref: float, n: int, rating: float, value: float | None) -> float:
-    if value is None or value != value:
-        return pref
-    s, eta, d = (rating - 3) / 2, 1 / (n + 2), value - pref
-    if s > 0:
-        pref += eta * s * d
-    elif s < 0 and d and abs(d) <= 2:
-        pref -= eta * abs(s) * (1 if d > 0 else -1) * (1 - abs(d) / 2)
-    return min(5.0, max(1.0, pref))
-
-
-def profile_stream(events: DataFrame, start: float = 3.0) -> DataFrame:
-    """A history row (user_id, event_id, preference, n) per event (user_id, event_id, ts, rating, value).
-
-    State per user: the preference and the number of events.
-    """
+    return out.select(
+        F.col("w.start").alias("start"), "n", "errors", (F.col("errors") / F.col("n")).alias("error_rate"),
+        (F.col("fallbacks") / F.nullif(F.col("cards"), F.lit(0))).alias("fallback_rate"), "p50", "p95",
+    )
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pref, n = state.get if state.exists else (start, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for e in rows.itertuples():
-            pref = _step(pref, n, e.rating, e.value)
-            n += 1
-            out.append((key[0], e.event_id, pref, n))
-        state.update((pref, n))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "preference", "n"])
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        fold, "user_id long, event_id long, preference double, n long", "pref double, n long", "append", GroupStateTimeout.NoTimeout
-    )
+def window_percentiles(events: DataFrame, width: str = "5 minutes") -> DataFrame:
+    """(start, n, p50, p95): exact percentiles of ms per window, of a batch."""
+    rows = events.dropDuplicates(["event_id"]).select(F.window("ts", width)["start"].alias("start"), F.col("ms").cast("double").alias("ms"))
+    return exact_percentiles(rows, ["start"], "ms", {"p50": 0.5, "p95": 0.95})
 
 
 def parsed_logs(lines: DataFrame) -> DataFrame:
