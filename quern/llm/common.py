@@ -2,63 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from ..storage import discard, mark, scratch, shared_dir, staged  # noqa: F401
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Paths made by this process, in order.
-_made: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
-
-    On a cluster the setting must be there. In local mode, as in tests, a temporary folder takes its place and is
-    kept in the session's setting.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
-    _made.append(path)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, so that a lost executor
-    costs a re-read and not a recomputation, and lets later joins see real sizes."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def mark() -> int:
-    """A point in the order of paths, for ``discard``."""
-    return len(_made)
-
-
-def discard(spark: SparkSession, since: int) -> None:
-    """Delete what was made since ``since``, except the path made last: for when that was derived from the rest."""
-    for path in _made[since:-1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    del _made[since:-1]
-
-
 def sized(df: DataFrame, most: int = 64 << 20) -> DataFrame:
     """A broadcast hint if the rows, a staged table's, are measured to take fewer than ``most`` bytes."""
     size = F.lit(0)
