@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from quern import sources as S, streaming as ST
-from quern.operators.learning import profile_fold
+from quern.operators import profiles
 
 
 def write(path, text):
@@ -47,6 +47,23 @@ def test_page_facts(spark):
     assert sorted((r.k, r.field, r.value) for r in S.page_facts(df, "k", "h").collect()) == [(1, "origin", "Kenya AA"), (1, "roast", "light"), (1, "title", "T & u")]
 
 
+def test_product_blocks_and_labelled_runs():
+    def facts(block):
+        parser = S._Facts()
+        parser.feed(f"<script type='application/ld+json'>{block}</script><p>x")
+        parser.close()
+        return parser.products
+
+    assert facts('{"@type": "Product", "name": "A &amp; b<br/>c", "offers": {"price": 5}}') == [("product.name", "A & b c"), ("product.price", "5")]
+    assert facts('{"@type": "ProductGroup", "name": "G", "hasVariant": [{"description": "d", "offers": {"price": "7"}}, {"description": "e"}]}') == [
+        ("product.name", "G"), ("product.description", "d"), ("product.price", "7"),
+    ]
+    for odd in ("not json", "[1]", '{"@type": "Offer"}', '{"@type": "Product", "offers": []}', '{"@type": "ProductGroup", "hasVariant": ["x"]}'):
+        assert facts(odd) == []
+    text = "Origin Country : Kenya Farm: x Process: washed Origin: second Delivery free"
+    assert S.labelled_runs(text, {"Origin": "origin", "Process": "process"}, ("Farm", "Delivery")) == {"origin": "Kenya", "process": "washed"}
+
+
 def test_logs(spark):
     df = spark.createDataFrame([('x {"evt": "a", "n": "1"} y',), ("plain",), ('{"other": 1}',), (None,)], "value string")
     assert [(r.evt, r.fields["n"]) for r in ST.parsed_logs(df).collect()] == [("a", "1")]
@@ -62,7 +79,7 @@ def stream(spark, tmp_path, df, build, mode):
 
 def events(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").limit(400)
-    return e.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("value"), (F.col("event_type") == "error").alias("failed"), F.floor("value").alias("ms"))
+    return e.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("value"), (F.col("event_type") == "error").alias("failed"), F.floor("value").alias("ms"), (F.col("event_id") % 3).alias("cards"), (F.col("event_id") % 2).alias("fallbacks"))
 
 
 def test_daily_intake_stream_equals_batch(spark, sf, tmp_path):
@@ -75,20 +92,24 @@ def test_daily_intake_stream_equals_batch(spark, sf, tmp_path):
 def test_request_kpis_stream_equals_batch(spark, sf, tmp_path):
     df = events(spark, sf)
     rows = stream(spark, tmp_path, df, lambda s: ST.request_kpis(s, "1 day"), "update")
-    got = {r.start: (r.n, r.errors) for r in rows}
-    assert got == {r.start: (r.n, r.errors) for r in ST.request_kpis(df, "1 day").collect()}
-
-
-def test_profile_stream_equals_fold(spark, sf, tmp_path):
-    df = events(spark, sf).select("user_id", "event_id", "ts", (1 + F.col("event_id") % 5).cast("double").alias("rating"), (1 + F.least("ms", F.lit(80)) / 20).alias("value"))
-    rows = stream(spark, tmp_path, df.coalesce(1), ST.profile_stream, "append")
-    assert len(rows) == df.count()
-    last = {}
-    for r in rows:
-        if r.n >= last.get(r.user_id, (0, 0))[0]:
-            last[r.user_id] = (r.n, r.preference)
-    want = {r.user_id: (r.events, r.preference) for r in profile_fold(df, "user_id", ["ts", "event_id"], "rating", "value").collect()}
-    assert last.keys() == want.keys()
-    assert all(last[u][0] == want[u][0] for u in want)
-    # one batch: the stream folds in the same order as the batch does
-    assert all(math.isclose(last[u][1], want[u][1], rel_tol=1e-9) for u in want)
+    got = {r.start: (r.n, r.errors, r.fallback_rate) for r in rows}
+    assert got == {r.start: (r.n, r.errors, r.fallback_rate) for r in ST.request_kpis(df, "1 day").collect()}
+
+
+def test_profile_stream_equals_batch(spark, sf, tmp_path):
+    k = F.col("event_id")
+    df = events(spark, sf).select(
+        "user_id", "event_id", "ts", (1 + k % 5).cast("double").alias("rating"),
+        F.create_map(F.lit("a"), 1 + F.least("ms", F.lit(80)) / 20, F.lit("b"), F.when(k % 3 == 0, F.lit(2.0))).alias("values"),
+        F.create_map(F.lit("x"), F.lit(0.5), F.lit("y"), F.lit(0.5)).alias("shares"), F.when(k % 7 == 0, F.array(F.lit("z"))).alias("liked"),
+    )
+    rows = stream(spark, tmp_path, df.coalesce(1), lambda s: profiles.history_stream(s, ["a", "b"]), "append")
+    want = {(r.user_id, r.event_id): r for r in profiles.history(df, "user_id", ["ts", "event_id"], ["a", "b"]).collect()}
+    assert len(rows) == len(want) == df.count()
+    for r in rows:  # one batch: the stream folds in the same order as the batch does
+        w = want[(r.user_id, r.event_id)]
+        assert r.n == w.n and r.changes == w.changes and r.wants.keys() == w.wants.keys()
+        assert all(math.isclose(r.wants[a], w.wants[a], rel_tol=1e-9) for a in w.wants)
+        assert all(math.isclose(r.likes[a], w.likes[a], rel_tol=1e-9, abs_tol=1e-12) for a in w.likes)
+    last = {r.user_id: r.n for r in profiles.final(df, "user_id", ["ts", "event_id"], ["a", "b"]).collect()}
+    assert last == {u: max(r.n for (v, _), r in want.items() if v == u) for u in last}
