@@ -164,10 +164,15 @@ ORACLE_SQL: dict[str, str] = {
         ), twos AS (
             SELECT o.item, o.v, o.term AS first, o.q AS q1, arg_min(x.term, x.r) AS second, arg_min(x.q, x.r) AS q2
             FROM ones o JOIN ranked x ON x.item = o.item AND x.v = o.v AND x.term <> o.term GROUP BY ALL
+        ), lists1 AS MATERIALIZED (
+            SELECT DISTINCT t.item, t.second, t.q2, doc_id, pos - q1 AS s, unnest([(pos - q1 + 900) // 9 - 1, (pos - q1 + 900) // 9, (pos - q1 + 900) // 9 + 1]) AS cell
+            FROM twos t JOIN tokens ON term = t.first
+        ), lists2 AS MATERIALIZED (
+            SELECT DISTINCT t.second, t.q2, doc_id, pos - q2 AS s, (pos - q2 + 900) // 9 AS cell
+            FROM (SELECT DISTINCT second, q2 FROM twos) t JOIN tokens ON term = t.second
         ), near AS (
-            SELECT a.doc_id, count(DISTINCT t.item) AS n_near
-            FROM twos t JOIN tokens a ON a.term = t.first JOIN tokens b ON b.doc_id = a.doc_id AND b.term = t.second
-            WHERE abs((a.pos - t.q1) - (b.pos - t.q2)) <= 8 GROUP BY a.doc_id
+            SELECT doc_id, count(DISTINCT item) AS n_near
+            FROM lists1 a JOIN lists2 b USING (doc_id, second, q2, cell) WHERE abs(a.s - b.s) <= 8 GROUP BY doc_id
         )
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
