@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import tokens
-from ..functions.vectors import norm
 
 
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -125,42 +126,50 @@ def disable_siblings(df: DataFrame, base: Column, over: Column, flag: str) -> Da
 
 
 def knn(
-    queries: DataFrame, pool: DataFrame, *, key: str, vector: str, k: int, prefer: Column | None = None,
-    exclude: Column | None = None, least: int = 5, pool_bytes: int = 256 << 20,
+    queries: DataFrame, pool: DataFrame, *, key: str, vector: str, k: int, prefer: str | None = None, exclude: str | None = None, least: int = 5, block: int = 4096
 ) -> DataFrame:
     """The ``k`` nearest of ``pool`` by cosine for each query, ties by key, itself left out.
 
-    ``exclude`` and ``prefer`` are predicates over q (a query) and p (a pool row), as F.col("q.x") ==
-    F.col("p.x"). Where at least ``least`` preferred rows exist only they are used, else all; both
-    rankings come out of one pass. The stated query set meets the pool in blocks: the pool is broadcast
-    while its vectors are below ``pool_bytes``, and else dealt out in blocks with a top-k in each.
+    ``exclude`` and ``prefer`` name columns: rows that equal the query in ``exclude`` are left out, and where at least ``least`` rows
+    equal it in ``prefer``, only these are used, else all; both rankings come out of one pass. Vectors that are NULL or all
+    zero have no neighbours and are none. The stated query set meets the pool in blocks of about ``block`` rows: a pair of
+    blocks is one matrix product, and only its ``k`` best of either kind go on. Cosines count to twelve digits.
     """
-    unit = lambda d: d.withColumn("__len", norm(F.col(vector))).where("__len > 0").withColumn(
-        vector, F.transform(vector, lambda x: x.cast("double") / F.col("__len"))
-    ).drop("__len")
-    q, p = unit(queries), unit(pool)
-    dims = pool.select(F.size(vector)).head()
-    small = dims is not None and pool.count() * dims[0] * 8 <= pool_bytes
-    if not small:
-        blocks = max(2, pool.count() * (dims[0] if dims else 1) * 8 // pool_bytes + 1)
-        p = p.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(int(blocks))))
-        q = q.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1)).cast("array<bigint>")))
-    on = [F.col(f"q.{key}") != F.col(f"p.{key}")]
-    if not small:
-        on.append(F.col("q.__block") == F.col("p.__block"))
-    if exclude is not None:
-        on.append(~F.coalesce(exclude, F.lit(False)))
-    right = p.alias("p")
-    pairs = q.alias("q").join(F.broadcast(right) if small else right, on)
-    near = F.aggregate(
-        F.zip_with(F.col(f"q.{vector}"), F.col(f"p.{vector}"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x
-    )
-    wanted = F.lit(True) if prefer is None else F.coalesce(prefer, F.lit(False))
-    scored = pairs.select(
-        F.col(f"q.{key}").alias("query"), F.col(f"p.{key}").alias("neighbor"), near.alias("similarity"), wanted.alias("preferred")
-    )
+    extra = list(dict.fromkeys(c for c in (prefer, exclude) if c))
+    pick = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), *[F.col(c).alias(f"c_{c}") for c in extra])
+    q, p = pick(queries), pick(pool)
+    n_q, n_p = (max(1, -(-df.count() // block)) for df in (q, p))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("qb", own(n_q)).withColumn("pb", every(n_p))
+    right = p.withColumn("pb", own(n_p)).withColumn("qb", every(n_q))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(a) and len(b):
+            b = b.sort_values("key")
+            (x, ax), (y, by) = _unit(a), _unit(b)
+            near = np.round(x @ y.T, 12)
+            near[(ax["key"].to_numpy()[:, None] == by["key"].to_numpy()[None, :])] = -np.inf
+            equal = lambda c: (ax[f"c_{c}"].to_numpy()[:, None] == by[f"c_{c}"].to_numpy()[None, :]) & by[f"c_{c}"].notna().to_numpy()[None, :]
+            if exclude:
+                near[equal(exclude)] = -np.inf
+            wanted = equal(prefer) if prefer else np.ones(near.shape, dtype=bool)
+            keys, others = ax["key"].tolist(), by["key"].tolist()
+            for kind in (True, False) if prefer else (True,):
+                part = np.where(wanted == kind, near, -np.inf)
+                at = min(k, part.shape[1]) - 1
+                least_near = -np.partition(-part, at, axis=1)[:, at] if part.size else np.zeros(len(part))
+                for i, bound in enumerate(least_near):
+                    found = np.flatnonzero((part[i] >= bound) & (part[i] > -np.inf))  # in the order of keys, ties included
+                    for j in found[np.argsort(-part[i, found], kind="stable")][:k]:
+                        out.append((keys[i], others[j], float(part[i, j]), kind))
+        return pd.DataFrame(out, columns=["query", "neighbor", "similarity", "preferred"])
+
+    kind = queries.schema[key].dataType.simpleString()
+    met = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(best, f"query {kind}, neighbor {kind}, similarity double, preferred boolean")
     order = [F.col("similarity").desc(), F.col("neighbor")]
-    ranked = scored.withColumn("rn", F.row_number().over(Window.partitionBy("query", "preferred").orderBy(*order)))
+    ranked = met.withColumn("rn", F.row_number().over(Window.partitionBy("query", "preferred").orderBy(*order)))
     ranked = ranked.where(F.col("rn") <= k)  # at most k of either kind go on
     enough = F.sum(F.col("preferred").cast("int")).over(Window.partitionBy("query")) >= min(least, k)
     chosen = ranked.withColumn("__enough", enough).where(~F.col("__enough") | F.col("preferred"))
@@ -168,6 +177,13 @@ def knn(
     return chosen.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query", "neighbor", "rank", "similarity")
 
 
+def _unit(rows: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+    """The vectors at unit length, and their rows; those without a length are left out."""
+    x = np.stack(rows["v"].to_list()).astype(float)
+    size = np.linalg.norm(x, axis=1)
+    return x[size > 0] / size[size > 0, None], rows[size > 0]
+
+
 def jaccard_neighbors(df: DataFrame, key: str, group: str, features: Column, k: int) -> DataFrame:
     """The ``k`` rows of other groups with the largest feature overlap, by Jaccard, ties by key.
 

@@ -156,7 +156,7 @@ def knn_cosine(t):
 def knn_filtered_fallback(t):
     """Neighbours with the query's own label where there are five, else any."""
     v = t("embeddings").select("vec_id", "embedding", "label")
-    near = J.knn(v.where("vec_id % 100 = 0"), v, key="vec_id", vector="embedding", k=10, prefer=F.col("q.label") == F.col("p.label"))
+    near = J.knn(v.where("vec_id % 100 = 0"), v, key="vec_id", vector="embedding", k=10, prefer="label")
     return near.withColumn("similarity", F.round("similarity", 6))
 
 

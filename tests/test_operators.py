@@ -172,11 +172,22 @@ def test_fill_missing_merge_and_reference(spark):
     assert values(J.fill_from(a, b, ["k"], "n"), "k", "n", "filled") == [(1, None, False), (2, 2, False)]
 
 
-def test_knn_blocks_equal_broadcast(spark):
-    df = spark.createDataFrame([(i, [math.sin(i * 7.0), math.cos(i * 3.0), (i % 5) / 5.0]) for i in range(60)], "id long, v array<double>")
-    q = df.where("id % 10 = 0")
-    got = [sorted((r.query, r.neighbor, r["rank"]) for r in J.knn(q, df, key="id", vector="v", k=4, pool_bytes=b).collect()) for b in (1 << 20, 200)]
-    assert got[0] == got[1] and len(got[0]) == 24
+def test_knn_blocks_equal_all_pairs(spark):
+    """Repeated and zero vectors, groups to prefer and to leave out, NULL groups; one block and many."""
+    rows = [(i, [math.sin(i % 50 * 7.0), math.cos(i % 50 * 3.0), (i % 5) / 5.0] if i != 7 else [0.0] * 3, i % 4 if i % 6 else None, i % 13) for i in range(60)] + [(99, None, 1, 1)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, c long, g long")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _, _ in rows if v and any(v)}
+    kinds = {i: (c, g) for i, _, c, g in rows}
+    want = []
+    for i in unit:
+        if i % 10 == 0:
+            near = [(-round(float(unit[i] @ unit[j]), 12), j) for j in unit if j != i and kinds[i][1] != kinds[j][1]]
+            same = [x for x in near if kinds[i][0] is not None and kinds[x[1]][0] == kinds[i][0]]
+            want += [(i, j, r) for r, (_, j) in enumerate(sorted(same if len(same) >= 3 else near)[:4], 1)]
+    for block in (4096, 17):
+        got = J.knn(df.where("id % 10 = 0"), df, key="id", vector="v", k=4, prefer="c", exclude="g", least=3, block=block)
+        assert sorted((r.query, r.neighbor, r["rank"]) for r in got.collect()) == sorted(want)
+    assert J.knn(df.limit(0), df, key="id", vector="v", k=4).count() == 0
 
 
 def test_text_functions(spark):
