@@ -37,9 +37,9 @@ def sparse_cosine(a: Column, b: Column) -> Column:
 def category_shares(tags: Column, categories: Column) -> Column:
     """A map from category to its share of the tags that have one. ``categories`` maps tags, in lower case, to categories."""
     known = F.array_compact(F.transform(tags, lambda t: F.try_element_at(categories, F.lower(t))))
-    names = F.array_distinct(known)
-    share = lambda c: F.size(F.filter(known, lambda x: x == c)) / F.size(known)
-    return F.map_from_arrays(names, F.transform(names, share))
+    share = lambda k: lambda c: F.size(F.filter(k, lambda x: x == c)) / F.size(k)
+    shares = lambda k: F.map_from_arrays(F.array_distinct(k), F.transform(F.array_distinct(k), share(k)))
+    return F.transform(F.array(known), shares)[0]  # looked up once
 
 
 def merged_maps(base: Column, extra: Column) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import tokens
+from ..storage import staged
 
 
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -98,9 +99,9 @@ def contained_names(inputs: DataFrame, text: str, input_key: str, names: DataFra
     at least ``least``.
 
     A name meets the inputs that hold its rarest token (counted over the inputs), never those that share a
-    frequent one; the rest of its tokens is compared there.
+    frequent one; the rest of its tokens is compared there. The texts are split once, into a staged table.
     """
-    a = inputs.select(input_key, F.array_distinct(tokens(F.col(text))).alias("__have"))
+    a = staged(inputs.select(input_key, F.array_distinct(tokens(F.col(text))).alias("__have")), "tokens")
     b = names.select(name_key, F.array_distinct(tokens(F.col(name))).alias("__own")).where(F.size("__own") >= least)
     wanted = b.select(name_key, F.explode("__own").alias("__t"))
     counts = a.select(F.explode("__have").alias("__t")).join(wanted.select("__t").distinct(), "__t").groupBy("__t").agg(F.count(F.lit(1)).alias("__n"))

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import staged
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rn") -> DataFrame:
     """The first ``k`` rows of each key. Spark prunes below the shuffle (WindowGroupLimit)."""
@@ -38,13 +40,14 @@ def running_counts(df: DataFrame, group: list[str], value: str, measures: dict[s
 
     ``value`` is numeric; NULLs are left out. Two levels: distinct values are cut into about equal ranges at
     approximate quantiles (any cut gives the same sums), summed within a range, and a range starts
-    with the sums of those before it. So no task holds a group's distinct values.
+    with the sums of those before it. So no task holds a group's distinct values. The sums by value, and these with their
+    ranges, are staged, as each is read twice.
     """
-    sums = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(*[c.alias(m) for m, c in measures.items()])
+    sums = staged(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(*[c.alias(m) for m, c in measures.items()]), "sums")
     cuts = sums.groupBy(*group).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 500).alias("__cuts"))
     s, c = sums.alias("s"), F.broadcast(cuts.alias("c")) if not group else cuts.alias("c")
     below = F.size(F.filter("__cuts", lambda x: x < F.col(value)))
-    dealt = s.join(c, same_keys("s", "c", group)).select("s.*", below.alias("__range"))
+    dealt = staged(s.join(c, same_keys("s", "c", group)).select("s.*", below.alias("__range")), "ranges")
     ranges = dealt.groupBy(*group, "__range").agg(*[F.sum(m).alias(f"__{m}") for m in measures])
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
     every = Window.partitionBy(*group)

@@ -32,10 +32,11 @@ KINDS = {"hot": "warm", "red": "warm", "cold": "cool", "blue": "cool"}
 
 def items(t):
     k, size, kind = F.col("p_partkey"), F.col("p_size"), F.col("p_type")
+    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     return t("part").select(
         "*", (kind == "SMALL").alias("decaf"), (kind == "PROMO").alias("option"), F.when(k % 7 != 0, size * 4).alias("mg"),
         F.col("p_name").contains("plate").alias("milk"), F.when(k % 5 != 0, (1 + size % 5).cast("double")).alias("a"),
-        F.when(k % 3 != 0, (1 + k % 5).cast("double")).alias("b"),
+        F.when(k % 3 != 0, (1 + k % 5).cast("double")).alias("b"), V.category_shares(F.split("p_name", " "), kinds).alias("shares"),
     )
 
 
@@ -45,11 +46,9 @@ def profiled(t):
     profiles = rows.sparkSession.sql(f"SELECT * FROM VALUES {PROFILES} AS v({COLUMNS})")
     rule, decaf, option, mg, milk = (F.col(c) for c in ("rule", "decaf", "option", "mg", "milk"))
     reason = O.first_reason(O.intake_rules(rule, decaf, option, mg, F.col("remaining"), milk, F.col("milk_ok")))
-    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    shares = V.category_shares(F.split("p_name", " "), kinds)
     weights = F.create_map(F.lit("warm"), F.col("warm").cast("double"), F.lit("cool"), F.col("cool").cast("double"))
     wanted = {"a": F.col("want_a").cast("double"), "b": F.col("want_b").cast("double")}
-    score = O.fit_score({"a": F.col("a"), "b": F.col("b")}, wanted, shares, weights, halved={"a": milk})
+    score = O.fit_score({"a": F.col("a"), "b": F.col("b")}, wanted, F.col("shares"), weights, halved={"a": milk})
     return (
         rows.crossJoin(F.broadcast(profiles)).withColumn("reason", reason).withColumn("swap", O.needs_swap(rule, decaf, option, mg))
         .withColumn("score", F.round(score, 6))
