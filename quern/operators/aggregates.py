@@ -60,16 +60,45 @@ def association_rules(pairs: DataFrame, rows: int | Column, support: int = 5, bo
     return out.where((F.col("n_a") >= support) & (F.col("n_ab") >= both) & (F.col("share") >= share) & (F.col("lift") >= lift))
 
 
-def best_antecedent(rules: DataFrame, given: DataFrame, key: str, tag: str, pos: str, k: int = 3) -> DataFrame:
+def best_antecedent(rules: DataFrame, given: DataFrame, key: str, tag: str, pos: str, k: int = 3, related: DataFrame | None = None) -> DataFrame:
     """For each key, what its tags imply and it lacks: the best antecedent of each consequent (share, then
-    lift, then the earlier tag), the ``k`` best consequents."""
+    lift, then the earlier tag), the ``k`` best consequents.
+
+    ``related`` (a, b) lists tags of one branch, in either order: a consequent that is related to a tag of the key says nothing new
+    and is left out.
+    """
     implied = given.select(key, F.col(tag).alias("a"), pos).join(rules, "a")
     new = implied.join(given.select(key, F.col(tag).alias("b")), [key, "b"], "left_anti")
+    if related is not None:
+        both = related.select("a", "b").unionByName(related.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        near = given.select(key, F.col(tag).alias("a")).join(F.broadcast(both), "a").select(key, "b").distinct()
+        new = new.join(near, [key, "b"], "left_anti")
     best = new.groupBy(key, "b").agg(F.max(F.struct("share", "lift", (-F.col(pos)).alias("p"), "a")).alias("x"))
     order = Window.partitionBy(key).orderBy(F.desc("x.share"), F.desc("x.lift"), "b")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, F.col("b").alias("implied"), F.col("x.a").alias("because"), F.col("x.share").alias("share"), "rank")
 
 
+def fill_grid(df: DataFrame, truth: Column, ways: dict[str, Column]) -> DataFrame:
+    """(candidate, precision, recall, f1, tags_shown, share_tagged) of ways to fill tags, each an array column, in one pass."""
+    listed = F.explode(F.array(*[F.struct(F.lit(n).alias("candidate"), F.array_distinct(c).alias("tags")) for n, c in ways.items()]))
+    rows = df.select(truth.alias("__truth"), listed.alias("x")).select("__truth", "x.*")
+    counted = rows.select("candidate", F.size("tags").alias("n"), *set_counts(F.col("__truth"), F.col("tags")))
+    sums = counted.groupBy("candidate").agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.round(F.avg("n"), 6).alias("tags_shown"), F.round(F.avg((F.col("n") > 0).cast("int")), 6).alias("share_tagged")
+    )
+    return sums.select("candidate", *prf(F.col("tp"), F.col("fp"), F.col("fn")), "tags_shown", "share_tagged")
+
+
+def filled(own: Column, other: Column, most: int) -> Column:
+    """One way's tags, filled up from another's to ``most``; the order stays."""
+    return F.slice(F.array_distinct(F.concat(own, other)), 1, most)
+
+
+def fallen_back(own: Column, other: Column) -> Column:
+    """One way's tags or, where it has none, another's."""
+    return F.when(F.size(own) > 0, own).otherwise(other)
+
+
 def concat_ordered(df: DataFrame, keys: list[str], order: str, text: str, separator: str = "\n") -> DataFrame:
     """Each key's texts in order, joined."""
     parts = F.sort_array(F.collect_list(F.struct(order, text)))

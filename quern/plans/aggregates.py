@@ -176,6 +176,37 @@ def association_rules(t):
     return _rules(t, 0.15, 1.02).select("a", "b", "n_ab", F.round("share", 6).alias("share"), F.round("lift", 6).alias("lift"))
 
 
+@query(f"""WITH {PAIRS_SQL}, r AS (SELECT * FROM rules WHERE n_a >= 5 AND n_ab >= 3 AND share >= 0.12 AND lift >= 1.0), given AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS tag, 0 AS pos FROM part UNION ALL SELECT p_partkey, p_type, 1 FROM part),
+    near AS (SELECT p_partkey, b FROM given JOIN (SELECT * FROM (VALUES ('hot', 'ring'), ('ring', 'hot'), ('PROMO', 'gear'), ('gear', 'PROMO')) v(a, b)) ON a = tag),
+    i AS (SELECT g.p_partkey, r.b, r.a, share, lift, pos FROM given g JOIN r ON r.a = g.tag WHERE NOT EXISTS (SELECT 1 FROM given o WHERE o.p_partkey = g.p_partkey AND o.tag = r.b) AND NOT EXISTS (SELECT 1 FROM near o WHERE o.p_partkey = g.p_partkey AND o.b = r.b)),
+    x AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY p_partkey, b ORDER BY share DESC, lift DESC, pos) = 1)
+    SELECT p_partkey, b AS implied, a AS because, round(share, 6) AS share, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY share DESC, lift DESC, b) AS INT) AS rank FROM x) WHERE rank <= 3""")
+def implied_tags(t):
+    """What an item's given tags imply, the tag that implies it best, and nothing of a branch that is there already."""
+    given = t("part").select("p_partkey", F.posexplode(F.array(F.element_at(F.split("p_name", " "), 1), F.col("p_type"))).alias("pos", "tag"))
+    related = given.sparkSession.createDataFrame([("hot", "ring"), ("gear", "PROMO")], "a string, b string")
+    return A.best_antecedent(_rules(t, 0.12, 1.0), given, "p_partkey", "tag", "pos", 3, related).withColumn("share", F.round("share", 6))
+
+
+_FILL_SQL = """f AS (SELECT string_split(p_name, ' ') AS truth, CASE WHEN p_partkey % 3 <> 0 THEN [split_part(p_name, ' ', 1)] ELSE [] END AS own, [CASE WHEN p_size > 25 THEN split_part(p_name, ' ', 2) ELSE 'rod' END, 'hot', 'gear'] AS vote FROM part),
+    w AS (SELECT truth, 'own' AS candidate, own AS tags FROM f UNION ALL SELECT truth, 'own+vote', CASE WHEN len(own) = 0 OR list_contains(vote, own[1]) THEN (list_concat(own, list_filter(vote, lambda x: NOT list_contains(own, x))))[1:3] ELSE list_concat(own, vote)[1:3] END FROM f
+        UNION ALL SELECT truth, 'own|vote', CASE WHEN len(own) > 0 THEN own ELSE vote END FROM f UNION ALL SELECT truth, 'vote^1', vote[1:1] FROM f UNION ALL SELECT truth, 'vote^2', vote[1:2] FROM f),
+    u AS (SELECT truth, candidate, CASE WHEN tags[1] = tags[2] THEN list_concat([tags[1]], tags[3:]) WHEN tags[1] = tags[3] THEN tags[1:2] WHEN tags[2] = tags[3] THEN tags[1:2] ELSE tags END AS tags FROM w),
+    c AS (SELECT candidate, sum(len(list_intersect(truth, tags))) AS tp, sum(len(tags)) AS g, sum(len(list_distinct(truth))) AS h, avg(len(tags)) AS shown, avg(CAST(len(tags) > 0 AS INT)) AS tagged FROM u GROUP BY 1)"""
+
+
+@query(f"""WITH {_FILL_SQL} SELECT candidate, round(tp / CAST(g AS DOUBLE), 6) AS precision, round(tp / CAST(h AS DOUBLE), 6) AS recall, round(2 * tp / CAST(g + h AS DOUBLE), 6) AS f1, round(shown, 6) AS tags_shown, round(tagged, 6) AS share_tagged FROM c""")
+def tag_fill_grid(t):
+    """Ways to fill missing tags: one source, two, the other only where the first has none, and at most so many of a vote."""
+    word = lambda i: F.element_at(F.split("p_name", " "), i)
+    own = F.when(F.col("p_partkey") % 3 != 0, F.array(word(1))).otherwise(F.array().cast("array<string>"))
+    vote = F.array(F.when(F.col("p_size") > 25, word(2)).otherwise("rod"), F.lit("hot"), F.lit("gear"))
+    rows = t("part").select(F.split("p_name", " ").alias("truth"), own.alias("own"), vote.alias("vote"))
+    a, b = F.col("own"), F.col("vote")
+    ways = {"own": a, "own+vote": A.filled(a, b, 3), "own|vote": A.fallen_back(a, b), "vote^1": F.slice(b, 1, 1), "vote^2": F.slice(b, 1, 2)}
+    return A.fill_grid(rows, F.col("truth"), ways)
+
+
 @query(f"""WITH {PAIRS_SQL}, g AS (SELECT *, s AS min_share, l AS min_lift FROM rules, (VALUES (0.1), (0.15), (0.2)) v(s), (VALUES (1.0), (1.1)) w(l))
     SELECT CAST(min_share AS DOUBLE) AS min_share, CAST(min_lift AS DOUBLE) AS min_lift, CAST(count(*) FILTER (n_a >= 5 AND n_ab >= 3 AND share >= min_share AND lift >= min_lift) AS BIGINT) AS rules FROM g GROUP BY 1, 2""")
 def gate_grid(t):
