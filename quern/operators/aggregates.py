@@ -326,3 +326,16 @@ def fallback_causes(df: DataFrame, fallback: str, counters: str, cards: str, tok
     parts = F.array(F.struct(when.alias("counter"), before.cast("long").alias("v")), F.struct(F.lit("inferred_after_token").alias("counter"), (F.col(fallback) - before).cast("long").alias("v")))
     inferred = rows.where(F.size(own) == 0).select(F.explode(parts).alias("x")).select("x.*").where("v > 0")
     return told.unionByName(inferred).groupBy("counter").agg(F.sum("v").alias("total"))
+
+
+def topped_up(own: Column, extra: Column, least: int) -> Column:
+    """Tags, and as many others as they lack to ``least``; none is dropped or moved."""
+    return F.concat(own, F.slice(F.array_except(extra, own), 1, F.greatest(F.lit(least) - F.size(own), F.lit(0))))
+
+
+def abstention(df: DataFrame, pred: str, truth: str, support: str, rules: list[float]) -> DataFrame:
+    """(rule, coverage, accuracy): answers whose support reaches a rule, of rows with a truth; accuracy is within one."""
+    rows = df.where(F.col(truth).isNotNull()).withColumn("rule", F.explode(F.array(*[F.lit(float(r)) for r in rules])))
+    told = F.col(pred).isNotNull() & (F.col(support) >= F.col("rule"))
+    right = F.when(told, (F.abs(F.col(pred) - F.col(truth)) <= 1).cast("int"))
+    return rows.groupBy("rule").agg(F.round(F.avg(told.cast("int")), 6).alias("coverage"), F.round(F.avg(right), 6).alias("accuracy"))

@@ -242,3 +242,15 @@ def struct_or_else(flag: Column, main: Column, other: Column) -> Column:
 
 def ordered_window(keys: list[str], order: list[Column]) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
+
+
+def match_points(values: dict[str, Column], wanted: dict[str, Column | float], near: dict[str, float]) -> tuple[Column, Column]:
+    """(matches, misses): the names of what lies within reach of what is wanted, and of what doesn't; unknown values are neither."""
+    told = F.array(*[F.struct(F.lit(n).alias("n"), (F.abs(v - wanted[n]) <= near[n]).alias("ok")) for n, v in values.items()])
+    names = lambda test: F.transform(F.filter(told, test), lambda x: x["n"])
+    return names(lambda x: x["ok"]), names(lambda x: ~x["ok"])
+
+
+def edited_weights(weights: Column, chosen: Column, least: float = 0.5) -> Column:
+    """A preference map after an edit: chosen keys (an array) weigh at least ``least``, others lose positive weights and keep negative ones."""
+    return F.transform_values(weights, lambda k, v: F.when(F.array_contains(chosen, k), F.greatest(v, F.lit(least))).when(v > 0, 0.0).otherwise(v))

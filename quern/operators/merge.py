@@ -192,3 +192,11 @@ def current_version(spark: SparkSession, root: str) -> DataFrame:
     """The version that the pointer names."""
     version = spark.read.schema("version string").json(f"{root.rstrip('/')}/current").first()["version"]
     return spark.read.parquet(f"{root.rstrip('/')}/versions/{version}")
+
+
+def label_policy(source: Column, own: Column, policies: dict[str, Column | None]) -> Column:
+    """A label by its source: replaced by the policy's value, withdrawn where that is None, left for sources without a policy."""
+    out = F
+    for name, value in policies.items():
+        out = out.when(source == name, F.lit(None) if value is None else value)
+    return out.otherwise(own)

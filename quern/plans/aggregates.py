@@ -220,15 +220,13 @@ def gate_grid(t):
 
 @query("SELECT p_partkey, array_to_string((CASE WHEN list_contains(string_split(p_name, ' '), p_type) THEN string_split(p_name, ' ') ELSE list_concat(string_split(p_name, ' '), [p_type]) END)[1:2], ',') AS tags FROM part")
 def ordered_tag_union(t):
-    return t("part").select("p_partkey", F.array_join(F.slice(F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_type"))), 1, 2), ",").alias("tags"))
+    return t("part").select("p_partkey", F.array_join(A.filled(F.split("p_name", " "), F.array("p_type"), 2), ",").alias("tags"))
 
 
 @query("""SELECT p_partkey, array_to_string(CASE WHEN len(own) >= 3 THEN own ELSE list_concat(own, list_filter(['red', p_type, 'extra'], lambda x: NOT list_contains(own, x))[1:greatest(3 - len(own), 0)]) END, ',') AS tags
     FROM (SELECT p_partkey, p_type, string_split(p_name, ' ') AS own FROM part)""")
 def tag_topup(t):
-    own = F.split("p_name", " ")
-    extra = F.array_except(F.array(F.lit("red"), F.col("p_type"), F.lit("extra")), own)
-    tags = F.concat(own, F.slice(extra, 1, F.greatest(3 - F.size(own), F.lit(0))))
+    tags = A.topped_up(F.split("p_name", " "), F.array(F.lit("red"), F.col("p_type"), F.lit("extra")), 3)
     return t("part").select("p_partkey", F.array_join(tags, ",").alias("tags"))
 
 
@@ -394,11 +392,8 @@ def f1_threshold_sweep(t):
     FROM x, (VALUES (0), (1), (2), (3)) r(rule) GROUP BY rule""")
 def abstention_sweep(t):
     """Coverage and accuracy when answers with little support are withheld."""
-    rows = _pred(t).where("truth IS NOT NULL").withColumn("support", F.least(F.col("p_size") / 10.0, F.lit(4.0)))
-    rows = rows.withColumn("rule", F.explode(F.array(*[F.lit(float(r)) for r in range(4)])))
-    told = F.col("pred").isNotNull() & (F.col("support") >= F.col("rule"))
-    right = F.when(told, (F.abs(F.col("pred") - F.col("truth")) <= 1).cast("int"))
-    return rows.groupBy("rule").agg(F.round(F.avg(told.cast("int")), 6).alias("coverage"), F.round(F.avg(right), 6).alias("accuracy"))
+    rows = _pred(t).withColumn("support", F.least(F.col("p_size") / 10.0, F.lit(4.0)))
+    return A.abstention(rows, "pred", "truth", "support", [0, 1, 2, 3])
 
 
 @query(f"""WITH {PRED_SQL}, x AS (SELECT * FROM p WHERE pred IS NOT NULL AND truth IS NOT NULL), r AS (SELECT p_brand, pred, truth,

@@ -266,12 +266,9 @@ def dict_replace(t):
 @query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN abs(p_size / 10.0 - 2) <= 0.5 THEN 'size' END, CASE WHEN abs(p_retailprice / 200 - 4.7) <= 0.1 THEN 'price' END], lambda x: x IS NOT NULL), ',') AS matches,
     array_to_string(list_filter([CASE WHEN abs(p_size / 10.0 - 2) > 0.5 THEN 'size' END, CASE WHEN abs(p_retailprice / 200 - 4.7) > 0.1 THEN 'price' END], lambda x: x IS NOT NULL), ',') AS misses FROM part""")
 def match_points(t):
-    near = F.array(
-        F.struct(F.lit("size").alias("n"), (F.abs(F.col("p_size") / 10.0 - 2) <= 0.5).alias("ok")),
-        F.struct(F.lit("price").alias("n"), (F.abs(F.col("p_retailprice") / 200 - 4.7) <= 0.1).alias("ok")),
-    )
-    names = lambda xs: F.array_join(F.transform(xs, lambda x: x["n"]), ",")
-    return t("part").select("p_partkey", names(F.filter(near, lambda x: x["ok"])).alias("matches"), names(F.filter(near, lambda x: ~x["ok"])).alias("misses"))
+    values = {"size": F.col("p_size") / 10.0, "price": F.col("p_retailprice") / 200}
+    matches, misses = O.match_points(values, {"size": 2, "price": 4.7}, {"size": 0.5, "price": 0.1})
+    return t("part").select("p_partkey", F.array_join(matches, ",").alias("matches"), F.array_join(misses, ",").alias("misses"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN greatest(w, 0.5) WHEN w > 0 THEN 0.0 ELSE w END AS building,
@@ -281,9 +278,7 @@ def weights_edit(t):
     """Chosen categories weigh at least 0.5, others lose positive weights and keep negative ones."""
     w = ((F.col("c_custkey") % 9) - 4).cast("double") / 4
     weights = F.create_map(F.lit("BUILDING"), w, F.lit("MACHINERY"), -w)
-    edited = F.transform_values(
-        weights, lambda k, v: F.when(k == F.col("c_mktsegment"), F.greatest(v, F.lit(0.5))).when(v > 0, 0.0).otherwise(v)
-    )
+    edited = O.edited_weights(weights, F.array("c_mktsegment"))
     return t("customer").select("c_custkey", edited["BUILDING"].alias("building"), edited["MACHINERY"].alias("machinery"))
 
 

@@ -242,7 +242,6 @@ def default_rows(t):
 def label_policy(t):
     """Labels overwritten, withdrawn or left, by source."""
     kind = F.col("p_type")
-    return t("part").select(
-        "p_partkey", F.when(kind == "PROMO", F.col("p_size") + 100).when(kind == "LARGE", F.lit(None)).otherwise(F.col("p_size")).alias("body"),
-        F.when(kind == "PROMO", "relabelled").when(kind == "LARGE", F.lit(None).cast("string")).otherwise("own").alias("label"),
-    )
+    body = M.label_policy(kind, F.col("p_size"), {"PROMO": F.col("p_size") + 100, "LARGE": None})
+    label = M.label_policy(kind, F.lit("own"), {"PROMO": F.lit("relabelled"), "LARGE": None})
+    return t("part").select("p_partkey", body.alias("body"), label.alias("label"))
