@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bfd_packing, decontaminate, langid, licenses, pii, quality, sharding, simhash, vector_packing, warc
+from . import bfd_packing, centroids, decontaminate, langid, licenses, minhash, pii, quality, runs, sharding, simhash, vector_packing, warc
 from .common import scratch
 
 
@@ -96,6 +97,31 @@ def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, F.col("doc_id"), held_out.alias("held_out"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def cycled_words(text: str | None, doc_id: int | None) -> list[bytes]:
+    """The text's words, in every tenth document repeated from one of them on with a period of an id's own."""
+    words = runs.words_of(text)
+    h, n = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1, len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs in documents of which every tenth is made periodic by its id; without an id none is."""
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), words=cycled_words)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,10 +133,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_arc_to_warc, op2_bfd_packing, op3_weak_supervision_pii, op4_license_patience, op5_distribution_quality,
         op6_balanced_label_propagation, op7_positional_index, op8_vector_packing, op9_simhash_ball,
-        op10_string_kernel_language, conversation_packing, pipeline,
+        op10_string_kernel_language, op11_centroid_clusters, op12_circulant_minhash, op13_periodic_runs, conversation_packing,
+        pipeline,
     )
 }
 
+
+
+def _clusters_sql() -> str:
+    """The three rounds and the last assignment, written out."""
+    steps = []
+    for i in range(4):
+        steps.append(f"""near{i} AS MATERIALIZED (
+            SELECT r, arg_min(c, [d, c]) AS c, min(d) AS d FROM (
+                SELECT r, c, list_sum(list_transform(range(1, 65), lambda j: (x[j] - y[j]) * (x[j] - y[j]))) AS d FROM kept, cents{i}
+            ) GROUP BY r
+        )""")
+        if i < 3:
+            steps.append(f"""cents{i + 1} AS MATERIALIZED (
+                SELECT c, coalesce(z, y) AS y FROM cents{i} LEFT JOIN (
+                    SELECT c, list(m ORDER BY j) AS z FROM (
+                        SELECT c, j, CAST(floor(sum(v) / count(*)) AS BIGINT) AS m
+                        FROM (SELECT c, unnest(x) AS v, unnest(range(64)) AS j FROM near{i} JOIN kept USING (r)) GROUP BY c, j
+                    ) GROUP BY c
+                ) USING (c)
+            )""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(CAST(e AS DOUBLE)))) = 64
+        ), cents0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), x) - 1 AS c, x AS y FROM kept
+            ORDER BY c LIMIT 16
+        ), {", ".join(steps)}, sums AS (
+            SELECT c, sum(d) AS s FROM near3 GROUP BY c
+        )
+        SELECT vec_id, CAST(near3.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(s AS BIGINT) AS cluster_inertia,
+               CAST((SELECT sum(s) FROM sums) AS BIGINT) AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+        FROM near3 JOIN kept USING (r) JOIN cents3 ON cents3.c = near3.c JOIN sums ON sums.c = near3.c
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_arc_to_warc": """
         WITH p AS (
@@ -179,4 +243,34 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
         FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
+    "op11_centroid_clusters": _clusters_sql(),
+    "op12_circulant_minhash": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS g
+            FROM d
+        ), sets AS MATERIALIZED (
+            SELECT min(r) AS k, g FROM s WHERE len(g) > 0 GROUP BY g
+        ), members AS MATERIALIZED (
+            SELECT r, s.doc_id, len(s.g) AS n, k FROM s LEFT JOIN sets ON sets.g = s.g
+        ), tokens AS MATERIALIZED (
+            SELECT k, len(g) AS n, unnest(g) AS t FROM sets
+        ), pairs AS MATERIALIZED (
+            SELECT a.k AS u, b.k AS v FROM tokens a JOIN tokens b ON a.t = b.t AND a.k <> b.k
+            GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT k AS u, k AS v FROM sets
+            UNION
+            SELECT reach.u, pairs.v FROM reach JOIN pairs ON reach.v = pairs.u
+        ), least AS (
+            SELECT u, min(doc_id) AS c FROM reach JOIN members ON members.k = reach.v GROUP BY u
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN k IS NULL THEN doc_id ELSE c END AS component_id,
+               doc_id IS NOT DISTINCT FROM CASE WHEN k IS NULL THEN doc_id ELSE c END AS kept
+        FROM members LEFT JOIN least ON least.u = members.k
+    """,
 }
