@@ -19,7 +19,8 @@ LARGEST = 1 << 27
 
 
 def whole_vectors(vectors: DataFrame, dims: int = 64, scale: int = 64) -> DataFrame:
-    """vec_id, x (``dims`` longs, floor(scale * component)) and xx (its squared length) of the usable rows.
+    """vec_id, x (``dims`` longs, floor(scale * component)), most (its largest size) and xx (its squared length,
+    NULL beyond ``LARGEST``) of the usable rows.
 
     Usable vectors have exactly ``dims`` components, none NULL, NaN or infinite.
     """
@@ -28,7 +29,8 @@ def whole_vectors(vectors: DataFrame, dims: int = 64, scale: int = 64) -> DataFr
     kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     x = F.transform(v, lambda c: F.floor(c * F.lit(float(scale))))
     kept = kept.where(F.coalesce((F.size(v) == dims) & finite, F.lit(False))).select("vec_id", x.alias("x"))
-    return kept.withColumn("xx", F.aggregate("x", F.lit(0).cast("long"), lambda a, c: a + c * c))
+    kept = kept.withColumn("most", F.array_max(F.transform("x", lambda c: F.greatest(c, -1 - c))))
+    return kept.withColumn("xx", F.when(F.col("most") <= LARGEST, F.aggregate("x", F.lit(0).cast("long"), lambda a, c: a + c * c)))
 
 
 def _nearest(centroids: list[list[int]]) -> Column:
@@ -70,8 +72,7 @@ def centroid_clusters(
     beyond ``LARGEST`` in size is a ValueError, and a sum beyond a long is Spark's own error.
     """
     rows = staged(whole_vectors(vectors, dims, scale), "vectors")
-    most = rows.agg(F.max(F.array_max(F.transform("x", lambda c: F.greatest(c, -1 - c))))).first()[0]
-    if (most or 0) > LARGEST:
+    if (rows.agg(F.max("most")).first()[0] or 0) > LARGEST:
         raise ValueError(f"components must be at most {LARGEST // scale} in size")
     centroids = initial_centroids(rows, k, seed)
     if not centroids:

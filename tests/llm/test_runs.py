@@ -79,7 +79,7 @@ def cycled(doc_id, text):
 def test_query_equals_brute_force(spark, sf):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet' WHERE len(text) < 4000").fetchall()
     got = {r.doc_id: tuple(r) for r in queries.op13_periodic_runs(spark, sf).collect()}
-    assert len(got) == duckdb.sql(f"SELECT count(*) FROM '{sf}/documents.parquet'").fetchone()[0]
+    assert len(got) == duckdb.sql(f"SELECT count(*) FROM '{sf}/documents.parquet'").fetchall()[0][0]
     assert len(docs) > 150
     for doc_id, text in docs:
         assert got[doc_id] == expected(doc_id, [w.decode() for w in cycled(doc_id, text)])
