@@ -28,11 +28,16 @@ def keyword_class(text: Column, ladder: list[tuple[str, list[str]]], default: st
     return out.otherwise(F.lit(default))
 
 
-def leftmost_entry(text: Column, entries: dict[str, str]) -> Column:
-    """The value of the dictionary word that occurs first; of words at one place, the first listed."""
-    any_word = "(" + "|".join(re.escape(k) for k in entries) + ")"
-    found = F.nullif(F.regexp_extract(F.lower(text), any_word, 1), F.lit(""))
-    pairs = [F.lit(x) for kv in entries.items() for x in kv]
+def leftmost_entry(text: Column, entries: dict[str, str], parts: dict[str, str] | None = None) -> Column:
+    """The value of the dictionary word that occurs first; of words at one place, the first listed.
+
+    Words of ``entries`` have no Latin letter beside them; those of ``parts``, in scripts that write words on to each
+    other, may stand anywhere. The text's case is ignored, keys are lower case.
+    """
+    spelled = lambda words: "|".join(re.escape(k) for k in words)
+    pattern = f"(?<![a-z])(?:{spelled(entries)})(?![a-z])" + (f"|{spelled(parts)}" if parts else "")
+    found = F.nullif(F.regexp_extract(F.lower(text), f"({pattern})", 1), F.lit(""))
+    pairs = [F.lit(x) for kv in {**(parts or {}), **entries}.items() for x in kv]
     return F.create_map(*pairs)[found]
 
 

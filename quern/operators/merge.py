@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def changed(columns: list[str], old: str = "o", new: str = "n") -> Column:
@@ -52,8 +52,10 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], va
 
 
 def row_hash(columns: list[str]) -> Column:
-    """MD5 of the columns by name, in which NULL differs from every value."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit(f"{c}="), F.col(c).cast("string")), F.lit(f"{c}~")) for c in sorted(columns)]))
+    """SHA-256 of the columns in the order of their names; each value is written with its length, NULL without one, so that
+    no two different rows are written alike."""
+    written = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~")) for c in sorted(columns)]
+    return F.sha2(F.concat(*written), 256)
 
 
 def sync_plan(source: DataFrame, target: DataFrame, key: str, columns: list[str], active: str) -> DataFrame:
@@ -169,31 +171,6 @@ def metric_gates(metrics: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return metrics.select("name", F.coalesce(F.when(F.col("kind") == "violations", none).otherwise(near), F.lit(False)).alias("ok"))
 
 
-def publish(df: DataFrame, root: str, version: str, checks: dict[str, Column]) -> str:
-    """Write a new version beside the old ones, check what was written, and point to it only if it holds.
-
-    The version's rows go to root/versions/<version> and are read back: none, or one that fails a check, is an error,
-    and the pointer stays where it was. The pointer is a table of its own (root/current), replaced in
-    one commit, so readers see the old version or the new one, never half of one.
-    """
-    spark, path = df.sparkSession, f"{root.rstrip('/')}/versions/{version}"
-    df.write.mode("errorifexists").parquet(path)
-    written = spark.read.parquet(path)
-    failed = written.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()]).first()
-    bad = {k: failed[k] for k in checks if failed[k]}
-    if not failed["n"] or bad:
-        raise ValueError(f"not published: {failed['n']} rows, failed checks {bad}")
-    pointer = spark.createDataFrame([(version,)], "version string").coalesce(1)
-    pointer.write.mode("overwrite").json(f"{root.rstrip('/')}/current")
-    return path
-
-
-def current_version(spark: SparkSession, root: str) -> DataFrame:
-    """The version that the pointer names."""
-    version = spark.read.schema("version string").json(f"{root.rstrip('/')}/current").first()["version"]
-    return spark.read.parquet(f"{root.rstrip('/')}/versions/{version}")
-
-
 def label_policy(source: Column, own: Column, policies: dict[str, Column | None]) -> Column:
     """A label by its source: replaced by the policy's value, withdrawn where that is None, left for sources without a policy."""
     out = F

@@ -187,7 +187,7 @@ def precedence_coalesce(t):
 
 
 @query("""SELECT doc_id, map_extract_value(MAP {'avec': 'fr', 'nicht': 'de', 'para': 'es', 'with': 'en', 'the': 'en'},
-        nullif(regexp_extract(lower(text), '(avec|nicht|para|with|the)', 1), '')) AS entry FROM documents""")
+        nullif(regexp_extract(lower(text), '(?:^|[^a-z])(avec|nicht|para|with|the)(?:$|[^a-z])', 1), '')) AS entry FROM documents""")
 def leftmost_dictionary(t):
     words = {"avec": "fr", "nicht": "de", "para": "es", "with": "en", "the": "en"}
     return t("documents").select("doc_id", T.leftmost_entry(F.col("text"), words).alias("entry"))

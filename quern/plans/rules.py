@@ -1,5 +1,7 @@
 """Queries: normalisation rules and filters over short texts that are composed from the parts' columns."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import rules as N, text as T, vectors as V
@@ -9,16 +11,29 @@ from .base import Registry
 registry = Registry()
 query = registry.add
 
-#: What a feed says about an item; a part's key picks one.
+#: Statements that are planted in the documents' texts, before or after what they hold.
 PHRASES = [
     "Decaf, Swiss Water process, washed, medium roast", "decaffeinated by sugar cane", "sugar cane sweetness, honey process, light body",
     "Dark chocolate and cherry, Medium-Dark Roast", "natural process, light citrus | roast: light roast", "Mountain  Water decaf. Fully washed.",
     "French press classic; full body", "anaerobic natural, 1,950-2,050 masl", "giling basah (wet-hulled), italian roast",
     "디카페인 워시드 중배전", "semi washed, grown at 1600 m", "Blonde roast with light honey. Wet process.", "supercritical CO2 decaf, dry", "plain",
+    "a 500 m run", "해발 1900미터", "1600~2000 masl, 900 m", "12,500 m away", "다크 초콜릿, 라이트 로스트",
 ]
 
 
-def _picked(options: list[str], n=13):
+def _planted(t, options: list[str]):
+    """(doc_id, t): whole documents with one of the statements before or after the text."""
+    said = F.element_at(F.array(*[F.lit(x) for x in options]), (1 + F.col("doc_id") % len(options)).cast("int"))
+    text, after = F.coalesce("text", F.lit("")), F.col("doc_id") % 2 == 0
+    return t("documents").select("doc_id", F.when(after, F.concat(text, F.lit("\n"), said)).otherwise(F.concat(said, F.lit("\n"), text)).alias("t"))
+
+
+def _planted_sql(options: list[str]) -> str:
+    said, text = f"[{_quoted(options)}][1 + doc_id % {len(options)}]", "coalesce(text, '')"
+    return f"x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {text} || chr(10) || {said} ELSE {said} || chr(10) || {text} END AS t FROM documents)"
+
+
+def _picked(options: list[str]):
     return F.element_at(F.array(*[F.lit(x) for x in options]), (1 + F.col("p_partkey") % len(options)).cast("int"))
 
 
@@ -35,73 +50,86 @@ def _ladder_sql(text: str, steps: list[tuple[str, str]], default: str = "NULL")
     return f"CASE {whens} ELSE {default} END"
 
 
-PHRASE_SQL = _picked_sql(PHRASES, "t")
+PHRASE_SQL = _planted_sql(PHRASES)
 _WORD_SQL = "regexp_matches(t, '(^|[^a-z])(decaf|decaffeinat)|디카페인', 'i')"
 _DECAF_SQL = "CASE " + " ".join(
     f"WHEN regexp_matches(t, '{p}', 'i') AND ({alone} OR {_WORD_SQL}) THEN '{n}'" for n, p, alone in N.DECAF_PROCESSES
 ) + f" WHEN {_WORD_SQL} THEN 'unknown' END"
 
 
-@query(f"WITH {PHRASE_SQL} SELECT p_partkey, ({_DECAF_SQL}) IS NOT NULL AS decaf, {_DECAF_SQL} AS process FROM x")
+@query(f"WITH {PHRASE_SQL} SELECT doc_id, ({_DECAF_SQL}) IS NOT NULL AS decaf, {_DECAF_SQL} AS process FROM x")
 def decaf_process(t):
-    flag, process = N.decaf(_picked(PHRASES))
-    return t("part").select("p_partkey", flag.alias("decaf"), process.alias("process"))
+    flag, process = N.decaf(F.col("t"))
+    return _planted(t, PHRASES).select("doc_id", flag.alias("decaf"), process.alias("process"))
 
 
-@query(f"WITH {PHRASE_SQL} SELECT p_partkey, {_ladder_sql('t', [(n, p) for n, p, _ in N.DECAF_PROCESSES] + [('swiss-water', 'water *process')])} AS method FROM x")
+@query(f"WITH {PHRASE_SQL} SELECT doc_id, {_ladder_sql('t', [(n, p) for n, p, _ in N.DECAF_PROCESSES] + [('swiss-water', 'water *process')])} AS method FROM x")
 def decaf_method(t):
-    return t("part").select("p_partkey", N.decaf_method(_picked(PHRASES)).alias("method"))
+    return _planted(t, PHRASES).select("doc_id", N.decaf_method(F.col("t")).alias("method"))
 
 
-@query(f"WITH {PHRASE_SQL} SELECT p_partkey, {_ladder_sql('t', N.LABEL_PROCESSES)} AS labelled, {_ladder_sql('t', N.PROSE_PROCESSES)} AS told FROM x")
+@query(f"WITH {PHRASE_SQL} SELECT doc_id, {_ladder_sql('t', N.LABEL_PROCESSES)} AS labelled, {_ladder_sql('t', N.PROSE_PROCESSES)} AS told FROM x")
 def process_names(t):
     """A process as a label names it, and as prose does."""
-    text = _picked(PHRASES)
-    return t("part").select("p_partkey", N.ladder(text, N.LABEL_PROCESSES).alias("labelled"), N.ladder(text, N.PROSE_PROCESSES).alias("told"))
-
-
-def _mask_sql(text: str) -> str:
-    for before, after in N.NOT_ROASTS:
-        text = rf"regexp_replace({text}, '\b({before})[\s-]+({after})\b', ' ', 'gi')"
-    for before, after in N.NOT_ROASTS_KO:
-        text = rf"regexp_replace({text}, '({before})\s*({after})', ' ', 'g')"
-    return text
-
-
-_PHRASE_SQL = rf"array_to_string(regexp_extract_all({{}}, '((?:[^\s,|;/:]+[\s-]+){{{{0,2}}}}[^\s,|;/:]*(?:{N.ROAST_WORDS}))', 1, 'i'), ' ; ')"
+    text = F.col("t")
+    return _planted(t, PHRASES).select("doc_id", N.ladder(text, N.LABEL_PROCESSES).alias("labelled"), N.ladder(text, N.PROSE_PROCESSES).alias("told"))
 
 
 def _roast_sql(text: str) -> str:
-    masked = _mask_sql(text)
-    return f"coalesce({_ladder_sql(_PHRASE_SQL.format(masked), N.ROASTS)}, {_ladder_sql(masked, N.ROASTS)})"
+    masked = f"regexp_replace({text}, '{N.NOT_A_ROAST}', ' ', 'gi')"
+    phrases = f"array_to_string(regexp_extract_all({masked}, '({N.ROAST_PHRASE})', 1, 'i'), ' ; ')"
+    return f"coalesce({_ladder_sql(phrases, N.ROASTS)}, {_ladder_sql(masked, N.ROASTS)})"
 
 
 _SENTENCES = r"array_to_string(list_filter(regexp_split_to_array(t, '[\n.!?]+'), lambda s: regexp_matches(s, '{}', 'i')), ' ')".format(N.ROAST_WORDS)
 
 
-@query(f"WITH {PHRASE_SQL}, y AS (SELECT *, {_SENTENCES} AS about FROM x) SELECT p_partkey, {_roast_sql('t')} AS roast, {_roast_sql('about')} AS in_prose FROM y")
+@query(f"WITH {PHRASE_SQL}, y AS (SELECT *, {_SENTENCES} AS about FROM x) SELECT doc_id, {_roast_sql('t')} AS roast, {_roast_sql('about')} AS in_prose FROM y")
 def roast_levels(t):
     """A roast level, flavours that share a roast word masked; and that of sentences about roasting alone."""
-    text = _picked(PHRASES)
-    return t("part").select("p_partkey", N.roast(text).alias("roast"), N.roast_in_prose(text).alias("in_prose"))
+    text = F.col("t")
+    return _planted(t, PHRASES).select("doc_id", N.roast(text).alias("roast"), N.roast_in_prose(text).alias("in_prose"))
 
 
-@query(rf"""WITH {PHRASE_SQL}, y AS (SELECT p_partkey, regexp_extract(t, '([0-9],[0-9]{{3}}|[0-9]{{3,4}})\s*(?:-\s*([0-9],[0-9]{{3}}|[0-9]{{3,4}}))?\s*(masl|m)\b', ['a', 'b', 'u']) AS m FROM x),
-    n AS (SELECT p_partkey, TRY_CAST(replace(nullif(m.a, ''), ',', '') AS DOUBLE) AS a, TRY_CAST(replace(nullif(m.b, ''), ',', '') AS DOUBLE) AS b FROM y)
-    SELECT p_partkey, CASE WHEN round_even((a + coalesce(b, a)) / 2, 0) BETWEEN 200 AND 3000 THEN CAST(round_even((a + coalesce(b, a)) / 2, 0) AS INT) END AS metres FROM n""")
+@query(f"""WITH {PHRASE_SQL}, y AS (SELECT doc_id, regexp_extract(t, '{N.ALTITUDE}', ['a', 'b'], 'i') AS m FROM x),
+    n AS (SELECT doc_id, TRY_CAST(replace(nullif(m.a, ''), ',', '') AS DOUBLE) AS a, TRY_CAST(replace(nullif(m.b, ''), ',', '') AS DOUBLE) AS b FROM y)
+    SELECT doc_id, CASE WHEN round_even((a + coalesce(b, a)) / 2, 0) BETWEEN 200 AND 3000 THEN CAST(round_even((a + coalesce(b, a)) / 2, 0) AS INT) END AS metres FROM n""")
 def altitude_in_prose(t):
-    return t("part").select("p_partkey", N.altitude_in_prose(_picked(PHRASES)).alias("metres"))
+    return _planted(t, PHRASES).select("doc_id", N.altitude_in_prose(F.col("t")).alias("metres"))
+
+
+ORIGINS = [
+    "Nyeri growing region, south-central Kenya", "United States (Hawaii)", "Tanzania, United Republic Of", "Sumatra, Indonesia", "에티오피아 예가체프",
+    "Cote d?Ivoire", "romania and the javanese", "인도네시아산 원두", "인도 몬순", "somewhere", "Kenya; Colombia", "산지 콜롬비아, Brazil",
+]
+_COUNTRY_NAMES = {c.lower(): c for c in N.COUNTRIES} | N.COUNTRY_ALIASES
+_COUNTRY_SQL = "[" + ", ".join("ROW('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in (_COUNTRY_NAMES | N.COUNTRIES_KO).items()) + "]"
+_LATIN_SQL = "|".join(re.escape(k).replace("'", "''") for k in _COUNTRY_NAMES)
+
+
+@query(rf"""WITH {_planted_sql(ORIGINS)}, names AS (SELECT MAP_FROM_ENTRIES({_COUNTRY_SQL}) AS m),
+    f AS (SELECT doc_id, regexp_extract(lower(t), '(?:^|[^a-z])({_LATIN_SQL})(?:$|[^a-z])|({"|".join(N.COUNTRIES_KO)})', ['latin', 'ko']) AS k FROM x)
+    SELECT doc_id, map_extract_value(m, coalesce(nullif(k.latin, ''), k.ko)) AS country FROM f, names""")
+def countries(t):
+    """The country that a text names first: Latin names as whole words, Korean ones anywhere."""
+    return _planted(t, ORIGINS).select("doc_id", N.country(F.col("t")).alias("country"))
 
 
 NAMES = ["커피_카페 라떼(HOT)", "비닐라 라떼 아이스(ICE)", "아메리카노 (Tall)", "카페 라떼 (K(코끼리))", "화이트 (Mini Venti)", "Mocha(ICED) (R)", "plain  latte ", "핫(HOT) 아포카토 (L)"]
-_TEMP = r"핫\s*\(HOT\)|\(HOT\)|아이스\s*\(ICED?\)|\(ICED?\)"
+_TEMP = N.TEMPERATURE
+
+
+def _mended_sql(text: str) -> str:
+    for slip, word in N.NAME_SLIPS.items():
+        text = f"replace({text}, '{slip}', '{word}')"
+    return text
 
 
 @query(rf"""WITH {_picked_sql(NAMES, 'raw')}, a AS (SELECT p_partkey, regexp_replace(trim(raw), '^커피_', '') AS n FROM x),
     b AS (SELECT *, regexp_replace(n, '{_TEMP}', ' ', 'gi') AS bare, upper(regexp_extract(n, '({_TEMP})', 1, 'i')) AS mark FROM a),
     c AS (SELECT *, regexp_extract_all(bare, '\(([A-Za-z]{{1,10}})\)', 1)[-1] AS size FROM b),
     d AS (SELECT *, CASE WHEN size IS NOT NULL THEN regexp_replace(trim(bare), '\(' || size || '\)\s*$', '') ELSE bare END AS cut FROM c),
-    e AS (SELECT *, replace(replace(replace(trim(regexp_replace(cut, '\s{{2,}}', ' ', 'g')), '에소프레소', '에스프레소'), '비닐라', '바닐라'), '아포카토', '아포가토') AS name FROM d)
+    e AS (SELECT *, {_mended_sql("trim(regexp_replace(cut, '\\s{2,}', ' ', 'g'))")} AS name FROM d)
     SELECT p_partkey, name, CASE WHEN mark LIKE '%HOT%' THEN 'HOT' WHEN mark <> '' THEN 'ICED' END AS temperature, size,
         trim(regexp_replace(trim(regexp_replace(name, '\s*\([A-Za-z]{{1,3}}\([^()]+\)\)\s*$', '')), '\s*\((?:{N.SIZE_WORDS})(?:\s+(?:{N.SIZE_WORDS}))*\)\s*$', '', 'i')) AS plain FROM e""")
 def drink_names(t):
@@ -230,16 +258,26 @@ def note_lists(t):
     return t("part").select("p_partkey", F.array_join(N.note_list(text), "|").alias("notes"), N.leading_script(text).alias("lead"))
 
 
-CARDS = ["Altitude: 1800 m\nVariety: Bourbon\nTasting Notes: Apple Pie, Hibiscus and Lemon", "origin: Kenya\nprocess: washed\nregion: Nyeri", "Expect notes of Yellow Plum, Almond. More.", "Roast level: dark\nelevation: 1,200", "no facts here"]
+CARDS = [
+    "Altitude: 1800 m\nVariety: Bourbon\nTasting Notes: Apple Pie, Hibiscus and Lemon", "origin: Kenya\nprocess: washed\nregion: Nyeri",
+    "Expect notes of Yellow Plum, Almond. More.", "Roast level: dark\nelevation: 1,200\nAltitude: 900", "no facts here",
+    "Processing method\n  Natural\nCountry Peru\norigin: Java", "Varietal\n: Gesha\nOriginally from Kenya",
+]
+_FACTS_SQL = N.FACT_LINE.replace("(?imd)", "(?im)").format(words="|".join(sorted(N.FACT_LABELS, key=lambda w: (-len(w), w))))
+_NOTES_SQL = r"(?is)(?:(?:tasting|cupping|flavou?r|cup)\s+notes?\s*:?\s*|notes\s+of\s+)([^\n.]{3,120})"
 
 
-@query("""WITH c AS (SELECT p_partkey, 1 + p_partkey % 5 AS i FROM part) SELECT p_partkey,
-    ['altitude=1800 m;variety=Bourbon', 'country=Nyeri;process=washed', '', 'altitude=1,200;roast=dark', ''][i] AS facts, ['Apple Pie|Hibiscus|Lemon', '', 'Yellow Plum|Almond', '', ''][i] AS notes FROM c""")
+@query(rf"""WITH {_planted_sql(CARDS)}, l AS (SELECT doc_id, t, regexp_extract_all(t, '{_FACTS_SQL}', 1) AS k, regexp_extract_all(t, '{_FACTS_SQL}', 2) AS v FROM x),
+    e AS (SELECT doc_id, unnest(list_transform(k, lambda w: map_extract_value(MAP {N.FACT_LABELS}, lower(w)))) AS k, unnest(v) AS v, unnest(range(len(k))) AS i FROM l),
+    f AS (SELECT doc_id, string_agg(f, ';' ORDER BY f) AS facts FROM (SELECT doc_id, k || '=' || trim(arg_min(v, i)) AS f FROM e GROUP BY doc_id, k) GROUP BY 1),
+    n AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(replace(replace(regexp_extract(t, '{_NOTES_SQL}', 1), '|', ', '), ' and ', ', '), '&', ', '), '[,;/]'), lambda w: trim(w, ' .;:-')),
+        lambda w: w <> '' AND length(w) <= 30)[1:8] AS w FROM x)
+    SELECT doc_id, coalesce(facts, '') AS facts, array_to_string(w, '|') AS notes FROM n LEFT JOIN f USING (doc_id)""")
 def labelled_lines(t):
-    """Facts on labelled lines, and note words. The SQL states what each of the five cards holds."""
-    text = _picked(CARDS)
+    """Facts on labelled lines, of repeated ones the first, and note words."""
+    text = F.col("t")
     facts = F.array_sort(F.transform(F.map_entries(N.labelled_facts(text)), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return t("part").select("p_partkey", F.array_join(facts, ";").alias("facts"), F.array_join(N.note_words(text), "|").alias("notes"))
+    return _planted(t, CARDS).select("doc_id", F.array_join(facts, ";").alias("facts"), F.array_join(N.note_words(text), "|").alias("notes"))
 
 
 @query("""SELECT p_partkey, round_even(least(5.0, greatest(1.0, round_even(p_size / 7.0 * 2, 0) / 2)), 1) AS half, CASE WHEN p_size * 3 <= 100 THEN round_even((1 + 4 * (p_size * 3) / 100.0) * 2, 0) / 2 END AS gauge,
@@ -253,7 +291,7 @@ def small_scalars(t):
     )
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN 'base ' || p_type ELSE 'extra' END AS name, p_type NOT IN ('SMALL', 'PROMO') OR true AS found FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN 'base ' || p_type ELSE 'extra' END AS name, true AS found FROM part""")
 def merged_names(t):
     """Names of two maps; the base map's name stays where both have one."""
     base = F.when(F.col("p_partkey") % 3 != 0, F.create_map(F.col("p_type"), F.concat(F.lit("base "), "p_type"))).otherwise(F.create_map(F.lit("none"), F.lit("x")))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import sources as S, streaming as ST
-from ..operators import merge as M
+from ..operators import catalog as C
 from ..storage import scratch
 from .base import Registry
 
@@ -87,17 +87,44 @@ def wide_sheet(t):
     return S.wide_rows(wide, {"code": (20, "bigint"), "price": (41, "double"), "size": (62, "int")})
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_size > 10")
+@query("""WITH n AS (SELECT * FROM nation), c AS (SELECT c_custkey, n_name AS parent, c_mktsegment AS seg, c_custkey % 5 AS m FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    two AS (SELECT * FROM c WHERE m IN (1, 2, 3)), one AS (SELECT * FROM c WHERE m NOT IN (3)),
+    o AS (SELECT o_orderkey, o_custkey, o_orderkey % 3 AS m FROM orders), o1 AS (SELECT o.* FROM o JOIN one ON o_custkey = c_custkey WHERE o.m <> 0), o2 AS (SELECT o.* FROM o JOIN two ON o_custkey = c_custkey WHERE o.m <> 1),
+    paid AS (SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'purchase'),
+    left_o AS (SELECT o_orderkey AS k, o_custkey AS parent, true AS active FROM o2),
+    left_c AS (SELECT c_custkey AS k, parent, true AS active FROM two UNION ALL
+        SELECT c_custkey, parent, seg <> 'MACHINERY' AND seg <> 'BUILDING' FROM one WHERE c_custkey NOT IN (SELECT c_custkey FROM two)
+            AND (seg NOT IN ('MACHINERY', 'BUILDING') OR c_custkey IN (SELECT k FROM paid) OR c_custkey IN (SELECT parent FROM left_o)))
+    SELECT 'customer' AS tab, CAST(k AS BIGINT) AS k, parent, active FROM left_c UNION ALL SELECT 'orders', CAST(k AS BIGINT), CAST(parent AS VARCHAR), active FROM left_o
+    UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), NULL, true FROM n""")
 def published_version(t):
-    """A version that was checked as written and then pointed to; one that fails a check leaves the pointer alone."""
-    rows = t("part").select("p_partkey", "p_size")
-    spark, root = rows.sparkSession, scratch(rows.sparkSession, "table")
-    M.publish(rows.where("p_size > 10"), root, "1", {"sized": F.col("p_size") > 10})
-    try:
-        M.publish(rows, root, "2", {"sized": F.col("p_size") > 10})
-    except ValueError:
-        pass
-    return M.current_version(spark, root)
+    """Three tables loaded twice, each load one commit: the second one scoped to two segments, with customers kept for their
+    purchases; then a load with a failing check and one with an empty source, which change nothing."""
+    spark = t("part").sparkSession
+    catalog = C.Catalog(spark, scratch(spark, "catalog"))
+    specs = [
+        C.Table("nation", "n_nationkey", "nation_id", required=True),
+        C.Table("customer", "c_custkey", "customer_id", {"nation_id": ("c_nationkey", "nation")}, {"nation_id"}, "c_mktsegment", required=True),
+        C.Table("orders", "o_orderkey", "order_id", {"customer_id": ("o_custkey", "customer")}, {"customer_id"}),
+    ]
+    customers = t("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    orders = t("orders").select("o_orderkey", "o_custkey")
+    feeds = lambda a, b: {"nation": t("nation").select("n_nationkey", "n_name"), "customer": customers.where(a), "orders": orders.where(b)}
+    C.load(catalog, specs, feeds("c_custkey % 5 <> 3", "o_orderkey % 3 <> 0"))
+    bought = t("events").where("event_type = 'purchase'").select(F.col("user_id").alias("c_custkey")).join(catalog.read("customer"), "c_custkey").select("customer_id")
+    C.load(catalog, specs, feeds("c_custkey % 5 in (1, 2, 3)", "o_orderkey % 3 <> 1"), {"customer": bought}, {"customer": ["MACHINERY", "BUILDING"]})
+    for bad, checks in ((feeds("true", "true"), {"customer": {"no such": F.col("c_custkey") < 0}}), (feeds("false", "true"), None)):
+        try:
+            C.load(catalog, specs, bad, checks=checks)
+        except C.Rejected:
+            continue
+        raise AssertionError("committed")
+    nation, customer, order = (catalog.read(n) for n in ("nation", "customer", "orders"))
+    rows = lambda df, name, k, parent: df.select(F.lit(name).alias("tab"), F.col(k).cast("long").alias("k"), F.col(parent).cast("string").alias("parent"), "active")
+    named = customer.join(nation.select("nation_id", "n_name"), "nation_id")
+    owned = order.join(customer.select("customer_id", "c_custkey"), "customer_id")
+    whole = nation.withColumn("none", F.lit(None).cast("string"))
+    return rows(named, "customer", "c_custkey", "n_name").unionByName(rows(owned, "orders", "o_orderkey", "c_custkey")).unionByName(rows(whole, "nation", "n_nationkey", "none"))
 
 
 @query("""WITH e AS (SELECT user_id, date_trunc('day', ts + INTERVAL 9 HOUR) - INTERVAL 9 HOUR AS s, CASE WHEN event_id % 10 <> 0 THEN value END AS v FROM events WHERE event_type = 'purchase')

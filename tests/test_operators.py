@@ -139,20 +139,6 @@ def test_snapshots(spark):
     assert values(M.sync_plan(new, old, "k", ["g", "v"], "active"), "k", "action") == [(1, "update"), (2, "retire"), (3, "retire"), (4, "update"), (5, "update"), (6, "insert")]
 
 
-def test_publish_refuses(spark, tmp_path):
-    df, root = spark.createDataFrame([(1, 3), (2, 9)], "k long, v int"), str(tmp_path)
-    M.publish(df, root, "1", {"small": F.col("v") < 10})
-    for bad, checks in ((df, {"small": F.col("v") < 5}), (df.limit(0), {})):
-        try:
-            M.publish(bad, root, f"2{len(checks)}", checks)
-        except ValueError:
-            continue
-        raise AssertionError("published")
-    assert values(M.current_version(spark, root), "k") == [(1,), (2,)]
-    M.publish(df.where("k = 1"), root, "3", {})
-    assert values(M.current_version(spark, root), "k") == [(1,)]
-
-
 def test_todo_of_enrichable_fields(spark):
     schema = "k long, s string, v int, flag boolean, text string, vec int, tags array<string>"
     old = spark.createDataFrame([(k, "a", 5, False, "t", 1, ["x"]) for k in range(1, 9)] + [(9, "a", 5, False, "", None, None)], schema)
