@@ -55,17 +55,27 @@ def three_feed_merge(first: DataFrame, second: DataFrame, third: DataFrame, url:
 
 def class_pool(df: DataFrame, queries: DataFrame, classes: list[str], key: str, most: int = 50) -> DataFrame:
     """(query, neighbor, similarity): for rows without a vector, the first ``most`` keys of their own class, all as near.
-    A query without one of the classes takes any value there; itself is left out."""
+    A query without one of the classes takes any value there; itself is left out.
+
+    The first keys are found for every subset of the classes at once: each row stands in the pool of every subset of its
+    values, and a pool keeps ``most`` + 1 keys, those of its partitions first. A query then meets the one pool of the
+    classes that it has, by equal keys.
+    """
+    masks = range(1 << len(classes))
     pool = df.select(F.col(key).alias("neighbor"), *classes)
-    sets = queries.select(*classes).distinct()
-    on = reduce(lambda a, c: a & (F.col(f"s.{c}").isNull() | (F.col(f"s.{c}") == F.col(f"p.{c}"))), classes, F.lit(True))
-    met = F.broadcast(sets.alias("s")).join(pool.alias("p"), on).select(*[F.col(f"s.{c}").alias(c) for c in classes], "neighbor")
-    first = met.withColumn("__r", F.row_number().over(Window.partitionBy(*classes).orderBy("neighbor"))).where(F.col("__r") <= most + 1)
-    q, f = queries.alias("q"), first.alias("f")
-    near = q.join(f, reduce(lambda a, c: a & F.col(f"q.{c}").eqNullSafe(F.col(f"f.{c}")), classes, F.lit(True))).where(F.col(f"q.{key}") != F.col("f.neighbor"))
-    order = Window.partitionBy("query").orderBy("neighbor")
-    out = near.select(F.col(f"q.{key}").alias("query"), F.col("f.neighbor").alias("neighbor"), F.lit(1.0).alias("similarity"))
-    return out.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).drop("__r")
+    given = F.array(*[F.struct(F.lit(m).alias("__m"), *[F.when(F.lit(bool(m >> i & 1)), F.col(c)).alias(f"__{c}") for i, c in enumerate(classes)]) for m in masks])
+    # a mask that names a class the row doesn't have is no subset of its values
+    has = lambda x: reduce(lambda a, c: a & (((F.shiftright(x["__m"], c[0]) % 2) == 0) | x[f"__{c[1]}"].isNotNull()), enumerate(classes), F.lit(True))
+    cells = pool.select("neighbor", F.explode(F.filter(given, has)).alias("x")).select("neighbor", "x.*")
+    by = ["__m", *[f"__{c}" for c in classes]]
+    part = F.pmod(F.xxhash64("neighbor"), F.lit(64))
+    first = _first(cells.withColumn("__part", part), [*by, "__part"], [F.col("neighbor")], most + 1).drop("__part")
+    first = _first(first, by, [F.col("neighbor")], most + 1)
+    mask = reduce(lambda a, c: a + F.when(F.col(c[1]).isNotNull(), 1 << c[0]).otherwise(0), enumerate(classes), F.lit(0))
+    q, f = queries.select(F.col(key).alias("query"), *classes, mask.alias("__mask")).alias("q"), first.alias("f")
+    on = reduce(lambda a, c: a & F.col(f"q.{c}").eqNullSafe(F.col(f"f.__{c}")), classes, F.col("q.__mask") == F.col("f.__m"))
+    near = q.join(f, on).where(F.col("query") != F.col("f.neighbor")).select("query", "f.neighbor", F.lit(1.0).alias("similarity"))
+    return _first(near, ["query"], [F.col("neighbor")], most)
 
 
 def labelled_pairs(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -185,33 +195,102 @@ def _unit(rows: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
     return x[size > 0] / size[size > 0, None], rows[size > 0]
 
 
-def jaccard_neighbors(df: DataFrame, key: str, group: str, features: Column, k: int) -> DataFrame:
+def _first(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= most).drop("__r")
+
+
+def _of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(s, t, similarity) of distinct pairs of sets, their features compared whole."""
+    a, b = sets.select("s", F.col("f").alias("fs")), sets.select(F.col("s").alias("t"), F.col("f").alias("ft"))
+    shared = F.size(F.array_intersect("fs", "ft"))
+    return pairs.join(a, "s").join(b, "t").select("s", "t", (shared / (F.size("fs") + F.size("ft") - shared)).alias("similarity"))
+
+
+def jaccard_neighbors(
+    df: DataFrame, key: str, group: str, features: Column, k: int, few: int = 4096, most: int = 2048, lead: int = 2, counts: dict[str, int] | None = None
+) -> DataFrame:
     """The ``k`` rows of other groups with the largest feature overlap, by Jaccard, ties by key.
 
-    The answer depends on a row's feature set and group alone, so distinct sets are compared (where they share a
-    feature), not rows. A set offers at most 2k members: with no more than k of a group, the first 2k hold the
-    first k outside any one group. The same holds for the candidates of a set, which are ranked once for all
-    groups; rows are expanded last.
+    The answer depends on a row's feature set and group alone, so distinct sets are compared, not rows. A set offers at most
+    2k members: with no more than k of a group, the first 2k hold the first k outside any one group. The same holds
+    for the candidates of a set, which are ranked once for all groups; rows are expanded last.
+
+    Up to ``few`` distinct sets (measured) all pairs that share a feature are counted. Beyond that features are put in one
+    order, rare ones first, and sets meet in an inverted index by the features of their beginning:
+
+    * by the first ``lead`` features that no more than ``most`` sets hold; the candidates give each set a least similarity;
+    * by its later rare features, as far as a set that shares none before can still reach the least similarity (one that
+      starts at place i shares n - i of n features at most), and with sets whose size allows it;
+    * sets that share only frequent features are told by these and by their size. So sets are pooled by both, a pool
+      stands for its first 2k members, and pools meet under the same bound.
+
+    So no two sets are paired because of a frequent feature alone. ``counts`` takes the numbers of pairs that met.
     """
     rows = df.select(F.col(key).alias("query"), F.col(group).alias("g"), F.array_sort(F.array_distinct(features)).alias("f")).where("size(f) > 0")
-    sets = rows.groupBy("f").agg(F.min("query").alias("s"))
+    sets = staged(rows.groupBy("f").agg(F.min("query").alias("s")), "sets")
     of = rows.join(sets, "f").select("query", "g", "s")
-    items = sets.select("s", F.size("f").alias("n"), F.explode("f").alias("x"))
-    pairs = items.select("x", "s", "n").join(items.select("x", F.col("s").alias("t"), F.col("n").alias("m")), "x")
-    shared = pairs.groupBy("s", "t", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    near = shared.select("s", "t", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("similarity"))
-
-    def first(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
-        return rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= most).drop("r")
-
-    by_key = [F.col("query")]
-    members = first(first(of, ["s", "g"], by_key, k), ["s"], by_key, 2 * k).select(
-        F.col("s").alias("t"), F.col("query").alias("neighbor"), F.col("g").alias("other")
-    )
     order = [F.col("similarity").desc(), F.col("neighbor")]
-    candidates = first(first(near.join(members, "t"), ["s", "other"], order, k), ["s"], order, 2 * k)
+    members = _first(_first(of, ["s", "g"], [F.col("query")], k), ["s"], [F.col("query")], 2 * k)
+    members = members.select(F.col("s").alias("t"), F.col("query").alias("neighbor"), F.col("g").alias("other"))
+    best = lambda rows: _first(_first(rows, ["s", "other"], order, k), ["s"], order, 2 * k)
+    counted = lambda name, pairs: counts.__setitem__(name, pairs.count()) if counts is not None else None
+    if sets.count() <= few:
+        items = sets.select("s", F.size("f").alias("n"), F.explode("f").alias("x"))
+        pairs = items.join(items.select("x", F.col("s").alias("t"), F.col("n").alias("m")), "x")
+        shared = pairs.groupBy("s", "t", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+        near = shared.select("s", "t", (F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("similarity"))
+        counted("all", near)
+        candidates = best(near.join(members, "t"))
+    else:
+        candidates = _overlap_candidates(sets, members, of, best, k, most, lead, counted)
     askers = of.select("s", "g").distinct()
     ranked = askers.join(candidates, "s").where(~F.col("g").eqNullSafe(F.col("other")))
-    best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("s", "g").orderBy(*order))).where(F.col("rank") <= k)
-    a, b = of.alias("a"), best.alias("b")
+    top = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("s", "g").orderBy(*order))).where(F.col("rank") <= k)
+    a, b = of.alias("a"), top.alias("b")
     return a.join(b, (F.col("a.s") == F.col("b.s")) & F.col("a.g").eqNullSafe(F.col("b.g"))).select("query", "neighbor", "rank", "similarity")
+
+
+def _overlap_candidates(sets, members, of, best, k: int, most: int, lead: int, counted) -> DataFrame:
+    """(s, neighbor, other, similarity): the candidates of every set, by prefixes of its features in the order of rarity."""
+    eps = 1e-9
+    items = sets.select("s", F.explode("f").alias("x"))
+    held = items.groupBy("x").agg(F.count(F.lit(1)).alias("d"))
+    placed = items.join(held, "x").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("o"))
+    frequent = F.filter("o", lambda e: e["d"] > most)
+    placed = staged(placed.select("s", F.size("o").alias("n"), "o", F.transform(frequent, lambda e: e["x"]).alias("h")), "placed")
+    entries = placed.select("s", "n", F.posexplode("o").alias("i", "e")).where(F.col("e.d") <= most).select("s", "n", "i", F.col("e.x").alias("x"))
+    index = entries.select("x", F.col("s").alias("t"), F.col("n").alias("m"))
+
+    pairs = staged(entries.where(F.col("i") < lead).join(index, "x").select("s", "t").distinct(), "leading")
+    counted("leading", pairs)
+    first = staged(best(_of_pairs(pairs, sets).join(members, "t")), "first")
+    # with 2k candidates, no more than k of a group, the least of them bounds what can still count
+    least = first.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("similarity").alias("least")).where(F.col("c") >= 2 * k).select("s", "least")
+    bounded = staged(placed.select("s", "n", "h").join(least, "s", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - eps), "bounds")
+
+    later = entries.where(F.col("i") >= lead).join(bounded.select("s", "least"), "s").where((F.col("n") - F.col("i")) / F.col("n") >= F.col("least"))
+    met = later.join(index, "x").where(F.least("n", "m") / F.greatest("n", "m") >= F.col("least")).select("s", "t").distinct()
+    met = staged(met.join(pairs, ["s", "t"], "left_anti"), "later")
+    counted("later", met)
+    second = best(_of_pairs(met, sets).join(members, "t"))
+
+    # pools: sets of the same frequent features and size, as they look to a set that shares no rare feature with them
+    pooled = bounded.where(F.size("h") > 0)
+    probes = pooled.groupBy("h", "n").agg(F.min("least").alias("least"))
+    probes = probes.select("h", "n", "least", F.posexplode("h").alias("i", "x")).where((F.size("h") - F.col("i")) / F.col("n") >= F.col("least"))
+    pools = pooled.select(F.col("h").alias("ph"), F.col("n").alias("m")).distinct()
+    reach = probes.join(pools.select("ph", "m", F.explode("ph").alias("x")), "x").where(F.least("n", "m") / F.greatest("n", "m") >= F.col("least"))
+    reach = staged(reach.select("h", "n", "ph", "m").distinct(), "pools")
+    counted("pools", reach)
+    c = F.size(F.array_intersect("h", "ph"))
+    reach = reach.withColumn("similarity", c / (F.col("n") + F.col("m") - c))
+    inside = pooled.select(F.col("s").alias("t"), F.col("h").alias("ph"), F.col("n").alias("m")).join(members, "t")
+    stand = _first(_first(inside, ["ph", "m", "other"], [F.col("neighbor")], k), ["ph", "m"], [F.col("neighbor")], 2 * k)
+    order = [F.col("similarity").desc(), F.col("neighbor")]
+    near = _first(_first(reach.join(stand, ["ph", "m"]), ["h", "n", "other"], order, k), ["h", "n"], order, 2 * k)
+    third = pooled.select("s", "h", "n").join(near, ["h", "n"])
+
+    columns = ["s", "neighbor", "other", "similarity"]
+    every = first.select(*columns).unionByName(second.select(*columns)).unionByName(third.select(*columns))
+    # a member of a pool may also share a rare feature: then its larger similarity is the true one
+    return best(every.groupBy("s", "neighbor", "other").agg(F.max("similarity").alias("similarity")))

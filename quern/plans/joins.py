@@ -177,6 +177,18 @@ def knn_jaccard(t):
     return _jaccard(t).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("""WITH b AS (SELECT l_orderkey AS k, o_custkey % 7 AS g, list_distinct(list('p' || l_partkey) || list('f' || l_returnflag) || list('s' || l_linestatus)) AS f FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+    i AS (SELECT k, g, len(f) AS n, unnest(f) AS x FROM b), c AS (SELECT q.k AS query, t.k AS neighbor, count(*) / CAST(any_value(q.n) + any_value(t.n) - count(*) AS DOUBLE) AS sim FROM i q JOIN i t ON q.x = t.x AND q.g <> t.g WHERE q.k % 100 = 0 GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbor) AS INT) AS rank FROM c) SELECT query, neighbor, rank, round(sim, 6) AS similarity FROM r WHERE rank <= 3""")
+def knn_baskets(t):
+    """The three most similar baskets of other customers' groups, for every hundredth order; flags are in half of all baskets."""
+    lines = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 7).alias("g")), "l_orderkey")
+    words = F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("f"), "l_returnflag"), F.concat(F.lit("s"), "l_linestatus"))
+    baskets = lines.groupBy("l_orderkey", "g").agg(F.array_distinct(F.flatten(F.collect_list(words))).alias("f"))
+    near = J.jaccard_neighbors(baskets, "l_orderkey", "g", F.col("f"), 3, few=0)
+    return near.where("query % 100 = 0").withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"""WITH {JACCARD_SQL}, p AS (SELECT query, avg(p_retailprice) AS pred, stddev_pop(p_retailprice) AS sd, count(*) AS n FROM r JOIN x ON neighbor = x.k WHERE rank <= 5 GROUP BY query),
     tot AS (SELECT sum(p_retailprice) AS s, count(*) AS n FROM x), grp AS (SELECT g, sum(p_retailprice) AS s, count(*) AS n FROM x GROUP BY g)
     SELECT CASE WHEN sd <= 20 THEN 'high' WHEN sd <= 30 THEN 'medium' ELSE 'low' END AS level, CAST(count(*) AS BIGINT) AS n, round(avg(abs(pred - p_retailprice)), 4) AS mae,
