@@ -71,7 +71,7 @@ def best_antecedent(rules: DataFrame, given: DataFrame, key: str, tag: str, pos:
     new = implied.join(given.select(key, F.col(tag).alias("b")), [key, "b"], "left_anti")
     if related is not None:
         both = related.select("a", "b").unionByName(related.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        near = given.select(key, F.col(tag).alias("a")).join(F.broadcast(both), "a").select(key, "b").distinct()
+        near = given.select(key, F.col(tag).alias("a")).join(both, "a").select(key, "b").distinct()
         new = new.join(near, [key, "b"], "left_anti")
     best = new.groupBy(key, "b").agg(F.max(F.struct("share", "lift", (-F.col(pos)).alias("p"), "a")).alias("x"))
     order = Window.partitionBy(key).orderBy(F.desc("x.share"), F.desc("x.lift"), "b")
@@ -281,13 +281,13 @@ def inventory(df: DataFrame, group: list[str], value: str, kind: str) -> DataFra
 
 def readable_share(df: DataFrame, group: list[str], tokens: Column, vocabulary: DataFrame, key: str) -> DataFrame:
     """(group, share): rows of which a vocabulary (term) reads at least one token, over all rows."""
-    known = df.select(key, F.explode(F.array_distinct(tokens)).alias("term")).join(F.broadcast(vocabulary), "term").select(key).distinct().withColumn("__read", F.lit(1))
+    known = df.select(key, F.explode(F.array_distinct(tokens)).alias("term")).join(vocabulary, "term").select(key).distinct().withColumn("__read", F.lit(1))
     return df.join(known, key, "left").groupBy(*group).agg(F.avg(F.coalesce("__read", F.lit(0))).alias("share"))
 
 
 def term_groups(df: DataFrame, group: str, tokens: Column, vocabulary: DataFrame) -> DataFrame:
     """(term, groups): the sorted groups in which each vocabulary term occurs."""
-    found = df.select(group, F.explode(tokens).alias("term")).join(F.broadcast(vocabulary), "term").distinct()
+    found = df.select(group, F.explode(tokens).alias("term")).join(vocabulary, "term").distinct()
     return found.groupBy("term").agg(F.array_sort(F.collect_set(group)).alias("groups"))
 
 

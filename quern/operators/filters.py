@@ -224,7 +224,7 @@ def calibrated_confidence(df: DataFrame, key: str, attribute: str, value: str, b
     listed = F.coalesce(F.try_element_at("__t", F.col(bucket)), F.try_element_at("__t", F.lit("*")), F.lit("low"))
     level = F.when(F.col(bucket) == "cue", "high").otherwise(listed)
     place = F.when(F.col(value).isNotNull(), F.array_position(names, level))
-    rated = df.join(F.broadcast(table), attribute, "left").groupBy(key).agg(F.coalesce(F.min(place), F.lit(1)).alias("__p"))
+    rated = df.join(table, attribute, "left").groupBy(key).agg(F.coalesce(F.min(place), F.lit(1)).alias("__p"))
     return rated.select(key, F.element_at(names, F.col("__p").cast("int")).alias("confidence"))
 
 

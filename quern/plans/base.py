@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,3 +30,20 @@ class Registry:
             return f
 
         return register
+
+
+def quoted(options: list[str]) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in options)
+
+
+def planted(t: Callable[[str], DataFrame], options: list[str]) -> DataFrame:
+    """(doc_id, t): whole documents with one of the statements before or after the text."""
+    said = F.element_at(F.array(*[F.lit(x) for x in options]), (1 + F.col("doc_id") % len(options)).cast("int"))
+    text, after = F.coalesce("text", F.lit("")), F.col("doc_id") % 2 == 0
+    return t("documents").select("doc_id", F.when(after, F.concat(text, F.lit("\n"), said)).otherwise(F.concat(said, F.lit("\n"), text)).alias("t"))
+
+
+def planted_sql(options: list[str]) -> str:
+    """The same as a table x (doc_id, t)."""
+    said, text = f"[{quoted(options)}][1 + doc_id % {len(options)}]", "coalesce(text, '')"
+    return f"x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {text} || chr(10) || {said} ELSE {said} || chr(10) || {text} END AS t FROM documents)"

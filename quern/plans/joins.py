@@ -31,7 +31,7 @@ def missing_names(t):
     """Words without a translation."""
     words = t("part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
     known = words.sparkSession.createDataFrame([(w,) for w in ("red", "blue", "bolt", "gear", "ring", "rod")], "word string")
-    return words.join(F.broadcast(known), "word", "left_anti")
+    return words.join(known, "word", "left_anti")
 
 
 @query("SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey")
@@ -202,7 +202,7 @@ def jaccard_knn_eval(t):
     groups = part.groupBy("g").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"))
     everything = groups.agg(F.sum("s").alias("ts"), F.sum("c").alias("tc"))
     means = groups.crossJoin(F.broadcast(everything)).select("g", ((F.col("ts") - F.col("s")) / (F.col("tc") - F.col("c"))).alias("lgo"))
-    rows = pred.join(part, "k").join(F.broadcast(means), "g")
+    rows = pred.join(part, "k").join(means, "g")
     level = F.when(F.col("sd") <= 20, "high").when(F.col("sd") <= 30, "medium").otherwise("low")
     return rows.groupBy(level.alias("level")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("pred") - F.col("v"))), 4).alias("mae"), F.round(F.avg(F.abs(F.col("lgo") - F.col("v"))), 4).alias("mean_mae")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as N, text as T, vectors as V
 from ..operators import filters as O, tagger as G
-from .base import Registry
+from .base import Registry, planted, planted_sql, quoted
 
 registry = Registry()
 query = registry.add
@@ -21,28 +21,12 @@ PHRASES = [
 ]
 
 
-def _planted(t, options: list[str]):
-    """(doc_id, t): whole documents with one of the statements before or after the text."""
-    said = F.element_at(F.array(*[F.lit(x) for x in options]), (1 + F.col("doc_id") % len(options)).cast("int"))
-    text, after = F.coalesce("text", F.lit("")), F.col("doc_id") % 2 == 0
-    return t("documents").select("doc_id", F.when(after, F.concat(text, F.lit("\n"), said)).otherwise(F.concat(said, F.lit("\n"), text)).alias("t"))
-
-
-def _planted_sql(options: list[str]) -> str:
-    said, text = f"[{_quoted(options)}][1 + doc_id % {len(options)}]", "coalesce(text, '')"
-    return f"x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {text} || chr(10) || {said} ELSE {said} || chr(10) || {text} END AS t FROM documents)"
-
-
 def _picked(options: list[str]):
     return F.element_at(F.array(*[F.lit(x) for x in options]), (1 + F.col("p_partkey") % len(options)).cast("int"))
 
 
-def _quoted(options: list[str]) -> str:
-    return ", ".join("'" + x.replace("'", "''") + "'" for x in options)
-
-
 def _picked_sql(options: list[str], name: str) -> str:
-    return f"x AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, [{_quoted(options)}][1 + p_partkey % {len(options)}] AS {name} FROM part)"
+    return f"x AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, [{quoted(options)}][1 + p_partkey % {len(options)}] AS {name} FROM part)"
 
 
 def _ladder_sql(text: str, steps: list[tuple[str, str]], default: str = "NULL") -> str:
@@ -50,7 +34,7 @@ def _ladder_sql(text: str, steps: list[tuple[str, str]], default: str = "NULL")
     return f"CASE {whens} ELSE {default} END"
 
 
-PHRASE_SQL = _planted_sql(PHRASES)
+PHRASE_SQL = planted_sql(PHRASES)
 _WORD_SQL = "regexp_matches(t, '(^|[^a-z])(decaf|decaffeinat)|디카페인', 'i')"
 _DECAF_SQL = "CASE " + " ".join(
     f"WHEN regexp_matches(t, '{p}', 'i') AND ({alone} OR {_WORD_SQL}) THEN '{n}'" for n, p, alone in N.DECAF_PROCESSES
@@ -60,19 +44,19 @@ _DECAF_SQL = "CASE " + " ".join(
 @query(f"WITH {PHRASE_SQL} SELECT doc_id, ({_DECAF_SQL}) IS NOT NULL AS decaf, {_DECAF_SQL} AS process FROM x")
 def decaf_process(t):
     flag, process = N.decaf(F.col("t"))
-    return _planted(t, PHRASES).select("doc_id", flag.alias("decaf"), process.alias("process"))
+    return planted(t, PHRASES).select("doc_id", flag.alias("decaf"), process.alias("process"))
 
 
 @query(f"WITH {PHRASE_SQL} SELECT doc_id, {_ladder_sql('t', [(n, p) for n, p, _ in N.DECAF_PROCESSES] + [('swiss-water', 'water *process')])} AS method FROM x")
 def decaf_method(t):
-    return _planted(t, PHRASES).select("doc_id", N.decaf_method(F.col("t")).alias("method"))
+    return planted(t, PHRASES).select("doc_id", N.decaf_method(F.col("t")).alias("method"))
 
 
 @query(f"WITH {PHRASE_SQL} SELECT doc_id, {_ladder_sql('t', N.LABEL_PROCESSES)} AS labelled, {_ladder_sql('t', N.PROSE_PROCESSES)} AS told FROM x")
 def process_names(t):
     """A process as a label names it, and as prose does."""
     text = F.col("t")
-    return _planted(t, PHRASES).select("doc_id", N.ladder(text, N.LABEL_PROCESSES).alias("labelled"), N.ladder(text, N.PROSE_PROCESSES).alias("told"))
+    return planted(t, PHRASES).select("doc_id", N.ladder(text, N.LABEL_PROCESSES).alias("labelled"), N.ladder(text, N.PROSE_PROCESSES).alias("told"))
 
 
 def _roast_sql(text: str) -> str:
@@ -88,14 +72,14 @@ _SENTENCES = r"array_to_string(list_filter(regexp_split_to_array(t, '[\n.!?]+'),
 def roast_levels(t):
     """A roast level, flavours that share a roast word masked; and that of sentences about roasting alone."""
     text = F.col("t")
-    return _planted(t, PHRASES).select("doc_id", N.roast(text).alias("roast"), N.roast_in_prose(text).alias("in_prose"))
+    return planted(t, PHRASES).select("doc_id", N.roast(text).alias("roast"), N.roast_in_prose(text).alias("in_prose"))
 
 
 @query(f"""WITH {PHRASE_SQL}, y AS (SELECT doc_id, regexp_extract(t, '{N.ALTITUDE}', ['a', 'b'], 'i') AS m FROM x),
     n AS (SELECT doc_id, TRY_CAST(replace(nullif(m.a, ''), ',', '') AS DOUBLE) AS a, TRY_CAST(replace(nullif(m.b, ''), ',', '') AS DOUBLE) AS b FROM y)
     SELECT doc_id, CASE WHEN round_even((a + coalesce(b, a)) / 2, 0) BETWEEN 200 AND 3000 THEN CAST(round_even((a + coalesce(b, a)) / 2, 0) AS INT) END AS metres FROM n""")
 def altitude_in_prose(t):
-    return _planted(t, PHRASES).select("doc_id", N.altitude_in_prose(F.col("t")).alias("metres"))
+    return planted(t, PHRASES).select("doc_id", N.altitude_in_prose(F.col("t")).alias("metres"))
 
 
 ORIGINS = [
@@ -107,12 +91,12 @@ _COUNTRY_SQL = "[" + ", ".join("ROW('{}', '{}')".format(k.replace("'", "''"), v.
 _LATIN_SQL = "|".join(re.escape(k).replace("'", "''") for k in _COUNTRY_NAMES)
 
 
-@query(rf"""WITH {_planted_sql(ORIGINS)}, names AS (SELECT MAP_FROM_ENTRIES({_COUNTRY_SQL}) AS m),
+@query(rf"""WITH {planted_sql(ORIGINS)}, names AS (SELECT MAP_FROM_ENTRIES({_COUNTRY_SQL}) AS m),
     f AS (SELECT doc_id, regexp_extract(lower(t), '(?:^|[^a-z])({_LATIN_SQL})(?:$|[^a-z])|({"|".join(N.COUNTRIES_KO)})', ['latin', 'ko']) AS k FROM x)
     SELECT doc_id, map_extract_value(m, coalesce(nullif(k.latin, ''), k.ko)) AS country FROM f, names""")
 def countries(t):
     """The country that a text names first: Latin names as whole words, Korean ones anywhere."""
-    return _planted(t, ORIGINS).select("doc_id", N.country(F.col("t")).alias("country"))
+    return planted(t, ORIGINS).select("doc_id", N.country(F.col("t")).alias("country"))
 
 
 NAMES = ["커피_카페 라떼(HOT)", "비닐라 라떼 아이스(ICE)", "아메리카노 (Tall)", "카페 라떼 (K(코끼리))", "화이트 (Mini Venti)", "Mocha(ICED) (R)", "plain  latte ", "핫(HOT) 아포카토 (L)"]
@@ -267,7 +251,7 @@ _FACTS_SQL = N.FACT_LINE.replace("(?imd)", "(?im)").format(words="|".join(sorted
 _NOTES_SQL = r"(?is)(?:(?:tasting|cupping|flavou?r|cup)\s+notes?\s*:?\s*|notes\s+of\s+)([^\n.]{3,120})"
 
 
-@query(rf"""WITH {_planted_sql(CARDS)}, l AS (SELECT doc_id, t, regexp_extract_all(t, '{_FACTS_SQL}', 1) AS k, regexp_extract_all(t, '{_FACTS_SQL}', 2) AS v FROM x),
+@query(rf"""WITH {planted_sql(CARDS)}, l AS (SELECT doc_id, t, regexp_extract_all(t, '{_FACTS_SQL}', 1) AS k, regexp_extract_all(t, '{_FACTS_SQL}', 2) AS v FROM x),
     e AS (SELECT doc_id, unnest(list_transform(k, lambda w: map_extract_value(MAP {N.FACT_LABELS}, lower(w)))) AS k, unnest(v) AS v, unnest(range(len(k))) AS i FROM l),
     f AS (SELECT doc_id, string_agg(f, ';' ORDER BY f) AS facts FROM (SELECT doc_id, k || '=' || trim(arg_min(v, i)) AS f FROM e GROUP BY doc_id, k) GROUP BY 1),
     n AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(replace(replace(regexp_extract(t, '{_NOTES_SQL}', 1), '|', ', '), ' and ', ', '), '&', ', '), '[,;/]'), lambda w: trim(w, ' .;:-')),
@@ -277,7 +261,7 @@ def labelled_lines(t):
     """Facts on labelled lines, of repeated ones the first, and note words."""
     text = F.col("t")
     facts = F.array_sort(F.transform(F.map_entries(N.labelled_facts(text)), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return _planted(t, CARDS).select("doc_id", F.array_join(facts, ";").alias("facts"), F.array_join(N.note_words(text), "|").alias("notes"))
+    return planted(t, CARDS).select("doc_id", F.array_join(facts, ";").alias("facts"), F.array_join(N.note_words(text), "|").alias("notes"))
 
 
 @query("""SELECT p_partkey, round_even(least(5.0, greatest(1.0, round_even(p_size / 7.0 * 2, 0) / 2)), 1) AS half, CASE WHEN p_size * 3 <= 100 THEN round_even((1 + 4 * (p_size * 3) / 100.0) * 2, 0) / 2 END AS gauge,

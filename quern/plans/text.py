@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from .. import sources as S
 from ..functions import text as T
-from ..operators import aggregates as A, learning as L, profiles as PR, ranking as R, tagger as G
+from ..operators import aggregates as A, dictionary as D, learning as L, profiles as PR, ranking as R, tagger as G
 from ..streaming import parsed_logs
-from .base import Registry
+from .base import Registry, planted, planted_sql
 
 registry = Registry()
 query = registry.add
@@ -42,7 +42,7 @@ PROSE = {"the": "t1", "there": "t2", "re": "t3", "er": "t4", "with": "t5", "and"
     SELECT b.item_id, coalesce(string_agg(tag, ',' ORDER BY s), '') AS tags FROM benchmark b LEFT JOIN f ON f.item_id = b.item_id GROUP BY 1""")
 def prose_tagger(t):
     """Vocabulary words as written, of hits that lie in one another the longest."""
-    return G.tag_text(t("benchmark"), "item_id", "text", G.AsWritten(PROSE)).select("item_id", F.array_join("tags", ",").alias("tags"))
+    return D.tag_text(t("benchmark"), "item_id", "text", D.AsWritten(PROSE)).select("item_id", F.array_join("tags", ",").alias("tags"))
 
 
 @query("""WITH g AS (SELECT p_partkey, p_size % 6 AS filled, CASE WHEN p_size % 6 < 5 AND p_partkey % 2 = 0 THEN 1 ELSE 0 END AS half, p_partkey % 3 AS form, p_size / 10.0 AS num FROM part)
@@ -322,18 +322,44 @@ def dynamic_counters(t):
     return A.fallback_causes(rows, "fallback", "counters", "cards", "tokens", "ms_total", deadline=40)
 
 
-@query(None)
+FLAVOURS = [
+    "notes of lemon, blueberries and a berry", "Orange blossom then orange; STONE FRUIT", "a peachy cherry (cherries), peaches", "lemongrass, xlemon lemonx berry-like",
+    "black tea and tea, teas", "dark chocolate / chocolate: milk chocolate", "no such words", "레몬, 블루 베리, 감초", "wood smoke; woods", "Cherry cherry blossom BERRIES",
+]
+TERMS = ["berry", "blueberry", "lemon", "orange", "peach", "cherry", "black tea", "tea", "chocolate", "dark chocolate", "floral", "woody", "smoky"]
+ALIASES = {"stone fruit": "peach", "peachy": "peach", "orange blossom": "floral", "wood smoke": "smoky", "woods": "woody", "mint": "none"}
+
+
+def _chosen_sql() -> str:
+    """The dictionary's words one after another, long ones first: each takes its first free place in every document."""
+    words = D.WholeWords(TERMS, ALIASES).words
+    order = sorted(range(len(words.words)), key=lambda i: (-len(words.words[i]), i))
+    steps, at = [], "s0"
+    for n, i in enumerate(order, 1):
+        word, tag, size = words.words[i], words.tags[i], len(words.words[i])
+        start = f"CAST(coalesce(list_sum(list_transform(p[1:k], lambda x: length(x))), 0) AS INT) + (k - 1) * {size}"
+        free = f"NOT list_bool_or(list_transform(acc, lambda a: a.s <= h AND h + {size} <= a.e))"
+        steps.append(f"""h{n} AS (SELECT doc_id, low, acc, CASE WHEN contains(low, '{word}') THEN string_split(low, '{word}') ELSE [''] END AS p FROM {at}),
+            f{n} AS (SELECT doc_id, low, acc, list_filter(list_transform(range(1, len(p)), lambda k: CASE WHEN (k = 1 AND p[k] = '' OR regexp_matches(right(p[k], 1), '[^a-z]'))
+                AND (k + 1 = len(p) AND p[k + 1] = '' OR regexp_matches(left(p[k + 1], 1), '[^a-z]')) THEN {start} END), lambda h: h IS NOT NULL AND coalesce({free}, true)) AS o FROM h{n}),
+            s{n} AS MATERIALIZED (SELECT doc_id, low, CASE WHEN len(o) = 0 OR coalesce(list_bool_or(list_transform(acc, lambda a: contains(a.t, '{tag}'))), false) THEN acc
+                ELSE list_append(acc, {{'s': o[1], 'e': o[1] + {size}, 't': '{tag}'}}) END AS acc FROM f{n})""")
+        at = f"s{n}"
+    start = "s0 AS (SELECT doc_id, lower(t) AS low, CAST([] AS STRUCT(s INT, e INT, t VARCHAR)[]) AS acc FROM x)"
+    return f"WITH {planted_sql(FLAVOURS)}, {start}, {', '.join(steps)} SELECT doc_id, array_to_string(list_transform(list_sort(acc), lambda a: a.t)[1:6], ',') AS tags FROM {at}"
+
+
+@query(_chosen_sql())
 def dictionary_tagger(t):
-    """Vocabulary terms of every document, as whole words, longer ones first."""
-    terms = ["with", "from", "that", "this", "avec", "pour", "nicht", "para", "that the", "of the"]
-    return G.tag_text(t("documents"), "doc_id", "text", G.WholeWords(terms, {"con": "with"})).select("doc_id", F.array_join("tags", ",").alias("tags"))
+    """Vocabulary terms of every document, their plurals and aliases, as whole words, longer ones first."""
+    return D.tag_text(planted(t, FLAVOURS), "doc_id", "t", D.WholeWords(TERMS, ALIASES)).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
 @query("""SELECT p_partkey, array_to_string(CASE WHEN p_partkey % 2 = 0 THEN list_filter([CASE WHEN p_name LIKE '%hot%' THEN 'hot' END, CASE WHEN p_name LIKE '%bolt%' THEN 'bolt' END], lambda x: x IS NOT NULL) ELSE ['t'] END, ',') AS tags FROM part""")
 def note_tagger(t):
     """Terms inside note words; a blocked word never counts, a one-letter term must be a whole note."""
     text = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.lit("shotgun, T; tea"))
-    found = G.tag_text(t("part").select("p_partkey", text.alias("t")), "p_partkey", "t", G.Substrings(["hot", "bolt", "t"], ["shotgun"]))
+    found = D.tag_text(t("part").select("p_partkey", text.alias("t")), "p_partkey", "t", D.Notes(["hot", "bolt", "t"], ["shotgun"]))
     return found.select("p_partkey", F.array_join("tags", ",").alias("tags"))
 
 

@@ -126,35 +126,62 @@ class _Facts(HTMLParser):
         self.tag, self.text = None, []
 
     def _product(self, text: str) -> None:
-        """Name, description and price of the first product, or of a group and its first variant."""
-        try:
-            block = json.loads(text)
-        except ValueError:
-            return
-        if self.products or not isinstance(block, dict) or block.get("@type") not in ("Product", "ProductGroup"):
-            return
-        variants = block.get("hasVariant") or [{}]
-        source = variants[0] if block["@type"] == "ProductGroup" else block
-        source = source if isinstance(source, dict) else {}
-        offers = source.get("offers")
-        price = offers.get("price") if isinstance(offers, dict) else None
-        name = re.sub(r"<br\s*/?>", " ", str(block.get("name") or ""))
-        told = {"product.name": name, "product.description": source.get("description"), "product.price": price}
-        self.products = [(k, " ".join(html.unescape(str(v)).split())) for k, v in told.items() if v not in (None, "")]
-
-
-def labelled_runs(text: str, labels: dict[str, str], ends: tuple[str, ...] = ()) -> dict[str, str]:
-    """field -> value of runs "label: value" in free text; a run ends at the next label or at one of ``ends``. The first of a field
-    counts."""
-    marks = sorted({*labels, *ends}, key=lambda m: (-len(m), m))
-    places = [(m.start(), m.end(), m[0]) for m in re.finditer("|".join(map(re.escape, marks)), text)]
-    found: dict[str, str] = {}
-    for (_, at, mark), nxt in zip(places, [*places[1:], (len(text), 0, "")], strict=True):
-        if mark in labels:
-            value = re.sub(r"^\s*(?:[A-Za-z][A-Za-z\s]*)?:\s*", "", text[at : nxt[0]]).strip(" :\xa0")
-            if value:
-                found.setdefault(labels[mark], value)
-    return found
+        """The facts of the first product node, if no block before had one."""
+        if not self.products:
+            try:
+                self.products = product_facts(json.loads(text))
+            except ValueError:
+                return
+
+
+def _nodes(block) -> Iterator[dict]:
+    """The nodes of a linked-data document: an object, the items of a list or of a graph."""
+    for node in block if isinstance(block, list) else [block]:
+        if isinstance(node, dict):
+            yield node
+            yield from _nodes(node.get("@graph") or [])
+
+
+def _objects(value) -> list[dict]:
+    """A property's objects: it may hold one, several or plain text."""
+    return [x for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict)]
+
+
+def product_facts(block) -> list[tuple[str, str]]:
+    """(fact, value) of a linked-data document's first product: name, description, price.
+
+    A group of variants is named by itself; description and price are those of its first variant. A price is that of the
+    first offer that has one, or the lowest of an aggregate.
+    """
+    for node in _nodes(block):
+        kinds = node.get("@type")
+        kinds = kinds if isinstance(kinds, list) else [kinds]
+        if "Product" not in kinds and "ProductGroup" not in kinds:
+            continue
+        item = (_objects(node.get("hasVariant")) or [{}])[0] if "ProductGroup" in kinds else node
+        prices = [o.get(p) for o in _objects(item.get("offers")) for p in ("price", "lowPrice")]
+        told = {
+            "product.name": re.sub(r"<[^<>]*>", " ", str(node.get("name") or "")), "product.description": item.get("description"),
+            "product.price": next((p for p in prices if p not in (None, "")), None),
+        }
+        return [(k, " ".join(html.unescape(str(v)).split())) for k, v in told.items() if v not in (None, "")]
+    return []
+
+
+def labelled_runs(text: Column, labels: dict[str, str], ends: tuple[str, ...] = ()) -> Column:
+    """A map of field to value from runs "label value" or "label more words: value" in flowing text; a run ends before the
+    next label or one of ``ends``. The first run of a field that has a value counts."""
+    spelled = lambda words: "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    no_mark = f"(?!{spelled({*labels, *ends})})"
+    run = rf"(?s)({spelled(labels)})(?:\s*(?:{no_mark}[A-Za-z\s])*:)?((?:{no_mark}.)*)"
+    names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    found = F.zip_with(
+        F.regexp_extract_all(text, F.lit(run), F.lit(1)), F.regexp_extract_all(text, F.lit(run), F.lit(2)),
+        lambda k, v: F.struct(names[k].alias("k"), F.btrim(v, F.lit(" :\u00a0\n\t\r")).alias("v")),
+    )
+    told = F.filter(found, lambda x: x["v"] != "")
+    fields = F.array_distinct(F.transform(told, lambda x: x["k"]))
+    return F.map_from_entries(F.transform(fields, lambda f: F.filter(told, lambda x: x["k"] == f)[0]))
 
 
 def page_facts(pages: DataFrame, key: str, html_column: str) -> DataFrame:
@@ -181,15 +208,7 @@ def page_facts(pages: DataFrame, key: str, html_column: str) -> DataFrame:
 
 def text_runs(df: DataFrame, key: str, text: str, labels: dict[str, str], ends: tuple[str, ...] = ()) -> DataFrame:
     """(key, field, value): ``labelled_runs`` of a text column."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, f, v) for k, t in zip(batch["k"], batch["t"], strict=True) for f, v in labelled_runs(t or "", labels, ends).items()]
-            yield pd.DataFrame(rows, columns=["k", "field", "value"])
-
-    kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, field string, value string")
-    return out.withColumnRenamed("k", key)
+    return df.select(key, F.explode(labelled_runs(F.col(text), labels, ends)).alias("field", "value"))
 
 
 def wide_rows(df: DataFrame, positions: dict[str, tuple[int, str]]) -> DataFrame:

@@ -298,7 +298,8 @@ def test_results_do_not_depend_on_partitions(spark, sf):
 
 
 def test_whole_word_tagger():
-    from quern.operators.tagger import AsWritten, Substrings, WholeWords, lexicon_mean, plurals, pushed_label
+    from quern.operators.dictionary import AsWritten, Notes, WholeWords, plurals
+    from quern.operators.tagger import lexicon_mean, pushed_label
 
     tag = WholeWords(["stone", "limestone", "river", "wood", "wood smoke", "tea"], {"stream": "river", "zest": "none"})
     assert tag("Limestone and stones, stream teas; steam") == ["limestone", "river", "tea"]
@@ -309,8 +310,8 @@ def test_whole_word_tagger():
     assert [plurals(x) for x in ("city", "church", "river", "grass", "day")] == [["cities"], ["churches"], ["rivers"], [], ["days"]]
     prose = AsWritten({"wood": "a", "dark wood": "b", "woods x": "c"})
     assert prose("dark woods x, wood") == ["b", "c", "a"] and prose(None) == []
-    assert Substrings(["rose", "fig", "t"], ["primrose"])("primrose jam, figs; T / x") == ["fig", "t"]
-    assert Substrings(["rain", "rain bow", "bow"])("a rainbow; bow, ra in") == ["rain", "bow"] and Substrings(["ab"], ["xab"])("xabab") == ["ab"]
+    assert Notes(["rose", "fig", "t"], ["primrose"])("primrose jam, figs; T / x") == ["fig", "t"]
+    assert Notes(["rain", "rain bow", "bow"])("a rainbow; bow, ra in") == ["rain", "bow"] and Notes(["ab"], ["xab"])("xabab") == ["ab"]
     assert lexicon_mean("very sweet and sweet", {"sweet": 3.0, "very sweet": 5.0}) == 4.0
     assert lexicon_mean("dry", {"sweet": 3.0}) is None
     assert lexicon_mean("full body, light, light", {"light": 1.0, "full": 9.0}, {"full body": 4.0}) == 2.0

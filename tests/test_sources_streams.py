@@ -47,7 +47,7 @@ def test_page_facts(spark):
     assert sorted((r.k, r.field, r.value) for r in S.page_facts(df, "k", "h").collect()) == [(1, "origin", "Kenya AA"), (1, "roast", "light"), (1, "title", "T & u")]
 
 
-def test_product_blocks_and_labelled_runs():
+def test_product_blocks_and_labelled_runs(spark):
     def facts(block):
         parser = S._Facts()
         parser.feed(f"<script type='application/ld+json'>{block}</script><p>x")
@@ -61,7 +61,11 @@ def test_product_blocks_and_labelled_runs():
     for odd in ("not json", "[1]", '{"@type": "Offer"}', '{"@type": "Product", "offers": []}', '{"@type": "ProductGroup", "hasVariant": ["x"]}'):
         assert facts(odd) == []
     text = "Origin Country : Kenya Farm: x Process: washed Origin: second Delivery free"
-    assert S.labelled_runs(text, {"Origin": "origin", "Process": "process"}, ("Farm", "Delivery")) == {"origin": "Kenya", "process": "washed"}
+    df = spark.createDataFrame([(text,), ("Process : \u00a0 Origin x\ny Process: z",), ("none",), (None,)], "t string")
+    got = [r.m for r in df.select(S.labelled_runs(F.col("t"), {"Origin": "origin", "Process": "process"}, ("Farm", "Delivery")).alias("m")).collect()]
+    assert got == [{"origin": "Kenya", "process": "washed"}, {"origin": "x\ny", "process": "z"}, {}, None]
+    graph = '{"@graph": [{"@type": "Offer"}, {"@type": ["Thing", "Product"], "name": "P", "offers": [{"x": 1}, {"lowPrice": 3}]}]}'
+    assert facts(graph) == facts(f"[{graph}]") == [("product.name", "P"), ("product.price", "3")]
 
 
 def test_logs(spark):
