@@ -1,113 +1,115 @@
-"""Taste profiles: a fold over each user's rated events, in batch and as a stream. The update is defined here, once."""
+"""Taste profiles: a fold over each user's rated events, in batch and as a stream.
+
+What an event does is told by expressions, as a list of moves; the fold only applies them. A move changes one slot of a
+profile: a preference (an attribute's name, 1 to 5) or a category (``~`` and its name, -1 to 1).
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Steps of explicit signals, the reach of a dislike, and the least change that is reported.
+# Steps of what a note says outright, the reach of a dislike, the least change that is reported, the start.
 SIGNAL, FLAVOR_SIGNAL, REACH, REPORTED = 0.5, 0.3, 2.0, 0.05
 START = 3.0
 
-
-def _within(x: float, low: float, high: float) -> float:
-    return low if x < low else high if x > high else x
-
-
-@dataclass(frozen=True)
-class Profile:
-    """Preferred attribute values (1 to 5), liked categories (-1 to 1), and the number of events so far."""
-
-    wants: dict[str, float]
-    likes: dict[str, float] = field(default_factory=dict)
-    n: int = 0
-
-
-def updated(profile: Profile, rating: float, values: dict[str, float | None], shares: dict[str, float], signals: dict | None = None) -> tuple[Profile, list[str]]:
-    """The profile after one rated event, and the names of what changed noticeably.
-
-    The rating's distance from the middle is a pull of -1 to 1, and the later the event, the smaller the step. A liked item
-    draws each preference towards its value. A disliked one drives it off in proportion to how near it is, and
-    not at all beyond ``REACH``. Categories move by the pull and their share. What the note says outright comes
-    after that: ``signals`` has "lower" or "higher" by attribute, and the lists "liked" and "disliked".
-    """
-    pull, rate = (rating - 3) / 2, 1 / (profile.n + 2)
-    wants, likes = dict(profile.wants), dict(profile.likes)
-    for name, value in values.items():
-        if value is None or value != value or not pull:
-            continue
-        distance = value - wants[name]
-        strength = distance if pull > 0 else _toward(distance) * max(0.0, 1 - abs(distance) / REACH)
-        wants[name] = _within(wants[name] + rate * pull * strength, 1.0, 5.0)
-    for name, share in shares.items() if pull else ():
-        likes[name] = _within(likes.get(name, 0.0) + rate * pull * share, -1.0, 1.0)
-    said = signals or {}
-    for name in wants:
-        step = {"lower": -SIGNAL, "higher": SIGNAL}.get(said.get(name))
-        if step:
-            wants[name] = _within(wants[name] + step, 1.0, 5.0)
-    for which, step in (("liked", FLAVOR_SIGNAL), ("disliked", -FLAVOR_SIGNAL)):
-        for name in said.get(which) or ():
-            likes[name] = _within(likes.get(name, 0.0) + step, -1.0, 1.0)
-    moved = [k for k, v in wants.items() if abs(v - profile.wants[k]) >= REPORTED]
-    moved += [k for k, v in likes.items() if abs(v - profile.likes.get(k, 0.0)) >= REPORTED]
-    return replace(profile, wants=wants, likes=likes, n=profile.n + 1), moved
-
-
-def _toward(distance: float) -> float:
-    return 0.0 if not distance else 1.0 if distance > 0 else -1.0
-
-
-EVENT = ("rating double, values map<string,double>, shares map<string,double>, signals map<string,string>, liked array<string>, disliked array<string>")
 HISTORY = "n long, wants map<string,double>, likes map<string,double>, changes array<string>"
+MOVES = "array<struct<slot: string, target: double, step: double, paced: boolean>>"
 
 
-def _pairs(x) -> dict:
-    """A map as pandas gives it: a dict or a list of pairs."""
-    return {} if x is None else dict(x)
+def moves(attributes: list[str], rating: Column, values: Column, shares: Column, signals: Column, liked: Column, disliked: Column) -> Column:
+    """The moves of a rated event, in the order in which they are made.
 
-
-def _folded(profile: Profile, e) -> tuple[Profile, list[str]]:
-    said = _pairs(e.signals) | {"liked": e.liked if e.liked is not None else (), "disliked": e.disliked if e.disliked is not None else ()}
-    return updated(profile, e.rating, _pairs(e.values), _pairs(e.shares), said)
+    The rating's distance from the middle, as -1 to 1, is the event's pull; a pull of zero moves nothing. A preference moves
+    between itself and the item's value (target), a category by its share. These are paced: the later the event, the
+    smaller the step. What a note says outright is not: signals ("lower" or "higher" by attribute) and the categories
+    that it likes and dislikes.
+    """
+    pull = (rating.cast("double") - 3) / 2
+    move = lambda slot, target, step, paced: F.struct(
+        slot.alias("slot"), target.cast("double").alias("target"), step.cast("double").alias("step"), F.lit(paced).alias("paced")
+    )
+    none, empty = F.lit(None), F.from_json(F.lit("[]"), MOVES)
+    value = lambda a: F.try_element_at(values, F.lit(a))
+    drawn = F.filter(F.array(*[move(F.lit(a), value(a), pull, True) for a in attributes]), lambda m: m["target"].isNotNull() & ~F.isnan(m["target"]))
+    shared = F.transform(F.map_entries(shares), lambda e: move(F.concat(F.lit("~"), e["key"]), none, pull * e["value"], True))
+    step = lambda a: F.when(F.try_element_at(signals, F.lit(a)) == "lower", -SIGNAL).when(F.try_element_at(signals, F.lit(a)) == "higher", SIGNAL)
+    said = F.filter(F.array(*[move(F.lit(a), none, step(a), False) for a in attributes]), lambda m: m["step"].isNotNull())
+    named = lambda which, by: F.transform(which, lambda c: move(F.concat(F.lit("~"), c), none, F.lit(by), False))
+    parts = [F.when(pull != 0, drawn), F.when(pull != 0, shared), said, named(liked, FLAVOR_SIGNAL), named(disliked, -FLAVOR_SIGNAL)]
+    return F.flatten(F.array(*[F.coalesce(p, empty) for p in parts]))
+
+
+def start_of(attributes: list[str]) -> dict[str, float]:
+    return dict.fromkeys(attributes, START)
+
+
+def moved(state: dict[str, float], n: int, event: Iterator[tuple]) -> list[str]:
+    """Apply an event's (slot, target, step, paced) to a profile that has seen ``n`` events; the names of what changed noticeably."""
+    before: dict[str, float] = {}
+    for slot, target, step, paced in event:
+        x = state.get(slot, 0.0)
+        before.setdefault(slot, x)
+        by = step / (n + 2) if paced else step
+        if target is not None:
+            gap = target - x
+            # a liked item draws; a disliked one drives off, the more the nearer it is
+            by *= gap if by > 0 else ((gap > 0) - (gap < 0)) * max(0.0, 1 - abs(gap) / REACH)
+        low, high = (-1.0, 1.0) if slot[0] == "~" else (1.0, 5.0)
+        state[slot] = min(high, max(low, x + by))
+    return [s.removeprefix("~") for s in state if s in before and abs(state[s] - before[s]) >= REPORTED]
+
+
+def _rows(events: DataFrame, user: str, order: list[str], attributes: list[str]) -> DataFrame:
+    """user, o0, o1, ... and moves of every event; columns that ``events`` lacks are NULL."""
+    have = set(events.columns)
+    own = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind)
+    told = moves(
+        attributes, own("rating", "double"), own("values", "map<string,double>"), own("shares", "map<string,double>"), own("signals", "map<string,string>"),
+        own("liked", "array<string>"), own("disliked", "array<string>"),
+    )
+    return events.select(F.col(user).alias("user"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], told.alias("moves"))
 
 
-def _columns(events: DataFrame, user: str, order: list[str]) -> list:
-    """The event's columns in a fixed form; those that are missing are NULL."""
-    have = set(events.columns)
-    out = [F.col(user).alias("user"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]]
-    for part in EVENT.split(", "):
-        name, kind = part.split(" ", 1)
-        out.append((F.col(name) if name in have else F.lit(None)).cast(kind).alias(name))
-    return out
+def _split(state: dict[str, float]) -> tuple[list, list]:
+    """A profile's preferences and categories, as pairs."""
+    return [x for x in state.items() if x[0][0] != "~"], [(k[1:], v) for k, v in state.items() if k[0] == "~"]
 
 
 def history(events: DataFrame, user: str, order: list[str], attributes: list[str]) -> DataFrame:
     """(user, order, n, wants, likes, changes): the profile after each of a user's events, in order.
 
     ``events`` has rating and any of values, shares, signals, liked, disliked. Users are dealt to tasks and events sorted
-    there; a task holds one profile at a time, however many events a user has.
+    there; a task holds one profile and one batch of events at a time, however many events a user has.
     """
-    rows = events.select(*_columns(events, user, order))
+    rows = _rows(events, user, order, attributes)
     keys = ["user", *[f"o{i}" for i in range(len(order))]]
-    start = Profile({a: START for a in attributes})
+    kinds = {"n": pa.int64(), "wants": pa.map_(pa.string(), pa.float64()), "likes": pa.map_(pa.string(), pa.float64()), "changes": pa.list_(pa.string())}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, profile = object(), start
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, n = object(), {}, 0
         for batch in batches:
+            lists = batch.column("moves")
+            every = list(zip(*[c.to_pylist() for c in lists.flatten().flatten()], strict=True))  # all events' moves, column by column
+            ends = [x - lists.offsets[0].as_py() for x in lists.offsets.to_pylist()]
             out = []
-            for e in batch.itertuples(index=False):
-                if e.user != held:
-                    held, profile = e.user, start
-                profile, moved = _folded(profile, e)
-                out.append((*e[: len(keys)], profile.n, profile.wants, profile.likes, moved))
-            yield pd.DataFrame(out, columns=[*keys, "n", "wants", "likes", "changes"])
+            for i, who in enumerate(batch.column("user").to_pylist()):
+                if who != held:
+                    held, state, n = who, start_of(attributes), 0
+                changes = moved(state, n, every[ends[i] : ends[i + 1]])
+                n += 1
+                out.append((n, *_split(state), changes))
+            columns = zip(*out, strict=True) if out else [()] * 4
+            told = [pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *told], [*keys, *kinds])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
-    told = rows.repartition("user").sortWithinPartitions(*keys).mapInPandas(run, f"{fields}, {HISTORY}")
+    told = rows.repartition("user").sortWithinPartitions(*keys).mapInArrow(run, f"{fields}, {HISTORY}")
     return told.toDF(user, *order, "n", "wants", "likes", "changes")
 
 
@@ -117,28 +119,75 @@ def final(events: DataFrame, user: str, order: list[str], attributes: list[str])
     return rows.groupBy(user).agg(F.max_by(F.struct("n", "wants", "likes"), "n").alias("p")).select(user, "p.*")
 
 
-def history_stream(events: DataFrame, attributes: list[str], user: str = "user_id", order: tuple[str, str] = ("ts", "event_id")) -> DataFrame:
-    """``history`` of a stream. A micro-batch's events are applied in order; one that comes later is applied when it comes.
-    State per user: the profile."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    rows = events.select(*_columns(events, user, list(order)))
-    start = Profile({a: START for a in attributes})
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        profile = start
-        if state.exists:
-            n, names, wants, kinds, likes = state.get
-            profile = Profile(dict(zip(names, wants, strict=True)), dict(zip(kinds, likes, strict=True)), n)
+class _Folded(StatefulProcessor):
+    """Keeps a user's profile, and the events that may still be overtaken by earlier ones."""
+
+    def __init__(self, attributes: list[str], idle_ms: int):
+        self.attributes, self.idle_ms = attributes, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.profile = handle.getValueState("profile", "n long, last long, slots string")
+        self.waiting = handle.getListState("waiting", "us long, id long, moves string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        latest = 0
+        for batch in rows:
+            events = list(zip(batch["us"].tolist(), batch["o1"].tolist(), batch["moves"].tolist(), strict=True))
+            self.waiting.appendList(events)
+            latest = max(latest, max(us for us, *_ in events))
+        # when the watermark is there, no earlier event can come any more
+        self.handle.registerTimer(latest // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        n, last, slots = self.profile.get() if self.profile.exists() else (0, 0, "")
+        state = json.loads(slots) if slots else start_of(self.attributes)
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((tuple(e) for e in waiting if e[0] // 1000 < now), key=lambda e: e[:2])
+        if not due:
+            if now >= last + self.idle_ms:
+                self.profile.clear()  # what waits is later than this
+            return
         out = []
-        for e in pd.concat(list(batches)).sort_values(["o0", "o1"]).itertuples(index=False):
-            profile, moved = _folded(profile, e)
-            out.append((key[0], e.o0, e.o1, profile.n, profile.wants, profile.likes, moved))
-        state.update((profile.n, list(profile.wants), list(profile.wants.values()), list(profile.likes), list(profile.likes.values())))
+        for us, event_id, told in due:
+            if n and us // 1000 - last >= self.idle_ms:
+                n, state = 0, start_of(self.attributes)
+            last = us // 1000
+            changes = moved(state, n, [(m["slot"], m.get("target"), m["step"], m["paced"]) for m in json.loads(told)])
+            n += 1
+            wants, likes = _split(state)
+            out.append((key[0], pd.Timestamp(us, unit="us"), event_id, n, json.dumps(dict(wants)), json.dumps(dict(likes)), changes))
+        rest = [tuple(e) for e in waiting if e[0] // 1000 >= now]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        self.profile.update((n, last, json.dumps(state)))
+        self.handle.registerTimer(last + self.idle_ms)
         yield pd.DataFrame(out, columns=["user", "o0", "o1", "n", "wants", "likes", "changes"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
-    told = rows.groupBy("user").applyInPandasWithState(
-        fold, f"{fields}, {HISTORY}", "n long, names array<string>, wants array<double>, kinds array<string>, likes array<double>", "append", GroupStateTimeout.NoTimeout
+    def close(self) -> None:
+        pass
+
+
+def history_stream(
+    events: DataFrame, attributes: list[str], user: str = "user_id", order: tuple[str, str] = ("ts", "event_id"), late: str = "1 hour", idle: str = "90 days"
+) -> DataFrame:
+    """``history`` of a stream whose events may come out of order.
+
+    Events wait until the watermark (``late`` behind the latest event time) has passed them and are then applied in the order of
+    time and id; so the answer is that of the batch, whatever micro-batches they came in. An event that comes behind the
+    watermark is dropped. A user's state is the profile and the waiting events; a profile that no event came to for ``idle``
+    of event time is let go, and the next event starts afresh. Needs the RocksDB state store.
+    """
+    wait = pd.Timedelta(idle) // pd.Timedelta(milliseconds=1)
+    told = _rows(events.withWatermark(order[0], late), user, list(order), attributes)
+    kind = told.schema["user"].dataType.simpleString()
+    rows = told.select("user", "o0", F.unix_micros(F.col("o0").cast("timestamp")).alias("us"), F.col("o1").cast("long").alias("o1"), F.to_json("moves").alias("moves"))
+    out = rows.groupBy("user").transformWithStateInPandas(
+        _Folded(attributes, wait), f"user {kind}, o0 timestamp, o1 long, n long, wants string, likes string, changes array<string>", "Append", "EventTime"
     )
-    return told.toDF(user, *order, "n", "wants", "likes", "changes")
+    read = lambda c: F.from_json(c, "map<string,double>").alias(c)
+    return out.select(F.col("user").alias(user), F.col("o0").alias(order[0]), F.col("o1").alias(order[1]), "n", read("wants"), read("likes"), "changes")

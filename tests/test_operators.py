@@ -321,17 +321,6 @@ def test_whole_word_tagger():
     assert pushed_label("sweet " * 9, up, down) == 5.0
 
 
-def test_profile_updates():
-    from quern.operators.profiles import Profile, updated
-
-    p, moved = updated(Profile({"a": 3.0, "b": 3.0}), 5, {"a": 5.0, "b": None}, {"x": 0.5, "y": 0.5})
-    assert p.wants == {"a": 4.0, "b": 3.0} and p.likes == {"x": 0.25, "y": 0.25} and p.n == 1 and moved == ["a", "x", "y"]
-    q, moved = updated(p, 1, {"a": 4.5, "b": 5.5}, {})  # driven off by 1/3 of 3/4; beyond reach; never below zero steps
-    assert abs(q.wants["a"] - (4.0 - 0.25)) < 1e-12 and q.wants["b"] == 3.0 and moved == ["a"]
-    r, moved = updated(q, 3, {"a": 1.0}, {"x": 1.0}, {"b": "higher", "liked": ["x"], "disliked": ["z"]})
-    assert r.wants == {"a": q.wants["a"], "b": 3.5} and abs(r.likes["x"] - 0.55) < 1e-12 and r.likes["z"] == -0.3 and r.n == 3 and moved == ["b", "x", "z"]
-
-
 def test_amounts_and_names(spark):
     r = spark.range(1).select(
         T.grams(F.lit("1.5 kg")).alias("a"), T.grams(F.lit("200g")).alias("b"), T.grams(F.lit("2 l")).alias("c"), T.price(F.lit("KRW 12,500")).alias("d"),

@@ -98,22 +98,3 @@ def test_request_kpis_stream_equals_batch(spark, sf, tmp_path):
     rows = stream(spark, tmp_path, df, lambda s: ST.request_kpis(s, "1 day"), "update")
     got = {r.start: (r.n, r.errors, r.fallback_rate) for r in rows}
     assert got == {r.start: (r.n, r.errors, r.fallback_rate) for r in ST.request_kpis(df, "1 day").collect()}
-
-
-def test_profile_stream_equals_batch(spark, sf, tmp_path):
-    k = F.col("event_id")
-    df = events(spark, sf).select(
-        "user_id", "event_id", "ts", (1 + k % 5).cast("double").alias("rating"),
-        F.create_map(F.lit("a"), 1 + F.least("ms", F.lit(80)) / 20, F.lit("b"), F.when(k % 3 == 0, F.lit(2.0))).alias("values"),
-        F.create_map(F.lit("x"), F.lit(0.5), F.lit("y"), F.lit(0.5)).alias("shares"), F.when(k % 7 == 0, F.array(F.lit("z"))).alias("liked"),
-    )
-    rows = stream(spark, tmp_path, df.coalesce(1), lambda s: profiles.history_stream(s, ["a", "b"]), "append")
-    want = {(r.user_id, r.event_id): r for r in profiles.history(df, "user_id", ["ts", "event_id"], ["a", "b"]).collect()}
-    assert len(rows) == len(want) == df.count()
-    for r in rows:  # one batch: the stream folds in the same order as the batch does
-        w = want[(r.user_id, r.event_id)]
-        assert r.n == w.n and r.changes == w.changes and r.wants.keys() == w.wants.keys()
-        assert all(math.isclose(r.wants[a], w.wants[a], rel_tol=1e-9) for a in w.wants)
-        assert all(math.isclose(r.likes[a], w.likes[a], rel_tol=1e-9, abs_tol=1e-12) for a in w.likes)
-    last = {r.user_id: r.n for r in profiles.final(df, "user_id", ["ts", "event_id"], ["a", "b"]).collect()}
-    assert last == {u: max(r.n for (v, _), r in want.items() if v == u) for u in last}
