@@ -1,9 +1,10 @@
-import math
+import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern import sources as S, streaming as ST
-from quern.operators import profiles
 
 
 def write(path, text):
@@ -98,3 +99,40 @@ def test_request_kpis_stream_equals_batch(spark, sf, tmp_path):
     rows = stream(spark, tmp_path, df, lambda s: ST.request_kpis(s, "1 day"), "update")
     got = {r.start: (r.n, r.errors, r.fallback_rate) for r in rows}
     assert got == {r.start: (r.n, r.errors, r.fallback_rate) for r in ST.request_kpis(df, "1 day").collect()}
+
+
+@pytest.mark.parametrize("accuracy", [50, 10_000])
+def test_window_percentiles_of_a_stream_are_within_the_bound(spark, tmp_path, accuracy):
+    """Five micro-batches, windows that go on over several of them, an event behind the watermark, repeated events."""
+    rng = random.Random(5)
+    rows = [(i, 60 * rng.randrange(0, 40), round(rng.lognormvariate(5, 1), 3), rng.random() < 0.1) for i in range(6000)]
+    arrival = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 500))
+    batches = [arrival[n * 1500 : n * 1500 + 1500] for n in range(4)]
+    late = (-1, 0, 1e9, True)  # comes when the watermark is far beyond it
+    batches[1] += batches[0][-5:]  # sent again, not long after
+    batches += [[(-2, 100_000, 1.0, False)], [late, (-3, 200_000, 1.0, False)]]
+    for n, part in enumerate(batches):
+        df = spark.createDataFrame(part, "event_id long, s long, ms double, failed boolean").withColumn("ts", F.timestamp_seconds(1_700_000_000 - 1_700_000_000 % 3600 + F.col("s")))
+        df = df.withColumn("cards", F.lit(1)).withColumn("fallbacks", F.lit(0))
+        df.coalesce(1).write.parquet(str(tmp_path / f"part{n}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (f,) = (tmp_path / f"part{n}").glob("*.parquet")
+        f.rename(tmp_path / "in" / f"{n}.parquet")
+        os.utime(tmp_path / "in" / f"{n}.parquet", (1_000_000 + n, 1_000_000 + n))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    told = ST.request_kpis(source, "5 minutes", "10 minutes", accuracy)
+    query = told.writeStream.outputMode("append").format("memory").queryName(f"k{accuracy}").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    got = {r.start: r for r in spark.table(f"k{accuracy}").collect()}
+    base = min(got)
+    values = {}
+    for _, s, ms, failed in rows:
+        values.setdefault(s // 300, []).append((ms, failed))
+    assert len([g for g in got if (g - base).total_seconds() < 2400]) == len(values) == 8
+    for w, own in values.items():
+        r = next(r for g, r in got.items() if (g - base).total_seconds() == 300 * w)
+        assert (r.n, r.errors) == (len(own), sum(f for _, f in own))
+        ordered = sorted(m for m, _ in own)
+        for p, v in ((0.5, r.p50), (0.95, r.p95)):
+            rank = ordered.index(v) + 1
+            assert abs(rank - p * len(own)) <= len(own) / accuracy + 1
