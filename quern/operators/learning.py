@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import staged
 from .aggregates import prf, spearman
+from .grams import Candidate, Grams, chosen_inside, clamp, cross_validate, held_out, nested, predicted  # noqa: F401
 
 
 def gram(df: DataFrame, features: list[str], target: str, group: str | None = None, weight: str | None = None) -> DataFrame:
@@ -36,131 +37,6 @@ def solve(cells: list, features: list[str], alpha: float) -> dict[str, float]:
     return dict(zip(names, np.linalg.solve(a, np.array([value[(i, "y")] for i in names])).tolist(), strict=True))
 
 
-@dataclass(frozen=True)
-class Candidate:
-    """A way to fit: the ridge strength, a weight for each kind of label, the kinds whose labels are shifted to the first
-    kind's mean, the features that are used (None: all), and whether groups have offsets."""
-
-    name: str
-    alpha: float
-    kinds: dict[str, float] = field(default_factory=lambda: {"": 1.0})
-    centred: tuple[str, ...] = ()
-    features: tuple[str, ...] | None = None
-    shrink: float | None = None
-
-
-class Grams:
-    """The Gram matrices of a table by group and kind of label: all that fitting needs.
-
-    They come from one aggregation, (features + 2)^2 / 2 numbers a group and kind, and groups are folds, so few. A
-    model without some groups is solved from the sum of the others; nothing is read again.
-    """
-
-    def __init__(self, df: DataFrame, features: list[str], target: str, group: str, kind: str | None = None):
-        self.features = features
-        names = ["1", *features, "y"]
-        at = {n: i for i, n in enumerate(names)}
-        keyed = df.withColumn("__key", F.struct(F.col(group).alias("g"), (F.col(kind) if kind else F.lit("")).alias("k")))
-        self.cells: dict[tuple, np.ndarray] = {}
-        for c in gram(keyed.where(F.col(target).isNotNull()), features, target, "__key").collect():
-            m = self.cells.setdefault((c["__key"]["g"], c["__key"]["k"]), np.zeros((len(names), len(names))))
-            m[at[c["i"]], at[c["j"]]] = m[at[c["j"]], at[c["i"]]] = c["s"]
-        self.groups = sorted({g for g, _ in self.cells})
-
-    def fit(self, how: Candidate, without: tuple = ()) -> list[float] | None:
-        """Intercept and weights (0 for unused features) of a model that saw no group of ``without``; None without rows."""
-        first = next(iter(how.kinds))
-        size = len(self.features) + 2
-        sums = {k: sum((m for (g, kk), m in self.cells.items() if kk == k and g not in without), np.zeros((size, size))) for k in how.kinds}
-        own: dict = {}
-        for (g, k), m in self.cells.items():
-            if k in how.kinds and g not in without:
-                m = m.copy()
-                if k in how.centred and sums[k][0, 0] and sums[first][0, 0]:
-                    shift = sums[k][0, -1] / sums[k][0, 0] - sums[first][0, -1] / sums[first][0, 0]
-                    m[:, -1] = m[:, -1] - shift * m[:, 0]  # the products with y, less shift; y * y is not used
-                own[g] = own.get(g, np.zeros((size, size))) + how.kinds[k] * m
-        total = sum(own.values(), np.zeros((size, size)))
-        if not total[0, 0]:
-            return None
-        used = [0, *(i + 1 for i, f in enumerate(self.features) if how.features is None or f in how.features)]
-        a = total[np.ix_(used, used)] + how.alpha * np.diag([0.0] + [1.0] * (len(used) - 1))
-        right = total[used, -1]
-        w = np.linalg.solve(a, right)
-        if how.shrink is not None:
-            for _ in range(5):  # offsets of the groups, then weights for labels less their offset, in turn
-                offset = {g: (m[0, -1] - m[0, used] @ w) / (m[0, 0] + how.shrink) for g, m in own.items()}
-                w = np.linalg.solve(a, right - sum(offset[g] * m[used, 0] for g, m in own.items()))
-        out = np.zeros(size - 1)
-        out[used] = w
-        return out.tolist()
-
-    def offsets(self, how: Candidate) -> dict:
-        """Each group's shrunken mean residual under the model of all groups."""
-        w = np.array(self.fit(how))
-        return {g: float((m[0, -1] - m[0, :-1] @ w) / (m[0, 0] + how.shrink)) for (g, _), m in sorted(self.cells.items(), key=str)}
-
-
-def predicted(df: DataFrame, features: list[str], weights: str = "weights", low: float = 1.0, high: float = 5.0) -> Column:
-    """The clipped prediction of a row's ``weights`` (intercept first)."""
-    x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features])
-    return clamp(F.aggregate(F.zip_with(F.col(weights), x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v), low, high)
-
-
-def held_out(df: DataFrame, grams: Grams, group: str, candidates: list[Candidate], low: float = 1.0, high: float = 5.0) -> DataFrame:
-    """``df`` for each candidate (candidate, pred): every row predicted by a model that saw nothing of its group."""
-    models = [(c.name, g, w) for c in candidates for g in grams.groups if (w := grams.fit(c, (g,))) is not None]
-    table = _models(df, models, group)
-    return df.join(F.broadcast(table), group).withColumn("pred", predicted(df, grams.features, low=low, high=high)).drop("weights")
-
-
-def _models(df: DataFrame, rows: list[tuple], group: str) -> DataFrame:
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"candidate string, `{group}` {kind}, weights array<double>")
-
-
-def chosen_inside(
-    df: DataFrame, grams: Grams, group: str, target: str, candidates: list[Candidate], by: str = "mae", low: float = 1.0, high: float = 5.0
-) -> DataFrame:
-    """(group, candidate): for every held-out group the candidate that is best on the other groups, each of these predicted
-    by models that saw neither it nor the held-out one. ``by``: least "mae", or most "within_1" and then least mae;
-    the earlier of equal candidates. The models number candidates x groups^2; rows are read once for all of them.
-    """
-    kind = df.schema[group].dataType.simpleString()
-    rows = [
-        (i, outer, inner, w)
-        for i, c in enumerate(candidates) for outer in grams.groups for inner in grams.groups
-        if inner != outer and (w := grams.fit(c, (outer, inner))) is not None
-    ]
-    table = df.sparkSession.createDataFrame(rows, f"place int, outer {kind}, `{group}` {kind}, weights array<double>")
-    scored = df.where(F.col(target).isNotNull()).join(F.broadcast(table), group)
-    error = F.abs(predicted(df, grams.features, low=low, high=high) - F.col(target))
-    scores = scored.groupBy("outer", "place").agg(F.round(F.avg(error), 9).alias("mae"), F.round(F.avg((error <= 1).cast("int")), 9).alias("near"))
-    order = F.struct("mae", "place") if by == "mae" else F.struct(-F.col("near"), "mae", "place")
-    best = scores.groupBy(F.col("outer").alias(group)).agg(F.min_by("place", order).alias("place"))
-    names = F.array(*[F.lit(c.name) for c in candidates])
-    return best.select(group, F.element_at(names, F.col("place") + 1).alias("candidate"))
-
-
-def nested(df: DataFrame, features: list[str], target: str, group: str, candidates: list[Candidate], kind: str | None = None, by: str = "mae",
-           low: float = 1.0, high: float = 5.0) -> DataFrame:
-    """``df``'s rows of the first kind with candidate and pred: selection inside, prediction outside. A group's rows have no
-    part in the choice of the candidate that predicts them."""
-    grams = Grams(df, features, target, group, kind)
-    rows = df.where(F.col(kind) == next(iter(candidates[0].kinds))) if kind else df
-    picked = chosen_inside(rows, grams, group, target, candidates, by, low, high)
-    return held_out(rows, grams, group, candidates, low, high).join(F.broadcast(picked), [group, "candidate"])
-
-
-def cross_validate(df: DataFrame, features: list[str], target: str, group: str, alphas: list[float]) -> dict[float, float]:
-    """Mean absolute error of leave-one-group-out ridge for each alpha, from one Gram per group."""
-    grams = Grams(df, features, target, group)
-    ways = [Candidate(str(a), a) for a in alphas]
-    far = float("inf")
-    errors = held_out(df, grams, group, ways, -far, far).groupBy("candidate").agg(F.avg(F.abs(F.col("pred") - F.col(target))).alias("mae"))
-    return {float(r["candidate"]): r["mae"] for r in errors.collect()}
-
-
 def answered(df: DataFrame, rules: dict[str, Column], pred: str, truth: str, keys: list[str]) -> DataFrame:
     """(keys, rule, coverage, within_1, mae): answers that a rule lets out. A NULL prediction is no answer."""
     told = {n: F.coalesce(c, F.lit(False)) & F.col(pred).isNotNull() for n, c in rules.items()}
@@ -275,11 +151,6 @@ def contributions(weights: dict[str, float], features: dict[str, Column], least:
     return total, F.transform(F.slice(ordered, 1, k), lambda p: p["n"])
 
 
-def clamp(x: Column, low: float, high: float) -> Column:
-    """Within a scale; NULL stays (least and greatest alone would pass over it)."""
-    return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
-
-
 def boosted_baseline(df: DataFrame, features: list[str], target: str, fold: Column, trees: int = 10, depth: int = 3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(importances, errors) of a gradient-boosted regression: (feature, importance), and (mae, mean_mae) on the rows where
     ``fold`` holds, which it did not see, beside the mean of what it saw. Rows with a NULL are left out."""
@@ -358,7 +229,7 @@ def ships(model: DataFrame, vote: DataFrame, key: str, margin: float = 0.05) ->
 def or_others_mean(df: DataFrame, pred: str, truth: str, group: str) -> DataFrame:
     """Add ``filled``: the prediction or, where there is none, the mean truth of the other groups."""
     means = others_mean(df, [group], [], truth)
-    return df.join(F.broadcast(means), group).withColumn("filled", F.coalesce(pred, "others_mean")).drop("others_mean")
+    return df.join(means, group).withColumn("filled", F.coalesce(pred, "others_mean")).drop("others_mean")
 
 
 def same_result(name: str, first: DataFrame, second: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def group_offset_ridge(t):
     """Weights and shrunken group offsets, fitted in turn."""
     rows = _rows(t).where("kind = 'gauge'")
     found = L.Grams(rows, ["x", "z"], "y", "g").offsets(L.Candidate("offsets", 1.0, shrink=10.0))
-    return rows.sparkSession.createDataFrame(list(found.items()), "g string, offset double").withColumn("offset", F.round("offset", 6))
+    return found.withColumn("offset", F.round("offset", 6))
 
 
 _AVERAGE_RANKS = "rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2.0"

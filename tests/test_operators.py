@@ -232,7 +232,7 @@ def test_offsets_equal_refitting(spark):
     x, g = rng.normal(size=(60, 2)), np.array([f"g{i % 4}" for i in range(60)])
     y = x @ [1.0, 2.0] + (g == "g2") * 1.5
     df = spark.createDataFrame([(str(g[i]), float(x[i, 0]), float(x[i, 1]), float(y[i])) for i in range(60)], "g string, a double, b double, y double")
-    got = L.Grams(df, ["a", "b"], "y", "g").offsets(L.Candidate("o", 2.0, shrink=5.0))
+    got = dict(values(L.Grams(df, ["a", "b"], "y", "g").offsets(L.Candidate("o", 2.0, shrink=5.0)), "g", "offset"))
     a, off = np.column_stack([np.ones(60), x]), {k: 0.0 for k in set(g)}
     for _ in range(6):
         w = np.linalg.solve(a.T @ a + 2.0 * np.diag([0.0, 1.0, 1.0]), a.T @ (y - np.array([off[k] for k in g])))
