@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..storage import staged
-from .aggregates import prf, spearman
+from .aggregates import spearman
 from .grams import Candidate, Grams, chosen_inside, clamp, cross_validate, held_out, nested, predicted  # noqa: F401
 
 
@@ -169,56 +169,6 @@ def boosted_baseline(df: DataFrame, features: list[str], target: str, fold: Colu
     return df.sparkSession.createDataFrame(importance, "feature string, importance double"), errors
 
 
-def tag_scores(df: DataFrame, key: str, features: list[str], tags: str, vocabulary: DataFrame, fold: str, rounds: int = 6, ridge: float = 1.0) -> DataFrame:
-    """(key, fold, tag, has, score): one logistic model for every tag of ``vocabulary`` (tag) and held-out fold, each row scored by
-    the models that did not see its fold.
-
-    All models are fitted together: a Newton step is one aggregation of (features + 1)^2 / 2 sums by tag and fold over
-    rows x tags x folds, and only the sums reach the driver. Features should be scaled alike.
-    """
-    names = ["1", *features]
-    size = len(names)
-    rows = df.select(key, F.col(fold).cast("int").alias("fold"), F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x"), F.col(tags).alias("__tags"))
-    pairs = rows.crossJoin(F.broadcast(vocabulary.select("tag"))).select(key, "fold", "x", "tag", F.array_contains("__tags", F.col("tag")).cast("double").alias("y"))
-    folds = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]
-    told = [r[0] for r in vocabulary.select("tag").distinct().orderBy("tag").collect()]
-    weights = {(t, f): np.zeros(size) for t in told for f in folds}
-    spark = df.sparkSession
-    table = lambda: F.broadcast(spark.createDataFrame([(t, f, w.tolist()) for (t, f), w in weights.items()], "tag string, held int, w array<double>"))
-    score = 1 / (1 + F.exp(-F.aggregate(F.zip_with("w", "x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)))
-    cells = list(combinations_with_replacement(range(size), 2))
-    for _ in range(rounds):
-        p = pairs.join(table(), "tag").where("held != fold").withColumn("p", score)
-        second = [F.sum(F.col("p") * (1 - F.col("p")) * F.col("x")[i] * F.col("x")[j]).alias(f"h{n}") for n, (i, j) in enumerate(cells)]
-        first = [F.sum((F.col("y") - F.col("p")) * F.col("x")[i]).alias(f"g{i}") for i in range(size)]
-        for r in p.groupBy("tag", "held").agg(*second, *first).collect():
-            h = np.zeros((size, size))
-            for n, (i, j) in enumerate(cells):
-                h[i, j] = h[j, i] = r[f"h{n}"]
-            penalty = ridge * np.diag([0.0] + [1.0] * (size - 1))
-            w = weights[(r["tag"], r["held"])]
-            step = np.linalg.solve(h + penalty + 1e-9 * np.eye(size), np.array([r[f"g{i}"] for i in range(size)]) - penalty @ w)
-            weights[(r["tag"], r["held"])] = w + np.clip(step, -4, 4)
-    scored = pairs.join(table(), "tag").where("held = fold")
-    return scored.select(key, "fold", "tag", (F.col("y") == 1).alias("has"), score.alias("score"))
-
-
-def tag_decisions(scored: DataFrame, grid: list[float]) -> DataFrame:
-    """(tag, n, precision, recall, f1) of tags decided by a threshold that each fold takes from the other folds: the one of
-    ``grid`` with the best F1 there."""
-    rows = scored.withColumn("threshold", F.explode(F.array(*[F.lit(g) for g in grid])))
-    over = F.col("score") >= F.col("threshold")
-    counts = rows.groupBy("tag", "fold", "threshold").agg(
-        F.count_if(F.col("has") & over).alias("tp"), F.count_if(~F.col("has") & over).alias("fp"), F.count_if(F.col("has") & ~over).alias("fn")
-    )
-    all_folds = Window.partitionBy("tag", "threshold")  # a row per fold
-    rest = {c: F.sum(c).over(all_folds) - F.col(c) for c in ("tp", "fp", "fn")}
-    f1 = 2 * rest["tp"] / F.nullif(2 * rest["tp"] + rest["fp"] + rest["fn"], F.lit(0))
-    picked = counts.withColumn("f1", F.coalesce(f1, F.lit(0.0))).groupBy("tag", "fold").agg(F.max_by(F.struct("tp", "fp", "fn"), F.struct("f1", -F.col("threshold"))).alias("c"))
-    sums = picked.groupBy("tag").agg(*[F.sum(f"c.{c}").alias(c) for c in ("tp", "fp", "fn")])
-    return sums.select("tag", (F.col("tp") + F.col("fn")).alias("n"), *prf(F.col("tp"), F.col("fp"), F.col("fn")))
-
-
 def ships(model: DataFrame, vote: DataFrame, key: str, margin: float = 0.05) -> DataFrame:
     """(key, model_f1, vote_f1, ship): whether a model beats the neighbours' vote by the margin. Both have key and f1; a missing one is 0."""
     a, b = model.select(key, F.col("f1").alias("model_f1")), vote.select(key, F.col("f1").alias("vote_f1"))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import aggregates as A, joins as J, learning as L
+from ..operators import aggregates as A, joins as J, learning as L, tagmodels as TM
 from .base import Registry
 from .joins import KNN_SQL
 
@@ -198,10 +198,13 @@ def _tagged(t):
 
 @query(None)
 def tag_models(t):
-    """One-versus-rest models of all words, on groups they did not see, each threshold from the other folds."""
+    """One-versus-rest models of all words of names, on groups they did not see; each fold's threshold from models that saw neither
+    it nor the rows it was picked on."""
     rows = _tagged(t)
-    words = rows.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 30").select("tag")
-    return L.tag_decisions(L.tag_scores(rows, "k", ["size", "digit"], "tags", words, "fold"), [0.1, 0.2, 0.3, 0.5])
+    words = [r.tag for r in rows.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 30").select("tag").collect()]
+    told = TM.decided_tags(rows, "k", ["size", "digit"], "tags", "fold", words, [0.1, 0.15, 0.2, 0.3, 0.5])
+    sums = told.groupBy("fold", "threshold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(n) for c, n in zip(A.set_counts(F.col("truth"), F.col("tags")), ("tp", "fp", "fn"), strict=True)])
+    return sums.select("fold", "threshold", "n", *A.prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 @query(None)

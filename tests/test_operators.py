@@ -251,17 +251,6 @@ def test_vector_models_equal_numpy(spark):
     assert all(abs(got[a][0] - want[a]) < 1e-5 for a in want) and got[0.5][1] and not got[1e9][1]
 
 
-def test_tag_models_learn_what_can_be_learned(spark):
-    rng = random.Random(7)
-    rows = [(i, x := rng.random(), (["big"] if x > 0.5 else []) + (["coin"] if rng.random() < 0.5 else []), i % 3) for i in range(300)]
-    df = spark.createDataFrame(rows, "i long, x double, tags array<string>, fold int")
-    words = spark.createDataFrame([("big",), ("coin",)], "tag string")
-    scored = L.tag_scores(df, "i", ["x"], "tags", words, "fold", ridge=0.01)
-    assert scored.count() == 600
-    got = {r.tag: r for r in L.tag_decisions(scored, [0.3, 0.5, 0.7]).collect()}
-    assert got["big"].f1 > 0.95 and got["coin"].precision < 0.65 and got["big"].n == sum("big" in r[2] for r in rows)
-
-
 def test_boosted_regression_is_judged_on_unseen_rows(spark):
     rows = [(float(i % 20), float(i % 7), float(i % 20) * 2, i % 5 == 0) for i in range(200)]
     df = spark.createDataFrame(rows, "a double, b double, y double, test boolean")
