@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ranking import average_ranks, exact_percentiles, running_counts
+from .ranking import average_ranks, exact_percentiles, running_counts, same_keys
 
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,6 +92,25 @@ def fill_grid(df: DataFrame, truth: Column, ways: dict[str, Column]) -> DataFram
     return sums.select("candidate", *prf(F.col("tp"), F.col("fp"), F.col("fn")), "tags_shown", "share_tagged")
 
 
+def gate_scores(rows: DataFrame, share: str, lift: str, right: str, positives: int, shares: list[float], lifts: list[float]) -> DataFrame:
+    """(min_share, min_lift, n, precision, recall, f1) of every cell of a grid of gates, from one pass over candidates.
+
+    A row is a candidate (its share, its lift, whether it is ``right``) that each cell lets through whose gates it clears;
+    ``positives`` is what could have been right in all. Rows are counted by how many gates of either kind they clear,
+    at most (shares + 1) * (lifts + 1) counts, which are then added up along both axes.
+    """
+    shares, lifts = sorted(shares), sorted(lifts)
+    cleared = lambda c, gates: sum((F.when(F.col(c) >= g, 1).otherwise(0) for g in gates), F.lit(0))
+    counts = rows.groupBy(cleared(share, shares).alias("i"), cleared(lift, lifts).alias("j")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(right)).alias("tp"))
+    spark = rows.sparkSession
+    cells = spark.createDataFrame([(i, j, s, g) for i, s in enumerate(shares, 1) for j, g in enumerate(lifts, 1)], "i int, j int, min_share double, min_lift double")
+    grid = cells.join(counts, ["i", "j"], "left").select("i", "j", "min_share", "min_lift", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "tp")])
+    along = lambda own, other: Window.partitionBy(own).orderBy(F.col(other).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    for own, other in (("i", "j"), ("j", "i")):
+        grid = grid.select("i", "j", "min_share", "min_lift", *[F.sum(c).over(along(own, other)).alias(c) for c in ("n", "tp")])
+    return grid.select("min_share", "min_lift", "n", *prf(F.col("tp"), F.col("n") - F.col("tp"), F.lit(positives) - F.col("tp")))
+
+
 def filled(own: Column, other: Column, most: int) -> Column:
     """One way's tags, filled up from another's to ``most``; the order stays."""
     return F.slice(F.array_distinct(F.concat(own, other)), 1, most)
@@ -99,31 +121,97 @@ def fallen_back(own: Column, other: Column) -> Column:
     return F.when(F.size(own) > 0, own).otherwise(other)
 
 
-def concat_ordered(df: DataFrame, keys: list[str], order: str, text: str, separator: str = "\n") -> DataFrame:
-    """Each key's texts in order, joined."""
-    parts = F.sort_array(F.collect_list(F.struct(order, text)))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x[text]), separator).alias(text))
-
+def concat_chunks(df: DataFrame, keys: list[str], order: list[str], text: str, separator: str = "\n", most: int = 1 << 20) -> DataFrame:
+    """(keys, chunk, text): each key's texts in order, joined, and cut into chunks of ``most`` characters, numbered from 0.
 
-def fingerprint(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
+    The keys' rows come sorted and are streamed: a task holds one chunk and one row, however long a key's text is. NULL texts
+    are left out; a key whose texts are all empty has one empty chunk.
+    """
+    rows = df.where(F.col(text).isNotNull()).select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.col(text).alias("__t"))
+    places = [f"__o{i}" for i in range(len(order))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, number, started = None, [], 0, 0, False
+        out: list[tuple] = []
+
+        def cut(last: bool) -> None:
+            nonlocal held, size, number
+            whole, at = "".join(held), 0
+            while len(whole) - at > most:  # a chunk is cut when more follows it
+                out.append((*now, number, whole[at : at + most]))
+                number, at = number + 1, at + most
+            if last:
+                out.append((*now, number, whole[at:]))
+            held, size = ([], 0) if last else ([whole[at:]], len(whole) - at)
+
+        def table() -> pa.RecordBatch:
+            kinds = [*key_types, pa.int32(), pa.string()]
+            arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, [*keys, "chunk", "text"])
+
+        key_types = None
+        for batch in batches:
+            key_types = [batch.schema.field(k).type for k in keys]
+            for *key, t in zip(*[batch.column(k).to_pylist() for k in keys], batch.column("__t"), strict=True):
+                if not started or key != now:
+                    if started:
+                        cut(True)
+                    now, number, started, first = key, 0, True, True
+                piece = ("" if first else separator) + t.as_py()
+                first = False
+                held.append(piece)
+                size += len(piece)
+                if size > most:
+                    cut(False)
+                if sum(len(x[-1]) for x in out[-64:]) > most or len(out) > 4096:
+                    yield table()
+                    out.clear()
+        if started:
+            cut(True)
+        if out:
+            yield table()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *places).mapInArrow(run, f"{fields}, chunk int, text string")
+
+
+#: Sums of a digest, and the hexadecimal digits of a value's SHA-256 that each of them takes.
+LANES, DIGITS = 4, 15
+
+
+def fingerprint(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """A digest of each key's distinct values: equal sets have equal ones, in any order.
 
-    Two levels, so that no row holds a whole set: SHA-1 of the sorted values of every bucket (by the value's MD5),
-    then SHA-1 of the bucket digests in the order of the buckets. NULL values are left out.
+    The values' hashes are added up modulo 2^60 in four lanes, beside their number. So a key's state is five numbers whatever
+    its size, sums are combined before the shuffle, and the digest of two disjoint sets is the sum of theirs
+    (``merged_fingerprints``). NULL values are left out.
     """
-    text = F.col(value).cast("string")
-    rows = df.where(F.col(value).isNotNull()).select(*keys, text.alias("__v")).distinct()
-    bucket = F.pmod(F.conv(F.substring(F.md5("__v"), 1, 4), 16, 10).cast("int"), F.lit(buckets))
-    parts = rows.groupBy(*keys, bucket.alias("__b")).agg(F.sha1(F.array_join(F.sort_array(F.collect_list("__v")), ",")).alias("__d"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("__b", "__d"))), lambda x: x["__d"])
-    return parts.groupBy(*keys).agg(F.sha1(F.array_join(ordered, ",")).alias("fingerprint"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("string").alias("__v")).distinct()
+    lane = lambda i: F.conv(F.substring(F.sha2("__v", 256), 1 + DIGITS * i, DIGITS), 16, 10).cast("decimal(38,0)")
+    sums = [(F.sum(lane(i)) % F.lit(1 << 4 * DIGITS).cast("decimal(38,0)")).cast("long").alias(f"__s{i}") for i in range(LANES)]
+    return _spelled(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *sums), keys)
+
+
+def _spelled(sums: DataFrame, keys: list[str]) -> DataFrame:
+    hexed = lambda c: F.lower(F.lpad(F.hex(c), DIGITS, "0"))
+    digest = F.concat_ws("-", F.col("__n").cast("string"), *[hexed(F.coalesce(F.col(f"__s{i}"), F.lit(0).cast("long"))) for i in range(LANES)])
+    return sums.select(*keys, digest.alias("fingerprint"))
+
+
+def merged_fingerprints(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The digests of each key's parts as one. ``df``: the keys and ``fingerprint`` of disjoint parts."""
+    parts = F.split("fingerprint", "-")
+    lane = lambda i: F.conv(parts[1 + i], 16, 10).cast("decimal(38,0)")
+    sums = [(F.sum(lane(i)) % F.lit(1 << 4 * DIGITS).cast("decimal(38,0)")).cast("long").alias(f"__s{i}") for i in range(LANES)]
+    return _spelled(df.groupBy(*keys).agg(F.sum(parts[0].cast("long")).alias("__n"), *sums), keys)
 
 
 def median_or(df: DataFrame, fine: list[str], coarse: list[str], value: str) -> DataFrame:
     """Each fine key's median, else its coarse key's, half-even to whole numbers."""
-    a = df.groupBy(*fine).agg(F.median(value).alias("own"))
-    b = df.groupBy(*coarse).agg(F.median(value).alias("wider"))
-    joined = a.join(b, coarse)
+    keys = df.select(*fine).distinct()
+    a = exact_percentiles(df, fine, value, {"own": 0.5}).drop("n").alias("a")
+    b = exact_percentiles(df, coarse, value, {"wider": 0.5}).drop("n").alias("b")
+    joined = keys.alias("k").join(a, same_keys("k", "a", fine), "left").join(b, same_keys("k", "b", coarse), "left").select("k.*", "own", "wider")
     note = F.when(F.col("own").isNotNull(), "own").when(F.col("wider").isNotNull(), "wider").otherwise("none")
     return joined.select(*fine, F.bround(F.coalesce("own", "wider")).alias("median"), note.alias("basis"))
 
@@ -152,11 +240,11 @@ def agreement(pred: Column, truth: Column) -> list[Column]:
 
 
 def spearman(df: DataFrame, group: list[str], a: str, b: str, ordinal_by: str | None = None) -> DataFrame:
-    """Rank correlation by group, of rows with both values; ties at their mean or, with ``ordinal_by``, in that order."""
+    """Rank correlation by group, of rows with both values; ties at their mean or, with ``ordinal_by`` (a number of its own for
+    each row of a group), in that order."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     if ordinal_by:
-        rank = lambda c: F.row_number().over(Window.partitionBy(*group).orderBy(c, ordinal_by))
-        ranked = rows.withColumn("__a", rank(a)).withColumn("__b", rank(b))
+        ranked = ordinal_ranks(ordinal_ranks(rows, group, a, ordinal_by, "__a"), group, b, ordinal_by, "__b")
     else:
         ranked = average_ranks(average_ranks(rows, group, a, "__a"), group, b, "__b")
     # NULL where one side doesn't vary
@@ -164,6 +252,18 @@ def spearman(df: DataFrame, group: list[str], a: str, b: str, ordinal_by: str |
     return ranked.groupBy(*group).agg(F.round(rho, 6).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
+def ordinal_ranks(df: DataFrame, group: list[str], value: str, position: str, out: str) -> DataFrame:
+    """Add ``out``: the rank in the group, ties in the order of ``position``. Rows below a value and places among equal ones are both
+    running counts, so that no task holds a group's rows, nor those of one value."""
+    below = running_counts(df, group, value, {"n": F.count(F.lit(1))}).select(*group, value, (F.col("upto_n") - F.col("n")).alias("__below")).alias("b")
+    told = df.select(*group, value, F.col(position).alias("__at"))
+    place = running_counts(told, [*group, value], "__at", {"n": F.count(F.lit(1))}).select(*group, value, "__at", F.col("upto_n").alias("__place")).alias("p")
+    a = df.withColumn("__at", F.col(position)).alias("a")
+    on = same_keys("a", "b", group) & (F.col(f"a.{value}") == F.col(f"b.{value}"))
+    at = same_keys("a", "p", [*group, "__at"]) & (F.col(f"a.{value}") == F.col(f"p.{value}"))
+    return a.join(below, on).join(place, at).select(*[f"a.{c}" for c in df.columns], (F.col("__below") + F.col("__place")).alias(out))
+
+
 def threshold_sweep(df: DataFrame, value: str, truth: Column) -> DataFrame:
     """Per distinct threshold: tp, fp, fn, tn of value >= threshold, from running counts of the distinct values."""
     c = running_counts(df, [], value, {"pos": F.count_if(truth), "neg": F.count_if(~truth)})

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import like_escaped
-from ..functions.vectors import sparse_cosine
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
@@ -167,20 +167,22 @@ def fit_level(percent: Column) -> Column:
 
 
 def fit_score(
-    values: dict[str, Column], wanted: dict[str, Column], shares: Column, weights: Column, halved: dict[str, Column] | None = None,
+    values: dict[str, Column], wanted: dict[str, Column], shares: dict[str, Column], weights: dict[str, Column], halved: dict[str, Column] | None = None,
     attributes: float = 0.6, flavors: float = 0.4,
 ) -> Column:
-    """How well an item fits a preference: closeness of the known attributes and cosine of the flavour maps, blended.
+    """How well an item fits a preference: closeness of the known attributes and cosine of the flavours, blended.
 
-    An attribute counts half where ``halved`` says so; unknown ones are left out. Without attributes or without a
-    cosine the other part is the score, without both it is 0.5. The scale's span is 4.
+    An attribute counts half where ``halved`` says so; unknown ones are left out. Flavours are a number for each of few kinds
+    (what the item has, what is liked), so the cosine is plain arithmetic. Without attributes or without a cosine the other
+    part is the score, without both it is 0.5. The scale's span is 4.
     """
     weight = {a: F.when((halved or {}).get(a, F.lit(False)), 0.5).otherwise(1.0) for a in values}
     known = {a: F.when(v.isNotNull(), weight[a]).otherwise(0.0) for a, v in values.items()}
     close = {a: F.coalesce(weight[a] * (1 - F.abs(wanted[a] - v) / 4), F.lit(0.0)) for a, v in values.items()}
     total = lambda parts: reduce(lambda a, c: a + c, parts.values())
     near = total(close) / F.nullif(total(known), F.lit(0.0))
-    taste = (sparse_cosine(weights, shares) + 1) / 2
+    product = lambda a, b: reduce(lambda x, y: x + y, (a[k] * b[k] for k in a))
+    taste = (product(weights, shares) / F.nullif(F.sqrt(product(weights, weights)) * F.sqrt(product(shares, shares)), F.lit(0.0)) + 1) / 2
     return F.coalesce(attributes * near + flavors * taste, near, taste, F.lit(0.5))
 
 
@@ -202,6 +204,17 @@ def precedence(layers: list[tuple[str, Column]]) -> tuple[Column, Column]:
     return F.coalesce(*[v for _, v in layers]), source.otherwise(F.lit(None).cast("string"))
 
 
+def merged_answer(rule: Column, answer: Column, normaliser: Callable[[Column], Column]) -> tuple[Column, Column]:
+    """(value, origin): a rule's value, else a model's answer as the normaliser names it. An answer it doesn't know is none."""
+    return precedence([("rule", rule), ("model", normaliser(answer))])
+
+
+def evidence_counts(rows: DataFrame, source: str, evidence: str, kinds: list[str]) -> DataFrame:
+    """(source, candidates, with_evidence, by_<kind>): candidates of each source, those with any evidence, and those of each kind."""
+    by = [F.count_if(F.col(evidence) == k).alias(f"by_{k}") for k in kinds]
+    return rows.groupBy(source).agg(F.count(F.lit(1)).alias("candidates"), F.count(evidence).alias("with_evidence"), *by)
+
+
 def latest_ok_snapshot(manifest: DataFrame, source: str, snapshot: str, ok: str) -> DataFrame:
     """Each source's newest successful snapshot."""
     return manifest.where(F.col(ok)).groupBy(source).agg(F.max(snapshot).alias(snapshot))

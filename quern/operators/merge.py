@@ -91,6 +91,22 @@ def cache_state(rows: DataFrame, cache: DataFrame, key: str, text: str) -> DataF
     return rows.join(c, key, "left").select(key, state.alias("state"))
 
 
+def calls(rows: DataFrame, cache: DataFrame, key: str, text: str, retry: bool = False, most: int | None = None) -> DataFrame:
+    """(key, state, action) of an enrichment run over a cache: ``reuse`` what is current, ``call`` for what is missing or stale, and
+    for what failed on the same text only with ``retry`` (else ``skip``). Of the calls only the first ``most`` by key are made;
+    the rest is left for the next run (``later``)."""
+    state = cache_state(rows, cache, key, text)
+    wanted = F.col("state").isin("missing", "stale") | (F.lit(retry) & (F.col("state") == "failed"))
+    action = F.when(F.col("state") == "hit", "reuse").when(wanted, "call").otherwise("skip")
+    told = state.withColumn("action", action)
+    if most is None:
+        return told
+    first = told.where("action = 'call'").select(key).orderBy(key).limit(most).withColumn("__now", F.lit(True))
+    late = (F.col("action") == "call") & F.col("__now").isNull()
+    return told.join(first, key, "left").select(key, "state", F.when(late, "later").otherwise(F.col("action")).alias("action"))
+
+
+
 def variant(parents: DataFrame, children: DataFrame, key: str, source: str, restricted: list[str]) -> tuple[DataFrame, DataFrame]:
     """Parents of unrestricted sources, and their children."""
     kept = parents.where(~F.coalesce(F.col(source).isin(restricted), F.lit(False)))

@@ -35,15 +35,18 @@ def same_keys(left: str, right: str, keys: list[str]) -> Column:
     return reduce(lambda a, k: a & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")), keys, F.lit(True))
 
 
-def running_counts(df: DataFrame, group: list[str], value: str, measures: dict[str, Column], buckets: int = 64) -> DataFrame:
+def running_counts(df: DataFrame, group: list[str], value: str, measures: dict[str, Column], buckets: int = 64, few: int = 1 << 18) -> DataFrame:
     """(group, value, each measure, upto_<measure>, all_<measure>): sums per distinct value, up to it, and of the group.
 
-    ``value`` is numeric; NULLs are left out. Two levels: distinct values are cut into about equal ranges at
+    ``value`` is numeric; NULLs are left out. The sums by distinct value are staged and counted: up to ``few`` in a group,
+    one window adds them up. Beyond that there are two levels: distinct values are cut into about equal ranges at
     approximate quantiles (any cut gives the same sums), summed within a range, and a range starts
-    with the sums of those before it. So no task holds a group's distinct values. The sums by value, and these with their
-    ranges, are staged, as each is read twice.
+    with the sums of those before it. So no task holds more than ``few`` of a group's distinct values.
     """
     sums = staged(df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(*[c.alias(m) for m, c in measures.items()]), "sums")
+    if (sums.groupBy(*group).count().agg(F.max("count")).first()[0] or 0) <= few:
+        by, upto = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        return sums.select(*group, value, *measures, *[F.sum(m).over(upto).alias(f"upto_{m}") for m in measures], *[F.sum(m).over(by).alias(f"all_{m}") for m in measures])
     cuts = sums.groupBy(*group).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 500).alias("__cuts"))
     s, c = sums.alias("s"), F.broadcast(cuts.alias("c")) if not group else cuts.alias("c")
     below = F.size(F.filter("__cuts", lambda x: x < F.col(value)))

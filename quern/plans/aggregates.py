@@ -69,11 +69,14 @@ def category_vector(t):
     return t("part").select("p_partkey", F.explode(V.category_shares(tags, kinds)).alias("category", "share")).withColumn("share", F.round("share", 6))
 
 
-@query("""SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest, CAST(count(*) AS BIGINT) AS turns FROM conversations GROUP BY conv_id""")
+@query("""WITH w AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS whole, CAST(count(*) AS BIGINT) AS turns FROM conversations GROUP BY conv_id),
+    c AS (SELECT conv_id, turns, whole, unnest(range(CAST(greatest(ceil(length(whole) / 1000.0), 1) AS INT))) AS chunk FROM w)
+    SELECT conv_id, CAST(chunk AS INT) AS chunk, md5(substr(whole, 1 + CAST(chunk AS INT) * 1000, 1000)) AS digest, turns FROM c""")
 def concat_by_parent(t):
+    """Each conversation's turns in order as one text, in chunks of a thousand characters."""
     rows = t("conversations").select("conv_id", "turn", "text")
     n = rows.groupBy("conv_id").agg(F.count("*").alias("turns"))
-    return A.concat_ordered(rows, ["conv_id"], "turn", "text").join(n, "conv_id").select("conv_id", F.md5("text").alias("digest"), "turns")
+    return A.concat_chunks(rows, ["conv_id"], ["turn", "text"], "text", most=1000).join(n, "conv_id").select("conv_id", "chunk", F.md5("text").alias("digest"), "turns")
 
 
 @query("""WITH a AS (SELECT p_brand, p_type, median(CASE WHEN p_size < 40 AND p_partkey % 2 = 0 THEN p_size END) AS own FROM part GROUP BY 1, 2),
@@ -131,11 +134,15 @@ def quality_summary(t):
     ).join(p95, "lang")
 
 
-@query("""WITH k AS (SELECT DISTINCT p_brand, CAST(p_partkey AS VARCHAR) AS k FROM part),
-    b AS (SELECT p_brand, ('0x' || substr(md5(k), 1, 4))::INT % 64 AS b, sha1(string_agg(k, ',' ORDER BY k)) AS d FROM k GROUP BY 1, 2)
-    SELECT p_brand, sha1(string_agg(d, ',' ORDER BY b)) AS fingerprint FROM b GROUP BY p_brand""")
+_LANES_SQL = ", ".join(f"lower(lpad(to_hex(CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT AS HUGEINT)) % 1152921504606846976 AS BIGINT)), 15, '0')) AS s{i}" for i in range(4))
+
+
+@query(f"""WITH k AS (SELECT DISTINCT p_brand, sha256(CAST(p_partkey AS VARCHAR)) AS h FROM part), s AS (SELECT p_brand, count(*) AS n, {_LANES_SQL} FROM k GROUP BY 1)
+    SELECT p_brand, concat_ws('-', n, s0, s1, s2, s3) AS fingerprint FROM s""")
 def id_fingerprint(t):
-    return A.fingerprint(t("part"), ["p_brand"], "p_partkey")
+    """The digest of each brand's ids: the sum of the digests of two parts."""
+    parts = [A.fingerprint(t("part").where(f"p_partkey % 2 = {i}"), ["p_brand"], "p_partkey") for i in (0, 1)]
+    return A.merged_fingerprints(parts[0].unionByName(parts[1]), ["p_brand"])
 
 
 @query("""SELECT p_brand, p_name, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY
@@ -207,15 +214,28 @@ def tag_fill_grid(t):
     return A.fill_grid(rows, F.col("truth"), ways)
 
 
-@query(f"""WITH {PAIRS_SQL}, g AS (SELECT *, s AS min_share, l AS min_lift FROM rules, (VALUES (0.1), (0.15), (0.2)) v(s), (VALUES (1.0), (1.1)) w(l))
-    SELECT CAST(min_share AS DOUBLE) AS min_share, CAST(min_lift AS DOUBLE) AS min_lift, CAST(count(*) FILTER (n_a >= 5 AND n_ab >= 3 AND share >= min_share AND lift >= min_lift) AS BIGINT) AS rules FROM g GROUP BY 1, 2""")
+GATES = {"shares": [0.1, 0.15, 0.2, 0.4], "lifts": [0.9, 1.0, 1.1, 1.3]}
+
+
+@query(f"""WITH {TAGS_SQL}, v AS (SELECT p_brand, p_partkey FROM part WHERE p_size > 40), c AS (SELECT p_brand, count(*) AS c FROM v GROUP BY 1),
+    b AS (SELECT tag, count(*) / CAST((SELECT count(DISTINCT p_partkey) FROM tags) AS DOUBLE) AS base FROM (SELECT DISTINCT p_partkey, lower(tag) AS tag FROM tags) GROUP BY 1),
+    s AS (SELECT v.p_brand, tag, count(*) / CAST(any_value(c) AS DOUBLE) AS share FROM v JOIN c USING (p_brand) JOIN (SELECT DISTINCT p_partkey, lower(tag) AS tag FROM tags) t ON t.p_partkey = v.p_partkey GROUP BY 1, 2),
+    r AS (SELECT DISTINCT p_brand, lower(tag) AS tag FROM tags JOIN part ON tags.p_partkey = part.p_partkey WHERE p_size <= 5),
+    x AS (SELECT s.share, s.share / base AS lift, r.tag IS NOT NULL AS hit FROM s JOIN b USING (tag) LEFT JOIN r ON r.p_brand = s.p_brand AND r.tag = s.tag),
+    g AS (SELECT CAST(min_share AS DOUBLE) AS min_share, CAST(min_lift AS DOUBLE) AS min_lift FROM (SELECT unnest({GATES["shares"]}) AS min_share), (SELECT unnest({GATES["lifts"]}) AS min_lift)),
+    k AS (SELECT min_share, min_lift, count(*) FILTER (share >= min_share AND lift >= min_lift) AS n, count(*) FILTER (share >= min_share AND lift >= min_lift AND hit) AS tp, (SELECT count(*) FROM r) AS p FROM g, x GROUP BY 1, 2)
+    SELECT min_share, min_lift, CAST(n AS BIGINT) AS n, round(coalesce(tp / CAST(nullif(n, 0) AS DOUBLE), 0), 6) AS precision, round(coalesce(tp / CAST(nullif(p, 0) AS DOUBLE), 0), 6) AS recall, round(coalesce(2 * tp / CAST(nullif(n + p, 0) AS DOUBLE), 0), 6) AS f1 FROM k""")
 def gate_grid(t):
-    """How many rules clear each cell of a grid of gates; the pairs are counted once."""
-    rules = _rules(t, 0.0, 0.0)
-    grid = [F.struct(F.lit(s).alias("s"), F.lit(l).alias("l")) for s in (0.1, 0.15, 0.2) for l in (1.0, 1.1)]
-    cells = rules.select("*", F.explode(F.array(*grid)).alias("g"))
-    ok = (F.col("share") >= F.col("g.s")) & (F.col("lift") >= F.col("g.l"))
-    return cells.groupBy(F.col("g.s").alias("min_share"), F.col("g.l").alias("min_lift")).agg(F.count_if(ok).alias("rules"))
+    """What a vote of each brand's large parts says of its small ones' tags, for every pair of gates on share and lift."""
+    tags = _tags(t).select("p_partkey", F.lower("tag").alias("tag")).distinct()
+    part = t("part").select("p_partkey", "p_brand", "p_size")
+    voters = part.where("p_size > 40")
+    votes = voters.join(tags, "p_partkey").groupBy("p_brand", "tag").agg(F.count(F.lit(1)).alias("v"))
+    rates = A.base_rates(_tags(t).withColumn("tag", F.lower("tag")), "p_partkey", "tag").select("tag", "base")
+    share = votes.join(voters.groupBy("p_brand").agg(F.count(F.lit(1)).alias("c")), "p_brand").withColumn("share", F.col("v") / F.col("c"))
+    true = part.where("p_size <= 5").join(tags, "p_partkey").select("p_brand", "tag").distinct().withColumn("right", F.lit(True))
+    rows = share.join(rates, "tag").withColumn("lift", F.col("share") / F.col("base")).join(true, ["p_brand", "tag"], "left").withColumn("right", F.coalesce("right", F.lit(False)))
+    return A.gate_scores(rows, "share", "lift", "right", true.count(), **GATES)
 
 
 @query("SELECT p_partkey, array_to_string((CASE WHEN list_contains(string_split(p_name, ' '), p_type) THEN string_split(p_name, ' ') ELSE list_concat(string_split(p_name, ' '), [p_type]) END)[1:2], ',') AS tags FROM part")
@@ -347,6 +367,14 @@ def spearman(t):
     return A.spearman(t("part").select("p_type", "p_size", (F.col("p_partkey") % 13).alias("m")), ["p_type"], "p_size", "m")
 
 
+@query(f"""WITH {PRED_SQL}, r AS (SELECT p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS a, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey % 13, p_partkey) AS b FROM p)
+    SELECT p_type, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) AS rho, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY p_type""")
+def spearman_ordinal(t):
+    """Rank correlation with ties in the order of keys."""
+    rows = t("part").select("p_type", "p_size", (F.col("p_partkey") % 13).alias("m"), "p_partkey")
+    return A.spearman(rows, ["p_type"], "p_size", "m", ordinal_by="p_partkey")
+
+
 @query("""WITH x AS (SELECT p_size AS threshold, p_partkey % 3 = 0 AS pos FROM part), t AS (SELECT DISTINCT threshold FROM x)
     SELECT t.threshold, CAST(count(*) FILTER (x.threshold >= t.threshold AND pos) AS BIGINT) AS tp, CAST(count(*) FILTER (x.threshold >= t.threshold AND NOT pos) AS BIGINT) AS fp,
     CAST(count(*) FILTER (x.threshold < t.threshold AND pos) AS BIGINT) AS fn, CAST(count(*) FILTER (x.threshold < t.threshold AND NOT pos) AS BIGINT) AS tn FROM x, t GROUP BY t.threshold""")

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T, vectors as V
+from ..functions import rules as N, text as T, vectors as V
 from ..operators import filters as O, ranking as R
-from .base import Registry
+from .base import Registry, planted, planted_sql, quoted
 
 registry = Registry()
 query = registry.add
@@ -32,11 +32,12 @@ KINDS = {"hot": "warm", "red": "warm", "cold": "cool", "blue": "cool"}
 
 def items(t):
     k, size, kind = F.col("p_partkey"), F.col("p_size"), F.col("p_type")
-    kinds = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    words = F.split("p_name", " ")
+    of = lambda c: sum((F.when(w.isin([x for x, y in KINDS.items() if y == c]), 1.0).otherwise(0.0) for w in (words[0], words[1])), F.lit(0.0))
     return t("part").select(
         "*", (kind == "SMALL").alias("decaf"), (kind == "PROMO").alias("option"), F.when(k % 7 != 0, size * 4).alias("mg"),
         F.col("p_name").contains("plate").alias("milk"), F.when(k % 5 != 0, (1 + size % 5).cast("double")).alias("a"),
-        F.when(k % 3 != 0, (1 + k % 5).cast("double")).alias("b"), V.category_shares(F.split("p_name", " "), kinds).alias("shares"),
+        F.when(k % 3 != 0, (1 + k % 5).cast("double")).alias("b"), of("warm").alias("has_warm"), of("cool").alias("has_cool"),
     )
 
 
@@ -46,9 +47,9 @@ def profiled(t):
     profiles = rows.sparkSession.sql(f"SELECT * FROM VALUES {PROFILES} AS v({COLUMNS})")
     rule, decaf, option, mg, milk = (F.col(c) for c in ("rule", "decaf", "option", "mg", "milk"))
     reason = O.first_reason(O.intake_rules(rule, decaf, option, mg, F.col("remaining"), milk, F.col("milk_ok")))
-    weights = F.create_map(F.lit("warm"), F.col("warm").cast("double"), F.lit("cool"), F.col("cool").cast("double"))
+    weights = {c: F.col(c).cast("double") for c in ("warm", "cool")}
     wanted = {"a": F.col("want_a").cast("double"), "b": F.col("want_b").cast("double")}
-    score = O.fit_score({"a": F.col("a"), "b": F.col("b")}, wanted, F.col("shares"), weights, halved={"a": milk})
+    score = O.fit_score({"a": F.col("a"), "b": F.col("b")}, wanted, {c: F.col(f"has_{c}") for c in weights}, weights, halved={"a": milk})
     return (
         rows.crossJoin(F.broadcast(profiles)).withColumn("reason", reason).withColumn("swap", O.needs_swap(rule, decaf, option, mg))
         .withColumn("score", F.round(score, 6))
@@ -368,9 +369,37 @@ def evidence_ranking(t):
     return R.top_k(rows, ["p_brand"], [F.col("p_size").desc(), F.col("p_retailprice").desc(), F.col("p_partkey")], 3, "place").select("p_brand", "p_partkey", "p_size", "place")
 
 
+@query("""SELECT p_type AS source, CAST(count(*) AS BIGINT) AS candidates, CAST(count(*) FILTER (p_size > 10 AND p_partkey % 3 <> 0) AS BIGINT) AS with_evidence,
+    CAST(count(*) FILTER (p_size > 10 AND p_partkey % 3 <> 0 AND p_partkey % 2 = 0) AS BIGINT) AS by_rule, CAST(count(*) FILTER (p_size > 10 AND p_partkey % 3 <> 0 AND p_partkey % 2 = 1) AS BIGINT) AS by_text
+    FROM part GROUP BY p_type""")
+def evidence_counts(t):
+    """Candidates of a probe, those with evidence, and what the evidence is, by source."""
+    k = F.col("p_partkey")
+    evidence = F.when((F.col("p_size") > 10) & (k % 3 != 0), F.when(k % 2 == 0, "rule").otherwise("text"))
+    return O.evidence_counts(t("part").select(F.col("p_type").alias("source"), evidence.alias("evidence")), "source", "evidence", ["rule", "text"])
+
+
 @query("""WITH x AS (SELECT p_brand, p_partkey, abs(p_size - 25) AS err FROM part)
     SELECT p_brand, p_partkey, err, CASE WHEN best <= 3 THEN 'best' ELSE 'worst' END AS side FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY err, p_partkey) AS best,
         row_number() OVER (PARTITION BY p_brand ORDER BY err DESC, p_partkey) AS worst FROM x) WHERE best <= 3 OR worst <= 2""")
 def best_worst(t):
     rows = t("part").select("p_brand", "p_partkey", F.abs(F.col("p_size") - 25).alias("err"))
     return R.best_and_worst(rows, ["p_brand"], "err", "p_partkey")
+
+
+ANSWERS = ["Fully Washed", "Natural / Dry", "pulped natural honey", "who knows", "carbonic maceration", "wet hulled", "SEMI-LAVADO"]
+
+
+def _answer_sql():
+    ladder = lambda text, steps: "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}', 'i') THEN '{n}'" for n, p in steps) + " END"
+    return f"""WITH {planted_sql(ANSWERS)}, m AS (SELECT doc_id, t, [{quoted(ANSWERS)}][1 + (doc_id * 3) % 7] AS a FROM x), v AS (SELECT doc_id, {ladder("t", N.PROSE_PROCESSES)} AS rule, CASE WHEN doc_id % 4 <> 0 THEN {ladder("a", N.LABEL_PROCESSES)} END AS model FROM m)
+        SELECT doc_id, coalesce(rule, model) AS process, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN model IS NOT NULL THEN 'model' END AS origin FROM v"""
+
+
+@query(_answer_sql())
+def merged_answers(t):
+    """What rules read from whole texts; a model's answer fills a gap once it is one of the names that results carry."""
+    said = F.element_at(F.array(*[F.lit(x) for x in ANSWERS]), (1 + (F.col("doc_id") * 3) % 7).cast("int"))
+    rows = planted(t, ANSWERS).select("doc_id", N.ladder(F.col("t"), N.PROSE_PROCESSES).alias("rule"), F.when(F.col("doc_id") % 4 != 0, said).alias("answer"))
+    process, origin = O.merged_answer(F.col("rule"), F.col("answer"), lambda a: N.ladder(a, N.LABEL_PROCESSES))
+    return rows.select("doc_id", process.alias("process"), origin.alias("origin"))

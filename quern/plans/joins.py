@@ -160,6 +160,15 @@ def knn_filtered_fallback(t):
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(KNN_SQL + """, o AS (SELECT * FROM s WHERE NOT preferred) SELECT query, neighbor, rank, round(sim, 6) AS similarity FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbor) AS INT) AS rank FROM o) WHERE rank <= 10""")
+def knn_other_groups(t):
+    """The nearest vectors of other labels: the query's own group is left out."""
+    v = t("embeddings").select("vec_id", "embedding", "label")
+    near = J.knn(v.where("vec_id % 100 = 0"), v, key="vec_id", vector="embedding", k=10, exclude="label")
+    return near.withColumn("similarity", F.round("similarity", 6))
+
+
 JACCARD_SQL = """x AS (SELECT p_partkey AS k, p_brand AS g, p_retailprice, list_distinct(list_concat(string_split(p_name, ' '), [p_type])) AS f FROM part),
     s AS (SELECT a.k AS query, b.k AS neighbor, len(list_intersect(a.f, b.f)) / CAST(len(a.f) + len(b.f) - len(list_intersect(a.f, b.f)) AS DOUBLE) AS sim
           FROM x a JOIN x b ON a.g <> b.g),

@@ -201,6 +201,13 @@ def cache_hit_miss(t):
     return M.cache_state(t("part"), _cache(t), "p_partkey", "p_name")
 
 
+@query(f"""WITH {CACHE}, s AS (SELECT p.p_partkey, {STATE} AS state FROM part p LEFT JOIN c USING (p_partkey)), o AS (SELECT *, row_number() OVER (PARTITION BY state <> 'hit' ORDER BY p_partkey) AS r FROM s)
+    SELECT p_partkey, state, CASE WHEN state = 'hit' THEN 'reuse' WHEN r <= 100 THEN 'call' ELSE 'later' END AS action FROM o""")
+def enrichment_calls(t):
+    """What a run over the cache reuses, and its first hundred calls, failed rows tried again."""
+    return M.calls(t("part"), _cache(t), "p_partkey", "p_name", retry=True, most=100)
+
+
 @query(f"""WITH {CACHE} SELECT p.p_partkey, coalesce(CASE WHEN p_size > 30 THEN 'BIG' END, CASE WHEN {STATE} = 'hit' AND c.answer IN ('PROMO', 'SMALL') THEN c.answer END) AS kind,
     CASE WHEN p_size > 30 THEN 'rule' WHEN {STATE} = 'hit' AND c.answer IN ('PROMO', 'SMALL') THEN 'cache' END AS origin FROM part p LEFT JOIN c USING (p_partkey)""")
 def fill_from_cache(t):

@@ -148,3 +148,10 @@ def request_windows(t):
     rates = ST.request_kpis(e, "1 hour").select("start", "n", F.round("error_rate", 6).alias("error_rate"), F.round("fallback_rate", 6).alias("fallback_rate"))
     exact = ST.window_percentiles(e, "1 hour").select("start", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
     return rates.join(exact, "start").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
+@query("""SELECT CAST(ordinal_position AS INT) AS position, column_name AS "column", CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' END AS type, true AS nullable
+    FROM (SELECT row_number() OVER () AS ordinal_position, column_name, column_type AS data_type FROM (DESCRIBE SELECT * FROM documents))""")
+def column_dictionary(t):
+    """Numbered definitions of a table's columns."""
+    return S.data_dictionary(t("documents"))

@@ -76,8 +76,9 @@ def test_bands_and_gaps(spark):
 
 def test_fit_score_of_known_parts(spark):
     df = spark.createDataFrame([(1.0, None, False, {"x": 1.0}), (1.0, 5.0, True, {"y": 1.0}), (None, None, False, {"x": 1.0}), (None, None, False, {}), (3.0, 3.0, False, {})], "a double, b double, milk boolean, s map<string,double>")
-    w = F.create_map(F.lit("x"), F.lit(1.0))
-    score = O.fit_score({"a": F.col("a"), "b": F.col("b")}, {"a": F.lit(3.0), "b": F.lit(3.0)}, F.col("s"), w, {"a": F.col("milk")})
+    shares = {k: F.coalesce(F.try_element_at("s", F.lit(k)), F.lit(0.0)) for k in "xy"}
+    w = {"x": F.lit(1.0), "y": F.lit(0.0)}
+    score = O.fit_score({"a": F.col("a"), "b": F.col("b")}, {"a": F.lit(3.0), "b": F.lit(3.0)}, shares, w, {"a": F.col("milk")})
     got = [round(r[0], 6) for r in df.select(score).collect()]
     # closeness 1/2 and cosine 1; (0.5 * 1/2 + 1 * 1/2) / 1.5 and cosine 0; cosine alone; nothing; closeness alone
     assert got == [0.6 * 0.5 + 0.4, 0.6 * 0.5 + 0.4 * 0.5, 1.0, 0.5, 1.0]
@@ -121,10 +122,70 @@ def test_running_counts_and_percentiles(spark):
     assert R.exact_percentiles(df.limit(0), ["g"], "v", {"p": 0.5}).count() == 0
 
 
-def test_fingerprints_do_not_depend_on_order(spark):
-    df = spark.createDataFrame([("x", i) for i in range(300)] + [("y", i) for i in range(299, -1, -1)] + [("z", i) for i in range(1, 301)], "g string, i long")
+def test_fingerprints_add_up(spark):
+    df = spark.createDataFrame([("x", i) for i in range(300)] + [("y", i) for i in range(299, -1, -1)] + [("z", i) for i in range(1, 301)] + [("x", 5), ("x", None)], "g string, i long")
     got = dict(values(A.fingerprint(df, ["g"], "i"), "g", "fingerprint"))
-    assert got["x"] == got["y"] != got["z"]
+    assert got["x"] == got["y"] != got["z"] and got["x"].startswith("300-")
+    parts = A.fingerprint(df.where("i < 100"), ["g"], "i").unionByName(A.fingerprint(df.where("i >= 100"), ["g"], "i"))
+    assert dict(values(A.merged_fingerprints(parts, ["g"]), "g", "fingerprint")) == got
+    # an addition modulo 2^60 in four lanes, from the definition
+    import hashlib
+
+    lanes = [sum(int(hashlib.sha256(str(i).encode()).hexdigest()[15 * n : 15 * n + 15], 16) for i in range(300)) % (1 << 60) for n in range(4)]
+    assert got["x"] == "-".join(["300", *[f"{v:015x}" for v in lanes]])
+    assert A.fingerprint(df.limit(0), [], "i").first().fingerprint == "0-" + "-".join(["0" * 15] * 4)
+
+
+def test_long_texts_in_chunks(spark):
+    rows = [("a", i, f"t{i}" * (i % 5)) for i in range(400)] + [("b", 1, ""), ("c", 1, None), ("d", 1, "xyz"), ("d", 0, "w"), ("e", 0, "q" * 95)]
+    df = spark.createDataFrame(rows, "g string, i long, t string").repartition(7)
+    for most in (1, 7, 95, 100_000):
+        got = {}
+        for r in A.concat_chunks(df, ["g"], ["i"], "t", most=most).collect():
+            got.setdefault(r.g, {})[r.chunk] = r.text
+        for g in "abde":
+            whole = "\n".join(t for k, _, t in sorted(x for x in rows if x[2] is not None) if k == g)
+            parts = [got[g][i] for i in range(len(got[g]))]
+            assert "".join(parts) == whole and all(len(p) == most for p in parts[:-1]) and len(parts[-1]) <= most
+            assert len(parts) == max(1, -(-len(whole) // most))
+        assert "c" not in got
+
+
+def test_gates_are_scored_from_one_pass(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([0.1, 0.2, rng.random()]), rng.choice([1.0, 2 * rng.random()]), rng.random() < 0.4) for _ in range(500)]
+    shares, lifts = [0.2, 0.1, 0.7], [1.0, 1.5]
+    got = A.gate_scores(spark.createDataFrame(rows, "s double, l double, ok boolean"), "s", "l", "ok", 250, shares, lifts).collect()
+    assert len(got) == 6
+    for r in got:
+        passed = [ok for s, l, ok in rows if s >= r.min_share and l >= r.min_lift]
+        tp = sum(passed)
+        assert r.n == len(passed) and r.precision == round(tp / len(passed), 6) and r.recall == round(tp / 250, 6)
+        assert abs(r.f1 - 2 * tp / (len(passed) + 250)) < 1e-6
+    none = A.gate_scores(spark.createDataFrame([], "s double, l double, ok boolean"), "s", "l", "ok", 0, [0.5], [1.0]).first()
+    assert (none.n, none.precision, none.recall, none.f1) == (0, 0.0, 0.0, 0.0)
+
+
+def test_ordinal_ranks_and_both_plans_of_running_counts(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), float(rng.randrange(6)), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double, i long")
+    got = {(r.g, r.i): r.r for r in A.ordinal_ranks(df, ["g"], "v", "i", "r").collect()}
+    for g in "ab":
+        for rank, (_, v, i) in enumerate(sorted(x for x in rows if x[0] == g), 1):
+            assert got[(g, i)] == rank
+    one = R.running_counts(df, ["g"], "i", {"n": F.count(F.lit(1))})
+    two = R.running_counts(df, ["g"], "i", {"n": F.count(F.lit(1))}, buckets=5, few=0)
+    assert values(one, *one.columns) == values(two, *one.columns)
+
+
+def test_calls_are_limited_and_failed_ones_are_tried_again(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(8)], "k long, t string")
+    cache = spark.createDataFrame([(0, "t0", "ok"), (1, "t1", "failed"), (2, "old", "ok"), (3, "old", "failed")], "k long, t string, status string").select("k", F.sha1("t").alias("hash"), "status")
+    plain = {r.k: r.action for r in M.calls(rows, cache, "k", "t").collect()}
+    assert plain == {0: "reuse", 1: "skip", 2: "call", 3: "call", 4: "call", 5: "call", 6: "call", 7: "call"}
+    some = {r.k: r.action for r in M.calls(rows, cache, "k", "t", retry=True, most=3).collect()}
+    assert some == {0: "reuse", 1: "call", 2: "call", 3: "call", 4: "later", 5: "later", 6: "later", 7: "later"}
 
 
 def test_snapshots(spark):
