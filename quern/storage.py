@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths made by this process, in order.
-_made: list[str] = []
+#: Paths made in this context (a thread has its own), in order: two runs in one driver don't see each other's.
+_paths: ContextVar[list[str]] = ContextVar("quern_paths")
+
+
+def _made() -> list[str]:
+    try:
+        return _paths.get()
+    except LookupError:
+        _paths.set([])
+        return _paths.get()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}/{name}"
-    _made.append(path)
+    _made().append(path)
     return path
 
 
@@ -43,13 +52,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def mark() -> int:
-    """A point in the order of paths, for ``discard``."""
-    return len(_made)
+    """A point in the order of this context's paths, for ``discard``."""
+    return len(_made())
 
 
 def discard(spark: SparkSession, since: int) -> None:
-    """Delete what was made since ``since``, except the path made last: for when that was derived from the rest."""
-    for path in _made[since:-1]:
+    """Delete what this context made since ``since``, except the path made last: for when that was derived from the rest."""
+    made = _made()
+    for path in made[since:-1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    del _made[since:-1]
+    del made[since:-1]
