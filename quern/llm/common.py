@@ -10,8 +10,8 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def sized(df: DataFrame, most: int = 64 << 20) -> DataFrame:
-    """A broadcast hint if the rows, a staged table's, are measured to take fewer than ``most`` bytes."""
+def fits(df: DataFrame, most: int = 64 << 20) -> bool:
+    """Whether the rows, a staged table's, are measured to take at most ``most`` bytes."""
     size = F.lit(0)
     for f in df.schema.fields:
         kind, c = f.dataType.simpleString(), F.col(f"`{f.name}`")
@@ -21,7 +21,12 @@ def sized(df: DataFrame, most: int = 64 << 20) -> DataFrame:
             size = size + 16 + F.coalesce(F.octet_length(F.array_join(c, " ")) + 16 * F.size(c), F.lit(0))
         else:
             size = size + 16
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
+    return (df.agg(F.sum(size)).first()[0] or 0) <= most
+
+
+def sized(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A broadcast hint if the rows ``fits``."""
+    return F.broadcast(df) if fits(df, most) else df
 
 
 def ascii_lower(text: Column) -> Column:

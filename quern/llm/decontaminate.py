@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ascii_lower, null_safe_key, sized, staged
+from .common import ascii_lower, fits, null_safe_key, sized, staged
 
 WINDOW = 13
 #: How far from its place in the phrase the second rarest term may stand in a proximity match.
@@ -80,14 +80,20 @@ def rare_terms(items: DataFrame, texts: DataFrame, window: int = WINDOW) -> Data
 def positional_index(texts: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     """Postings of ``terms`` (term, wide): term, key, pos and, where ``wide``, the words around it.
 
-    ``around`` holds the words from pos - reach to pos + reach, ``left`` how many of them precede it.
+    ``around`` holds the words from pos - reach to pos + reach, ``left`` how many of them precede it. Terms that are too
+    many to broadcast meet bare postings (term, key, pos) by a shuffle; the words around those that are left
+    are cut from the texts afterwards, so no posting travels with its text.
     """
     left = F.least(F.col("pos"), F.lit(reach))
     around = F.slice("w", F.col("pos") - left + 1, left + reach + 1)
-    placed = texts.select("key", "w", F.posexplode("w").alias("pos", "term"))
-    return placed.join(sized(terms, BROADCAST_BYTES), "term").select(
-        "term", "key", "pos", left.alias("left"), F.when(F.col("wide"), around).alias("around")
-    )
+    if fits(terms, BROADCAST_BYTES):
+        placed = texts.select("key", "w", F.posexplode("w").alias("pos", "term")).join(F.broadcast(terms), "term")
+        return placed.select("term", "key", "pos", left.alias("left"), F.when(F.col("wide"), around).alias("around"))
+    bare = staged(texts.select("key", F.posexplode("w").alias("pos", "term")).join(terms, "term"), "bare")
+    whole = texts.select("key", "w").dropDuplicates(["key"])
+    wide = bare.where("wide").join(whole, "key").select("term", "key", "pos", left.alias("left"), around.alias("around"))
+    none = F.lit(None).cast("array<string>")
+    return wide.unionByName(bare.where("NOT wide").select("term", "key", "pos", left.alias("left"), none.alias("around")))
 
 
 def index_of(texts: DataFrame, rare: DataFrame, window: int = WINDOW) -> DataFrame:

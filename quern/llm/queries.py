@@ -73,17 +73,17 @@ def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 8 over all turns of the conversations: only the assistant's turns bear loss, 1024 tokens a sequence at most.
+    """Operator 8 over all conversations, each an item: only the assistant's turns bear loss, 1024 tokens a sequence at most."""
+    pieces = vector_packing.pack_conversations(table(spark, sf_dir, "conversations"), max_loss=1024)
+    return pieces.select("conv_id", "turn", "start", "length", F.crc32("ids").alias("ids_crc32"), "loss_tokens", "item_tokens", "sequence_id", "offset")
 
-    A turn is an item, so that a conversation of any length is never in one task.
-    """
-    turns = table(spark, sf_dir, "conversations").select(
-        F.struct("conv_id", "turn").alias("doc_id"), "text", F.when(F.col("role") != "assistant", F.lit(2**31 - 1)).alias("loss_from")
-    )
-    pieces = vector_packing.pack_vectors(turns, max_loss=1024)
-    return pieces.select(
-        "doc_id.conv_id", "doc_id.turn", "start", "length", F.crc32("ids").alias("ids_crc32"), "loss_tokens", "doc_tokens", "sequence_id", "offset"
-    )
+
+def matrix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2's rows written as raw id matrices with their sidecars, and read back."""
+    path = scratch(spark, "matrices")
+    bfd_packing.write_matrices(bfd_packing.pack_best_fit(table(spark, sf_dir, "documents")), path)
+    rows = bfd_packing.read_matrices(spark, path)
+    return rows.select("sequence_id", "n_tokens", F.crc32("input_ids").alias("ids_crc32"), "cu_seqlens", "position_resets", "doc_ids", "doc_starts")
 
 
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_arc_to_warc, op2_bfd_packing, op3_weak_supervision_pii, op4_license_patience, op5_distribution_quality,
         op6_balanced_label_propagation, op7_positional_index, op8_vector_packing, op9_simhash_ball,
         op10_string_kernel_language, op11_centroid_clusters, op12_circulant_minhash, op13_periodic_runs, conversation_packing,
-        pipeline,
+        matrix_files, pipeline,
     )
 }
 

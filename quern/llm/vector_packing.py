@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.ranking import running_counts, same_keys
 from . import tokens
+from .common import staged
 
 #: A pool is packed when it holds so many items or tokens: bounds a task's memory.
 POOL_ITEMS, POOL_TOKENS = 2048, 1 << 20
@@ -63,6 +65,8 @@ class Packer:
     max_tokens: int
     max_segments: int
     max_loss: int
+    #: Never cut an item that fits into an empty sequence; sequences then end where nothing more fits.
+    whole: bool = False
     pool: list[Item] = field(default_factory=list)
     tokens: int = 0
 
@@ -70,12 +74,19 @@ class Packer:
         while item.length >= self.max_tokens and item.fitting(self.max_tokens, self.max_loss) == self.max_tokens:
             yield [(item, item.start, self.max_tokens)]
             item = Item(item.doc_id, item.ids, item.loss, item.total, item.start + self.max_tokens)
+        while self.whole and item.length and (n := item.fitting(self.max_tokens, self.max_loss)) < item.length:
+            # what is longer than a sequence is cut before it meets others
+            self._wait(Item(item.doc_id, item.ids[: item.start + n], item.loss, item.total, item.start))
+            item = Item(item.doc_id, item.ids, item.loss, item.total, item.start + n)
         if item.length:
-            self.pool.append(item)
-            self.tokens += item.length
+            self._wait(item)
         if len(self.pool) >= POOL_ITEMS or self.tokens >= POOL_TOKENS:
             yield from self.pack(keep=min(self.tokens // 8, 8 * self.max_tokens))
 
+    def _wait(self, item: Item) -> None:
+        self.pool.append(item)
+        self.tokens += item.length
+
     def pack(self, keep: int = 0) -> Iterator[list[tuple[Item, int, int]]]:
         """Pack until at most ``keep`` tokens wait."""
         while self.tokens > keep:
@@ -86,7 +97,7 @@ class Packer:
             while self.tokens > keep and alive.any():
                 placed = self._one(pool, need, loss, alive)
                 n = sum(x[2] for x in placed)
-                if n < self.max_tokens:
+                if n < self.max_tokens and not self.whole:
                     placed = self._cut_back(placed, n, pool)
                     need = np.concatenate([need, [i.length for i in pool[len(need) :]]])
                     loss = np.concatenate([loss, [i.loss_of(i.length) for i in pool[len(loss) :]]])
@@ -110,6 +121,8 @@ class Packer:
                 k = int(np.argmax(np.where(fits, score, -1.0)))
                 n = int(need[k])
                 alive[k] = False
+            elif self.whole:
+                break
             else:
                 k = int(np.argmax(np.where(alive, score, -1.0)))
                 n = pool[k].fitting(room, loss_room)
@@ -213,3 +226,104 @@ def pack_vectors(
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long"
     return rows.mapInArrow(run, schema)
+
+
+def conversation_parts(turns: DataFrame, max_tokens: int, tokenizer: str | None, end_id: int, bearing: str) -> DataFrame:
+    """conv_id, segment, part, turn, ids, bears of every turn, staged: turns of one (conv_id, segment, part) are one item.
+
+    A conversation of up to ``max_tokens`` is one segment. A longer one is cut between turns, where a turn starts behind a
+    multiple of ``max_tokens``; turns that share a number are dealt over parts, if they are more than a sequence holds. So no
+    task has to hold a whole conversation: where turns start comes from running counts.
+    """
+    path = tokenizer or tokens.default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = tokens.chunk_ids(path)
+        end = np.array([end_id], dtype="<u4").tobytes()
+        for batch in batches:
+            ids = [tokens.encode(memo, t.as_py()) + end for t in batch.column(0)]
+            rest = [*batch.columns[1:], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays(rest, ["conv_id", "turn", "bears", "ids", "n"])
+
+    bears = F.coalesce(F.col("role") == bearing, F.lit(False))
+    own = turns.select("text", F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long")).alias("turn"), bears.alias("bears"))
+    rows = staged(own.mapInArrow(run, "conv_id long, turn long, bears boolean, ids binary, n long"), "turns")
+    starts = running_counts(rows, ["conv_id"], "turn", {"n": F.sum("n")}).select("conv_id", "turn", (F.col("upto_n") - F.col("n")).alias("before"), F.col("n").alias("tied"), "all_n")
+    r, s = rows.alias("r"), starts.alias("s")
+    met = r.join(s, same_keys("r", "s", ["conv_id", "turn"])).select("r.*", "before", "tied", "all_n")
+    segment = F.when(F.col("all_n") <= max_tokens, 0).otherwise(F.floor(F.col("before") / max_tokens))
+    # without a conversation every turn is its own
+    part = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "ids")).otherwise(
+        F.when(F.col("tied") > max_tokens, F.pmod(F.xxhash64("ids"), F.ceil(F.col("tied") / max_tokens))).otherwise(0)
+    )
+    return met.select("conv_id", segment.cast("long").alias("segment"), part.cast("long").alias("part"), "turn", "ids", "bears")
+
+
+def pack_conversations(
+    turns: DataFrame, *, max_tokens: int = 4096, max_segments: int = 256, max_loss: int | None = None, tokenizer: str | None = None, end_id: int = 2, bearing: str = "assistant"
+) -> DataFrame:
+    """Pack whole conversations (conv_id, turn, role, text) into sequences; a row per piece.
+
+    A conversation's turns, in order and each followed by ``end_id``, are one item, so that an answer stands behind what it
+    answers; only the turns of role ``bearing`` bear loss. An item that fits into a sequence by itself is never
+    cut; a longer conversation is cut (see ``conversation_parts``), and so is an item with more loss than a sequence may bear.
+    Output: conv_id, turn (the item's first), start, length, ids, loss_tokens, item_tokens, sequence_id, offset.
+    Sequences are not padded to a length: they end where nothing more fits.
+
+    A NULL text is the end id alone, a NULL role bears no loss, NULL turns come first; turns with one number are ordered by their
+    ids. Turns without a conv_id are items of their own. Other columns are ignored; an empty table gives no rows.
+    """
+    limit = max_tokens if max_loss is None else max_loss
+    if min(max_tokens, max_segments, limit) < 1:
+        raise ValueError("each limit of a sequence must be at least 1")
+    rows = conversation_parts(turns, max_tokens, tokenizer, end_id, bearing)
+    by = ["conv_id", "segment", "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, k = TaskContext.get().partitionId() << 33, 0
+        packer = Packer(max_tokens, max_segments, limit, whole=True)
+        out: list[tuple] = []
+
+        def emit(sequences) -> None:
+            nonlocal k
+            for placed in sequences:
+                offset = 0
+                for item, start, length in placed:
+                    bears = int(item.loss[start + length] - item.loss[start])
+                    out.append((*item.doc_id, start, length, item.ids[start : start + length].tobytes(), bears, item.total, base + k, offset))
+                    offset += length
+                k += 1
+
+        def table() -> pa.RecordBatch:
+            kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 4
+            arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["conv_id", "turn", "start", "length", "ids", "loss_tokens", "item_tokens", "sequence_id", "offset"])
+
+        now, held = None, []
+
+        def close() -> None:
+            if held:
+                ids = np.concatenate([x for _, x, _ in held])
+                marks = np.concatenate([np.full(len(x), b, dtype=np.int64) for _, x, b in held])
+                loss = np.concatenate([[0], np.cumsum(marks)])
+                emit(packer.add(Item((now[0], held[0][0]), ids, loss, len(ids))))
+                held.clear()
+
+        for batch in batches:
+            for conv, segment, part, turn, ids, bears in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (conv, segment, part) != now:
+                    close()
+                    now = (conv, segment, part)
+                held.append((turn, np.frombuffer(ids, dtype="<u4"), int(bears)))
+                if len(out) > 2000:
+                    yield table()
+        close()
+        emit(packer.pack())
+        if out:
+            yield table()
+
+    schema = "conv_id long, turn long, start long, length long, ids binary, loss_tokens long, item_tokens long, sequence_id long, offset long"
+    return rows.repartition(*by).sortWithinPartitions(*by, "turn", "ids").mapInArrow(run, schema)

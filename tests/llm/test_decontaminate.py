@@ -101,3 +101,14 @@ def test_sql_of_the_query(spark, sf):
         columns = sorted(got.columns)
         want = c.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
         assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
+
+
+def test_too_many_terms_to_broadcast_give_the_same(spark, sf, docs, odd_docs, monkeypatch):
+    """Bare postings that meet the terms by a shuffle, contexts cut from the texts afterwards."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    tables = [docs, odd_docs.select("doc_id", "text").union(docs.limit(20).select("doc_id", "text"))]
+    told = lambda t: sorted((tuple(map(str, r)) for r in decontaminate.contamination(t, items).drop("key").collect()))
+    small = [told(t) for t in tables]
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert [told(t) for t in tables] == small
+    assert any("True" in r for r in small[0])

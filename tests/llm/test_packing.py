@@ -144,23 +144,101 @@ def test_vector_packing_equals_brute_force():
         assert got == brute_vectors(items, *limits)
 
 
-def test_conversations_mask_prompts(spark, sf):
+def check_conversations(pieces, turns, max_tokens, max_segments, max_loss):
+    """Every token once and in order, whole conversations uncut, every limit kept."""
+    by_item, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_item[(p.conv_id, p.turn, p.item_tokens)].append(p)
+        by_sequence[p.sequence_id].append(p)
+    convs = defaultdict(list)
+    for conv_id, turn, role, text in turns:
+        convs[conv_id].append((-1 if turn is None else turn, np.array(ids_of(text), "<u4"), role == "assistant"))
+    total = defaultdict(int)
+    for p in pieces:
+        total[p.conv_id] += p.length
+    assert total == {c: sum(len(x) for _, x, _ in ts) for c, ts in convs.items()}
+    for c, ts in convs.items():
+        if c is None:
+            continue
+        ts.sort(key=lambda t: (t[0], t[1].tobytes()))
+        ids = np.concatenate([x for _, x, _ in ts])
+        marks = np.concatenate([np.full(len(x), b, dtype=int) for _, x, b in ts])
+        own = sorted((p for p in pieces if p.conv_id == c), key=lambda p: (p.turn, p.start))
+        if len({t for t, *_ in ts}) == len(ts):
+            assert b"".join(bytes(p.ids) for p in own) == ids.tobytes()
+            at = 0
+            for p in own:
+                assert p.loss_tokens == marks[at : at + p.length].sum()
+                at += p.length
+        if len(ids) <= max_tokens:
+            assert len({p.turn for p in own}) == 1  # one item
+            if marks.sum() <= max_loss:
+                assert len(own) == 1  # and uncut
+    for s in by_sequence.values():
+        s.sort(key=lambda p: p.offset)
+        at = 0
+        for p in s:
+            assert p.offset == at
+            at += p.length
+        assert at <= max_tokens and len(s) <= max_segments and sum(p.loss_tokens for p in s) <= max_loss
+    return by_sequence
+
+
+def test_conversations_are_packed_whole(spark, sf):
     from quern.llm.queries import conversation_packing
 
-    turns = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
-    got = conversation_packing(spark, sf).collect()
-    loss, tokens_of = defaultdict(int), defaultdict(int)
-    by_sequence = defaultdict(list)
-    for p in got:
-        tokens_of[(p.conv_id, p.turn)] += p.length
-        loss[(p.conv_id, p.turn)] += p.loss_tokens
-        by_sequence[p.sequence_id].append(p)
-    assert tokens_of.keys() == turns.keys()
-    for k, r in turns.items():
-        n = len(ids_of(r.text))
-        assert tokens_of[k] == n and loss[k] == (n if r.role == "assistant" else 0)
-    assert all(sum(p.loss_tokens for p in s) <= 1024 and sum(p.length for p in s) <= 4096 for s in by_sequence.values())
-    assert max(sum(p.loss_tokens for p in s) for s in by_sequence.values()) > 1000
+    turns = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    for limits in ((4096, 256, 1024), (300, 5, 120)):
+        pieces = vector_packing.pack_conversations(table, max_tokens=limits[0], max_segments=limits[1], max_loss=limits[2]).collect()
+        sequences = check_conversations(pieces, turns, *limits)
+        assert max(sum(p.loss_tokens for p in s) for s in sequences.values()) > 0.8 * limits[2]
+    digest = {(p.conv_id, p.turn, p.start): p for p in conversation_packing(spark, sf).collect()}
+    for p in vector_packing.pack_conversations(table, max_loss=1024).collect():
+        assert digest[(p.conv_id, p.turn, p.start)].ids_crc32 == zlib.crc32(bytes(p.ids))
+
+
+def test_odd_and_long_conversations(spark):
+    schema = "conv_id long, turn long, role string, text string, ids string, segment int, n int"
+    long = [(1, i, "assistant" if i % 2 else "user", f"word{i} " * 30) for i in range(200)]
+    rows = long + [(2, 0, "user", "hi"), (2, None, None, None), (2, 1, "assistant", ""), (3, 0, "assistant", "x " * 3000), (None, 0, "user", "a b"), (None, 1, "assistant", "c")]
+    rows += [(4, 0, "user", f"same turn {i} " * 9) for i in range(60)] + [(5, 0, "user", "again"), (5, 0, "user", "again")]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], schema).repartition(5)
+    pieces = vector_packing.pack_conversations(df, max_tokens=256, max_segments=8, max_loss=100).collect()
+    check_conversations(pieces, rows, 256, 8, 100)
+    assert vector_packing.pack_conversations(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="at least 1"):
+        vector_packing.pack_conversations(df, max_loss=0)
+
+
+def test_id_matrices_are_written_and_read_back(spark, docs, odd_docs, no_docs, tmp_path):
+    import json
+    import os
+
+    for n, table in enumerate((docs, odd_docs, no_docs)):
+        rows = bfd_packing.pack_best_fit(table.repartition(3), length=256)
+        path = str(tmp_path / f"m{n}")
+        bfd_packing.write_matrices(rows, path)
+        key = lambda r: r.sequence_id
+        want, got = sorted(rows.collect(), key=key), sorted(bfd_packing.read_matrices(spark, path).collect(), key=key)
+        assert [tuple(r) for r in got] == [tuple(r) for r in want]
+        parts = json.load(open(f"{path}/manifest.json"))["parts"]
+        assert sum(p["n"] for p in parts) == len(want)
+        # the matrix is raw: numpy reads it by its shape
+        for p in parts:
+            matrix = np.fromfile(f"{path}/{p['name']}.ids", "<u4").reshape(p["n"], 256)
+            assert {m.tobytes() for m in matrix} <= {bytes(r.input_ids) for r in want}
+    # what a lost attempt leaves is in no manifest; what was changed is told
+    path = str(tmp_path / "m0")
+    open(f"{path}/part-lost.ids", "wb").write(b"1234")
+    assert bfd_packing.read_matrices(spark, path).count() == sum(1 for _ in bfd_packing.pack_best_fit(docs.repartition(3), length=256).collect())
+    first = json.load(open(f"{path}/manifest.json"))["parts"][0]["name"]
+    size = os.path.getsize(f"{path}/{first}.ids")
+    with open(f"{path}/{first}.ids", "r+b") as f:
+        f.seek(size - 4)
+        f.write(b"\x01\x02\x03\x04")
+    with pytest.raises(Exception, match="not what was written"):
+        bfd_packing.read_matrices(spark, path).collect()
 
 
 def brute_best_fit(lengths, length):
