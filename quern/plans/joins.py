@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates as A, joins as J
+from ..operators import aggregates as A, joins as J, neighbors as NB
 from .base import Registry
 
 registry = Registry()
@@ -169,6 +169,18 @@ def knn_other_groups(t):
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(KNN_SQL + """, o AS (SELECT * FROM s WHERE NOT preferred), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbor) AS rank FROM o),
+    p AS (SELECT query, sum(greatest(sim, 0.01) * l.label) / sum(greatest(sim, 0.01)) AS pred FROM r JOIN u l ON l.vec_id = neighbor WHERE rank <= 10 GROUP BY query)
+    SELECT query, round(pred, 6) AS pred, label FROM p JOIN u ON query = vec_id""")
+def knn_other_groups_eval(t):
+    """What the nearest vectors of other labels say of a query's label, by a search that is pruned with pivots."""
+    v = t("embeddings").select("vec_id", "embedding", "label")
+    near = NB.pruned_knn(v.where("vec_id % 100 = 0"), v, key="vec_id", vector="embedding", k=10, exclude="label", pivots=32)
+    w = F.greatest("similarity", F.lit(0.01))
+    told = near.join(v.select(F.col("vec_id").alias("neighbor"), F.col("label").alias("l")), "neighbor").groupBy("query").agg((F.sum(w * F.col("l")) / F.sum(w)).alias("pred"))
+    return told.join(v.select(F.col("vec_id").alias("query"), "label"), "query").select("query", F.round("pred", 6).alias("pred"), "label")
+
+
 JACCARD_SQL = """x AS (SELECT p_partkey AS k, p_brand AS g, p_retailprice, list_distinct(list_concat(string_split(p_name, ' '), [p_type])) AS f FROM part),
     s AS (SELECT a.k AS query, b.k AS neighbor, len(list_intersect(a.f, b.f)) / CAST(len(a.f) + len(b.f) - len(list_intersect(a.f, b.f)) AS DOUBLE) AS sim
           FROM x a JOIN x b ON a.g <> b.g),
