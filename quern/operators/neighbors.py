@@ -22,13 +22,17 @@ EPS = 1e-6
 
 def _unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     """The vectors at unit length, and which of them have a length (the others are left out)."""
-    x = np.array(vectors, dtype=float).reshape(len(vectors), -1)
-    size = np.linalg.norm(x, axis=1) if len(x) else np.zeros(0)
+    if not vectors:
+        return np.zeros((0, 0)), np.zeros(0, dtype=bool)
+    x = np.array(vectors, dtype=float)
+    size = np.linalg.norm(x, axis=1)
     good = np.isfinite(size) & (size > 0)
     return x[good] / size[good, None], good
 
 
 def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    if not len(x):
+        return np.zeros((0, len(pivots)))
     return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
 
 
@@ -55,7 +59,7 @@ def pruned_knn(
         for batch in batches:
             x, good = _unit(batch["v"].tolist())
             angles = _angles(x, centres)
-            near = angles.argmin(axis=1) if len(x) else np.zeros(0, dtype=int)
+            near = angles.argmin(axis=1)
             own = batch[good]
             yield pd.DataFrame({"key": own["key"], "e": own["e"], "v": pd.Series(list(x), index=own.index, dtype=object), "c": near, "a": angles[np.arange(len(x)), near]})
 
@@ -87,7 +91,7 @@ def pruned_knn(
         """Each query with the pivots that it has not met and that may hold a nearer vector."""
         for batch in batches:
             out = []
-            x = np.array(batch["v"].tolist(), dtype=float).reshape(len(batch), -1)
+            x = np.array(batch["v"].tolist(), dtype=float)
             for i, angles in enumerate(_angles(x, centres)):
                 bound, met = batch["bound"].iloc[i], set(batch["met"].iloc[i])
                 out += [(i, c) for c in np.flatnonzero((size > 0) & (angles - reach <= bound + EPS)) if c not in met]
