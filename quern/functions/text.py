@@ -134,10 +134,11 @@ def match_name(text: Column) -> Column:
 
 
 def slug(name: Column, known: dict[str, str], prefix: str) -> Column:
-    """A known name's key, or a prefix and the name's hash."""
-    pairs = [F.lit(x) for kv in known.items() for x in kv]
-    listed = F.create_map(*pairs)[name] if pairs else F.lit(None).cast("string")
-    return F.coalesce(listed, F.concat(F.lit(prefix), F.substring(F.sha1(name), 1, 8)))
+    """A known name's key, or a prefix and the name's hash; blanks don't count in a name."""
+    bare = F.regexp_replace(name, r"\s+", "")
+    pairs = [F.lit(x) for k, v in known.items() for x in (re.sub(r"\s+", "", k), v)]
+    listed = F.create_map(*pairs)[bare] if pairs else F.lit(None).cast("string")
+    return F.coalesce(listed, F.concat(F.lit(prefix), F.substring(F.sha1(bare), 1, 8)))
 
 
 def is_note_list(text: Column, most: int = 24) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import filters as O, merge as M
+from ..operators import feeds as FD, filters as O, merge as M
 from .base import Registry
 
 registry = Registry()
@@ -252,3 +252,34 @@ def label_policy(t):
     body = M.label_policy(kind, F.col("p_size"), {"PROMO": F.col("p_size") + 100, "LARGE": None})
     label = M.label_policy(kind, F.lit("own"), {"PROMO": F.lit("relabelled"), "LARGE": None})
     return t("part").select("p_partkey", body.alias("body"), label.alias("label"))
+
+
+CUP_SQL = """f AS (SELECT doc_id, doc_id % 2 AS v, [ 'Ethiopia', 'Kenya (Nyeri)', 'romania', ' ', 'Sumatra', '콜롬비아' ][1 + doc_id % 6] AS country, CASE WHEN doc_id % 5 <> 0 THEN source END AS region,
+        [ 'Washed / Wet', 'Natural / Dry', 'Double Anaerobic Washed', 'Other' ][1 + doc_id % 4] AS process, ['1,950-2,050m', '1600', '190164', 'none', '0-1500 m'][1 + doc_id % 5] AS altitude,
+        CASE WHEN doc_id % 9 <> 0 THEN CAST(n_chars % 97 AS VARCHAR) ELSE '' END AS acid, CAST(n_chars % 13 AS VARCHAR) AS body, CASE WHEN doc_id % 8 = 0 THEN 'Decaf Ltd, swiss water' ELSE 'owner' END AS owner FROM documents)"""
+
+
+@query(f"""WITH {CUP_SQL}, x AS (SELECT *, TRY_CAST(acid AS DOUBLE) AS a, TRY_CAST(body AS DOUBLE) AS b FROM f),
+    ra AS (SELECT doc_id, (rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0) / count(*) OVER () AS p FROM x WHERE a IS NOT NULL),
+    rb AS (SELECT doc_id, (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) / count(*) OVER () AS p FROM x WHERE b IS NOT NULL),
+    e AS (SELECT x.*, CASE WHEN ra.p IS NOT NULL THEN CAST(least(5, greatest(1, ceil(ra.p * 5 - 1e-9))) AS INT) END AS acidity, CASE WHEN rb.p IS NOT NULL THEN CAST(least(5, greatest(1, ceil(rb.p * 5 - 1e-9))) AS INT) END AS bodied FROM x LEFT JOIN ra USING (doc_id) LEFT JOIN rb USING (doc_id))
+    SELECT 'cup:' || CASE WHEN v = 0 THEN 'old' ELSE 'new' END || ':' || doc_id AS key, coalesce(nullif(concat_ws(' ', nullif(trim(country), ''), region), ''), 'sample') AS name,
+        CASE doc_id % 6 WHEN 0 THEN 'Ethiopia' WHEN 1 THEN 'Kenya' WHEN 4 THEN 'Indonesia' WHEN 5 THEN 'Colombia' END AS origin_country,
+        CASE doc_id % 4 WHEN 0 THEN 'washed' WHEN 1 THEN 'natural' WHEN 2 THEN 'anaerobic' END AS process, acidity, bodied AS body,
+        CASE doc_id % 5 WHEN 0 THEN 2000 WHEN 1 THEN 1600 WHEN 4 THEN 1500 END AS altitude_m, CASE WHEN doc_id % 8 = 0 THEN 'swiss-water' END AS decaf_process,
+        coalesce(array_to_string(list_filter([CASE WHEN acidity IS NOT NULL THEN 'acidity' END, CASE WHEN bodied IS NOT NULL THEN 'body' END], lambda q: q IS NOT NULL), ','), '') AS labelled FROM e""")
+def cupping_entities(t):
+    """Two cupping tables of different columns, dotted ones too, as entities of one feed, made of the documents' numbers."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (1 + k % len(xs)).cast("int"))
+    rows = t("documents").select(
+        k.alias("i"), pick(["Ethiopia", "Kenya (Nyeri)", "romania", " ", "Sumatra", "콜롬비아"]).alias("Country of Origin"), F.when(k % 5 != 0, F.col("source")).alias("Region"),
+        pick(["Washed / Wet", "Natural / Dry", "Double Anaerobic Washed", "Other"]).alias("Processing Method"), pick(["1,950-2,050m", "1600", "190164", "none", "0-1500 m"]).alias("Altitude"),
+        F.when(k % 9 != 0, (n % 97).cast("string")).otherwise("").alias("Acidity"), (n % 13).cast("string").alias("Body"), F.when(k % 8 == 0, "Decaf Ltd, swiss water").otherwise("owner").alias("Owner"),
+    )
+    spaced = {"country": "Country of Origin", "region": "Region", "process": "Processing Method", "acid": "Acidity", "body": "Body", "owner": "Owner", "altitude": "Altitude"}
+    dotted = {f: c.replace(" ", ".") for f, c in spaced.items()}
+    old = rows.where("i % 2 = 0").toDF(*[c.replace(" ", ".") for c in rows.columns])
+    files = {"old": (old, FD.Layout(dotted), "u1"), "new": (rows.where("i % 2 = 1"), FD.Layout(spaced), "u2")}
+    e = FD.cupping_feed(files, "i", "cup", "2026-01-01")
+    return e.select("key", "name", "origin_country", "process", "acidity", "body", "altitude_m", "decaf_process", F.array_join(F.array_sort(F.map_keys("attr_label_source")), ",").alias("labelled"))
