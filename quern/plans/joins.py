@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates as A, joins as J, neighbors as NB
+from ..operators import aggregates as A, dictionary as D, joins as J, neighbors as NB, prediction as P
 from .base import Registry
 
 registry = Registry()
@@ -181,6 +181,56 @@ def knn_other_groups_eval(t):
     return told.join(v.select(F.col("vec_id").alias("query"), "label"), "query").select("query", F.round("pred", 6).alias("pred"), "label")
 
 
+_VOTE_SQL = """(SELECT query, list(tag ORDER BY worth DESC, tag)[1:5] AS tags FROM (
+        SELECT n.query, tag, count(*) / CAST(any_value(c.c) AS DOUBLE) AS share, any_value(base) AS base, count(*) / CAST(any_value(c.c) AS DOUBLE) * ln(1 / greatest(any_value(base), 1e-6)) AS worth
+        FROM {0} n JOIN tg ON tg.k = n.neighbor JOIN (SELECT query, count(*) AS c FROM {0} GROUP BY 1) c ON c.query = n.query JOIN rates USING (tag) GROUP BY 1, 2)
+        WHERE share >= greatest(0.3, 1.2 * base) GROUP BY query)"""
+_NEAR_SQL = "(SELECT query, neighbor, sim FROM (SELECT s.*, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbor) AS r FROM s {}) WHERE r <= 10)"
+
+
+@query(KNN_SQL + f""", it AS (SELECT vec_id AS k, label, CASE WHEN vec_id % 4 <> 0 THEN 1 + label % 5 END AS a, CASE WHEN vec_id % 3 <> 0 THEN 1 + (label * 2) % 5 END AS b FROM embeddings),
+    tg AS (SELECT k, unnest(CASE WHEN k % 2 = 0 THEN ['t' || label, 'u' || (label % 3)] ELSE ['t' || label, 'w' || (k % 7)] END) AS tag FROM it WHERE k % 5 < 3),
+    rates AS (SELECT tag, count(*) / CAST((SELECT count(DISTINCT k) FROM tg) AS DOUBLE) AS base FROM tg GROUP BY 1),
+    near AS {_NEAR_SQL.format("")}, tnear AS {_NEAR_SQL.format("WHERE neighbor IN (SELECT k FROM tg)")},
+    w AS (SELECT near.*, greatest(sim, 0.01) AS w, a, b FROM near JOIN it ON k = neighbor),
+    st AS (SELECT query, count(*) AS n, CASE WHEN count(a) >= 3 THEN sum(w * a) / sum(w) FILTER (a IS NOT NULL) END AS ma, CASE WHEN count(b) >= 3 THEN sum(w * b) / sum(w) FILTER (b IS NOT NULL) END AS mb,
+        sum(w * a * a) / sum(w) FILTER (a IS NOT NULL) AS qa, sum(w * b * b) / sum(w) FILTER (b IS NOT NULL) AS qb FROM w GROUP BY 1),
+    sd AS (SELECT *, sqrt(greatest(qa - ma * ma, 0)) AS da, sqrt(greatest(qb - mb * mb, 0)) AS db FROM st), vt AS {_VOTE_SQL.format("near")}, ft AS {_VOTE_SQL.format("tnear")},
+    q AS (SELECT vec_id AS query, label, vec_id % 200 = 0 AS said, vec_id % 300 = 0 AS degraded, CASE WHEN vec_id % 400 = 0 THEN 2.5 END AS model FROM embeddings WHERE vec_id % 100 = 0),
+    x AS (SELECT q.*, coalesce(n, 0) AS n, ma, mb, da, db, coalesce(vt.tags, []) AS vote, coalesce(ft.tags, []) AS fill, CASE WHEN said THEN ['t' || label, 'u1'] ELSE [] END AS own FROM q LEFT JOIN sd USING (query) LEFT JOIN vt USING (query) LEFT JOIN ft USING (query)),
+    y AS (SELECT *, CASE WHEN degraded OR len(vote) >= 2 THEN vote ELSE list_concat(vote, list_filter(fill, lambda z: NOT list_contains(vote, z))[1:2 - len(vote)]) END AS filled FROM x),
+    o AS (SELECT *, CASE WHEN said THEN list_concat(own, list_filter(filled, lambda z: NOT list_contains(own, z)))[1:5] ELSE filled END AS shown FROM y),
+    pr AS (SELECT a.tag AS a, b.tag AS b, count(*) AS n_ab FROM tg a JOIN tg b ON a.k = b.k AND a.tag <> b.tag GROUP BY 1, 2), c AS (SELECT tag, count(*) AS n FROM tg GROUP BY 1), tot AS (SELECT count(DISTINCT k) AS t FROM tg),
+    ru AS (SELECT a, b, n_ab / CAST(ca.n AS DOUBLE) AS share, n_ab / CAST(ca.n AS DOUBLE) / (cb.n / CAST(t AS DOUBLE)) AS lift FROM pr JOIN c ca ON ca.tag = a JOIN c cb ON cb.tag = b, tot WHERE ca.n >= 5 AND n_ab >= 3),
+    im AS (SELECT query, b, max(ROW(share, lift)) AS x, any_value(3 - len(shown)) AS room FROM (SELECT query, shown, unnest(own) AS a FROM o WHERE said AND len(shown) < 3) JOIN ru USING (a) WHERE share >= 0.1 AND lift >= 1.0 AND NOT list_contains(shown, b) GROUP BY 1, 2),
+    ik AS (SELECT query, list(b ORDER BY r) AS more FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY x DESC, b) AS r FROM im) WHERE r <= room GROUP BY 1),
+    z AS (SELECT *, coalesce(more, []) AS implied, CASE WHEN said THEN 5.0 WHEN NOT degraded AND model IS NOT NULL THEN model ELSE round(ma, 2) END AS acidity, CASE WHEN said THEN 1.0 ELSE round(mb, 2) END AS body,
+        CASE WHEN degraded OR n < 3 OR (da IS NULL AND db IS NULL) THEN 1 WHEN list_avg(list_filter([da, db], lambda e: e IS NOT NULL)) <= 0.7 THEN 3 WHEN list_avg(list_filter([da, db], lambda e: e IS NOT NULL)) <= 1.2 THEN 2 ELSE 1 END AS lvl FROM o LEFT JOIN ik USING (query))
+    SELECT query, CAST(n AS BIGINT) AS n_neighbors, ['low', 'medium', 'high'][least(lvl, 3 - (acidity IS NULL)::INT - (body IS NULL)::INT)] AS confidence, CAST(acidity AS DOUBLE) AS acidity, CAST(body AS DOUBLE) AS body,
+        CASE WHEN said THEN 'text' WHEN NOT degraded AND model IS NOT NULL THEN 'model' WHEN ma IS NOT NULL THEN 'neighbours' END AS acidity_from, CASE WHEN said THEN 'text' WHEN mb IS NOT NULL THEN 'neighbours' END AS body_from,
+        array_to_string(list_transform(list_concat(shown, implied), lambda e: e || ':' || CASE WHEN list_contains(own, e) THEN 'text' WHEN list_contains(vote, e) THEN 'vote' WHEN list_contains(shown, e) THEN 'fill' ELSE 'implied' END), ',') AS tags FROM z""")
+def layered_predictions(t):
+    """Attributes and tags of query vectors: neighbours, a model, what a text says, and tags filled up twice."""
+    k, label = F.col("vec_id"), F.col("label")
+    v = t("embeddings").select(k, "embedding", label, (k % 5 < 3).alias("has"))
+    items = v.select(k.alias("neighbor"), F.when(k % 4 != 0, 1 + label % 5).cast("double").alias("acidity"), F.when(k % 3 != 0, 1 + (label * 2) % 5).cast("double").alias("body"))
+    word = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    tags = v.where("has").select(k.alias("neighbor"), F.explode(F.array(word("t", label), F.when(k % 2 == 0, word("u", label % 3)).otherwise(word("w", k % 7)))).alias("tag"))
+    said = F.when(k % 200 == 0, F.concat(F.lit("bright, thin: notes of "), word("t", label), F.lit(" and u1"))).otherwise("nothing is said")
+    queries = v.where("vec_id % 100 = 0").select(k.alias("query"), "embedding", said.alias("text"), F.when(k % 400 == 0, 2.5).alias("model_acidity"), (k % 300 == 0).alias("degraded"))
+    asked = queries.select(F.col("query").alias("vec_id"), "embedding")
+    near = J.knn(asked, v.select("vec_id", "embedding"), key="vec_id", vector="embedding", k=10)
+    tagged = J.knn(asked, v.where("has").select("vec_id", "embedding"), key="vec_id", vector="embedding", k=10)
+    total = tags.agg(F.countDistinct("neighbor").alias("total"))
+    rules = A.association_rules(A.cooccurrence(tags, "neighbor", "tag").crossJoin(F.broadcast(total)), F.col("total"), share=0.1, lift=1.0).select("a", "b", "share", "lift")
+    tagger = D.AsWritten({**{f"t{i}": f"t{i}" for i in range(10)}, "u1": "u1"})
+    told = P.predict(
+        queries.drop("embedding"), near, tagged, items, tags, A.base_rates(tags, "neighbor", "tag"), rules, ["acidity", "body"],
+        {"acidity": (r"\bbright\b", r"\bflat\b"), "body": (r"\bfull body\b", r"\bthin\b")}, tagger, F.col("degraded"), target=3,
+    )
+    return told.withColumn("tags", F.array_join(F.transform("tags", lambda x: F.concat_ws(":", x["tag"], x["origin"])), ","))
+
+
 JACCARD_SQL = """x AS (SELECT p_partkey AS k, p_brand AS g, p_retailprice, list_distinct(list_concat(string_split(p_name, ' '), [p_type])) AS f FROM part),
     s AS (SELECT a.k AS query, b.k AS neighbor, len(list_intersect(a.f, b.f)) / CAST(len(a.f) + len(b.f) - len(list_intersect(a.f, b.f)) AS DOUBLE) AS sim
           FROM x a JOIN x b ON a.g <> b.g),
