@@ -94,7 +94,7 @@ def test_sql_of_the_query(spark, sf):
     from quern.llm import queries
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got = queries.QUERIES[name](spark, sf)
