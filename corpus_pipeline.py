@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm import decontaminate, pii, quality, simhash, vector_packing
+from quern.llm import balls, decontaminate, pii, quality, vector_packing
 from quern.llm.common import discard, mark, staged
 
 
@@ -18,13 +18,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group (operator 9): that with the smallest id, NULL last.
+    """One row of each near-duplicate group (operator 9's method): that with the smallest id, NULL last.
 
+    Documents are linked at a similarity of 0.8 or more of their five-word shingles, which balls over several
+    fingerprints bring together and whole sets confirm.
     Rows are told apart by id and text, so groups may share an id or have none.
     """
     # most documents stay, so the keys grow with the table: a merge join at every size, never a broadcast
-    kept = staged(simhash.one_of_each(docs), "kept").withColumnRenamed("key", "__kept").hint("merge")
-    keyed = docs.withColumn("__key", simhash.row_key())
+    kept = staged(balls.one_of_each(docs), "kept").withColumnRenamed("key", "__kept").hint("merge")
+    keyed = docs.withColumn("__key", balls.row_key())
     return keyed.join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 

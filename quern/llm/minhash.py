@@ -197,8 +197,14 @@ def clouds(nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_links(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (u, v) that connect all ``nodes`` (node, key, n, bands, coords) whose sets are near. ``key`` is the row
-    of ``docs`` that has the set: sets are hashed again from its text, for nodes in clouds only."""
+    of ``docs`` that has the set."""
     member = staged(clouds(nodes, num, den).join(nodes.select("node", "key", "n"), "node"), "clouds")
+    return confirmed_links(docs, member, width, num, den)
+
+
+def confirmed_links(docs: DataFrame, member: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) that connect all nodes of a cloud whose sets are near, among ``member`` (node, key, n, and the cloud, a
+    binary), a staged table. Sets are hashed again from the texts of ``docs``, for these nodes only."""
     load = member.groupBy("cloud").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("rows") / CLOUD_BLOCK, F.col("shingles") / CLOUD_SHINGLES)).cast("int")
     member = staged(member.join(load, "cloud").select("key", "cloud", "node", blocks.alias("blocks")), "loads")

@@ -1,9 +1,9 @@
 """Each stage against a brute-force version on what the stage before it kept."""
 
 import corpus_pipeline
+from test_balls import brute_components, brute_sets, least_ids
 from test_decontaminate import brute as brute_hits
 from test_pii import brute as brute_spans
-from test_simhash import brute_components, brute_fingerprint
 
 
 def test_stages(spark, sf):
@@ -18,11 +18,9 @@ def test_stages(spark, sf):
         if name == "quality rules":
             assert len(after) < len(before)
         if name == "near-duplicates":
-            fps = [brute_fingerprint(r.text) for r in before]
-            roots, least = brute_components(fps), {}
-            for r, k in zip(before, roots, strict=True):
-                least[k] = min(least.get(k, r.doc_id), r.doc_id)
-            assert sorted(r.doc_id for r in after) == sorted(least.values())
+            roots = brute_components(brute_sets([r.text for r in before]))
+            assert {r.doc_id for r in after} == set(least_ids([r.doc_id for r in before], roots))
+            assert len(after) == len(set(roots)) < len(before)
         if name == "benchmark decontamination":
             bad = {x[0] for x in brute_hits([(r.doc_id, r.text) for r in before], items) if x[4]}
             assert {str(r.doc_id) for r in after} == {str(r.doc_id) for r in before} - bad
@@ -42,8 +40,7 @@ def test_near_duplicates_keep_one_of_repeated_rows(spark, odd_docs):
 
 def test_near_duplicates_of_rows_without_or_with_repeated_ids(spark):
     a, b, c, d, e, f = (" ".join(f"{x}{i * i}" for i in range(40)) for x in "abcdef")
-    fps = [brute_fingerprint(x) for x in (a, b, c, d, e, f)]
-    assert len(set(brute_components(fps))) == 6
+    assert len(set(brute_components(brute_sets([a, b, c, d, e, f])))) == 6
     rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, c), (6, c), (1, e), (1, f), (0, e)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
