@@ -55,11 +55,13 @@ def moved(state: dict[str, float], n: int, event: Iterator[tuple]) -> list[str]:
     for slot, target, step, paced in event:
         x = state.get(slot, 0.0)
         before.setdefault(slot, x)
-        by = step / (n + 2) if paced else step
+        by = step
         if target is not None:
             gap = target - x
             # a liked item draws; a disliked one drives off, the more the nearer it is
             by *= gap if by > 0 else ((gap > 0) - (gap < 0)) * max(0.0, 1 - abs(gap) / REACH)
+        if paced:
+            by /= n + 2
         low, high = (-1.0, 1.0) if slot[0] == "~" else (1.0, 5.0)
         state[slot] = min(high, max(low, x + by))
     return [s.removeprefix("~") for s in state if s in before and abs(state[s] - before[s]) >= REPORTED]

@@ -262,9 +262,11 @@ def profile_fold(t):
     """Each user's profile after all rated events, in order: two attributes, a category, and how many changes were told."""
     h = PR.history(_rated(t), "user_id", ["ts", "event_id"], ["acidity", "body"])
     last = h.groupBy("user_id").agg(F.max("n").alias("events"), F.max_by(F.struct("wants", "likes"), "n").alias("p"), F.sum(F.size("changes")).alias("changes"))
+    # to whole millionths: rounding the decimals that a number is written with goes another way where it lies on a half
+    rounded = lambda x: F.round(x * 1e6) / 1e6
     return last.select(
-        "user_id", "events", F.round(F.col("p.wants")["acidity"], 6).alias("acidity"), F.round(F.col("p.wants")["body"], 6).alias("body"),
-        F.round(F.coalesce(F.try_element_at("p.likes", F.lit("fruity")), F.lit(0.0)), 6).alias("fruity"), "changes",
+        "user_id", "events", rounded(F.col("p.wants")["acidity"]).alias("acidity"), rounded(F.col("p.wants")["body"]).alias("body"),
+        rounded(F.coalesce(F.try_element_at("p.likes", F.lit("fruity")), F.lit(0.0))).alias("fruity"), "changes",
     )
 
 

@@ -129,3 +129,17 @@ def test_first_steps(rating, step):
     state = P.start_of(["a"])
     P.moved(state, 0, [("a", 5.0, (rating - 3) / 2, True)])
     assert state["a"] == pytest.approx(3 + step)
+
+
+def test_halves_of_a_millionth_round_as_in_sql(spark, tmp_path):
+    """Users with one event, whose preference has seven decimals, the last a five."""
+    import duckdb
+
+    from quern import plans
+
+    source = "SELECT 1 + 5 * i AS event_id, TIMESTAMP '2024-01-01' AS ts, i AS user_id, 'view' AS event_type, i / 100.0 AS value, '' AS props FROM range(8000) r(i)"
+    duckdb.sql(f"COPY (SELECT * REPLACE (CAST(value AS DOUBLE) AS value) FROM ({source})) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = sorted(con.execute(plans.oracle_sql()["profile_fold"]).fetchall())
+    assert sorted(tuple(r) for r in plans.queries()["profile_fold"](spark, str(tmp_path)).collect()) == want
