@@ -1,5 +1,7 @@
 """Hand-worked cases of the normalisation rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,14 @@ def test_row_hashes_tell_rows_apart(spark):
     assert len(set(hashes)) == len(rows)
     again = [r.h for r in df.select("b", "a").select(M.row_hash(["a", "b"]).alias("h")).collect()]
     assert again == hashes
+
+
+def test_roasts_are_read_once_and_only_where_a_roast_word_stands(spark):
+    """The masked text is named once in the plan, and phrases from the parts are those of the whole text."""
+    rng = random.Random(4)
+    word = lambda: rng.choice(["light", "Dark", "medium", "roast", "roasted", "로스팅", "a-b", "x", "dark-", "Blonde", "\n", "."])
+    texts = ["".join(word() + rng.choice([" ", " - ", ", ", ":", "|", "/", ";", ""]) for _ in range(rng.randrange(0, 30))) for _ in range(400)] + [None, "", "light roast"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    plain = F.array_join(F.regexp_extract_all("t", F.lit(f"{N.ANY}({N.ROAST_PHRASE})"), F.lit(1)), " ; ")
+    assert df.where(~plain.eqNullSafe(N._roast_phrases(F.col("t")))).count() == 0
+    assert df.select(N.roast(F.col("t")).alias("r"))._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == 1
