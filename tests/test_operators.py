@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quern.functions import text as T, vectors as V
@@ -391,3 +392,21 @@ def test_weighted_neighbours(spark):
     assert abs(got["q"].u - mean) < 1e-12 and abs(got["q"].u_std - spread) < 1e-9
     assert got["q"].v is None and got["q"].confidence == ("high" if spread <= 0.7 else "medium" if spread <= 1.2 else "low")
     assert (got["r"].u, got["r"].confidence) == (None, "low")
+
+
+def test_a_block_of_vectors_takes_little_memory():
+    """A whole block of queries against a whole block of rows, with both kinds ranked."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"key": np.arange(4096), "v": list(rng.normal(size=(4096, 8))), "c_g": rng.integers(0, 5, 4096)})
+    tracemalloc.start()
+    got = J._block_best(rows.iloc[:1500], rows, 3, "g", None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1500 * 6 and peak < 100e6
+    unit = np.stack(rows["v"].to_list()) / np.linalg.norm(np.stack(rows["v"].to_list()), axis=1)[:, None]
+    near = np.where(np.arange(4096) == 700, -2, np.round(unit @ unit[700], 12))
+    for kind in (True, False):
+        told = got[(got["query"] == 700) & (got["preferred"] == kind)]["neighbor"].tolist()
+        assert told == [j for j in np.argsort(-near, kind="stable") if (rows["c_g"][j] == rows["c_g"][700]) == kind][:3]
