@@ -42,7 +42,8 @@ def newton_step(s: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
 
 def fit_tags(rows: DataFrame, size: int, tags: int, without: list[tuple[int, ...]], rounds: int, ridge: float) -> np.ndarray:
     """Weights (models, tags, size) of the logistic models that leave out the folds of ``without``. ``rows``: fold, x, t (numbers of
-    the row's tags). Two rounds that change nothing end the fit."""
+    the row's tags). Two rounds that change nothing end the fit. Rows that are equal in all three are one, with their number as weight."""
+    rows = staged(rows.groupBy("fold", "x", "t").agg(F.count(F.lit(1)).alias("n")), "distinct")
     weights = np.zeros((len(without), tags, size))
     for first in range(0, tags, TAGS):
         last = min(first + TAGS, tags)
@@ -68,6 +69,7 @@ def _round(rows: DataFrame, w: np.ndarray, first: int, without: list[tuple[int,
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at : at + ROWS]
                 x, fold = np.array(part["x"].tolist(), dtype=float), part["fold"].to_numpy()
+                n = part["n"].to_numpy(dtype=float)[:, None]
                 y = np.zeros((len(part), tags))
                 for i, own in enumerate(part["t"]):
                     own = np.asarray(own, dtype=int) - first
@@ -76,8 +78,8 @@ def _round(rows: DataFrame, w: np.ndarray, first: int, without: list[tuple[int,
                 for m, left_out in enumerate(without):
                     seen = ~np.isin(fold, left_out)
                     p = _sigmoid(x[seen] @ w[m].T)
-                    out[m, :, : size * size] += (p * (1 - p)).T @ squares[seen]
-                    out[m, :, size * size :] += (y[seen] - p).T @ x[seen]
+                    out[m, :, : size * size] += (n[seen] * p * (1 - p)).T @ squares[seen]
+                    out[m, :, size * size :] += (n[seen] * (y[seen] - p)).T @ x[seen]
         for m in range(models):
             yield pd.DataFrame({"m": m, "t": np.arange(tags), "s": list(out[m])})
 

@@ -85,3 +85,14 @@ def test_odd_rows(spark):
     assert sorted(((r.i, r.fold) for r in got), key=repr) == sorted([(1, 0), (2, 1), (None, 1), (4, 2), (4, 2)], key=repr)
     assert TM.decided_tags(df.limit(0), "i", ["a"], "tags", "fold", ["x"], [0.5]).count() == 0
     assert all(r.tags == [] for r in TM.decided_tags(df, "i", ["a"], "tags", "fold", [], [0.5]).collect())
+
+
+def test_equal_rows_are_fitted_once(spark, monkeypatch):
+    seen, whole = [], TM._round
+    monkeypatch.setattr(TM, "_round", lambda rows, *rest: (seen.append(rows.count()), whole(rows, *rest))[1])
+    rows = [(i % 3, [1.0, float(i % 5)], [0] if i % 7 < 3 else []) for i in range(420)]
+    df = spark.createDataFrame(rows, "fold int, x array<double>, t array<int>").repartition(3)
+    got = TM.fit_tags(df, 2, 1, [(0,)], 30, 1.0)
+    kept = [r for r in rows if r[0] != 0]
+    want = fitted(np.array([[r[1][1]] for r in kept]), np.array([float(r[2] == [0]) for r in kept]), 1.0)
+    assert np.allclose(got[0, 0], want, atol=1e-9) and set(seen) == {30}
