@@ -13,7 +13,7 @@ import functools
 import numpy as np
 import regex
 
-#: Entries of each memo: bounds a worker's memory, never the result. The frequent words come first, so a
+#: Entries of a memo: bounds a worker's memory, never the result. The frequent words come first, so a
 #: full memo keeps what it has.
 MEMO_ENTRIES = 300_000
 
@@ -32,7 +32,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class ChunkIds(dict):
-    """chunk (bytes without ASCII white space) -> its ids, packed as little-endian uint32."""
+    """chunk (bytes without ASCII white space) -> its ids, packed as little-endian uint32.
+
+    The pieces of a chunk are in the same memo: a plain piece is taken apart to itself, so as a chunk it has the same ids.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,7 +43,6 @@ class ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
@@ -48,17 +50,21 @@ class ChunkIds(dict):
             ids = b"".join([self.piece(p) for p in PIECE.findall(text.lower())])
         else:
             ids = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self._keep(chunk, ids)
+        return ids
+
+    def _keep(self, chunk: bytes, ids: bytes) -> None:
         if len(chunk) <= 64 and len(self) < MEMO_ENTRIES:
             self[chunk] = ids
-        return ids
 
     def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+        spelled = piece.encode("utf-8")
+        plain = PLAIN.fullmatch(piece)  # lower-casing can lead out of the plain characters
+        ids = self.get(spelled) if plain else None
         if ids is None:
-            spelled = "".join([self.letters[x] for x in piece.encode("utf-8")])
-            ids = _packed([t.id for t in self.model.tokenize(spelled)])
-            if len(piece) <= 64 and len(self.pieces) < MEMO_ENTRIES:
-                self.pieces[piece] = ids
+            ids = _packed([t.id for t in self.model.tokenize("".join([self.letters[x] for x in spelled]))])
+            if plain:
+                self._keep(spelled, ids)
         return ids
 
 
@@ -72,6 +78,11 @@ def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
+def forget() -> None:
+    """Free this worker's memos, for a step that needs no more ids; a later step that does fills them again."""
+    chunk_ids.cache_clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 

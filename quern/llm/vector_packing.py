@@ -27,6 +27,8 @@ from .common import staged
 
 #: A pool is packed when it holds so many items or tokens: bounds a task's memory.
 POOL_ITEMS, POOL_TOKENS = 2048, 1 << 20
+#: Bytes of ids that ``pack_conversations`` gathers before it hands them on, and the rows it unpacks at once.
+HAND_ON, AT_ONCE = 4_000_000, 256
 
 PIECE_FIELDS = ["doc_id", "start", "length", "ids", "loss_tokens", "doc_tokens", "sequence_id", "offset"]
 
@@ -233,28 +235,39 @@ def conversation_parts(turns: DataFrame, max_tokens: int, tokenizer: str | None,
 
     A conversation of up to ``max_tokens`` is one segment. A longer one is cut between turns, where a turn starts behind a
     multiple of ``max_tokens``; turns that share a number are dealt over parts, if they are more than a sequence holds. So no
-    task has to hold a whole conversation: where turns start comes from running counts.
+    task has to hold a whole conversation: where turns start comes from running counts. Turns are dealt by a number that each
+    row got when it was staged, so copies of one turn don't meet in one part.
     """
     path = tokenizer or tokens.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
         memo = tokens.chunk_ids(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids = [tokens.encode(memo, t.as_py()) + end for t in batch.column(0)]
-            rest = [*batch.columns[1:], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-            yield pa.RecordBatch.from_arrays(rest, ["conv_id", "turn", "bears", "ids", "n"])
+            ids: list[bytes] = []
+            done = size = 0
+            for i, text in enumerate(batch.column(0), 1):
+                ids.append(tokens.encode(memo, text.as_py()) + end)
+                size += len(ids[-1])
+                if size > HAND_ON or i == batch.num_rows:
+                    rest = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(range(row, row + len(ids)), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(done, len(ids)).columns[1:], *rest], ["conv_id", "turn", "bears", "ids", "n", "row"])
+                    done, size, row = i, 0, row + len(ids)
+                    ids.clear()
 
     bears = F.coalesce(F.col("role") == bearing, F.lit(False))
     own = turns.select("text", F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long")).alias("turn"), bears.alias("bears"))
-    rows = staged(own.mapInArrow(run, "conv_id long, turn long, bears boolean, ids binary, n long"), "turns")
+    rows = staged(own.mapInArrow(run, "conv_id long, turn long, bears boolean, ids binary, n long, row long"), "turns")
     starts = running_counts(rows, ["conv_id"], "turn", {"n": F.sum("n")}).select("conv_id", "turn", (F.col("upto_n") - F.col("n")).alias("before"), F.col("n").alias("tied"), "all_n")
     r, s = rows.alias("r"), starts.alias("s")
     met = r.join(s, same_keys("r", "s", ["conv_id", "turn"])).select("r.*", "before", "tied", "all_n")
     segment = F.when(F.col("all_n") <= max_tokens, 0).otherwise(F.floor(F.col("before") / max_tokens))
     # without a conversation every turn is its own
-    part = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "ids")).otherwise(
-        F.when(F.col("tied") > max_tokens, F.pmod(F.xxhash64("ids"), F.ceil(F.col("tied") / max_tokens))).otherwise(0)
+    part = F.when(F.col("conv_id").isNull(), F.col("row")).otherwise(
+        F.when(F.col("tied") > max_tokens, F.pmod(F.xxhash64("ids", "row"), F.ceil(F.col("tied") / max_tokens))).otherwise(0)
     )
     return met.select("conv_id", segment.cast("long").alias("segment"), part.cast("long").alias("part"), "turn", "ids", "bears")
 
@@ -272,6 +285,9 @@ def pack_conversations(
 
     A NULL text is the end id alone, a NULL role bears no loss, NULL turns come first; turns with one number are ordered by their
     ids. Turns without a conv_id are items of their own. Other columns are ignored; an empty table gives no rows.
+
+    A task holds a pool, one item of less than two sequences and a turn, and what it hands on: its memory depends on the
+    longest turn, not on the rows, nor on a conversation's length or on how often a turn is repeated in it.
     """
     limit = max_tokens if max_loss is None else max_loss
     if min(max_tokens, max_segments, limit) < 1:
@@ -282,12 +298,13 @@ def pack_conversations(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, k = TaskContext.get().partitionId() << 33, 0
+        tokens.forget()  # the turns are ids by now
+        base, k, size = TaskContext.get().partitionId() << 33, 0, 0
         packer = Packer(max_tokens, max_segments, limit, whole=True)
         out: list[tuple] = []
 
-        def emit(sequences) -> None:
-            nonlocal k
+        def emit(sequences) -> Iterator[pa.RecordBatch]:
+            nonlocal k, size
             for placed in sequences:
                 offset = 0
                 for item, start, length in placed:
@@ -295,33 +312,42 @@ def pack_conversations(
                     out.append((*item.doc_id, start, length, item.ids[start : start + length].tobytes(), bears, item.total, base + k, offset))
                     offset += length
                 k += 1
+                size += 4 * offset
+                if size > HAND_ON:
+                    yield table()
 
         def table() -> pa.RecordBatch:
+            nonlocal size
             kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 4
             arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
             out.clear()
+            size = 0
             return pa.RecordBatch.from_arrays(arrays, ["conv_id", "turn", "start", "length", "ids", "loss_tokens", "item_tokens", "sequence_id", "offset"])
 
-        now, held = None, []
+        now, held, n = None, [], 0
 
-        def close() -> None:
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal n
             if held:
                 ids = np.concatenate([x for _, x, _ in held])
                 marks = np.concatenate([np.full(len(x), b, dtype=np.int64) for _, x, b in held])
                 loss = np.concatenate([[0], np.cumsum(marks)])
-                emit(packer.add(Item((now[0], held[0][0]), ids, loss, len(ids))))
+                first = held[0][0]
                 held.clear()
+                n = 0
+                yield from emit(packer.add(Item((now[0], first), ids, loss, len(ids))))
 
         for batch in batches:
-            for conv, segment, part, turn, ids, bears in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (conv, segment, part) != now:
-                    close()
-                    now = (conv, segment, part)
-                held.append((turn, np.frombuffer(ids, dtype="<u4"), int(bears)))
-                if len(out) > 2000:
-                    yield table()
-        close()
-        emit(packer.pack())
+            for at in range(0, batch.num_rows, AT_ONCE):
+                for conv, segment, part, turn, ids, bears in zip(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns), strict=True):
+                    # only turns that share a number can be more than two sequences
+                    if (conv, segment, part) != now or n >= 2 * max_tokens:
+                        yield from close()
+                        now = (conv, segment, part)
+                    held.append((turn, np.frombuffer(ids, dtype="<u4"), int(bears)))
+                    n += len(ids) // 4
+        yield from close()
+        yield from emit(packer.pack())
         if out:
             yield table()
 

@@ -25,6 +25,16 @@ def test_memo_equals_the_tokenizer(text):
     assert np.frombuffer(tokens.encode(memo, text), "<u4").tolist() == ids_of(text)[:-1]
 
 
+def test_a_word_is_in_the_memo_once():
+    memo = tokens.ChunkIds(tokens.default_path())
+    for text in ("Word word word, (word) it's", "\u0130x \u0307 \u023ax \u2c65x", "\u2c65 \u0307x \u0130 \u023a"):
+        assert np.frombuffer(tokens.encode(memo, text), "<u4").tolist() == ids_of(text)[:-1]
+    assert {w for w in memo if w.isascii()} == set(b"Word word word, , (word) ( ) it's it 's i x".split())
+    first = tokens.chunk_ids(tokens.default_path())
+    tokens.forget()
+    assert tokens.chunk_ids(tokens.default_path()) is not first
+
+
 def check_pieces(pieces, rows, max_tokens=4096, max_segments=256, max_loss=4096):
     known = {}
     ids_of = lambda t: known[t] if t in known else known.setdefault(t, globals()["ids_of"](t))
@@ -211,6 +221,18 @@ def test_odd_and_long_conversations(spark):
         vector_packing.pack_conversations(df, max_loss=0)
 
 
+def test_copies_of_a_turn_are_no_single_item(spark):
+    rows = [(None, 0, "assistant", "the same again")] * 40 + [(7, 0, "user", "the same again")] * 400 + [(7, 1, "assistant", "and this")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    pieces = vector_packing.pack_conversations(df, max_tokens=64, max_loss=32).collect()
+    check_conversations(pieces, rows, 64, 256, 32)
+    n = len(ids_of("the same again"))
+    own = [p for p in pieces if p.conv_id is None]
+    assert len(own) == 40 and all(p.item_tokens == p.length == p.loss_tokens == n for p in own)
+    # what a task holds of one turn's copies does not grow with their number
+    assert max(p.item_tokens for p in pieces if p.conv_id == 7) < 2 * 64 + n
+
+
 def test_id_matrices_are_written_and_read_back(spark, docs, odd_docs, no_docs, tmp_path):
     import json
     import os
