@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read
 back as the next stage's ``docs``. All but the last return the columns of ``docs``.
+
+Stages that run Python make the session's Arrow batches small (``small_batches``), as the workers of all stages share an executor.
 """
 
 from __future__ import annotations
@@ -9,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm import balls, decontaminate, pii, quality, vector_packing
-from quern.llm.common import discard, mark, staged
+from quern.llm.common import discard, mark, small_batches, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie near their language's distributions (operator 5)."""
+    small_batches(spark)
     return quality.accepted(docs)
 
 
@@ -24,6 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     fingerprints bring together and whole sets confirm.
     Rows are told apart by id and text, so groups may share an id or have none.
     """
+    small_batches(spark)
     # most documents stay, so the keys grow with the table: a merge join at every size, never a broadcast
     kept = staged(balls.one_of_each(docs), "kept").withColumnRenamed("key", "__kept").hint("merge")
     keyed = docs.withColumn("__key", balls.row_key())
@@ -42,6 +46,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in training sequences, with their ids (operator 8)."""
+    small_batches(spark)
     return vector_packing.pack_vectors(docs)
 
 

@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..storage import discard, mark, scratch, shared_dir, staged  # noqa: F401
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of a batch under ``small_batches``, and the rows of ``pieces``.
+BATCH_BYTES, AT_ONCE = 2 << 20, 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark hands Python ``BATCH_BYTES`` at once (a longer row alone) in this session, or less if it is set so.
+
+    By default it is 10,000 rows or 64 MB, which a task holds several times over, in the executor and in its worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, ``AT_ONCE`` at a time: so much of a batch becomes Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
 
 
 def fits(df: DataFrame, most: int = 64 << 20) -> bool:

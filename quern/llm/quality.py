@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import staged
+from .common import pieces, staged
 
 SYMBOLS = b"#*$%&|<>"
 COMMON_WORDS = 100
@@ -28,7 +28,7 @@ MIN_POOLED = 40
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MAX_SHARE_DISTANCE = 0.29, 0.25, 0.16
 #: Languages whose references a pass over the texts holds; more languages take more passes.
 PASS_LANGUAGES = 1000
-#: Distinct words a task holds before it passes its counts on.
+#: Distinct words a task holds before it passes its counts on, looked at after each of ``pieces``.
 HELD_WORDS = 200_000
 
 #: Class of each byte that starts a code point; other bytes continue one. One class each for lower case,
@@ -117,7 +117,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows([lang] * CLASSES, list(range(CLASSES)), [None] * CLASSES, counts.tolist())
         classes.clear()
 
-    for batch in batches:
+    for batch in pieces(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if lang is None or not text:
                 continue
@@ -270,7 +270,7 @@ def _measured(docs: DataFrame, kept: list[str], names: list[str], blocks: list[T
         columns_out = [*rows.columns[:first], *MEASURE_NAMES]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 before = list(zip(*(batch.column(first + i).to_pylist() for i in range(len(names))), strict=True)) if turn else None
                 out = []
                 for i, (text, lang) in enumerate(zip(batch.column(text_at).to_pylist(), batch.column(lang_at).to_pylist(), strict=True)):

@@ -1,6 +1,9 @@
 """Each stage against a brute-force version on what the stage before it kept."""
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
+from quern.llm.common import BATCH_BYTES
 from test_balls import brute_components, brute_sets, least_ids
 from test_decontaminate import brute as brute_hits
 from test_pii import brute as brute_spans
@@ -56,3 +59,25 @@ def test_all_stages_on_odd_rows(spark, odd_docs, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.quality_rules, corpus_pipeline.near_duplicates, corpus_pipeline.packed])
+def test_stages_hand_python_small_batches(spark, sf, stage):
+    """A batch has few bytes under each stage that runs Python, and a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 500) AS text", "'en' AS lang")
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    try:
+        spark.conf.unset(name)
+        stage(spark, docs.limit(3), sf)
+        rows = docs.mapInArrow(seen, "n long, size long").collect()
+        assert sum(r.n for r in rows) == 3000 and max(r.size for r in rows) < 1.2 * BATCH_BYTES
+        spark.conf.set(name, "1m")
+        stage(spark, docs.limit(3), sf)
+        assert spark.conf.get(name).startswith("1m")
+    finally:
+        spark.conf.unset(name)

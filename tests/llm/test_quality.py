@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from quern.llm import quality
 
@@ -80,3 +81,15 @@ def test_many_languages_take_passes(docs, monkeypatch):
     once = rows()
     monkeypatch.setattr(quality, "PASS_LANGUAGES", 1)
     assert rows() == once
+
+
+def test_counts_are_handed_on_within_a_batch(monkeypatch):
+    monkeypatch.setattr(quality, "HELD_WORDS", 2000)
+    texts = [" ".join(f"w{i}x{k}" for k in range(4)) for i in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    counts = [b for b in quality._count(iter([batch])) if b.column(2).null_count == 0]
+    assert max(b.num_rows for b in counts) <= 2000 + 4 * 256
+    total = Counter()
+    for b in counts:
+        total.update(dict(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)))
+    assert total == Counter(w.encode() for t in texts for w in t.split())
