@@ -1,19 +1,20 @@
 """Near-duplicates by ball hashing of several fingerprints, confirmed on whole sets of word shingles.
 
 At a similarity of 0.8 two 64-bit fingerprints differ in about ten bits, too many for one ball. So a set's
-fingerprint here has ``WORDS`` times 64 bits, cut into ``BLOCKS`` blocks of ``BITS`` bits, and a pair need only be
+sketch here has ``WORDS`` times 64 bits, cut into ``BLOCKS`` blocks of ``BITS`` bits, and a pair need only be
 near in one of them: every block emits itself and its variants with one unset bit set, and variants meet in a
 shuffle. Blocks one bit apart always meet so, those two bits apart where each has one of the two set. With q the
 chance that a bit differs, arccos(2s / (1 + s)) / pi at similarity s, the chance to meet in a block is
 (1 - q)^BITS + BITS q (1 - q)^(BITS - 1) + half of C(BITS, 2) q^2 (1 - q)^(BITS - 2): 0.16 at 0.8, so 0.90 over 14
 blocks, 0.97 at 0.85 and more than 0.999 at 0.9.
 
-What meets is verified by the first 64 bits, whose distance has to be at most ``RADIUS``; a bucket gives a spanning
-forest of its links, never all its pairs. The components of these links are compared exactly, set by set. So every
-link in the result is true, and those that are missing are counted by the chances above.
+What meets is verified by 64 further bits that no block holds, whose distance has to be at most ``RADIUS`` (0.987 at 0.8);
+a bucket gives a spanning forest of its links, never all its pairs. The components of these links are compared exactly,
+set by set. So every link in the result is true, and those that are missing are counted by the chances above.
 
-A block of b bits lets N (1 + b + b (b - 1) / 4) / 2^b unlike rows meet each row by chance. ``BITS`` = 26 serves some 10^8
-distinct texts; more need wider blocks, and more of them for the same recall.
+A block of b bits lets N (1 + b + b (b - 1) / 4) / 2^b unlike rows meet each row by chance, and 4 in 10^5 of them pass the
+verification, as its bits are not those by which they met. ``BITS`` = 26 serves some 10^8 distinct texts: there each row has
+0.16 chance links, too few to join the components into one. More texts need wider blocks, and more of them for the same recall.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .minhash import confirmed_links, shingle_hashes
 from .simhash import row_key, spanning_links
 
 WORDS, BLOCKS, BITS = 6, 14, 26
-#: Bits of the first fingerprint in which a pair that meets may differ.
+#: Of the 64 bits that verify, those in which a pair that meets may differ.
 RADIUS = 16
 #: Rows of a bucket that are compared in one piece, and those up to which buckets are first looked through together.
 BLOCK, SMALL = 2048, 32
@@ -54,8 +55,8 @@ def sketch(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, key (``row_key``), n (set size), node (128-bit digest of the set), fp (the sketch's first 64 bits) and
-    sketch of every row; fp and sketch are NULL where a text has no word."""
+    """doc_id, key (``row_key``), n (set size), node (128-bit digest of the set), sketch and fp (64 bits more, by which what
+    meets is verified) of every row; fp and sketch are NULL where a text has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,9 +65,9 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
                 s = shingle_hashes(text.as_py(), width)
                 n.append(len(s))
                 node.append(xxhash.xxh128_digest(s.tobytes()))
-                whole = sketch(s) if len(s) else None
-                fp.append(None if whole is None else int(whole.view(np.int64)[0]))
-                made.append(None if whole is None else whole.tobytes())
+                whole = sketch(s, WORDS + 1) if len(s) else None
+                fp.append(None if whole is None else int(whole.view(np.int64)[WORDS]))
+                made.append(None if whole is None else whole[:WORDS].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(fp, pa.int64()), pa.array(made, pa.binary())],
                 ["doc_id", "key", "n", "node", "fp", "sketch"],
@@ -77,8 +78,9 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def placed(nodes: DataFrame, variants: bool) -> DataFrame:
-    """(key, fp): the first fingerprint under each block, and under its variants with an unset bit set. A key is the
-    block's number and its bits."""
+    """(key, fp): fp under each block of the sketch, and under its variants with an unset bit set. A key is the
+    block's number and its bits. Without a column fp the sketch's first 64 bits take its place."""
+    told = "fp" in nodes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = np.left_shift(np.int64(1), np.arange(BITS, dtype=np.int64))
@@ -87,7 +89,7 @@ def placed(nodes: DataFrame, variants: bool) -> DataFrame:
             whole = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8).reshape(-1, WORDS * 8)
             for at in range(0, len(whole), 1024):
                 part = np.ascontiguousarray(whole[at : at + 1024])
-                fp = part.view(np.int64)[:, 0]
+                fp = batch.column(1).to_numpy(zero_copy_only=False)[at : at + 1024] if told else part.view(np.int64)[:, 0]
                 bits = np.unpackbits(part, axis=1)[:, : BLOCKS * BITS].reshape(-1, BLOCKS, BITS)
                 exact = bits.astype(np.int64) @ powers + numbers
                 keys, rows = [exact.ravel()], [np.repeat(np.arange(len(part)), BLOCKS)]
@@ -99,7 +101,7 @@ def placed(nodes: DataFrame, variants: bool) -> DataFrame:
                     [pa.array(np.concatenate(keys)), pa.array(fp[np.concatenate(rows)])], ["key", "fp"]
                 )
 
-    return nodes.select("sketch").mapInArrow(run, "key long, fp long")
+    return nodes.select("sketch", *["fp"] * told).mapInArrow(run, "key long, fp long")
 
 
 def _wider(values: DataFrame) -> DataFrame:
@@ -150,7 +152,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) among the first fingerprints of ``nodes`` (sketch, not NULL) that meet and differ in ``RADIUS`` bits
+    """Links (u, v) among the fp of ``nodes`` (sketch and fp, not NULL) that meet and differ in ``RADIUS`` bits
     or fewer. Buckets over ``BLOCK`` rows are dealt out, a task for each pair of blocks."""
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = (

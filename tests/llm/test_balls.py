@@ -140,6 +140,15 @@ def test_links_within_blocks_equal_brute_force(spark, monkeypatch, block):
     assert len({top(f) for f in fp}) == len(set(own.values()))
 
 
+def test_unlike_texts_that_meet_by_chance_are_not_linked(spark):
+    """What brings two texts together is no evidence: the bits that verify are not among those of the blocks."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(13))) for i in range(6000)]
+    nodes = staged(balls.sketches(spark.createDataFrame(rows, "doc_id long, text string")), "sketches")
+    met = balls.placed(nodes, True).groupBy("key").count().where("count > 1").count()
+    assert met > 500 and balls.candidate_links(nodes).count() == 0
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = sorted(((r.doc_id, r.component_id) for r in balls.near_duplicates(odd_docs).collect()), key=repr)
     want = [(1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6), (7, 7), (8, 8), (9, 9), (-3, -3), (None, 1), (None, 3)]
