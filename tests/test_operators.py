@@ -394,6 +394,14 @@ def test_weighted_neighbours(spark):
     assert (got["r"].u, got["r"].confidence) == (None, "low")
 
 
+def test_every_vector_asks_for_neighbours_of_its_label(spark, sf):
+    from quern import plans
+
+    ids = [r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()]
+    got = plans.queries()["knn_filtered_fallback"](spark, sf).groupBy("query").count().collect()
+    assert sorted((r.query, r["count"]) for r in got) == [(i, 10) for i in sorted(ids)]
+
+
 def test_a_block_of_vectors_takes_little_memory():
     """A whole block of queries against a whole block of rows, with both kinds ranked."""
     import tracemalloc
