@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A, joins as J, learning as L, tagmodels as TM
 from .base import Registry
-from .joins import KNN_SQL
+from .joins import ALL_KNN_SQL, KNN_SQL
 
 registry = Registry()
 query = registry.add
@@ -268,13 +268,14 @@ def repeated_run(t):
     return L.same_result("knn", *runs)
 
 
-@query(KNN_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbor) AS rank FROM s), j AS (SELECT query, greatest(sim, 0.01) AS w, CAST(l.label AS DOUBLE) AS v FROM r JOIN u l ON l.vec_id = neighbor WHERE rank <= 10),
+@query(ALL_KNN_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, neighbor) AS rank FROM s), j AS (SELECT query, greatest(sim, 0.01) AS w, CAST(l.label AS DOUBLE) AS v FROM r JOIN u l ON l.vec_id = neighbor WHERE rank <= 10),
     m AS (SELECT query, sum(w * v) / sum(w) AS pred FROM j GROUP BY query), d AS (SELECT query, any_value(pred) AS pred, round(sqrt(sum(w * (v - pred) * (v - pred)) / sum(w)), 9) AS spread FROM j JOIN m USING (query) GROUP BY query)
     SELECT CASE WHEN spread <= 0.7 THEN 'high' WHEN spread <= 1.2 THEN 'medium' ELSE 'low' END AS confidence, query % 3 AS source, CAST(count(*) AS BIGINT) AS n, round(avg(abs(pred - label)), 4) AS mae, round(avg(CAST(abs(pred - label) <= 1 AS INT)), 6) AS within_1
     FROM d JOIN u ON vec_id = query GROUP BY 1, 2""")
 def loo_by_confidence(t):
-    """Leave-one-out errors by the neighbours' agreement and by source."""
-    near, v = _near(t)
+    """Leave-one-out errors of all vectors, by the neighbours' agreement and by source."""
+    v = t("embeddings").select("vec_id", "embedding", "label")
+    near = J.knn(v, v.drop("label"), key="vec_id", vector="embedding", k=10, block=16384)
     labels = v.select(F.col("vec_id").alias("neighbor"), F.col("label").cast("double").alias("pred"))
     stats = A.weighted_stats(near.join(labels, "neighbor"), "query", "similarity", ["pred"])
     rows = stats.join(v.select(F.col("vec_id").alias("query"), F.col("label").alias("y")), "query")

@@ -402,6 +402,14 @@ def test_every_vector_asks_for_neighbours_of_its_label(spark, sf):
     assert sorted((r.query, r["count"]) for r in got) == [(i, 10) for i in sorted(ids)]
 
 
+def test_every_vector_is_left_out_once(spark, sf):
+    from quern import plans
+
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    got = plans.queries()["loo_by_confidence"](spark, sf).groupBy("source").sum("n").collect()
+    assert sorted(r["sum(n)"] for r in got) == sorted(len(range(i, n, 3)) for i in range(3))
+
+
 def test_a_block_of_vectors_takes_little_memory():
     """A whole block of queries against a whole block of rows, with both kinds ranked."""
     import tracemalloc
